@@ -41,19 +41,24 @@ def _window(word: Column, i: Column, n: int) -> list[Column]:
     return [word, *[F.get(F.col("_words"), i + j) for j in range(1, n)]]
 
 
-def _with_shingles(df: DataFrame, text: Column, n: int, name: str, hashed: bool) -> DataFrame:
-    """Add the array ``name`` of the n-word shingles of ``text``, as 64-bit hashes or strings."""
+def _shingles(df: DataFrame, text: Column, n: int, hashed: bool) -> DataFrame:
+    """One row for each n-word shingle of ``text``, as a 64-bit hash or as a string.
+
+    The outer explode keeps Catalyst from pushing a filter on the array's size below the
+    projection of the words, where the words would be split anew for each shingle.
+    """
     join = (lambda p: F.xxhash64(*p)) if hashed else (lambda p: F.concat_ws(" ", *p))
-    df = df.withColumn("_words", words(text)).where(F.size("_words") >= n)
+    df = df.withColumn("_words", words(text)).drop("t")
     all_ = F.transform("_words", lambda w, i: join(_window(w, i, n)))
-    return df.withColumn(name, F.slice(all_, F.lit(1), F.size("_words") - (n - 1))).drop("_words")
+    whole = F.when(F.size("_words") >= n, F.slice(all_, F.lit(1), F.size("_words") - (n - 1)))
+    name = "hash" if hashed else "shingle"
+    return df.withColumn("_all", whole).drop("_words").withColumn(name, F.explode_outer("_all")).drop("_all").where(F.col(name).isNotNull())
 
 
 def item_shingles(items: DataFrame, item_col="item_id", text_col="text", n=5) -> DataFrame:
     """Distinct (item_id, shingle, hash) with the item's number of shingles."""
     rows = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(text_col).alias("t"))
-    rows = _with_shingles(rows, F.col("t"), n, "shingles", hashed=False)
-    rows = rows.select("item_id", F.explode("shingles").alias("shingle")).distinct()
+    rows = _shingles(rows, F.col("t"), n, hashed=False).distinct()
     hashed = rows.withColumn("hash", F.xxhash64(*[F.split("shingle", " ")[j] for j in range(n)]))
     return hashed.join(hashed.groupBy("item_id").agg(F.count("*").alias("n_shingles")), "item_id")
 
@@ -88,15 +93,14 @@ def contained_items(
     shingles = staged(item_shingles(items, item_col, text_col, n), "item-shingles")
     sketches = _small(staged(item_sketches(shingles, threshold), "item-sketches"), broadcast_rows)
     texts = documents.where(F.col(doc_col).isNotNull()).select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("t"))
-    probes = _with_shingles(texts, F.col("t"), n, "hashes", hashed=True).select("doc_id", F.explode("hashes").alias("hash"))
+    probes = _shingles(texts, F.col("t"), n, hashed=True)
     # shingles that repeat in a document count once
     hits = probes.join(sketches, "hash").groupBy("doc_id", "item_id", "hash", "need").agg(F.first("weight").alias("weight"))
     candidates = hits.groupBy("doc_id", "item_id", "need").agg(F.sum("weight").alias("hits")).where("hits >= need")
     candidates = staged(candidates.select("doc_id", "item_id"), "candidates")
 
     few = _small(candidates.select("doc_id").distinct(), broadcast_rows)
-    again = _with_shingles(texts.join(few, "doc_id", "left_semi"), F.col("t"), n, "shingles", hashed=False)
-    found = again.select("doc_id", F.explode("shingles").alias("shingle"))
+    found = _shingles(texts.join(few, "doc_id", "left_semi"), F.col("t"), n, hashed=False)
     small = _small(shingles.select("item_id", "shingle", "n_shingles"), broadcast_rows)
     shared = (
         found.join(small, "shingle").groupBy("doc_id", "item_id", "n_shingles")

@@ -56,12 +56,16 @@ WITH d AS (
 ), b AS (
   SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w
   FROM benchmark
-), ds AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-  FROM d WHERE len(w) >= 5
-), bs AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-  FROM b WHERE len(w) >= 5
+), dw AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM d
+), bw AS (SELECT item_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM b
+), dl AS (
+  SELECT doc_id, a || ' ' || lead(a, 1) OVER t || ' ' || lead(a, 2) OVER t || ' ' || lead(a, 3) OVER t || ' ' || lead(a, 4) OVER t AS s
+  FROM dw WINDOW t AS (PARTITION BY doc_id ORDER BY i)
+), bl AS (
+  SELECT item_id, a || ' ' || lead(a, 1) OVER t || ' ' || lead(a, 2) OVER t || ' ' || lead(a, 3) OVER t || ' ' || lead(a, 4) OVER t AS s
+  FROM bw WINDOW t AS (PARTITION BY item_id ORDER BY i)
+), bs AS (SELECT DISTINCT item_id, s FROM bl WHERE s IS NOT NULL
+), ds AS (SELECT DISTINCT doc_id, s FROM dl WHERE s IN (SELECT s FROM bs)
 ), q AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles::DOUBLE AS containment
 FROM ds JOIN bs USING (s) JOIN q USING (item_id)
