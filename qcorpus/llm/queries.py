@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hilbert, simhash, warc
-from .common import new_path, table
+from . import decontam, hilbert, langcnn, linebreaks, packing, repetition, simhash, toxcrf, warc
+from .common import new_path, staged, table
+
+
+def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repetition.repetition(repetition.with_line_counts(docs).select("doc_id", "text", "n_symbols", "n_dup_lines"))
+    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base_failed.alias("base_failed"), (~base_failed & ~F.col("repetitive")).alias("kept"),
+    )
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linebreaks.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +34,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = staged(packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path()), "pieces")
+    return packing.pack(pieces)
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -35,6 +61,29 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    """Documents that no model learns from; those without an id are never learned from either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def op8_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langcnn.fit(docs.where(~held_out()), key=F.xxhash64("doc_id"))
+    found = langcnn.identify(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").distinct()
+    field = toxcrf.fit(docs.where(~held_out()).join(labels, "doc_id"), key=F.xxhash64("doc_id"))
+    found = toxcrf.score(docs, field)
+    return found.select(
+        "doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_spans",
+    )
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -42,13 +91,51 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repetition": op1_repetition,
+    "op2_main_text": op2_main_text,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
+    "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op8_language_cnn": op8_language_cnn,
+    "op9_toxicity_crf": op9_toxicity_crf,
     "op10_warc_revisits": op10_warc_revisits,
 }
 
 ORACLE_SQL = {
+    "op1_repetition": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM d
+), word AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM d
+), win AS (
+  SELECT doc_id, i, a,
+    CASE WHEN count(*) OVER s = 8 THEN list(a) OVER s END AS short,
+    CASE WHEN count(*) OVER l = 101 THEN md5(array_to_string(list(a) OVER l, ' ')) END AS long
+  FROM word WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING),
+    l AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 100 FOLLOWING)
+), twice AS (
+  SELECT doc_id, i, a, short IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, short) > 1 AS again,
+    long IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, long) > 1 AS long_again
+  FROM win
+), inside AS (
+  SELECT doc_id, a, long_again, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM twice
+), repeats AS (
+  SELECT doc_id, count(*) FILTER (hit) AS n, coalesce(sum(length(a)) FILTER (hit), 0) AS chars, bool_or(long_again) AS too_long
+  FROM inside GROUP BY doc_id
+), r AS (
+  SELECT base.doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(chars, 0) AS chars, coalesce(too_long, false) AS too_long
+  FROM base LEFT JOIN repeats USING (doc_id)
+), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (chars > 0.2 * word_chars OR too_long) AS kept
+FROM f
+""",
     "op3_decontamination": """
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w
