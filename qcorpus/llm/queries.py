@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hilbert, langcnn, linebreaks, packing, repetition, simhash, toxcrf, warc
+from . import decontam, hilbert, langcnn, linebreaks, packing, recompress, repetition, simhash, toxcrf, warc
 from .common import new_path, staged, table
 
 
@@ -34,6 +34,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recompress.remove_repeats(docs, keep_text=False)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -95,6 +100,7 @@ QUERIES = {
     "op2_main_text": op2_main_text,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
+    "op5_recompression": op5_recompression,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_language_cnn": op8_language_cnn,

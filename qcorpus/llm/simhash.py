@@ -172,3 +172,19 @@ def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", n=3, radius
     least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = nodes.join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(df: DataFrame, id_col="doc_id", text_col="text", broadcast_rows=1_000_000, **options) -> DataFrame:
+    """``df`` with the row of the smallest id of each class of near-duplicates.
+
+    Of rows that repeat an id one stays; rows without an id stay. The ids to drop are broadcast only
+    if there are at most ``broadcast_rows``.
+    """
+    classes = near_duplicates(df, id_col, text_col, **options).where("doc_id is not null")
+    counts = staged(classes.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "classes")
+    gone = counts.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
+    kept = df.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(df.columns)
+    if not counts.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").head(1):
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
