@@ -3,8 +3,9 @@
 Only narrow headers (page, digest, length) are shuffled by payload digest. The first page of a
 digest becomes a ``response`` record with the payload, every other a ``revisit`` record that
 points to it; a payload is shuffled once, by (digest, page), and only where it is written. The
-archives are plain WARC/1.1 files written by Spark's text writer, whose line separator is the
-CRLF that ends a record, so they go wherever Spark can write.
+archives are gzipped WARC/1.1 files written by Spark's text writer, whose line separator is the
+CRLF that ends a record, so they go wherever Spark can write. A file holds a bounded number of
+records, as it is read back whole.
 
 Defined cases: a null payload is an empty one; a null URL is written as ``urn:unknown``; line
 breaks in a URL become spaces; a null page id sorts last; rows that repeat a page id with the
@@ -14,6 +15,7 @@ same payload are one record, which read back once for each row; other columns ar
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -118,7 +120,8 @@ def write_archives(
     )
     (
         rows.withColumn("block", block).select(record.alias("value"))
-        .write.option("lineSep", CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+        .write.option("lineSep", CRLF).option("maxRecordsPerFile", records_per_file)
+        .option("compression", "gzip").text(path)
     )
 
 
@@ -141,7 +144,7 @@ def _parse(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Rec
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for fields, block in _records(content.as_py()):
+            for fields, block in _records(gzip.decompress(content.as_py())):
                 payload = block.split(b"\r\n\r\n", 1)[1]
                 first = fields["WARC-Type"] == "response"
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if first else fields["WARC-Payload-Digest"].removeprefix("sha1:")
