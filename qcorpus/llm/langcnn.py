@@ -152,7 +152,7 @@ def predict(net: Network, texts: list[bytes]) -> np.ndarray:
 
 def _predict(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in byte_slices([batch], "_raw", 2 << 20):
+        for part in byte_slices([batch], "_raw", 1 << 20):
             texts = [x.as_py() or b"" for x in part.column("_raw")]
             languages, scores = ["und"] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if net and _LETTER.search(t.decode())]

@@ -78,7 +78,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int
     ids = WordIds(path)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for part in byte_slices([batch], "text", 4 << 20):
+        for part in byte_slices([batch], "text", 2 << 20):
             rows = []
             texts = [x.as_py() or b"" for x in part.column("text")]
             for doc, tokens in zip(part.column("doc_id").to_pylist(), ids.documents(texts)):

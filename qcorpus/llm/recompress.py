@@ -44,6 +44,8 @@ WINDOW = 20
 #: Rounds of pairing up to the low and the high symbols; a round makes them a third longer.
 LOW_ROUNDS, HIGH_ROUNDS = 4, 10
 _LAST_ID = (1 << 63) - 1
+#: Bytes of text that are parsed at a time; a parse takes some hundred bytes a word.
+_SLICE = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -212,7 +214,7 @@ def _texts(part: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
 
 def _emit_symbols(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in byte_slices([batch], "_raw", 4 << 20):
+        for part in byte_slices([batch], "_raw", _SLICE):
             ids, texts = _texts(part)
             names, docs, _ = word_names(texts)
             s = _symbols(names, docs, window)
@@ -252,7 +254,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in byte_slices([batch], "_raw", 4 << 20):
+        for part in byte_slices([batch], "_raw", _SLICE):
             ids, texts = _texts(part)
             names, docs, _ = word_names(texts)
             s = _symbols(names, docs, window)
@@ -265,7 +267,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, text_col: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in byte_slices([batch], "_raw", 4 << 20):
+        for part in byte_slices([batch], "_raw", _SLICE):
             _, texts = _texts(part)
             names, docs, split = word_names(texts)
             s = _symbols(names, docs, window)

@@ -112,7 +112,7 @@ def _measures(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
     names = ["n_words", "word_chars", "n_repeat_words", "repeat_chars", "longest_repeat"]
     for batch in batches:
         raw = batch.schema.names[-1]
-        for part in byte_slices([batch], raw, 4 << 20):
+        for part in byte_slices([batch], raw, 2 << 20):
             found = _measure([x.as_py() or b"" for x in part.column(raw)], min_words)
             keep = part.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(x) for x in found], names=keep + names)

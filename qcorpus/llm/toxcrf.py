@@ -210,7 +210,7 @@ def fit(df: DataFrame, text_col="text", label_col="toxic", key: Column | None =
 def _score(batches: Iterator[pa.RecordBatch], field: Field, spans: bool) -> Iterator[pa.RecordBatch]:
     cache: dict[bytes, float] = {}
     for batch in batches:
-        for part in byte_slices([batch], "_text", 4 << 20):
+        for part in byte_slices([batch], "_text", 2 << 20):
             texts = [x.as_py() or "" for x in part.column("_text")]
             emissions = []
             if len(cache) > _REMEMBER:
