@@ -19,7 +19,7 @@ def key_rank(status: Column) -> Column:
 
 def stable_content_id(
     exam: Column, variant: Column, year: Column, session: Column, subject: Column, shift: Column,
-    number: Column, text: Column, options: Column, distinct: Column = F.lit(False),
+    number: Column, text: Column, options: Column, distinct: Column | None = None,
 ) -> Column:
     """Identity by position where a number is known, else by content, told apart by options if asked for."""
     period = F.coalesce(year.cast("string"), session, F.lit("v1"))
@@ -27,6 +27,7 @@ def stable_content_id(
     by_position = F.concat(F.lit("Q"), F.when(F.length(number.cast("string")) > 3, number.cast("string")).otherwise(F.lpad(number.cast("string"), 3, "0")))
     by_content = F.concat(F.lit("C"), F.substring(F.sha2(normalize_text(text, compose=False).cast("binary"), 256), 1, 16))
     pairs = F.array_join(F.array_sort(F.transform(options, lambda o: F.concat(o["key"], F.lit("\x1f"), o["text"]))), "\x1e")
+    distinct = F.lit(False) if distinct is None else distinct
     suffix = F.when(distinct, F.concat(F.lit("-D"), F.substring(F.sha2(pairs.cast("binary"), 256), 1, 8))).otherwise(F.lit(""))
     own = F.when(number.isNotNull(), by_position).otherwise(by_content)
     return F.upper(F.concat(head, F.lit("-"), own, suffix))

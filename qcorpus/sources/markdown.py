@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,23 +53,30 @@ def parse_block(block: str) -> dict[str, object]:
     return found | {k: "\n".join(v).strip() or None for k, v in lines.items()}
 
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split(" ")[0] for x in re.split(r", (?=\w+ )", SCHEMA)]
-    for frame in frames:
-        rows = []
-        for path, content in zip(frame["path"], frame["content"]):
-            head = _HEAD.match(content or "")
-            if not head:
-                rows.append({"path": path, "error": "no front matter"})
-                continue
-            parts = _QUESTION.split(content[head.end() :])
-            if len(parts) < 3:
-                rows.append({"path": path, "front_matter": _front_matter(head[1]), "error": "no question"})
-            for number, block in zip(parts[1::2], parts[2::2]):
-                rows.append({"path": path, "front_matter": _front_matter(head[1]), "number": int(number)} | parse_block(block))
-        yield pd.DataFrame(rows, columns=names).astype({"number": "Int32"})
+_ARROW = pa.schema([
+    ("path", pa.string()), ("front_matter", pa.map_(pa.string(), pa.string())), ("number", pa.int32()), ("question_text", pa.string()),
+    ("options", pa.list_(pa.struct([("key", pa.string()), ("text", pa.string())]))), ("answer", pa.string()), ("explanation", pa.string()),
+    ("topic", pa.string()), ("error", pa.string()),
+])
+
+
+def file_questions(path: str, content: str | None) -> list[dict[str, object]]:
+    head = _HEAD.match(content or "")
+    if not head:
+        return [{"path": path, "error": "no front matter"}]
+    fields = list(_front_matter(head[1]).items())
+    parts = _QUESTION.split(content[head.end() :])
+    if len(parts) < 3:
+        return [{"path": path, "front_matter": fields, "error": "no question"}]
+    return [{"path": path, "front_matter": fields, "number": int(n)} | parse_block(block) for n, block in zip(parts[1::2], parts[2::2])]
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [q for path, content in zip(*(batch.column(c).to_pylist() for c in ("path", "content"))) for q in file_questions(path, content)]
+        yield from pa.Table.from_pylist(rows, _ARROW).to_batches()
 
 
 def parse_markdown(files: DataFrame) -> DataFrame:
     """One row per question of (path, content) files; files that cannot be read give a row with ``error``."""
-    return files.mapInPandas(_parse, SCHEMA)
+    return files.select("path", "content").mapInArrow(_parse, SCHEMA)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,15 +125,22 @@ def quiz_questions(html: str) -> list[dict]:
     return out
 
 
-def parse_quizzes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    names = ["url", "number", "question_text", "options", "correct_keys", "explanation", "error"]
+_ARROW = pa.schema([
+    ("url", pa.string()), ("number", pa.int32()), ("question_text", pa.string()),
+    ("options", pa.list_(pa.struct([("key", pa.string()), ("text", pa.string())]))), ("correct_keys", pa.list_(pa.string())),
+    ("explanation", pa.string()), ("error", pa.string()),
+])
+
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"url": u} | q for u, h in zip(frame["url"], frame["html"]) for q in quiz_questions(h or "")]
-            yield pd.DataFrame(rows, columns=names)
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [{"url": u} | q for u, h in zip(*(batch.column(c).to_pylist() for c in ("url", "html"))) for q in quiz_questions(h or "")]
+        yield from pa.Table.from_pylist(rows, _ARROW).to_batches()
 
-    return pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(parse, QUIZ_SCHEMA)
+
+def parse_quizzes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per question of each page; what cannot be one has ``error`` set."""
+    return pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_parse, QUIZ_SCHEMA)
 
 
 def replay(artifacts: DataFrame, source: str | None = None, since: str | None = None) -> DataFrame:
