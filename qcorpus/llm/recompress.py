@@ -271,9 +271,9 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, text_col: str, keep_tex
             _, texts = _texts(part)
             names, docs, split = word_names(texts)
             s = _symbols(names, docs, window)
-            flags, flag_docs = _flat(part.column("flags"))
+            flags, flag_docs = _flat(part.column("_flags"))
             spans = _resolved(s, docs, flags, flag_docs)
-            seen, seen_docs = _flat(part.column("windows"))
+            seen, seen_docs = _flat(part.column("_windows"))
             at = np.flatnonzero(s["whole"])
             own = _of(docs[at], s["hash"][at])
             later = at[np.isin(own, _of(seen_docs, seen)) | _later(own)]
@@ -307,7 +307,7 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", window=WINDO
     Texts that lose nothing stay as they are. Adds ``n_words``, ``n_removed`` and ``kept_sha256`` (of the
     words left, joined by single spaces). Without ``keep_text`` the text column is dropped instead.
     """
-    taken = ["n_words", "n_removed", "kept_sha256", "_doc", "_raw"]
+    taken = ["n_words", "n_removed", "kept_sha256", "_doc", "_raw", "_of", "_flags", "_windows"]
     df = df.drop(*[c for c in taken if c not in (id_col, text_col)])
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("_doc")
     raw = F.col(text_col).cast("binary").alias("_raw")
@@ -321,10 +321,11 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", window=WINDO
     pairs = flags.select("doc", F.filter("flags", lambda x: x % 2 != 0).alias("flags"), F.lit(None).cast("array<long>").alias("windows"))
     later = later.groupBy("doc").agg(F.collect_set("key").alias("windows")).select("doc", F.lit(None).cast("array<long>").alias("flags"), "windows")
     marks = pairs.unionByName(later).groupBy("doc").agg(F.first("flags", True).alias("flags"), F.first("windows", True).alias("windows"))
-    marks = staged(marks.where("size(flags) > 0 or windows is not null"), "later")
+    marks = marks.where("size(flags) > 0 or windows is not null")
+    marks = staged(marks.select(F.col("doc").alias("_of"), F.col("flags").alias("_flags"), F.col("windows").alias("_windows")), "later")
 
     rows = df if keep_text else df.drop(text_col)
-    rows = df.select(*rows.columns, doc, raw).join(marks, F.col("_doc") == marks["doc"], "left").select(*rows.columns, "_doc", "_raw", "flags", "windows")
+    rows = df.select(*rows.columns, doc, raw).join(marks, F.col("_doc") == F.col("_of"), "left").select(*rows.columns, "_doc", "_raw", "_flags", "_windows")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-4])
     out += ", n_words long, n_removed long, kept_sha256 string"
     return rows.mapInArrow(lambda b: _cut(b, window, text_col, keep_text), out)
