@@ -18,9 +18,11 @@ document, so repeated rows are packed each; a null id stays null; other columns
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,13 @@ from .common import byte_slices
 
 _SIZE = 4096
 #: Words that a task remembers; then it starts afresh, so memory is bounded.
-_REMEMBER = 400_000
-_TAIL = re.compile(rb"[!#-&(-/:-@\[-`{-~]+\Z")
+_REMEMBER = 700_000
+#: ASCII marks but the quotes, which the tokenizer may join with what follows.
+_MARKS = bytes(set(string.punctuation.encode()) - set(b"'\""))
 
 
 class WordIds(dict):
-    """From a lower-case word to its token ids, as little-endian 32-bit integers."""
+    """From a lower-case word to its token ids, as 32-bit integers in the order of a little-endian machine."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,31 +49,33 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
     def learn(self, words: set[bytes]) -> None:
         """Remember ``words``. A run of ASCII marks after a letter or digit is a token run of its own."""
-        parts = {}
+        cut, new = [], set()
         for word in words:
-            tail = _TAIL.search(word)
-            at = tail.start() if tail else 0
-            parts[word] = (word[:at], word[at:]) if at and (word[at - 1 : at].isalnum() or word[at - 1] >= 0x80 and word[:at].decode()[-1].isalpha()) else (word, b"")
-        new = list({p for pair in parts.values() for p in pair if p and p not in self})
-        self.update(zip(new, self._encode(new)))
-        for word, (head, tail) in parts.items():
-            if tail:
-                self[word] = self[head] + self[tail]
+            head = word.rstrip(_MARKS)
+            if head and len(head) < len(word) and (head[-1:].isalnum() or head[-1] >= 0x80 and head.decode()[-1].isalpha()):
+                tail = word[len(head) :]
+                cut.append((word, head, tail))
+                new.add(head)
+                new.add(tail)
+            else:
+                new.add(word)
+        new = list(new - self.keys())
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        self.update(zip(new, [array("I", x.ids).tobytes() for x in found]))
+        for word, head, tail in cut:
+            self[word] = self[head] + self[tail]
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """Token ids of each of ``texts``."""
         if len(self) > _REMEMBER:
             self.clear()
         split = [t.lower().split() for t in texts]
-        unknown = set().union(*split) - self.keys()
-        if unknown:
-            self.learn(unknown)
+        unknown: set[bytes] = set()
+        for words in split:
+            unknown.update(filterfalse(self.__contains__, words))
+        self.learn(unknown)
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
