@@ -48,6 +48,8 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
         """Remember ``words``. A run of ASCII marks after a letter or digit is a token run of its own."""
@@ -61,12 +63,33 @@ class WordIds(dict):
                 new.add(tail)
             else:
                 new.add(word)
-        new = list(new - self.keys())
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.update(zip(new, [array("I", x.ids).tobytes() for x in found]))
+        single, other = [], []
+        for word in new - self.keys():
+            (single if word.decode().isalpha() else other).append(word)
+        for at in range(0, len(single), 500):
+            some = single[at : at + 500]
+            found = self._joined(some)
+            if found is None:
+                other += some
+            else:
+                self.update(zip(some, found))
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+        self.update(zip(other, [array("I", x.ids).tobytes() for x in found]))
         for word, head, tail in cut:
             self[word] = self[head] + self[tail]
 
+    def _joined(self, words: list[bytes]) -> list[bytes] | None:
+        """Token ids of words of letters, read as one text and cut where a token ends a word.
+
+        None if the number of ends is not that of the words.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words) or cuts[-1] != 4 * len(ids):
+            return None
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """Token ids of each of ``texts``."""
         if len(self) > _REMEMBER:

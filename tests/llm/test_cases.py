@@ -237,7 +237,7 @@ def test_packing(spark, odd):
 
 def test_word_ids_equal_the_tokenizer():
     ids = packing.WordIds(tokenizer_path())
-    texts = ["Hello, World!!! it's o'clock... 'tis ÀÉ, 12ab.. don't'll. a.b.c. <|endoftext|>, x́,, ½, naïve—dash… (x)", LONG[:5000], "", "\x85 \xa0x"]
+    texts = ["Hello, World!!! it's o'clock... 'tis ÀÉ, 12ab.. don't'll. a.b.c. <|endoftext|>, x́,, ½, naïve—dash… (x)", LONG[:5000], "", "\x85 \xa0x", "İstanbul ΣΑΣ ﬁne ªº 中文 e\u0301te"]
     want = [np.array(x.ids, "<u4").tobytes() for x in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert ids.documents([t.encode() for t in texts]) == want == ids.documents([t.encode() for t in texts])
 
