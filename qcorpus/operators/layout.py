@@ -2,7 +2,7 @@
 
 Input is (doc_id, page, text, x0, x1, top, bottom). What compares neighbours is a window over a page
 or document; grouping into lines compares with the first word of the line, which no window can, so
-that one step runs in Arrow batches, a page at a time, and a page is small.
+that one step is an Arrow function over the heights of a page's words.
 """
 
 from __future__ import annotations
@@ -10,26 +10,37 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-LINE_SCHEMA = "doc_id long, page int, line int, top double, bottom double, x0 double, x1 double, text string"
+def _line_numbers(tolerance: float):
+    """Number of the line of each top of a page, in order; a line's first word sets its height."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def number(pages: pd.Series) -> pd.Series:
+        out = []
+        for tops in pages:
+            line, first, numbers = -1, None, []
+            for top in tops.tolist():
+                if first is None or top - first > tolerance:
+                    line, first = line + 1, top
+                numbers.append(line)
+            out.append(numbers)
+        return pd.Series(out)
+
+    return number
 
 
 def group_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Lines of a page: words by (top, x0); a line ends where a top is further than that from its first word's."""
-
-    def lines(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "x0"], kind="stable")
-        number, first, numbers = -1, None, []
-        for top in page["top"]:
-            if first is None or abs(top - first) > tolerance:
-                number, first = number + 1, top
-            numbers.append(number)
-        page = page.assign(line=numbers).sort_values(["line", "x0"], kind="stable")
-        out = page.groupby("line", as_index=False).agg(top=("top", "min"), bottom=("bottom", "max"), x0=("x0", "min"), x1=("x1", "max"), text=("text", " ".join))
-        return out.assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0])[["doc_id", "page", "line", "top", "bottom", "x0", "x1", "text"]]
-
-    return words.groupBy("doc_id", "page").applyInPandas(lines, LINE_SCHEMA)
+    boxes = F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "text")))
+    pages = words.groupBy("doc_id", "page").agg(boxes.alias("_w"))
+    pages = pages.withColumn("_n", _line_numbers(tolerance)(F.transform("_w", lambda w: w["top"])))
+    rows = pages.select("doc_id", "page", F.inline(F.arrays_zip("_w", "_n"))).select("doc_id", "page", F.col("_n").alias("line"), "_w.*")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "top", "text"))), lambda x: x["text"]), " ")
+    return rows.groupBy("doc_id", "page", "line").agg(
+        F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), text.alias("text")
+    )
 
 
 def strip_running_text(lines: DataFrame, height: float, band: float = 60.0, min_share: float = 0.6) -> DataFrame:

@@ -137,3 +137,201 @@ def answer_key_values(spark, sf_dir):
     raw = F.when(p == "1-URGENT", " a ").when(p == "2-HIGH", "C; A").when(p == "3-MEDIUM", F.concat(F.col("o_custkey").cast("string"), F.lit(" to "), (F.col("o_custkey") + 1).cast("string"))).when(p == "5-LOW", "MTA").otherwise("AB")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", layout.answer_value(kind, raw).alias("v"))
     return rows.select("o_orderkey", F.array_join("v.keys", ",").alias("keys"), "v.lo", "v.hi", "v.marks_to_all", "v.error")
+
+
+@query("""
+WITH q AS (SELECT conv_id + turn AS n, role, text FROM conversations)
+SELECT role, rule, n FROM (
+  SELECT role, 'no_text' AS rule, count(*) FILTER (trim(coalesce(text, '')) = '') AS n FROM q GROUP BY role
+  UNION ALL SELECT role, 'short_text', count(*) FILTER (length(text) < 100) FROM q GROUP BY role
+  UNION ALL SELECT role, 'no_period', count(*) FILTER (text NOT LIKE '%.') FROM q GROUP BY role
+) WHERE n > 0
+""")
+def review_rule_counts(spark, sf_dir):
+    from ..operators.analytics import rule_counts
+
+    rules = {"no_text": F.trim(F.coalesce("text", F.lit(""))) == "", "short_text": F.length("text") < 100, "no_period": ~F.endswith("text", F.lit("."))}
+    return rule_counts(table(spark, sf_dir, "conversations"), rules, "role")
+
+
+@query("""
+WITH f AS (SELECT lang, source, count(*) AS questions, sum((length(text) < 200)::INT) AS errors FROM documents GROUP BY 1, 2)
+SELECT count(*) AS files, sum(questions)::BIGINT AS questions, sum(greatest(questions - errors, 0))::BIGINT AS valid_questions, count(*) FILTER (errors > 0) AS needs_review FROM f
+""")
+def content_report(spark, sf_dir):
+    from ..operators.review import content_report as report
+
+    docs = table(spark, sf_dir, "documents").withColumn("file", F.struct("lang", "source"))
+    return report(docs, "file", (F.length("text") < 200).cast("int"), F.lit(0))
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS question_id, o_orderstatus AS set_id, min(o_totalprice) AS marks, 'scored' AS answer_status, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS number
+  FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1, 2),
+t2 AS (SELECT question_id, set_id, CAST(round(marks / 1000, 2) AS DECIMAL(5, 2)) AS marks, answer_status, number FROM t),
+s AS (SELECT o_custkey AS question_id, o_orderstatus AS set_id, CAST(round(min(o_totalprice) / 1000 + CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END, 2) AS DECIMAL(5, 2)) AS marks, 'scored' AS answer_status
+  FROM orders WHERE o_custkey % 3 <> 1 GROUP BY 1, 2),
+top AS (SELECT set_id, max(number) AS top FROM t2 GROUP BY 1),
+fresh AS (SELECT s.*, row_number() OVER (PARTITION BY s.set_id ORDER BY s.question_id) AS place FROM s WHERE NOT EXISTS (SELECT 1 FROM t2 WHERE t2.question_id = s.question_id AND t2.set_id = s.set_id))
+SELECT t2.question_id, t2.set_id, coalesce(s.marks, t2.marks)::DOUBLE AS marks, number FROM t2 LEFT JOIN s USING (question_id, set_id)
+UNION ALL SELECT question_id, set_id, marks::DOUBLE, coalesce(top, 0) + place FROM fresh LEFT JOIN top USING (set_id)
+""")
+def upsert_occurrences(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    per = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("question_id"), F.col("o_orderstatus").alias("question_set_id")).agg((F.min("o_totalprice") / 1000).alias("marks"))
+    per = per.withColumn("negative_marks", F.lit(None).cast("double")).withColumn("answer_status", F.lit("scored"))
+    number = F.row_number().over(W.partitionBy("question_set_id").orderBy("question_id")).cast("long")
+    stored = per.where("question_id % 3 <> 0").withColumns({c: F.round(c, 2).cast("decimal(5,2)") for c in ("marks", "negative_marks")}).withColumn("number", number)
+    more = per.where("question_id % 3 <> 1").withColumn("marks", F.col("marks") + F.when(F.col("question_id") % 2 == 0, 1).otherwise(0)).withColumn("number", F.lit(None).cast("long"))
+    found = publish.upsert_occurrences(stored, more)
+    return found.select("question_id", F.col("question_set_id").alias("set_id"), F.col("marks").cast("double").alias("marks"), "number")
+
+
+@query("""
+WITH o AS (SELECT o_custkey % 100 AS slug, list_max(list(CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 3 ELSE 2 END)) AS k, o_custkey % 2 AS half FROM orders GROUP BY o_custkey % 100, o_custkey % 2),
+t AS (SELECT slug, k FROM o WHERE half = 0), s AS (SELECT slug, k FROM o WHERE half = 1)
+SELECT slug, CASE greatest(coalesce(t.k, s.k), coalesce(CASE WHEN t.k IS NULL THEN s.k WHEN s.k > t.k THEN s.k END, t.k)) WHEN 1 THEN 'none' WHEN 2 THEN 'provisional' ELSE 'final' END AS key_status
+FROM t FULL OUTER JOIN s USING (slug)
+""")
+def key_status_forward(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "P", 3).otherwise(2)
+    per = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 100).alias("slug"), (F.col("o_custkey") % 2).alias("half")).agg(F.max(status).alias("k"))
+    per = per.withColumn("key_status", F.element_at(F.array(*[F.lit(s) for s in publish.KEY_STATUS]), F.col("k")))
+    sides = [per.where(F.col("half") == h).select("slug", "key_status") for h in (0, 1)]
+    return publish.upsert_question_sets(*sides)
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'A,C' WHEN 2 THEN NULL ELSE 'A' END AS keys FROM customer
+""")
+def review_answer_keys(spark, sf_dir):
+    segment = F.lower("c_mktsegment")
+    options = F.array(F.upper(segment), F.lit("Other  one"), F.lit("third"))
+    kind = F.col("c_custkey") % 4
+    answer = F.when(kind == 0, F.lit(" other ONE")).when(kind == 1, F.concat(F.lit("Third | "), segment)).when(kind == 2, F.lit("nothing")).otherwise(segment)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(publish.review_answer_keys(options, answer), ",").alias("keys"))
+
+
+@query("""
+WITH q AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn + 10 END AS declared, text FROM conversations),
+e AS (SELECT conv_id AS batch, row_number() OVER (PARTITION BY conv_id ORDER BY turn, declared, text) - 1 AS place, declared, text FROM q)
+SELECT batch, place::INT AS place, coalesce(declared, place + 1)::INT AS number, text IS NOT NULL AND length(text) > 100 AS publishable FROM e
+""")
+def split_review_batches(spark, sf_dir):
+    from ..operators.review import split_batch
+
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn") + 10).alias("number"), "text", F.when(F.length("text") > 100, F.col("text")).alias("normalized"))
+    order = F.array_sort(F.collect_list(F.struct("turn", "number", "text", "normalized")))
+    batches = turns.groupBy(F.col("conv_id").alias("batch")).agg(order.alias("elements"))
+    return split_batch(batches).drop("normalized")
+
+
+@query("""
+WITH f AS (SELECT o_orderkey AS id, o_orderstatus AS s FROM orders)
+SELECT id AS entity_id, 'system' AS actor_id, 'publish' AS action, '{"status":"' || s || '"}' AS old_value, '{"status":"' || CASE WHEN s = 'O' THEN 'P' ELSE s END || '"}' AS new_value FROM f WHERE s = 'O'
+""")
+def audit_rows(spark, sf_dir):
+    from ..operators.review import audit_rows as audit
+
+    before = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    after = before.withColumn("status", F.when(F.col("status") == "O", "P").otherwise(F.col("status")))
+    return audit(before, after, "id", F.lit("system"), "publish")
+
+
+@query()
+def word_diff_turns(spark, sf_dir):
+    """Word differences between neighbouring turns of a conversation."""
+    from pyspark.sql import Window as W
+
+    from ..functions.richtext import word_diff
+
+    w = W.partitionBy("conv_id").orderBy("turn", "text")
+    turns = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).where("before is not null")
+    rows = turns.select("conv_id", "turn", word_diff(F.col("before"), F.col("text")).alias("d"))
+    count = lambda k: F.size(F.filter("d", lambda x: x["kind"] == k)).alias(k)
+    return rows.select("conv_id", "turn", count("same"), count("removed"), count("added"))
+
+
+@query()
+def artifact_diffs(spark, sf_dir):
+    """Unified differences between pages that follow each other on a host."""
+    from pyspark.sql import Window as W
+
+    from ..functions.richtext import unified_diff
+    from ..functions.text import host
+
+    w = W.partitionBy("host").orderBy("page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("host"), F.replace("html", F.lit("<p>"), F.lit("\n<p>")).alias("html"))
+    pages = pages.withColumn("before", F.lag("html").over(w)).where("before is not null")
+    return pages.select("page_id", F.length(unified_diff(F.col("before"), F.col("html"))).alias("diff_chars"))
+
+
+@query()
+def markdown_escape(spark, sf_dir):
+    from ..functions.richtext import escape_markdown
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(escape_markdown(F.col("text")).cast("binary"), 256).alias("sha256"))
+
+
+@query("""
+SELECT c_custkey, replace(replace(replace(c_name || ' <' || c_mktsegment || '> & "x"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM customer WHERE false
+UNION ALL SELECT c_custkey, replace(replace(replace(replace(replace(c_name || ' <' || c_mktsegment || '> & "x" it''s', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') || '<br>' || '<a href="https://e.org/' || c_custkey || '" rel="nofollow noopener">https://e.org/' || c_custkey || '</a>' FROM customer
+""")
+def safe_html(spark, sf_dir):
+    from ..functions.richtext import safe_html as safe
+
+    text = F.concat("c_name", F.lit(" <"), "c_mktsegment", F.lit("> & \"x\" it's\nhttps://e.org/"), F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", safe(text).alias("x"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\s+')) AS t, unnest(range(len(string_split_regex(coalesce(text, ''), '\\s+')))) AS i FROM documents),
+l AS (SELECT doc_id, i // 12 AS n, string_agg(t, ' ' ORDER BY i) AS text FROM w GROUP BY 1, 2),
+k AS (SELECT doc_id, last_value(CASE WHEN text LIKE 'The %' THEN n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::INT AS label FROM l)
+SELECT doc_id, label, count(*) AS lines FROM k GROUP BY 1, 2
+""")
+def layout_segments(spark, sf_dir):
+    """Documents set in lines: a line that begins with "The" opens a block, which goes on over pages."""
+    lines = layout.group_lines(_words(spark, sf_dir))
+    label = F.concat(F.lit("Q"), (F.col("page") * 60 + F.col("line")).cast("string"), F.lit(" "), "text")
+    lines = lines.withColumn("text", F.when(F.startswith("text", F.lit("The ")), label).otherwise(F.col("text")))
+    return layout.segment(lines).groupBy("doc_id", "label").agg(F.count("*").alias("lines"))
+
+
+@query("""
+WITH w AS (SELECT l_orderkey, l_linenumber, l_quantity * 1.0 AS x0, l_quantity + 4 AS x1, l_partkey % 50 AS top FROM lineitem WHERE l_linenumber <= 3),
+r AS (SELECT l_orderkey, l_linenumber AS region, l_quantity * 0.5 AS x0, l_quantity AS x1, l_partkey % 50 AS top FROM lineitem WHERE l_linenumber > 3)
+SELECT w.l_orderkey AS doc_id, count(*) AS overlaps FROM w JOIN r USING (l_orderkey)
+WHERE w.x0 < r.x1 AND w.x1 > r.x0 AND w.top < r.top + 20 AND w.top + 10 > r.top GROUP BY 1
+""")
+def box_overlaps(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").withColumn("top", (F.col("l_partkey") % 50).cast("double")).withColumn("page", F.lit(0))
+    items = items.withColumn("doc_id", F.col("l_orderkey"))
+    boxes = items.where("l_linenumber <= 3").select("doc_id", "page", F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 4).alias("x1"), "top", (F.col("top") + 10).alias("bottom"))
+    regions = items.where("l_linenumber > 3").select("doc_id", "page", F.col("l_linenumber").alias("region"), (F.col("l_quantity") * 0.5).alias("x0"), F.col("l_quantity").alias("x1"), "top", (F.col("top") + 20).alias("bottom"))
+    return layout.overlapping(boxes, regions).groupBy("doc_id").agg(F.count("*").alias("overlaps"))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity AS x FROM lineitem WHERE l_returnflag = 'N'), h AS (SELECT DISTINCT l_orderkey, l_linenumber AS col, l_quantity AS hx FROM lineitem WHERE l_returnflag <> 'N'),
+d AS (SELECT l_orderkey, l_linenumber, x, arg_min(col, (abs(x - hx), col)) AS col FROM c JOIN h USING (l_orderkey) GROUP BY ALL)
+SELECT l_orderkey AS doc_id, col AS column, count(*) AS cells FROM (SELECT c.l_orderkey, d.col FROM c JOIN d USING (l_orderkey, l_linenumber, x)) GROUP BY 1, 2
+""")
+def nearest_columns(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), "l_linenumber", F.col("l_quantity").alias("x0"), F.col("l_quantity").alias("x1"), "l_returnflag")
+    cells = items.where("l_returnflag = 'N'").select("doc_id", "page", "x0", "x1")
+    headers = items.where("l_returnflag <> 'N'").select("doc_id", "page", F.col("l_linenumber").alias("column"), "x0", "x1").distinct()
+    return layout.nearest_column(cells, headers).groupBy("doc_id", "column").agg(F.count("*").alias("cells"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE sha256(p_name)[1:2] || '/' || sha256(p_name) || CASE p_size % 4 WHEN 1 THEN '.png' WHEN 2 THEN '.jpg' ELSE '.webp' END END AS key FROM part
+""")
+def media_keys(spark, sf_dir):
+    from ..operators.merge import media_key
+
+    kind = F.col("p_size") % 4
+    mime = F.when(kind == 0, "text/html").when(kind == 1, "image/png").when(kind == 2, "IMAGE/JPEG").otherwise("image/webp")
+    return table(spark, sf_dir, "part").select("p_partkey", media_key(F.sha2(F.col("p_name").cast("binary"), 256), mime).alias("key"))
