@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 
 def since_days(df: DataFrame, at: str, days: int, anchor: Column | None = None) -> DataFrame:
     """Rows of the last ``days`` days before ``anchor``, by default the latest row of the table."""
-    if anchor is None:
-        last = df.agg(F.max(at).alias("_last"))
-        return df.crossJoin(F.broadcast(last)).where(F.col(at) >= F.col("_last") - F.expr(f"INTERVAL {days} DAYS")).drop("_last")
+    anchor = df.agg(F.max(at)).scalar() if anchor is None else anchor
     return df.where(F.col(at) >= anchor - F.expr(f"INTERVAL {days} DAYS"))
 
 

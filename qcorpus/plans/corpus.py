@@ -92,9 +92,8 @@ FROM events, (SELECT max(ts) AS last FROM events) m
 """)
 def retention_prune(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    events = events.crossJoin(F.broadcast(events.agg(F.max("ts").alias("last"))))  # one row
-    kept, gone = merge.prune(events, "ts", 7, F.col("last"))
-    return kept.agg(F.count("*").alias("kept")).crossJoin(gone.agg(F.count("*").alias("pruned")))  # one row each
+    kept, gone = merge.prune(events, "ts", 7, events.agg(F.max("ts")).scalar())
+    return kept.agg(F.count("*").alias("kept")).select("kept", gone.agg(F.count("*")).scalar().alias("pruned"))
 
 
 _CRAWLS = """

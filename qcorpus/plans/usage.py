@@ -65,9 +65,8 @@ FROM orders, (SELECT max(o_orderdate) AS last FROM orders) m GROUP BY o_orderpri
 """)
 def source_health(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    jobs = orders.crossJoin(F.broadcast(orders.agg(F.max("o_orderdate").alias("last"))))  # one row
-    jobs = jobs.withColumn("status", F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed"))
-    found = lifecycle.source_health(jobs, "o_orderpriority", "o_orderdate", F.col("status"), F.col("o_totalprice"), 90, F.col("last"))
+    jobs = orders.withColumn("status", F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed"))
+    found = lifecycle.source_health(jobs, "o_orderpriority", "o_orderdate", F.col("status"), F.col("o_totalprice"), 90, orders.agg(F.max("o_orderdate")).scalar())
     return found.withColumn("avg_runtime_ms", F.round("avg_runtime_ms", 4))
 
 
@@ -180,9 +179,7 @@ FROM events
 def dashboard_counts(spark, sf_dir):
     one = table(spark, sf_dir, "events").agg(
         F.count_if(F.col("event_type") == "view").alias("views"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("user_id").alias("users"))
-    for name in ("orders", "documents"):
-        one = one.crossJoin(table(spark, sf_dir, name).agg(F.count("*").alias(name)))  # one row each
-    return one
+    return one.select("*", *[table(spark, sf_dir, name).agg(F.count("*")).scalar().alias(name) for name in ("orders", "documents")])
 
 
 @query("""
