@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -217,7 +218,7 @@ def _score(batches: Iterator[pa.RecordBatch], field: Field, spans: bool) -> Iter
                 cache.clear()
             for text in texts:
                 found = _WORD_BYTES.findall(text.lower().encode())
-                for w in set(found) - cache.keys():
+                for w in set(filterfalse(cache.__contains__, found)):
                     cache[w] = field.emission(w.decode())
                 emissions.append(list(map(cache.__getitem__, found)))
             expected, marginals = _expected(field, emissions)
