@@ -175,3 +175,29 @@ SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(repl
 """)
 def html_plain_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pg.plain_text(F.col("html")).alias("text"))
+
+
+_NAME_HITS = """
+WITH w AS (SELECT p_partkey AS id, unnest(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+')) AS w FROM part),
+k AS (SELECT id, regexp_replace(regexp_replace(w, '^(\\w{2,})ies$', '\\1y'), '^(\\w{3,}?)(?:sses)$', '\\1ss') AS w FROM w WHERE w <> ''),
+s AS (SELECT id, CASE WHEN regexp_matches(w, '(ss|us|is)$') THEN w ELSE regexp_replace(w, '^(\\w{3,})s$', '\\1') END AS w FROM k),
+d AS (SELECT id, regexp_replace(w, '^(\\w{3,}?)(?:ing|ed)$', '\\1') AS w FROM s),
+t AS (SELECT id, w, 1.0 + ln(count(*)) AS score FROM d GROUP BY id, w),
+h AS (SELECT w AS query, id, round(score, 6) AS score, row_number() OVER (PARTITION BY w ORDER BY round(score, 6) DESC, id) AS place FROM t WHERE w IN ('widget', 'bolt'))
+"""
+
+
+@query(_NAME_HITS + "SELECT query, id, score, place::INT AS place FROM h WHERE place <= 10")
+def name_search(spark, sf_dir):
+    """A top-k report of part names for stated queries."""
+    asked = spark.createDataFrame([("widget",), ("bolt",)], "query string")
+    return search.name_search(table(spark, sf_dir, "part"), "p_partkey", "p_name", asked)
+
+
+@query(_NAME_HITS + """
+SELECT q.query, count(h.id) FILTER (place <= 10) AS result_count FROM (VALUES ('widget'), ('bolt'), ('nosuchname')) q(query) LEFT JOIN h USING (query) GROUP BY 1
+""")
+def search_log(spark, sf_dir):
+    """What the stated queries found; blank ones are not logged."""
+    asked = spark.createDataFrame([("widget",), ("bolt",), ("nosuchname",), ("  ",)], "query string")
+    return search.search_log(asked, search.name_search(table(spark, sf_dir, "part"), "p_partkey", "p_name", asked))

@@ -335,3 +335,77 @@ def media_keys(spark, sf_dir):
     kind = F.col("p_size") % 4
     mime = F.when(kind == 0, "text/html").when(kind == 1, "image/png").when(kind == 2, "IMAGE/JPEG").otherwise("image/webp")
     return table(spark, sf_dir, "part").select("p_partkey", media_key(F.sha2(F.col("p_name").cast("binary"), 256), mime).alias("key"))
+
+
+@query("""
+SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) - 1 AS position FROM lineitem
+""")
+def media_positions(spark, sf_dir):
+    from ..operators.review import media_positions as positions
+
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    return positions(items, ["l_orderkey", "l_returnflag"], ["l_linenumber", "l_partkey"])
+
+
+@query("""
+SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50
+""")
+def newest_jobs(spark, sf_dir):
+    from ..operators.review import newest
+
+    return newest(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", 50, o_orderstatus="F", o_custkey=None).select("o_orderkey", "o_orderdate")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS p, min(o_orderstatus) AS norm, list_sort(list_distinct(list(o_orderpriority))) AS options FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+n AS (SELECT o_custkey AS p, min(o_orderstatus) AS norm, list_sort(list_distinct(list(o_orderpriority))) AS options FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
+SELECT p, CASE WHEN o.norm IS NULL THEN 'free' WHEN o.norm <> n.norm THEN 'different' WHEN o.options = n.options THEN 'same' ELSE 'same_new' END AS decision FROM n LEFT JOIN o USING (p)
+""")
+def position_decisions(spark, sf_dir):
+    from ..operators.review import position_decision
+
+    per = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("p"), (F.col("o_orderkey") % 2).alias("h")).agg(
+        F.min("o_orderstatus").alias("norm"), F.array_sort(F.collect_set("o_orderpriority")).alias("options"))
+    old, new = (per.where(F.col("h") == h).drop("h").withColumn("answers", F.array(F.lit("a"))) for h in (0, 1))
+    return position_decision(new, old, ["p"]).select("p", "decision")
+
+
+@query("""
+SELECT o_custkey AS batch, '{"metadata":{"source":"orders","count":' || count(*) || '},"extractedElements":[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']}' AS document
+FROM orders GROUP BY 1
+""")
+def review_batch_documents(spark, sf_dir):
+    from ..operators.review import batch_document
+
+    orders = table(spark, sf_dir, "orders").withColumn("source", F.lit("orders")).withColumnRenamed("o_custkey", "batch")
+    return batch_document(orders, "batch", ["o_orderkey"], ["o_orderkey", "o_orderstatus"], ["source"]).select("batch", "document")
+
+
+@query("""
+SELECT (l_orderkey * 10 + l_linenumber) AS id, 'mcq' AS kind, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2
+UNION ALL SELECT (l_orderkey * 10 + l_linenumber), 'numerical', 2 * count(*) FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2
+UNION ALL SELECT (l_orderkey * 10 + l_linenumber), 'text', count(*) FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2
+""")
+def answer_rows(spark, sf_dir):
+    kind = F.when(F.col("l_returnflag") == "A", "mcq").when(F.col("l_returnflag") == "N", "numerical").otherwise("text")
+    ranges = F.array(*[F.struct(F.col("l_discount").alias("lo"), (F.col("l_discount") + w).alias("hi")) for w in (0.0, 1.0)])
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), kind.alias("kind")).alias("id"), kind.alias("type"),
+        F.array("l_linestatus").alias("correct_keys"), F.col("l_returnflag").alias("answer_text"), ranges.alias("ranges"))
+    return publish.answer_rows(rows).groupBy(F.col("id.k").alias("id"), F.col("id.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query()
+def publish_flow(spark, sf_dir):
+    """Quality gate, duplicate decisions and the outcome of each review batch of conversation turns."""
+    from ..operators import dedupe
+
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("id")
+    checked = publish.quality_issues(_questions(spark, sf_dir), None, ["conv_id", "turn"]).select(key, "conv_id", "question_text", "options", "correct_keys", "valid")
+    shaped = checked.select(
+        "id", "conv_id", "valid", F.col("question_text").alias("text"), answers.option_set(F.transform("options", lambda o: o["text"])).alias("options"), F.col("correct_keys").alias("answers"))
+    stored = shaped.where("valid and conv_id % 2 = 0").select("id", "text", "options", "answers")
+    batch = shaped.where("conv_id % 2 = 1")
+    decided = dedupe.decide(batch.where("valid").select("id", "text", "options", "answers"), stored)
+    actions = publish.publish_batch(batch.select("id", "valid"), decided)
+    return publish.batch_status(actions.join(batch.select("id", "conv_id"), "id"), "conv_id")
