@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "button"}
-_SKIP = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "figure"}
+_SKIP = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog"}
 _BLOCK = {
     "address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "h1", "h2",
-    "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot",
+    "figure", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot",
     "th", "thead", "tr", "ul", "caption",
 } | _SKIP
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -46,6 +46,7 @@ _HINT = re.compile(
 )
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 GAP_LINES = 3
 
 
@@ -64,6 +65,19 @@ def _unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
+def _holds_article(page: str, tag: str, at: int) -> bool:
+    """The element that begins before ``at`` holds the article element, or most of a page without one."""
+    depth, end = 1, len(page)
+    for mark in re.compile(rf"<(/?){tag}\b", re.I).finditer(page, at):
+        depth += -1 if mark[1] else 1
+        if not depth:
+            end = mark.start()
+            break
+    if _ARTICLE.search(page, at, end):
+        return True
+    return 2 * (end - at) > len(page) and not _ARTICLE.search(page)
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """Lines of a page: text, characters outside links, whether inside an article or main element."""
     lines: list[tuple[str, int, bool]] = []
@@ -119,7 +133,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if tag in _BLOCK:
             end_line()
             link_depth = 0
-        if not closing and tag not in _VOID and _unwanted(tag, mark[3]):
+        if not closing and tag not in _VOID and _unwanted(tag, mark[3]) and (tag in _SKIP or not _holds_article(page, tag, at)):
             end_line()
             skip, skip_depth = tag, 1
             continue

@@ -84,6 +84,11 @@ def test_main_text_without_article_element():
     assert text.count("\n") == 4 and "reader" not in text and "end" not in text
 
 
+def test_main_text_in_a_container_named_after_its_sidebar():
+    page = "<body><div class='with sidebar'><article><p>Kept.<p>Too.</article><div class='sidebar'>Out</div></div></body>"
+    assert linebreaks.main_text(page) == "Kept.\nToo."
+
+
 def plain_contained(docs, items, n=5, threshold=0.8):
     import re
 
