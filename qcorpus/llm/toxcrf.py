@@ -9,8 +9,8 @@ its words, in sequences of ``SEQUENCE`` words, many at once; the marginals add u
 number of toxic words, which a fitted logistic curve turns into a probability. Words whose
 marginal is at least a half give the offending offsets.
 
-The training sample is bounded: ``ROWS_PER_LABEL`` documents of each label, of at most
-``TRAIN_CHARS`` characters; scoring covers every text whole.
+The training sample is bounded: of twice ``ROWS_PER_LABEL`` labelled ids the first so many documents
+of at most ``TRAIN_CHARS`` characters, for each label; scoring covers every text whole.
 
 Defined cases: null and empty texts have no word and get the curve's value at zero; equal texts
 get equal scores; with no labelled row, or labels of one kind, the score is that label's share (or
@@ -190,6 +190,13 @@ def _expected(field: Field, emissions: list[list[float]]) -> tuple[np.ndarray, l
     return total, np.split(marginal[inside], np.cumsum(counts)[:-1])
 
 
+def draw_labels(labels: DataFrame, id_col="doc_id", label_col="toxic") -> DataFrame:
+    """Labelled ids drawn by hash, 2 * ROWS_PER_LABEL of each label: few enough to broadcast to the texts."""
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, label_col).distinct()
+    number = F.row_number().over(W.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col))
+    return rows.withColumn("_n", number).where(F.col("_n") <= 2 * ROWS_PER_LABEL).drop("_n")
+
+
 def training_rows(df: DataFrame, text_col="text", label_col="toxic", key: Column | None = None) -> DataFrame:
     text = F.col(text_col)
     key = F.xxhash64(text) if key is None else key
