@@ -25,18 +25,25 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(word, r"^(\w{3,}?)(?:ing|ed)$", "$1")
 
 
+def tokens(text: Column) -> Column:
+    """Lower-case words of letters and digits that are not stop words."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+
+
 def lexemes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    return F.transform(words, stem)
+    return F.transform(tokens(text), stem)
 
 
 def postings(docs: DataFrame, id_col: str, fields: list[str], weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(lexeme, id, score) over weighted text fields."""
     parts = None
     for name, weight in zip(fields, weights):
-        rows = docs.select(F.col(id_col).alias("id"), F.explode(lexemes(F.col(name))).alias("lexeme"), F.lit(weight).alias("w"))
+        # outer, as Catalyst would work the array out twice to skip empty ones
+        words = F.explode_outer(tokens(F.col(name)))
+        rows = docs.select(F.col(id_col).alias("id"), words.alias("word"), F.lit(weight).alias("w")).where("word is not null")
         parts = rows if parts is None else parts.unionByName(rows)
-    counts = parts.groupBy("lexeme", "id", "w").agg(F.count("*").alias("tf"))
+    counts = parts.select(stem(F.col("word")).alias("lexeme"), "id", "w").groupBy("lexeme", "id", "w").agg(F.count("*").alias("tf"))
     return counts.groupBy("lexeme", "id").agg(F.sum(F.col("w") * (1 + F.ln("tf"))).alias("score"))
 
 
