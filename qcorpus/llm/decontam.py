@@ -7,7 +7,7 @@ of those shingles it contains. The expected share of hits is the containment of
 document (containment MinHash), whatever the document's length. Items are partitioned by their
 number of shingles: the smallest class keeps every shingle, the larger ones a sketch whose size
 and least number of hits are set per class so that a containment at the threshold is missed with
-a probability under 1e-6. Candidates are verified by exact shingle containment.
+a probability under 1e-7. Candidates are verified by exact shingle containment.
 
 All of it is DataFrame code. The documents' words are read in one pass that is joined to the
 sketches; the sketches and the candidates' ids are broadcast only below a checked number of
@@ -29,7 +29,7 @@ from .common import staged
 #: Most rows of a table that is broadcast: about 64 MB of sketches or 16 MB of ids.
 BROADCAST_ROWS = 1_000_000
 #: Size classes of items: (most shingles, hash functions, least hits at a threshold of 0.8).
-#: With 32 independent functions a containment of 0.8 gives under 12 hits with probability 1e-7.
+#: With 32 independent functions a containment of 0.8 gives under 12 hits with probability 3e-8.
 SIZE_CLASSES = ((16, None, None), (64, 32, 12), (256, 48, 20), (None, 64, 30))
 
 
