@@ -12,9 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Java regular expression of what separates words: the six ASCII white space characters.
-GAP = r"[\x20\x09-\x0D]+"
-
 _own_dirs: dict[str, str] = {}
 
 

@@ -251,7 +251,7 @@ def test_sum_of_squares_equals_brute_force():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 21, 300)
     sequence, offset = packing.sum_of_squares(lengths, 20)
-    counts, level, want = {}, {}, []
+    counts, want = {}, []
     for n in lengths.tolist():
         def total(gap_from, gap_to):
             c = dict(counts)
@@ -266,7 +266,6 @@ def test_sum_of_squares_equals_brute_force():
                 counts[x] = counts.get(x, 0) + step
         want.append(20 if g is None else g)
     assert offset.tolist() == [20 - g for g in want]
-    del level
 
 
 def test_hilbert_curve_steps_to_neighbours():
