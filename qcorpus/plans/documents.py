@@ -111,11 +111,6 @@ def union_candidates(spark, sf_dir):
     return both.groupBy("origin").agg(F.count("*").alias("n"), F.countDistinct("norm").alias("texts"))
 
 
-_STEM = (
-    "CASE WHEN regexp_matches({0}, '(ss|us|is)$') THEN {0} ELSE regexp_replace({0}, '^(\\w{{3,}})s$', '\\1') END"
-)
-
-
 @query("""
 WITH words AS (
   SELECT doc_id AS id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents
@@ -127,9 +122,8 @@ WITH words AS (
 ), c AS (SELECT id, CASE WHEN regexp_matches(w, '(ss|us|is)$') THEN w ELSE regexp_replace(w, '^(\\w{3,})s$', '\\1') END AS w FROM b
 ), d AS (SELECT id, regexp_replace(w, '^(\\w{3,}?)(?:ing|ed)$', '\\1') AS w FROM c
 ), t AS (SELECT id, w, 1.0 + ln(count(*)) AS score FROM d GROUP BY id, w
-), q(query, lexeme, need) AS (VALUES ('worthless clown', 'worthles', 2), ('worthless clown', 'clown', 2), ('reth', 'reth', 1), ('the', 'x', 9)
-), q2 AS (SELECT query, CASE WHEN lexeme = 'worthles' THEN 'worthless' ELSE lexeme END AS lexeme, need FROM q
-), h AS (SELECT query, id, count(*) AS found, round(sum(score), 6) AS score, need FROM q2 JOIN t ON w = lexeme GROUP BY query, id, need),
+), q(query, lexeme, need) AS (VALUES ('worthless clown', 'worthless', 2), ('worthless clown', 'clown', 2), ('reth', 'reth', 1)
+), h AS (SELECT query, id, count(*) AS found, round(sum(score), 6) AS score, need FROM q JOIN t ON w = lexeme GROUP BY query, id, need),
 r AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM h WHERE found = need)
 SELECT query, id, score, place::INT AS place FROM r WHERE place <= 20
 """)
