@@ -129,7 +129,7 @@ SELECT query, id, score, place::INT AS place FROM r WHERE place <= 20
 """)
 def fts_search(spark, sf_dir):
     """A top-k report for three stated queries over the postings of all documents."""
-    asked = spark.createDataFrame([("worthless clown",), ("reth",), ("the",)], "query string")
+    asked = spark.sql("SELECT * FROM VALUES ('worthless clown'), ('reth'), ('the') AS t(query)")
     return search.search(search.postings(table(spark, sf_dir, "documents"), "doc_id", ["text"], (1.0,)), asked, 20)
 
 
@@ -140,7 +140,7 @@ SELECT page_id, CASE WHEN host LIKE 'm.%' AND host LIKE '%.example.com' THEN 'co
 FROM h
 """)
 def host_profile_join(spark, sf_dir):
-    profiles = spark.createDataFrame([("example.com", "com"), ("example.net", "net")], "host string, profile string")
+    profiles = spark.sql("SELECT * FROM VALUES ('example.com', 'com'), ('example.net', 'net') AS t(host, profile)")
     return pg.profile_for_url(table(spark, sf_dir, "pages"), profiles).select("page_id", "profile")
 
 
@@ -148,7 +148,7 @@ def host_profile_join(spark, sf_dir):
 SELECT page_id FROM pages WHERE regexp_matches(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '(^|\\.)example\\.(com|net)$')
 """)
 def allowed_urls(spark, sf_dir):
-    sources = spark.createDataFrame([("example.com", True), ("example.net", True), ("example.org", False)], "host string, enabled boolean")
+    sources = spark.sql("SELECT * FROM VALUES ('example.com', true), ('example.net', true), ('example.org', false) AS t(host, enabled)")
     return pg.allowed_urls(table(spark, sf_dir, "pages"), sources).select("page_id")
 
 
@@ -184,7 +184,7 @@ h AS (SELECT w AS query, id, round(score, 6) AS score, row_number() OVER (PARTIT
 @query(_NAME_HITS + "SELECT query, id, score, place::INT AS place FROM h WHERE place <= 10")
 def name_search(spark, sf_dir):
     """A top-k report of part names for stated queries."""
-    asked = spark.createDataFrame([("widget",), ("bolt",)], "query string")
+    asked = spark.sql("SELECT * FROM VALUES ('widget'), ('bolt') AS t(query)")
     return search.name_search(table(spark, sf_dir, "part"), "p_partkey", "p_name", asked)
 
 
@@ -193,5 +193,5 @@ SELECT q.query, count(h.id) FILTER (place <= 10) AS result_count FROM (VALUES ('
 """)
 def search_log(spark, sf_dir):
     """What the stated queries found; blank ones are not logged."""
-    asked = spark.createDataFrame([("widget",), ("bolt",), ("nosuchname",), ("  ",)], "query string")
+    asked = spark.sql("SELECT * FROM VALUES ('widget'), ('bolt'), ('nosuchname'), ('  ') AS t(query)")
     return search.search_log(asked, search.name_search(table(spark, sf_dir, "part"), "p_partkey", "p_name", asked))
