@@ -19,10 +19,13 @@ WEIGHTS = (1.0, 0.4)
 
 def stem(word: Column) -> Column:
     """A light English stem: plural and verb endings after at least three letters."""
+    plain = word
     word = F.regexp_replace(word, r"^(\w{3,}?)(?:sses)$", "$1ss")
     word = F.regexp_replace(word, r"^(\w{2,})ies$", "$1y")
     word = F.when(word.rlike(r"(ss|us|is)$"), word).otherwise(F.regexp_replace(word, r"^(\w{3,})s$", "$1"))
-    return F.regexp_replace(word, r"^(\w{3,}?)(?:ing|ed)$", "$1")
+    word = F.regexp_replace(word, r"^(\w{3,}?)(?:ing|ed)$", "$1")
+    # most words have none of the endings, and need no pattern
+    return F.when(plain.endswith("s") | plain.endswith("ing") | plain.endswith("ed"), word).otherwise(plain)
 
 
 def tokens(text: Column) -> Column:
