@@ -195,3 +195,26 @@ def search_log(spark, sf_dir):
     """What the stated queries found; blank ones are not logged."""
     asked = spark.sql("SELECT * FROM VALUES ('widget'), ('bolt'), ('nosuchname'), ('  ') AS t(query)")
     return search.search_log(asked, search.name_search(table(spark, sf_dir, "part"), "p_partkey", "p_name", asked))
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages)
+SELECT DISTINCT ON (url) url, title, nullif(regexp_extract(title, '\\b([A-Z]{2,4}-\\d{2,4})\\b', 1), '') AS code FROM p ORDER BY url, page_id
+""")
+def catalog_rows(spark, sf_dir):
+    return pg.catalog_rows(table(spark, sf_dir, "pages"))
+
+
+@query(f"""
+WITH t AS (SELECT source, {norm_sql('text')} AS n FROM documents WHERE text IS NOT NULL), g AS (SELECT n FROM t GROUP BY n HAVING count(*) > 1)
+SELECT source, count(*) AS repeated FROM t JOIN g USING (n) GROUP BY source
+""")
+def exact_candidates(spark, sf_dir):
+    """Documents whose text some other has too, by hash and confirmed on the normalised text."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", "text")
+    # copies are counted before texts are matched, so no pair of copies is made
+    texts = docs.groupBy("text").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"))
+    pairs = dedupe.find_exact(texts.select("id", "text"), texts.select("id", "text"))
+    alike = pairs.groupBy(F.col("probe").alias("id")).agg(F.count("*").alias("alike"))
+    repeated = texts.join(alike, "id").where("alike > 1 or copies > 1").select("text")
+    return docs.join(repeated, "text").groupBy("source").agg(F.count("*").alias("repeated"))

@@ -150,3 +150,11 @@ def replay(artifacts: DataFrame, source: str | None = None, since: str | None =
     if since is not None:
         artifacts = artifacts.where(F.col("fetched_at") >= F.lit(since).cast("timestamp"))
     return artifacts
+
+
+def catalog_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(url, title, code) of a catalog's pages, once for each URL without query and fragment: the first page's."""
+    title = F.trim(F.regexp_replace(F.regexp_extract(html_col, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    code = F.nullif(F.regexp_extract(title, r"\b([A-Z]{2,4}-\d{2,4})\b", 1), F.lit(""))
+    rows = pages.select(F.regexp_replace(url_col, r"[?#].*$", "").alias("url"), F.struct(F.col(id_col).alias("id"), title.alias("title"), code.alias("code")).alias("r"))
+    return rows.groupBy("url").agg(F.min("r").alias("r")).select("url", "r.title", "r.code")
