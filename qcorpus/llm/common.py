@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 _own_dirs: dict[str, str] = {}
 
@@ -70,3 +72,16 @@ def byte_slices(
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+
+
+def draw(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each label, those whose key hashes lowest, as a sample to train on.
+
+    A cut by the label's own count leaves about four times as many before rows are ranked, so what is
+    shuffled is bounded by the labels, not by the partitions. The counts have a row for each label.
+    """
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    lucky = F.pmod(F.xxhash64(key, F.lit(2)), F.lit(1_000_000)) * F.col("_n") < F.lit(4_000_000 * most)
+    number = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(key), key))
+    some = rows.join(F.broadcast(counts), label).where(lucky).drop("_n")
+    return some.withColumn("_n", number).where(F.col("_n") <= most).drop("_n")

@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import byte_slices
+from .common import byte_slices, draw
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -113,11 +112,9 @@ def training_rows(df: DataFrame, text_col="text", label_col="lang", key: Column
     text = F.col(text_col)
     key = F.xxhash64(text) if key is None else key
     place = 1 + F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(F.lit(1), F.length(text) - 4 * WINDOW))
-    rows = df.where(F.col(label_col).isNotNull() & text.rlike(r"\p{L}")).select(
-        F.col(label_col).alias("label"), key.alias("key"), F.substr(text, place.cast("int"), F.lit(4 * WINDOW)).alias("text")
-    )
-    number = F.row_number().over(W.partitionBy("label").orderBy("key", "text"))
-    return rows.withColumn("n", number).where(F.col("n") <= rows_per_language).select("text", "label")
+    window = F.substr(text, place.cast("int"), F.lit(4 * WINDOW))
+    rows = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label"), key.alias("key"), window.alias("text"))
+    return draw(rows, "label", "key", rows_per_language).where(F.col("text").rlike(r"\p{L}")).select("text", "label")
 
 
 def fit(df: DataFrame, text_col="text", label_col="lang", key: Column | None = None) -> Network | None:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import byte_slices
+from .common import byte_slices, draw
 
 SEQUENCE = 128
 ROWS_PER_LABEL = 1500
@@ -193,8 +193,7 @@ def _expected(field: Field, emissions: list[list[float]]) -> tuple[np.ndarray, l
 def draw_labels(labels: DataFrame, id_col="doc_id", label_col="toxic") -> DataFrame:
     """Labelled ids drawn by hash, 2 * ROWS_PER_LABEL of each label: few enough to broadcast to the texts."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, label_col).distinct()
-    number = F.row_number().over(W.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col))
-    return rows.withColumn("_n", number).where(F.col("_n") <= 2 * ROWS_PER_LABEL).drop("_n")
+    return draw(rows, label_col, id_col, 2 * ROWS_PER_LABEL)
 
 
 def training_rows(df: DataFrame, text_col="text", label_col="toxic", key: Column | None = None) -> DataFrame:
