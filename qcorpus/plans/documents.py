@@ -81,15 +81,23 @@ def near_dup_items(spark, sf_dir):
     return dedupe.audit(turns.select("id", "text"), 0.9).select("a.*", F.col("b.conv_id").alias("other_conv"), F.col("b.turn").alias("other_turn"), "similarity")
 
 
+def benchmark_items(spark, sf_dir):
+    """The benchmark as part of a corpus for decisions on conversation turns."""
+    none = F.array().cast("array<string>")
+    items = table(spark, sf_dir, "benchmark").where("text is not null")
+    return items.select((-1 - F.col("item_id")).alias("id"), "text", none.alias("options"), none.alias("answers"), F.lit(None).cast("long").alias("conv_id"))
+
+
 @query()
 def dedupe_decisions(spark, sf_dir):
-    """Decisions for the conversation turns against the benchmark and all turns of other conversations."""
+    """Decisions for the conversation turns against the benchmark and all turns of other conversations.
+
+    A benchmark item has the id -1 - item_id, and neither options nor answers.
+    """
     turns = table(spark, sf_dir, "conversations").where("text is not null")
-    shape = lambda df: df.withColumn("options", F.array("role")).withColumn("answers", F.array(F.lit("a")))
-    corpus = shape(turns.where("conv_id % 2 = 0")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "options", "answers")
-    corpus = corpus.groupBy("text", "options", "answers").agg(F.min("id").alias("id"))
-    probes = shape(turns.where("conv_id % 2 = 1")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "options", "answers")
-    return dedupe.decide(probes, corpus).select("probe", "outcome", "existing", "similarity", "options_match", "answer_match", "suggestion")
+    probes = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.array("role").alias("options"), F.array(F.lit("a")).alias("answers"), "conv_id")
+    corpus = dedupe.representatives(probes.unionByName(benchmark_items(spark, sf_dir)), "conv_id")
+    return dedupe.decide(probes, corpus, apart="conv_id").select("probe", "outcome", "existing", "similarity", "options_match", "answer_match", "suggestion")
 
 
 @query()

@@ -397,15 +397,19 @@ def answer_rows(spark, sf_dir):
 
 @query()
 def publish_flow(spark, sf_dir):
-    """Quality gate, duplicate decisions and the outcome of each review batch of conversation turns."""
+    """Quality gate, duplicate decisions and the outcome of each review batch, the turns of a conversation.
+
+    Turns are compared with the benchmark and the valid turns of all other conversations.
+    """
     from ..operators import dedupe
+    from .documents import benchmark_items
 
     key = (F.col("conv_id") * 1000 + F.col("turn")).alias("id")
     checked = publish.quality_issues(_questions(spark, sf_dir), None, ["conv_id", "turn"]).select(key, "conv_id", "question_text", "options", "correct_keys", "valid")
     shaped = checked.select(
         "id", "conv_id", "valid", F.col("question_text").alias("text"), answers.option_set(F.transform("options", lambda o: o["text"])).alias("options"), F.col("correct_keys").alias("answers"))
-    stored = shaped.where("valid and conv_id % 2 = 0").select("id", "text", "options", "answers")
-    batch = shaped.where("conv_id % 2 = 1")
-    decided = dedupe.decide(batch.where("valid").select("id", "text", "options", "answers"), stored)
-    actions = publish.publish_batch(batch.select("id", "valid"), decided)
-    return publish.batch_status(actions.join(batch.select("id", "conv_id"), "id"), "conv_id")
+    valid = shaped.where("valid").drop("valid")
+    stored = dedupe.representatives(valid.unionByName(benchmark_items(spark, sf_dir)), "conv_id")
+    decided = dedupe.decide(valid, stored, apart="conv_id")
+    actions = publish.publish_batch(shaped.select("id", "valid"), decided)
+    return publish.batch_status(actions.join(shaped.select("id", "conv_id"), "id"), "conv_id")

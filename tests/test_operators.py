@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qcorpus.operators import analytics, catalog, dedupe, layout, lifecycle, merge, publish, search, similarity
+from qcorpus.queries import QUERIES
 
 
 def rows(df, *columns):
@@ -124,6 +125,17 @@ def test_decisions(spark, text, options, answer, want):
     assert decide(spark, text, options, answer, CORPUS) == want
 
 
+def test_decisions_cover_all_turns_and_the_benchmark(spark, tmp_path):
+    t = "Which of the following rivers flows through the capital of the old republic, number "
+    turns = [(1, 0, t + "aa"), (1, 1, t + "AA!"), (3, 0, t + "aa"), (5, 0, t + "bb"), (2, 0, "A benchmark item, word for word"), (4, 0, "Something else altogether"), (4, 1, "something else altogether")]
+    spark.createDataFrame([(*x[:2], "user", x[2]) for x in turns], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "A benchmark item, word for word"), (8, "Unlike")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = rows(QUERIES["dedupe_decisions"](spark, str(tmp_path)), "probe", "outcome", "existing")
+    assert got == [(1000, "same", 3000), (1001, "same", 3000), (2000, "conflicting", -8), (3000, "same", 1000), (4000, "unique", None), (4001, "unique", None), (5000, "near", 1000)]
+    flow = {r["conv_id"]: r for r in QUERIES["publish_flow"](spark, str(tmp_path)).collect()}
+    assert sorted(flow) == [1, 2, 3, 4, 5] and flow[2]["held"] == 1
+
+
 def test_profile_threshold_is_checked():
     with pytest.raises(ValueError):
         dedupe.Profile(threshold=0.4)
