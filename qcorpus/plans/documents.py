@@ -76,9 +76,11 @@ def trigram_top_candidates(spark, sf_dir):
 
 @query()
 def near_dup_items(spark, sf_dir):
-    """Similar pairs of conversation turns of equal role, by trigram candidates and edit similarity."""
-    turns = table(spark, sf_dir, "conversations").where("text is not null").groupBy("text").agg(F.min(F.struct("conv_id", "turn")).alias("id"))
-    return dedupe.audit(turns.select("id", "text"), 0.9).select("a.*", F.col("b.conv_id").alias("other_conv"), F.col("b.turn").alias("other_turn"), "similarity")
+    """The audit of all conversation turns: copies, equal wording in another role, and similar texts."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    shaped = turns.select(F.struct("conv_id", "turn").alias("id"), "text", F.array("role").alias("options"), F.array(F.lit("a")).alias("answers"))
+    other = F.col("b.conv_id").alias("other_conv"), F.col("b.turn").alias("other_turn")
+    return dedupe.audit(shaped).select("kind", "a.*", *other, "similarity", "options_match", "answer_match")
 
 
 def benchmark_items(spark, sf_dir):

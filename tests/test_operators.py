@@ -136,6 +136,16 @@ def test_decisions_cover_all_turns_and_the_benchmark(spark, tmp_path):
     assert sorted(flow) == [1, 2, 3, 4, 5] and flow[2]["held"] == 1
 
 
+def test_audit_reports_copies_and_pairs_from_085(spark, tmp_path):
+    t = "0123456789 abcdefghij klmnopqrst uvwxyz"
+    turns = [(1, 0, "user", t), (1, 1, "user", t.upper()), (2, 0, "bot", f"{t}!"), (3, 0, "user", t[:-5] + "-----+uvxyz"), (4, 0, "user", t[:-6] + "zzzzzz"), (5, 0, "user", t[:-5] + "zzzzz"), (6, 0, "user", t[:20])]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = [tuple(r)[:5] + (round(r["similarity"], 3), r["options_match"]) for r in QUERIES["near_dup_items"](spark, str(tmp_path)).collect()]
+    assert ("exact", 1, 0, 1, 1, 1.0, True) in found and ("same_wording", 1, 0, 2, 0, 1.0, False) in found
+    assert ("similar", 1, 0, 5, 0, 0.897, True) in found and ("similar", 2, 0, 5, 0, 0.897, False) in found
+    assert not [r for r in found if 6 in (r[1], r[3])] and [r[5] for r in found] == sorted((r[5] for r in found), reverse=True)
+
+
 def test_profile_threshold_is_checked():
     with pytest.raises(ValueError):
         dedupe.Profile(threshold=0.4)
