@@ -6,7 +6,8 @@ taken out. A line weighs the characters it has outside links, or all of them ins
 article element. Weights are summed over a sliding
 window of lines; a run of windows begins where the sum surges over a threshold, ends where it
 dives to zero, and the text between is kept. Lines outside the page's article element, if it has
-one, weigh nothing. Of several runs those are kept that hold a fair share of the longest.
+one, weigh nothing. Of several runs all are kept but those that are links for the most part and hold
+less than a share of the longest: a run ends at every advert within the text.
 
 Defined cases: null or empty pages give an empty text; a page without markup is its own single
 block; markup that is cut off at the end of the page is dropped with what it would open; repeated
@@ -165,8 +166,9 @@ def main_text(page: str, window: int = 3, surge: int = 1, share: float = 0.2) ->
     if start >= 0:
         runs.append((start, len(lines)))
     mass = [int(weights[a:b].sum()) for a, b in runs]
+    size = [sum(len(text) for (text, _, _), weight in zip(lines[a:b], weights[a:b]) if weight) for a, b in runs]
     most = max(mass, default=0)
-    kept = [run for run, m in zip(runs, mass) if within or m >= share * most]
+    kept = [run for run, m, n in zip(runs, mass, size) if within or 2 * m >= n or m >= share * most]
     return "\n".join(
         text for a, b in kept for (text, _, _), weight in zip(lines[a:b], weights[a:b]) if weight
     )

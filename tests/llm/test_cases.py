@@ -84,6 +84,13 @@ def test_main_text_without_article_element():
     assert text.count("\n") == 4 and "reader" not in text and "end" not in text
 
 
+def test_main_text_keeps_a_short_end_after_an_advert():
+    story, end = "A sentence of the story that goes on. " * 130, "The last paragraph, which closes the story. " * 7
+    links = "<p><a href='/a'>One other story of the site</a> | <a href='/b'>And one more of them</a></p>"
+    page = f"<body><p>{story}</p><div class='advert'>Buy</div><p>{end}</p><aside>x</aside>{links}</body>"
+    assert linebreaks.main_text(page) == f"{story.strip()}\n{end.strip()}"
+
+
 def test_main_text_in_a_container_named_after_its_sidebar():
     page = "<body><div class='with sidebar'><article><p>Kept.<p>Too.</article><div class='sidebar'>Out</div></div></body>"
     assert linebreaks.main_text(page) == "Kept.\nToo."
