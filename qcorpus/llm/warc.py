@@ -8,8 +8,8 @@ CRLF that ends a record, so they go wherever Spark can write. A file holds a bou
 records, as it is read back whole.
 
 Defined cases: a null payload is an empty one; a null URL is written as ``urn:unknown``; line
-breaks in a URL become spaces; a null page id sorts last; rows that repeat a page id with the
-same payload are one record, which read back once for each row; other columns are ignored.
+breaks in a URL become spaces; a null page id sorts last; rows that repeat a page id, URL and
+payload are numbered, and each is a record of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ def base32_sha1(payload: Column) -> Column:
     )
 
 
-def _record_id(page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), digest).cast("binary"))
+def _record_id(page_id: Column, digest: Column, copy: Column, url: Column) -> Column:
+    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), digest, copy.cast("string"), url).cast("binary"))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -50,7 +50,7 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 def plan_records(pages: DataFrame, id_col="page_id", url_col="url", payload_col="html", least_bytes=0) -> DataFrame:
     """Headers of the records to write: page, digest, record type and the page referred to.
 
-    One row for each (page, digest). Payloads of under ``least_bytes`` are always responses.
+    One row for each row of ``pages``; equal ones differ in ``copy``, from 1 on. Payloads of under ``least_bytes`` are always responses.
     """
     heads = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
@@ -60,15 +60,15 @@ def plan_records(pages: DataFrame, id_col="page_id", url_col="url", payload_col=
         "page_id", "url", base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
     )
-    heads = heads.groupBy("payload_digest", "page_id").agg(
-        F.min("url").alias("url"), F.max("payload_bytes").alias("payload_bytes")
-    )
+    heads = heads.groupBy("payload_digest", "page_id", "url").agg(F.count("*").alias("copies"), F.max("payload_bytes").alias("payload_bytes"))
     first = heads.groupBy("payload_digest").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("first")
     )
-    original = F.col("page_id").eqNullSafe(F.col("first.page_id")) | (F.col("payload_bytes") < least_bytes)
-    return heads.join(first, "payload_digest").select(
-        "page_id", "url", "payload_digest", "payload_bytes",
+    rows = heads.join(first, "payload_digest").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("url") == F.col("first.url")) & (F.col("copy") == 1)
+    original = is_first | (F.col("payload_bytes") < least_bytes)
+    return rows.select(
+        "page_id", "url", "copy", "payload_digest", "payload_bytes",
         F.when(original, F.lit("response")).otherwise(F.lit("revisit")).alias("record_type"),
         F.when(~original, F.col("first.page_id")).alias("first_id"),
         F.when(~original, F.col("first.url")).alias("first_url"),
@@ -87,7 +87,7 @@ def write_archives(
 
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     bodies = pages.select(key(F.col(id_col).cast("long"), base32_sha1(payload.cast("binary"))), payload.alias("payload"))
-    # rows that repeat a page and payload give one record
+    # rows that repeat a page and payload share its bytes
     bodies = bodies.groupBy("key").agg(F.first("payload").alias("payload"))
     plan = plan.withColumn("key", key(F.col("page_id"), F.col("payload_digest")))
     responses = plan.where("record_type = 'response'").join(bodies, "key")
@@ -106,12 +106,12 @@ def write_archives(
     record = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         field("WARC-Type", F.col("record_type")),
-        field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("payload_digest"))),
+        field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("payload_digest"), F.col("copy"), F.col("url"))),
         field("WARC-Date", F.lit(date)),
         field("WARC-Target-URI", F.col("url")),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         field("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        field("WARC-Refers-To", F.when(revisit, _record_id(F.col("first_id"), F.col("payload_digest")))),
+        field("WARC-Refers-To", F.when(revisit, _record_id(F.col("first_id"), F.col("payload_digest"), F.lit(1), F.col("first_url")))),
         field("WARC-Refers-To-Target-URI", F.when(revisit, F.col("first_url"))),
         field("X-Page-Id", F.col("page_id").cast("string")),
         field("Content-Type", F.lit("application/http; msgtype=response")),
@@ -174,7 +174,5 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
     revisits = records.where("record_type = 'revisit'").drop("payload_bytes").join(originals, "refers_to_id", "left")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return (
-        records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*names)
-        .unionByName(revisits.withColumnRenamed("original_bytes", "payload_bytes").select(*names))
-    )
+    responses = records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    return revisits.withColumnRenamed("original_bytes", "payload_bytes").select(*names).unionByName(responses.select(*names))

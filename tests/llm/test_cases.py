@@ -372,3 +372,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert payloads[5] == rows[4][2] and payloads[7] == long
     warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_warc_keeps_every_row(spark, tmp_path):
+    rows = [(1, "u", "x"), (1, "u", "x"), (1, "v", "x"), (None, "a", "y"), (None, "b", "y"), (None, "b", "y"), (2, "w", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    records = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert sorted((r["page_id"] or 0, r["url"]) for r in records) == sorted((p or 0, u) for p, u, _ in rows)
+    ids = {r["record_id"]: r["record_type"] for r in records}
+    assert len(ids) == len(rows) and sorted(ids.values()) == ["response"] * 3 + ["revisit"] * 4
+    assert all(ids[r["refers_to_id"]] == "response" for r in records if r["record_type"] == "revisit")
+    found = warc.resolve_revisits(spark.createDataFrame(records)).collect()
+    assert len(found) == len(rows) and all(r["payload_bytes"] == 1 for r in found)
+    small = warc.plan_records(pages, least_bytes=2)
+    assert small.count() == small.where("record_type = 'response'").count() == len(rows)
