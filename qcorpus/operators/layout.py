@@ -125,10 +125,15 @@ def join_by_number(blocks: DataFrame, rows: DataFrame, number: str, tie: list[st
 
 
 def answer_value(kind: Column, raw: Column) -> Column:
-    """Struct of an answer key's value by question type (MCQ, MSQ, NAT), with ``error`` where it does not fit."""
+    """Struct of an answer key's value by question type (MCQ, MSQ, NAT), with ``error`` where it does not fit.
+
+    A numerical key has all its ``ranges`` of lo and hi, in order.
+    """
     text = F.trim(F.upper(raw))
     keys = F.array_sort(F.array_distinct(F.split(F.regexp_replace(text, r"[\s,;]+", ";"), ";")))
-    bounds = F.regexp_extract_all(text, F.lit(r"([+-]?\d+(?:\.\d+)?)"))
+    number = r"[+-]?\d+(?:\.\d+)?"
+    bounds = lambda part: [F.regexp_extract(part, rf"^({number})(?:\s*(?:TO|-|:)\s*({number}))?$", i).try_cast("double") for i in (1, 2)]
+    ranges = F.transform(F.split(text, r"\s*(?:OR|;)\s*"), lambda part: F.struct(bounds(part)[0].alias("lo"), F.coalesce(*reversed(bounds(part))).alias("hi")))
     to_all = text.rlike(r"^(MTA|MARKS TO ALL)$")
     nat_ok = text.rlike(r"^[+-]?\d+(\.\d+)?(\s*(TO|-|:)\s*[+-]?\d+(\.\d+)?)?(\s*(OR|;)\s*[+-]?\d+(\.\d+)?(\s*(TO|-|:)\s*[+-]?\d+(\.\d+)?)?)*$")
     error = (
@@ -139,7 +144,6 @@ def answer_value(kind: Column, raw: Column) -> Column:
     good = error.isNull() & ~to_all
     return F.struct(
         F.when(good & kind.isin("MCQ", "MSQ"), keys).alias("keys"),
-        F.when(good & (kind == "NAT"), F.get(bounds, F.lit(0)).try_cast("double")).alias("lo"),
-        F.when(good & (kind == "NAT"), F.coalesce(F.get(bounds, F.lit(1)), F.get(bounds, F.lit(0))).try_cast("double")).alias("hi"),
+        F.when(good & (kind == "NAT"), ranges).alias("ranges"),
         to_all.alias("marks_to_all"), error.alias("error"),
     )

@@ -136,7 +136,20 @@ def answer_key_values(spark, sf_dir):
     kind = F.when(p == "2-HIGH", "MSQ").when(p == "3-MEDIUM", "NAT").otherwise("MCQ")
     raw = F.when(p == "1-URGENT", " a ").when(p == "2-HIGH", "C; A").when(p == "3-MEDIUM", F.concat(F.col("o_custkey").cast("string"), F.lit(" to "), (F.col("o_custkey") + 1).cast("string"))).when(p == "5-LOW", "MTA").otherwise("AB")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", layout.answer_value(kind, raw).alias("v"))
-    return rows.select("o_orderkey", F.array_join("v.keys", ",").alias("keys"), "v.lo", "v.hi", "v.marks_to_all", "v.error")
+    only = F.get("v.ranges", F.lit(0))  # these keys have one range; answer_key_ranges has several
+    return rows.select("o_orderkey", F.array_join("v.keys", ",").alias("keys"), only["lo"].alias("lo"), only["hi"].alias("hi"), "v.marks_to_all", "v.error")
+
+
+@query("""
+SELECT o_orderkey, place::INT AS place, (o_custkey + a)::DOUBLE AS lo, (o_custkey + b)::DOUBLE AS hi
+FROM orders, (VALUES (0, 0, 1), (1, 3, 3), (2, 5, 6)) r(place, a, b)
+""")
+def answer_key_ranges(spark, sf_dir):
+    """The ranges of numerical keys such as '1 to 2 OR 4; 6:7'."""
+    n = [(F.col("o_custkey") + i).cast("string") for i in (0, 1, 3, 5, 6)]
+    raw = F.concat(n[0], F.lit(" to "), n[1], F.lit(" OR "), n[2], F.lit("; "), n[3], F.lit(":"), n[4])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", layout.answer_value(F.lit("NAT"), raw).alias("v"))
+    return rows.select("o_orderkey", F.posexplode("v.ranges").alias("place", "r")).select("o_orderkey", "place", "r.lo", "r.hi")
 
 
 @query("""

@@ -197,3 +197,11 @@ def test_nearest_column(spark):
     cells = spark.createDataFrame([(1, 0, "c", 12.0, 18.0), (1, 0, "d", 90.0, 99.0)], "doc_id long, page int, text string, x0 double, x1 double")
     headers = spark.createDataFrame([(1, 0, "no", 10.0, 20.0), (1, 0, "key", 80.0, 100.0)], "doc_id long, page int, column string, x0 double, x1 double")
     assert rows(layout.nearest_column(cells, headers), "text", "column") == [("c", "no"), ("d", "key")]
+
+
+def test_answer_keys_keep_all_ranges(spark):
+    raw = ["1 to 2 OR 5 to 6", "2 OR 3", "4", "1-2; -3 : -1.5", "1 OR", "MTA"]
+    got = spark.createDataFrame([(r,) for r in raw], "r string").select(layout.answer_value(F.lit("NAT"), F.col("r")).alias("v")).collect()
+    assert [v["ranges"] and [tuple(x) for x in v["ranges"]] for (v,) in got] == [
+        [(1, 2), (5, 6)], [(2, 2), (3, 3)], [(4, 4)], [(1, 2), (-3, -1.5)], None, None]
+    assert [v["error"] is None for (v,) in got] == [True] * 4 + [False, True]
