@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,15 @@ def test_waves(spark):
     assert rows(dedupe.plan_waves(df), "position", "wave") == [(0, 0), (1, 1), (2, 0), (3, 2)]
 
 
+def test_waves_join_no_rows_of_other_batches(spark):
+    t = "the same first question of all batches"
+    df = spark.createDataFrame([(b, p, t) for b in range(3) for p in range(2)], "batch long, position long, text string")
+    assert rows(dedupe.plan_waves(df)) == [(b, p, p) for b in range(3) for p in range(2)]
+    plan = dedupe.plan_waves(df)._jdf.queryExecution().optimizedPlan().toString()
+    grams = [x for x in plan.splitlines() if "Join Inner" in x and "(gram#" in x and "len#" in x]
+    assert grams and all(re.search(r"\((batch|part)#\d+L? = (batch|part)#\d+L?\)", x) for x in grams)
+
+
 def test_key_status_moves_forward_only(spark):
     sets = spark.createDataFrame([("a", "final"), ("b", "none")], "slug string, key_status string")
     new = spark.createDataFrame([("a", "provisional"), ("b", "provisional"), ("c", "none")], "slug string, key_status string")
