@@ -64,6 +64,20 @@ def append_numbered(spark, sf_dir):
     return merge.append_numbered(target, source, "o_custkey", ["o_orderkey"], "number")
 
 
+@query("""
+WITH t AS (SELECT o_custkey, max(o_orderkey % 50) AS top FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
+s AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey END AS number FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT o_custkey, o_orderkey, coalesce(number, coalesce(top, 0) + row_number() OVER (PARTITION BY o_custkey, number IS NULL ORDER BY o_orderkey)) AS number
+FROM s LEFT JOIN t USING (o_custkey)
+""")
+def append_numbered_all(spark, sf_dir):
+    """As append_numbered, with every order that is not in the target appended to it."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    target = orders.where("o_orderkey % 3 = 0").withColumn("number", F.col("o_orderkey") % 50)
+    source = orders.where("o_orderkey % 3 <> 0").withColumn("number", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey")))
+    return merge.append_numbered(target, source, "o_custkey", ["o_orderkey"], "number")
+
+
 @query("""
 WITH h AS (SELECT page_id, sha256(html) AS sha256 FROM pages)
 SELECT sha256, min(page_id) AS page_id FROM h WHERE page_id % 2 = 1 AND sha256 NOT IN (SELECT sha256 FROM h WHERE page_id % 2 = 0) GROUP BY sha256

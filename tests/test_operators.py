@@ -216,3 +216,9 @@ def test_answer_keys_keep_all_ranges(spark):
     assert [v["ranges"] and [tuple(x) for x in v["ranges"]] for (v,) in got] == [
         [(1, 2), (5, 6)], [(2, 2), (3, 3)], [(4, 4)], [(1, 2), (-3, -1.5)], None, None]
     assert [v["error"] is None for (v,) in got] == [True] * 4 + [False, True]
+
+
+def test_append_numbered_covers_all_orders(spark, tmp_path):
+    spark.range(12).selectExpr("id % 2 AS o_custkey", "id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = rows(QUERIES["append_numbered_all"](spark, str(tmp_path)), "o_orderkey", "number")
+    assert got == [(1, 10), (2, 7), (4, 8), (5, 5), (7, 11), (8, 9), (10, 10), (11, 12)]
