@@ -7,14 +7,18 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _own_dirs: dict[str, str] = {}
+#: Folders written within the open ``scratch`` blocks, innermost last.
+_written: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_qcorpus"
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
@@ -43,20 +48,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written."""
+    system, where = _folder(spark, path)
+    system.delete(where, True)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a Parquet table in the shared folder and read it back; also where it is."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    system, where = _folder(spark, path)
+    system.deleteOnExit(where)
+    if _written:
+        _written[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+    """``df`` from a table in the shared folder.
 
-    This cuts the lineage: what follows survives lost executors without redoing what led here.
+    This cuts the lineage: what follows survives lost executors without redoing what led here. The
+    table goes when the application ends, or before with the ``scratch`` block that it is made in.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, name)[0]
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this library has written."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged within the block at its end, when its results have been written."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            drop_path(spark, path)
 
 
 def byte_slices(
@@ -66,21 +98,27 @@ def byte_slices(
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = batch.column(column).fill_null(b"")
-        sizes = np.asarray(pa.compute.binary_length(lengths).to_numpy(zero_copy_only=False), np.int64)
+        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0)
+        sizes = np.asarray(lengths.to_numpy(zero_copy_only=False), np.int64)
         part = np.cumsum(sizes + 1) // max_bytes
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
 
 
-def draw(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of a string column; none for null."""
+    return [x.as_py() or b"" for x in column.cast(pa.binary())]
+
+
+def draw(rows: DataFrame, label: str, key: str, most: int, most_labels: int = 256) -> DataFrame:
     """At most ``most`` rows of each label, those whose key hashes lowest, as a sample to train on.
 
-    A cut by the label's own count leaves about four times as many before rows are ranked, so what is
-    shuffled is bounded by the labels, not by the partitions. The counts have a row for each label.
+    Only the ``most_labels`` labels with the most rows are learned, so that a column full of odd values
+    stays bounded too. A cut by the label's own count leaves about four times as many before rows are
+    ranked, so what is shuffled is bounded by the labels, not by the partitions.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), label).limit(most_labels)
     lucky = F.pmod(F.xxhash64(key, F.lit(2)), F.lit(1_000_000)) * F.col("_n") < F.lit(4_000_000 * most)
     number = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(key), key))
     some = rows.join(F.broadcast(counts), label).where(lucky).drop("_n")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_path, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,10 +27,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root) of the nodes of ``edges`` (u, v); the root is a component's smallest node."""
-    edges = staged(edges.where("u <> v").select("u", "v").distinct(), "edges")
+    spark = edges.sparkSession
+    edges, path = stored(edges.where("u <> v").select("u", "v").distinct(), "edges")
     last = None
     for _ in range(most_rounds):
-        edges = staged(_small_star(_large_star(edges)), "stars")
+        before = path
+        edges, path = stored(_small_star(_large_star(edges)), "stars")
+        drop_path(spark, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -1,21 +1,22 @@
 """WARC archives with revisit records for repeated payloads.
 
-Only narrow headers (page, digest, length) are shuffled by payload digest. The first page of a
-digest becomes a ``response`` record with the payload, every other a ``revisit`` record that
-points to it; a payload is shuffled once, by (digest, page), and only where it is written. The
-archives are gzipped WARC/1.1 files written by Spark's text writer, whose line separator is the
-CRLF that ends a record, so they go wherever Spark can write. A file holds a bounded number of
-records, as it is read back whole.
-
-Defined cases: a null payload is an empty one; a null URL is written as ``urn:unknown``; line
-breaks in a URL become spaces; a null page id sorts last; rows that repeat a page id, URL and
-payload are numbered, and each is a record of its own; other columns are ignored.
+Only narrow headers (row, page, digest, length) are shuffled by payload digest. The first record of
+a digest becomes a ``response`` with the payload, every other a ``revisit`` that points to it.
+Payloads are combined by digest within each task before they are shuffled, so of the copies of a
+payload one leaves a task. The archives are gzipped WARC/1.1 files written by Spark's text writer,
+whose line separator is the CRLF that ends a record, so they go wherever Spark can write. They are
+read by Spark's text reader, which streams a file and splits it where a record may begin; parts are
+joined again by Content-Length, so memory is bounded by a record, not by a file.
+
+Defined cases: every row is a record, repeated ones too, and the first of a digest is that of the
+smallest page id, then URL; a null payload is an empty one; a null URL is written as
+``urn:unknown``; line breaks in a URL become spaces; a null page id sorts last; other columns,
+whatever their names, are ignored; an empty table gives archives without a record.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged
+
 CRLF = "\r\n"
 _HEADERS = (
     "record_id string, record_type string, page_id long, url string, payload_digest string, "
@@ -41,37 +44,37 @@ def base32_sha1(payload: Column) -> Column:
     )
 
 
-def _record_id(page_id: Column, digest: Column, copy: Column, url: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), digest, copy.cast("string"), url).cast("binary"))
+def _record_id(digest: Column, row: Column) -> Column:
+    h = F.md5(F.concat_ws("|", digest, row.cast("string")).cast("binary"))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def _with_digest(pages: DataFrame, payload_col: str) -> DataFrame:
+    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    return pages.select(base32_sha1(payload.cast("binary")).alias("payload_digest"), payload.alias("payload"))
+
+
 def plan_records(pages: DataFrame, id_col="page_id", url_col="url", payload_col="html", least_bytes=0) -> DataFrame:
-    """Headers of the records to write: page, digest, record type and the page referred to.
+    """Headers of the records to write, one for each row of ``pages``: page, digest, type, page referred to.
 
-    One row for each row of ``pages``; equal ones differ in ``copy``, from 1 on. Payloads of under ``least_bytes`` are always responses.
+    ``row`` numbers the rows. Payloads of under ``least_bytes`` are always responses.
     """
+    payload = F.coalesce(F.col(payload_col), F.lit(""))
     heads = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("urn:unknown")), r"[\r\n]+", " ").alias("url"),
-        F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
-    ).select(
-        "page_id", "url", base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        base32_sha1(payload.cast("binary")).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"),
     )
-    heads = heads.groupBy("payload_digest", "page_id", "url").agg(F.count("*").alias("copies"), F.max("payload_bytes").alias("payload_bytes"))
+    heads = staged(heads, "heads")  # the numbers hold from here on
     first = heads.groupBy("payload_digest").agg(
-        F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("first")
+        F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url", "row")).alias("first")
     )
-    rows = heads.join(first, "payload_digest").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("url") == F.col("first.url")) & (F.col("copy") == 1)
-    original = is_first | (F.col("payload_bytes") < least_bytes)
-    return rows.select(
-        "page_id", "url", "copy", "payload_digest", "payload_bytes",
+    original = (F.col("row") == F.col("first.row")) | (F.col("payload_bytes") < least_bytes)
+    return heads.join(first, "payload_digest").select(
+        "row", "page_id", "url", "payload_digest", "payload_bytes",
         F.when(original, F.lit("response")).otherwise(F.lit("revisit")).alias("record_type"),
-        F.when(~original, F.col("first.page_id")).alias("first_id"),
-        F.when(~original, F.col("first.url")).alias("first_url"),
+        *[F.when(~original, F.col(f"first.{c}")).alias(f"first_{c}") for c in ("row", "page_id", "url")],
     )
 
 
@@ -81,17 +84,9 @@ def write_archives(
 ) -> None:
     """Write deduplicated WARC files of ``pages`` to the new folder ``path``."""
     plan = plan_records(pages, id_col, url_col, payload_col, least_bytes)
-
-    def key(page: Column, digest: Column) -> Column:
-        return F.concat_ws("/", digest, F.coalesce(page.cast("string"), F.lit("null"))).alias("key")
-
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    bodies = pages.select(key(F.col(id_col).cast("long"), base32_sha1(payload.cast("binary"))), payload.alias("payload"))
-    # rows that repeat a page and payload share its bytes
-    bodies = bodies.groupBy("key").agg(F.first("payload").alias("payload"))
-    plan = plan.withColumn("key", key(F.col("page_id"), F.col("payload_digest")))
-    responses = plan.where("record_type = 'response'").join(bodies, "key")
+    bodies = _with_digest(pages, payload_col).groupBy("payload_digest").agg(F.first("payload").alias("payload"))
     revisits = plan.where("record_type = 'revisit'").withColumn("payload", F.lit(None).cast("string"))
+    responses = plan.where("record_type = 'response'").join(bodies, "payload_digest")
     rows = responses.select(*revisits.columns).unionByName(revisits)
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
@@ -106,12 +101,12 @@ def write_archives(
     record = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         field("WARC-Type", F.col("record_type")),
-        field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("payload_digest"), F.col("copy"), F.col("url"))),
+        field("WARC-Record-ID", _record_id(F.col("payload_digest"), F.col("row"))),
         field("WARC-Date", F.lit(date)),
         field("WARC-Target-URI", F.col("url")),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         field("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        field("WARC-Refers-To", F.when(revisit, _record_id(F.col("first_id"), F.col("payload_digest"), F.lit(1), F.col("first_url")))),
+        field("WARC-Refers-To", F.when(revisit, _record_id(F.col("payload_digest"), F.col("first_row")))),
         field("WARC-Refers-To-Target-URI", F.when(revisit, F.col("first_url"))),
         field("X-Page-Id", F.col("page_id").cast("string")),
         field("Content-Type", F.lit("application/http; msgtype=response")),
@@ -125,49 +120,67 @@ def write_archives(
     )
 
 
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(CRLF)
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        start = end + 4
-        size = int(fields["Content-Length"])
-        yield fields, data[start : start + size]
-        at = start + size + 4
+#: What stands between records; a payload may hold it too.
+_BETWEEN = b"\r\n\r\nWARC/1.1\r\n"
+
+
+def _records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of archives cut at ``_BETWEEN``; parts are joined until a record has its length."""
+    held: list[bytes] = []
+    missing = 0
+    fields: dict[str, str] = {}
+    for part in parts:
+        if missing <= 0:
+            head, _, body = part.removeprefix(b"WARC/1.1\r\n").partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split(CRLF) if x)
+            if not fields:
+                continue
+            held, missing = [body], int(fields["Content-Length"]) - len(body)
+        else:
+            held += [_BETWEEN, part]
+            missing -= len(_BETWEEN) + len(part)
+        if missing <= 0:
+            yield fields, b"".join(held)[: int(fields["Content-Length"])]
+    if missing > 0:
+        raise ValueError("an archive ends within a record")
 
 
 def _parse(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in _HEADERS.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     schema = pa.schema(list(zip(names, kinds)))
-    for batch in batches:
-        for content in batch.column("content"):
-            rows = []
-            for fields, block in _records(gzip.decompress(content.as_py())):
-                payload = block.split(b"\r\n\r\n", 1)[1]
-                first = fields["WARC-Type"] == "response"
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if first else fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                page = fields.get("X-Page-Id")
-                rows.append((
-                    fields["WARC-Record-ID"], fields["WARC-Type"], page and int(page), fields["WARC-Target-URI"], digest,
-                    len(payload) if first else None, fields.get("WARC-Refers-To"), payload if first and payloads else None,
-                ))
-                if len(rows) == 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema=schema)
+    rows: list[tuple] = []
+    held = 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema=schema)
+
+    for fields, block in _records(x.as_py() for batch in batches for x in batch.column("value")):
+        payload = block.split(b"\r\n\r\n", 1)[1]
+        first = fields["WARC-Type"] == "response"
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if first else fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        page = fields.get("X-Page-Id")
+        rows.append((
+            fields["WARC-Record-ID"], fields["WARC-Type"], page and int(page), fields["WARC-Target-URI"], digest,
+            len(payload) if first else None, fields.get("WARC-Refers-To"), payload if first and payloads else None,
+        ))
+        held += len(payload) * payloads
+        if len(rows) == 1000 or held > 8 << 20:
+            yield made()
+            rows, held = [], 0
+    if rows:
+        yield made()
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Read WARC files record by record, by Content-Length; digests are taken anew."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(lambda batches: _parse(batches, payloads), _HEADERS)
+    parts = spark.read.option("lineSep", _BETWEEN.decode()).option("pathGlobFilter", "part-*").text(path)
+    return parts.select(F.col("value").cast("binary")).mapInArrow(lambda batches: _parse(batches, payloads), _HEADERS)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Give each revisit the payload length and page of the response that it refers to."""
+    records = staged(records.drop("payload"), "records")  # the archives are read once
     originals = records.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"),
         F.col("payload_bytes").alias("original_bytes"),

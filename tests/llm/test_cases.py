@@ -190,6 +190,16 @@ def test_near_duplicates(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0 and simhash.deduplicate(odd.limit(0)).count() == 0
 
 
+def test_deduplicate_loses_no_text(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "thirteen fourteen fifteen sixteen"
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "w"), (None, a, "x"), (None, c, "x"), (None, c, "x"), (None, None, "x"), (7, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string")
+    want = [(3, a, "x"), (5, b, "w"), (None, c, "x"), (7, "", "x")]
+    for most in (1_000_000, 0):
+        kept = simhash.deduplicate(df, broadcast_rows=most)
+        assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 def plain_cut(rows, window):
     seen, out = {}, []
     for d, t in sorted(rows):
@@ -225,7 +235,26 @@ def test_substring_removal_cases(spark, odd):
     rows = {(r["doc_id"], r["n_words"]): r for r in got.collect()}
     assert got.count() == 9 and rows[4, 60_000]["n_removed"] == 0 and rows[5, 60_000]["n_removed"] == 60_000 and rows[5, 60_000]["text"] == ""
     assert rows[0, 0]["text"] is None and rows[2, 0]["text"] == " \n\t " and rows[6, 8]["n_removed"] == 0 and rows[3, 2]["hash"] == "h"
-    assert recompress.remove_repeats(odd.limit(0)).count() == 0
+    assert recompress.remove_repeats(odd.limit(0)).count() == 0 and got.columns.count("n_words") == 1
+
+
+def test_substring_removal_with_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(None, a + " x"), (None, a), (7, b), (7, "y " + b), (7, "y " + b), (3, b + " " + b), (9, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    order = sorted(df.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h"]))
+    want = [row[1:] for row in plain_cut([(i, r["text"]) for i, r in enumerate(order)], 20)]
+    got = recompress.remove_repeats(df, keep_text=False)
+    assert sorted(tuple(r)[2:] for r in got.collect()) == sorted(want)
+
+
+def test_checks_tell_spans_apart():
+    names = np.random.default_rng(1).integers(0, 1 << 63, 400).astype(np.uint64)
+    names[200:300] = names[50:150]
+    checks = recompress.SpanChecks(names)
+    starts = np.arange(380)
+    values = checks.of(starts, starts + 20)
+    assert (values[200:281] == values[50:131]).all() and len(np.unique(values)) == 380 - 81
 
 
 def test_packing(spark, odd):
@@ -362,7 +391,9 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, key string")
     warc.write_archives(pages, f"file://{tmp_path}/w", records_per_file=3)
     records = warc.read_archives(spark, f"file://{tmp_path}/w")
-    got = {r["page_id"]: r for r in warc.resolve_revisits(records).collect()}
+    found = warc.resolve_revisits(records).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"]) for r in found if r["page_id"] == 5) == [(5, "response"), (5, "revisit")] and len(found) == len(rows)
+    got = {r["page_id"]: r for r in sorted(found, key=lambda r: r["record_type"], reverse=True)}
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     assert {p: r["payload_digest"] for p, r in got.items()} == {p: digest(t) for p, _, t in rows}
     assert {p: (r["record_type"], r["refers_to"]) for p, r in got.items()} == {
@@ -385,5 +416,5 @@ def test_warc_keeps_every_row(spark, tmp_path):
     assert all(ids[r["refers_to_id"]] == "response" for r in records if r["record_type"] == "revisit")
     found = warc.resolve_revisits(spark.createDataFrame(records)).collect()
     assert len(found) == len(rows) and all(r["payload_bytes"] == 1 for r in found)
-    small = warc.plan_records(pages, least_bytes=2)
+    small = warc.plan_records(pages.withColumn("row", F.lit(1)).withColumn("payload", F.lit("p")), least_bytes=2)
     assert small.count() == small.where("record_type = 'response'").count() == len(rows)
