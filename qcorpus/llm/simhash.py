@@ -63,13 +63,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
     for batch in batches:
         for part in byte_slices([batch], "text"):
             values = np.fromiter((fingerprint(x.as_py() or b"", n) for x in part.column("text")), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            columns = [part.column("doc_id"), part.column("text_key"), pa.array(values.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "fp"])
 
 
 def with_fingerprints(df: DataFrame, id_col="doc_id", text_col="text", n=3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(lambda batches: _fingerprints(batches, n), "doc_id long, fp long")
+    """(doc_id, text_key, fp): a hash of the text, and its fingerprint as a signed 64-bit integer."""
+    text = F.col(text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(lambda batches: _fingerprints(batches, n), "doc_id long, text_key long, fp long")
 
 
 def covering_masks(radius: int, seed: int = 1) -> list[int]:
@@ -163,28 +165,47 @@ def near_links(fps: DataFrame, radius: int = 3, bucket_rows: int = 1024) -> Data
     return links.unionByName(more)
 
 
-def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", n=3, radius=3, bucket_rows=1024) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id that links of at most ``radius`` bits reach."""
-    rows = staged(with_fingerprints(df, id_col, text_col, n), "fingerprints")
+def _groups(rows: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """(fp, root, component_id) of the fingerprints in ``rows``: their component and its smallest id."""
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(near_links(nodes.select("fp"), radius, bucket_rows))
     nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = nodes.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return nodes.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", n=3, radius=3, bucket_rows=1024) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest id that links of at most ``radius`` bits reach."""
+    rows = staged(with_fingerprints(df, id_col, text_col, n).drop("text_key"), "fingerprints")
+    return rows.join(_groups(rows, radius, bucket_rows), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(df: DataFrame, id_col="doc_id", text_col="text", broadcast_rows=1_000_000, **options) -> DataFrame:
-    """``df`` with the row of the smallest id of each class of near-duplicates.
+def deduplicate(df: DataFrame, id_col="doc_id", text_col="text", n=3, radius=3, bucket_rows=1024, broadcast_rows=1_000_000) -> DataFrame:
+    """``df`` with one row of each group of near-duplicates.
 
-    Of rows that repeat an id one stays; rows without an id stay. The ids to drop are broadcast only
-    if there are at most ``broadcast_rows``.
+    It is the row of the smallest id, rows without an id coming last; of rows that share that id, the
+    one whose text hashes lowest, and of rows that also share the text the smallest by all columns.
+    What goes is named by id and text together, so an id that several texts share loses no other
+    text; it is broadcast only if it has at most ``broadcast_rows`` rows.
     """
-    classes = near_duplicates(df, id_col, text_col, **options).where("doc_id is not null")
-    counts = staged(classes.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "classes")
-    gone = counts.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
-    kept = df.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(df.columns)
-    if not counts.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").head(1):
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    own = ["_sim_none", "_sim_id", "_sim_key"]
+    rows = with_fingerprints(df, id_col, text_col, n)
+    rows = rows.groupBy(F.col("doc_id").isNull().alias("_sim_none"), F.coalesce("doc_id", F.lit(0)).alias("_sim_id"), F.col("text_key").alias("_sim_key"), "fp")
+    rows = staged(rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")), "texts")
+    groups = rows.join(_groups(rows, radius, bucket_rows).select("fp", "root"), "fp")
+    first = groups.groupBy("root").agg(F.min(F.struct(*own)).alias("first"))
+    groups = staged(groups.join(first, "root").select(*own, "n", (F.struct(*own) == F.col("first")).alias("stays")), "groups")
+
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.limit(broadcast_rows + 1).count() <= broadcast_rows else rows
+
+    number = F.col(id_col).cast("long")
+    marked = df.withColumns({"_sim_none": number.isNull(), "_sim_id": F.coalesce(number, F.lit(0)), "_sim_key": F.xxhash64(text_col)})
+    kept = marked.join(small(groups.where("not stays").select(*own)), own, "left_anti")
+    twice = groups.where("stays and n > 1").select(*own)
+    if not twice.head(1):
+        return kept.select(df.columns)
+    twice = small(twice)
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    once = kept.join(twice, own, "left_semi").groupBy(*own).agg(F.min(whole).alias("_row")).select("_row.*")
+    return kept.join(twice, own, "left_anti").select(df.columns).unionByName(once)
