@@ -12,41 +12,46 @@ Spark compares the symbols of all documents in two levels:
   window of ``window`` words that holds a symbol with its context has that symbol wherever the
   window occurs, so a window with a symbol that occurs once in the corpus is unique. The longest
   such symbol stands for the window; windows that hold none stand for themselves.
-* Pairs of high symbols, of about forty words. A pair that a smaller document has too, or that
-  stands earlier in its own, is a verified long repeat: every window inside it starts earlier.
+* Pairs of high symbols, of about forty words. A pair that an earlier document has too, or that
+  stands earlier in its own, is a long repeat: every window inside it starts earlier.
 
 What is left are windows of which every low symbol is shared and which no long repeat holds. The
-first occurrence of a window is never inside a long repeat's later copies, so comparing the hashes
-of just these windows is exact. Tables of symbols are combined before they are shuffled; a symbol
-that a third of all documents hold is one row per document there, and joins meet it with a table of
-one row for each symbol, which Spark can split. Hashes are 64 bits wide.
+first occurrence of a window is never inside a long repeat's later copies, so comparing just these
+windows is exact. Pairs and windows are verified by a second, independent hash of the words that
+they span: two that are taken for equal agree in 96 bits, 64 of the name and 32 of the words.
+Low symbols only sift, so 64 bits do there. Tables of symbols are combined before they are
+shuffled; a symbol that a third of all documents hold is one row per document there, and joins meet
+it with a table of one row for each symbol, which Spark can split. The last step gets the places to
+cut and parses nothing.
 
 Defined cases: null and empty texts have no word and lose nothing; texts shorter than the window
-lose nothing; rows that share an id count as one document, whose rows only lose what smaller ids
-have or what the row itself has earlier; a null id sorts after all others; repeated rows give
-repeated results; other columns are kept by :func:`remove_repeats`.
+lose nothing; rows are documents of their own, ordered by id, null last, then by a hash of the text,
+so of rows that share an id and a text one keeps it; a caller's columns named as those that are
+added are replaced, all others are kept by :func:`remove_repeats`; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, staged
+from .common import byte_slices, raw_texts, staged
 
 WINDOW = 20
 #: Rounds of pairing up to the low and the high symbols; a round makes them a third longer.
 LOW_ROUNDS, HIGH_ROUNDS = 4, 10
-_LAST_ID = (1 << 63) - 1
 #: Bytes of text that are parsed at a time; a parse takes some hundred bytes a word.
 _SLICE = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_A_INVERSE = np.uint64(pow(int(_A), -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -152,6 +157,18 @@ def window_hashes(names: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.
     return out, whole
 
 
+class SpanChecks:
+    """Second hashes, of 32 bits, of spans of words: a polynomial over the words, by prefix sums."""
+
+    def __init__(self, names: np.ndarray):
+        power = lambda x: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(names), x))))
+        self.down = power(_A_INVERSE)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(names ^ _C) * power(_A)[:-1])))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (_mix((self.sums[end] - self.sums[start]) * self.down[start]) >> np.uint64(32)).astype(np.int64)
+
+
 def _symbols(names: np.ndarray, docs: np.ndarray, window: int) -> dict[str, np.ndarray]:
     """For each window the symbol that stands for it, and the pairs of high symbols.
 
@@ -181,8 +198,9 @@ def _symbols(names: np.ndarray, docs: np.ndarray, window: int) -> dict[str, np.n
         p.name_pairs(r)
     pairs = np.flatnonzero((p.docs[1:] == p.docs[:-1]) & (p.end[1:] - p.start[:-1] >= window))
     named = _mix(p.names[pairs] * _B + _mix(p.names[pairs + 1] ^ _C) * _A) | np.uint64(1)
+    checks = SpanChecks(names)
     return {
-        "key": key, "hash": hashes, "whole": whole, "pair": named,
+        "key": key, "hash": hashes, "whole": whole, "pair": named, "checks": checks,
         "pair_start": p.start[pairs], "pair_end": p.end[pairs + 1], "pair_doc": p.docs[pairs],
     }
 
@@ -200,22 +218,21 @@ def _later(marks: np.ndarray) -> np.ndarray:
     return later
 
 
-def _rows(ids: np.ndarray, docs: np.ndarray, keys: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """(key, document) rows; a key that a document has more than once gives two."""
-    marks = _of(docs, keys)
-    _, first, counts = np.unique(marks, return_index=True, return_counts=True)
-    at = np.sort(np.concatenate((first, first[counts > 1])))
-    return pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(ids[docs[at]])], names=names)
+def _once(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A place of each key of a document, and two of one that it has more than once."""
+    _, first, counts = np.unique(_of(docs, keys), return_index=True, return_counts=True)
+    return np.sort(np.concatenate((first, first[counts > 1])))
 
 
-def _texts(part: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
-    return part.column("_doc").to_numpy(), [x.as_py() or b"" for x in part.column("_raw")]
+def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names.split())
 
 
 def _emit_symbols(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(key, check, place); a key that a document has more than once gives two rows."""
     for batch in batches:
-        for part in byte_slices([batch], "_raw", _SLICE):
-            ids, texts = _texts(part)
+        for part in byte_slices([batch], "text", _SLICE):
+            ids, texts = part.column("_place").to_numpy(), raw_texts(part.column("text"))
             names, docs, _ = word_names(texts)
             s = _symbols(names, docs, window)
             at = np.flatnonzero(s["whole"])
@@ -224,15 +241,11 @@ def _emit_symbols(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else at.astype(bool)
             twice = np.flatnonzero(_later(_of(docs[at], s["hash"][at])))  # repeats inside the document
             keys = np.concatenate((keys[new], s["key"][at][twice], s["pair"]))
-            yield _rows(ids, np.concatenate((owner[new], owner[twice], s["pair_doc"])), keys, ["key", "doc"])
-
-
-def _resolved(s: dict[str, np.ndarray], docs: np.ndarray, flags: np.ndarray, flag_docs: np.ndarray) -> np.ndarray:
-    """Spans (start, end) of the pairs that a smaller document has, or that stand earlier in their own."""
-    own = _of(s["pair_doc"], s["pair"])
-    odd = (flags & np.uint64(1)).astype(bool)
-    repeated = np.isin(own, _of(flag_docs[odd], flags[odd])) | _later(own)
-    return np.stack([s["pair_start"][repeated], s["pair_end"][repeated]])
+            owner = np.concatenate((owner[new], owner[twice], s["pair_doc"]))
+            checks = np.zeros(len(keys), np.int64)
+            checks[len(keys) - len(s["pair"]) :] = s["checks"].of(s["pair_start"], s["pair_end"])
+            some = _once(owner, keys)
+            yield _batch("key check place", keys[some], checks[some], ids[owner[some]])
 
 
 def _inside(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -246,49 +259,62 @@ def _inside(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column and the row of each."""
-    lists = column.to_pylist()
-    counts = np.array([len(x or ()) for x in lists], np.int64)
-    values = np.fromiter((v for x in lists for v in x or ()), np.int64, int(counts.sum())).view(np.uint64)
-    return values, np.repeat(np.arange(len(lists)), counts)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values, np.repeat(np.arange(len(column)), pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(key, tag, place): windows to compare, and without a key spans that are known to be repeats.
+
+    A window's tag is its check and its place in the text, a span's its length and its place.
+    """
     for batch in batches:
-        for part in byte_slices([batch], "_raw", _SLICE):
-            ids, texts = _texts(part)
+        for part in byte_slices([batch], "text", _SLICE):
+            ids, texts = part.column("_place").to_numpy(), raw_texts(part.column("text"))
             names, docs, _ = word_names(texts)
             s = _symbols(names, docs, window)
+            origin = np.searchsorted(docs, docs)  # where a word's document begins
             flags, flag_docs = _flat(part.column("flags"))
-            start, end = _resolved(s, docs, flags, flag_docs)
+            flags = flags.view(np.uint64)
+            odd = (flags & np.uint64(1)).astype(bool)
+            own = _of(s["pair_doc"], s["pair"])
+            repeated = np.isin(own, _of(flag_docs[odd], flags[odd])) | _later(own)
+            start, end = s["pair_start"][repeated], s["pair_end"][repeated]
             held = _inside(len(names), start, end - window + 1)
             at = np.flatnonzero(s["whole"] & ~held & np.isin(s["key"], flags))
-            yield _rows(ids, docs[at], s["hash"][at], ["key", "doc"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch], window: int, text_col: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
+            again = _later(_of(docs[at], s["hash"][at]))
+            start, end = np.concatenate((start, at[again])), np.concatenate((end, at[again] + window))
+            at = at[~again]
+            yield _batch(
+                "key tag place", s["hash"][at], (s["checks"].of(at, at + window) << 32) | (at - origin[at]), ids[docs[at]]
+            )
+            if len(start):
+                spans = _batch("tag place", ((end - start) << 32) | (start - origin[start]), ids[docs[start]])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(start), pa.int64()), *spans.columns], names=["key", "tag", "place"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], text_col: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in byte_slices([batch], "_raw", _SLICE):
-            _, texts = _texts(part)
-            names, docs, split = word_names(texts)
-            s = _symbols(names, docs, window)
-            flags, flag_docs = _flat(part.column("_flags"))
-            spans = _resolved(s, docs, flags, flag_docs)
-            seen, seen_docs = _flat(part.column("_windows"))
-            at = np.flatnonzero(s["whole"])
-            own = _of(docs[at], s["hash"][at])
-            later = at[np.isin(own, _of(seen_docs, seen)) | _later(own)]
-            gone = _inside(len(names), np.concatenate((spans[0], later)), np.concatenate((spans[1], later + window)))
+        for part in byte_slices([batch], text_col, 4 * _SLICE):
+            texts = raw_texts(part.column(text_col))
+            split = [t.split() for t in texts]
             counts = np.array([len(w) for w in split], np.int64)
-            removed = np.bincount(docs, weights=gone, minlength=len(texts)).astype(np.int64)
-            kept, place = [], 0
-            for words in split:
-                left = ~gone[place : place + len(words)]
-                kept.append(b" ".join([w for w, k in zip(words, left.tolist()) if k]))
-                place += len(words)
-            columns = {c: part.column(c) for c in part.schema.names[:-4]}
+            first = np.cumsum(counts) - counts
+            spans, owner = _flat(part.column("_spans"))
+            start = first[owner] + (spans & 0xFFFFFFFF)
+            gone = _inside(int(counts.sum()), start, start + (spans >> 32))
+            removed = np.add.reduceat(np.append(gone, False), first, dtype=np.int64) * (counts > 0) if len(texts) else counts
+            kept = []
+            for words, at, n in zip(split, first.tolist(), removed.tolist()):
+                if n:
+                    words = compress(words, (~gone[at : at + len(words)]).tolist())
+                kept.append(b" ".join(words))
+            columns = {c: part.column(c) for c in part.schema.names if c != "_spans"}
             if keep_text:
                 own = part.column(text_col)
                 columns[text_col] = pa.array([k.decode() if r else own[i].as_py() for i, (k, r) in enumerate(zip(kept, removed.tolist()))], pa.string())
+            else:
+                del columns[text_col]
             columns |= {
                 "n_words": pa.array(counts), "n_removed": pa.array(removed),
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
@@ -297,8 +323,18 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, text_col: str, keep_tex
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Keys that occur twice or more, with the smallest document."""
-    return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where("n > 1").drop("n")
+    """Keys that occur twice or more, with the first document."""
+    return rows.groupBy("key", "check").agg(F.count("*").alias("n"), F.min("place").alias("first_place")).where("n > 1").drop("n")
+
+
+def _with_place(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Add ``_place``, which orders rows by id: the id itself, if each row has one of its own."""
+    ids = df.select(F.col(id_col).cast("long").alias("id"))
+    if not ids.groupBy("id").agg(F.count("*").alias("n")).where("id is null or n > 1").head(1):
+        return df.withColumn("_place", F.col(id_col).cast("long"))
+    order = [F.col(id_col).cast("long").asc_nulls_last(), F.xxhash64(text_col)]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(rows.withColumn("_place", F.monotonically_increasing_id()), "ordered")
 
 
 def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", window=WINDOW, keep_text=True) -> DataFrame:
@@ -307,25 +343,21 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", window=WINDO
     Texts that lose nothing stay as they are. Adds ``n_words``, ``n_removed`` and ``kept_sha256`` (of the
     words left, joined by single spaces). Without ``keep_text`` the text column is dropped instead.
     """
-    taken = ["n_words", "n_removed", "kept_sha256", "_doc", "_raw", "_of", "_flags", "_windows"]
-    df = df.drop(*[c for c in taken if c not in (id_col, text_col)])
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("_doc")
-    raw = F.col(text_col).cast("binary").alias("_raw")
-    texts = df.select(doc, raw)
-    symbols = staged(texts.mapInArrow(lambda b: _emit_symbols(b, window), "key long, doc long"), "symbols")
-    found = symbols.join(_shared(symbols), "key").where("key % 2 = 0 or doc > first_doc")
-    flags = staged(found.groupBy("doc").agg(F.collect_set("key").alias("flags")), "shared-symbols")
-    some = texts.join(flags, texts["_doc"] == flags["doc"]).select("_doc", "_raw", "flags")
-    windows = staged(some.mapInArrow(lambda b: _emit_windows(b, window), "key long, doc long"), "windows")
-    later = windows.join(_shared(windows), "key").where("doc > first_doc")
-    pairs = flags.select("doc", F.filter("flags", lambda x: x % 2 != 0).alias("flags"), F.lit(None).cast("array<long>").alias("windows"))
-    later = later.groupBy("doc").agg(F.collect_set("key").alias("windows")).select("doc", F.lit(None).cast("array<long>").alias("flags"), "windows")
-    marks = pairs.unionByName(later).groupBy("doc").agg(F.first("flags", True).alias("flags"), F.first("windows", True).alias("windows"))
-    marks = marks.where("size(flags) > 0 or windows is not null")
-    marks = staged(marks.select(F.col("doc").alias("_of"), F.col("flags").alias("_flags"), F.col("windows").alias("_windows")), "later")
-
-    rows = df if keep_text else df.drop(text_col)
-    rows = df.select(*rows.columns, doc, raw).join(marks, F.col("_doc") == F.col("_of"), "left").select(*rows.columns, "_doc", "_raw", "_flags", "_windows")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-4])
+    added = ["n_words", "n_removed", "kept_sha256", "_place", "_of", "_spans"]
+    rows = _with_place(df.drop(*[c for c in added if c not in (id_col, text_col)]), id_col, text_col)
+    texts = rows.select("_place", F.col(text_col).alias("text"))
+    symbols = staged(texts.mapInArrow(lambda b: _emit_symbols(b, window), "key long, check long, place long"), "symbols")
+    found = symbols.join(_shared(symbols), ["key", "check"]).where("key % 2 = 0 or place > first_place")
+    flags = found.groupBy("place").agg(F.collect_set("key").alias("flags"))
+    some = texts.join(flags, texts["_place"] == flags["place"]).select("_place", "text", "flags")
+    found = staged(some.mapInArrow(lambda b: _emit_windows(b, window), "key long, tag long, place long"), "windows")
+    windows = found.where("key is not null").select("key", F.shiftright("tag", 32).alias("check"), "place", "tag")
+    later = windows.join(_shared(windows), ["key", "check"]).where("place > first_place")
+    later = later.select("place", F.col("tag").bitwiseAND(0xFFFFFFFF).bitwiseOR(window << 32).alias("span"))
+    spans = later.unionByName(found.where("key is null").select("place", F.col("tag").alias("span")))
+    spans = spans.groupBy(F.col("place").alias("_of")).agg(F.collect_list("span").alias("_spans"))
+    names = [c for c in rows.columns if c != "_place"]
+    marked = rows.join(spans, F.col("_place") == F.col("_of"), "left").select(*names, "_spans")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields[:-1] if keep_text or f.name != text_col)
     out += ", n_words long, n_removed long, kept_sha256 string"
-    return rows.mapInArrow(lambda b: _cut(b, window, text_col, keep_text), out)
+    return marked.mapInArrow(lambda b: _cut(b, text_col, keep_text), out)
