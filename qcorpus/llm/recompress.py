@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, raw_texts, staged
+from .common import byte_slices, drop_path, raw_texts, staged, stored
 
 WINDOW = 20
 #: Rounds of pairing up to the low and the high symbols; a round makes them a third longer.
@@ -283,13 +283,18 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             held = _inside(len(names), start, end - window + 1)
             at = np.flatnonzero(s["whole"] & ~held & np.isin(s["key"], flags))
             again = _later(_of(docs[at], s["hash"][at]))
-            start, end = np.concatenate((start, at[again])), np.concatenate((end, at[again] + window))
+            gone = _inside(len(names), np.concatenate((start, at[again])), np.concatenate((end, at[again] + window)))
             at = at[~again]
             yield _batch(
                 "key tag place", s["hash"][at], (s["checks"].of(at, at + window) << 32) | (at - origin[at]), ids[docs[at]]
             )
+            # runs of words that go, within their documents
+            breaks = np.concatenate(([True], (gone[1:] != gone[:-1]) | (docs[1:] != docs[:-1]), [True])) if len(gone) else gone
+            edges = np.flatnonzero(breaks)
+            start, size = edges[:-1], np.diff(edges)
+            start, size = start[gone[start]], size[gone[start]]
             if len(start):
-                spans = _batch("tag place", ((end - start) << 32) | (start - origin[start]), ids[docs[start]])
+                spans = _batch("tag place", (size << 32) | (start - origin[start]), ids[docs[start]])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(start), pa.int64()), *spans.columns], names=["key", "tag", "place"])
 
 
@@ -346,11 +351,12 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", window=WINDO
     added = ["n_words", "n_removed", "kept_sha256", "_place", "_of", "_spans"]
     rows = _with_place(df.drop(*[c for c in added if c not in (id_col, text_col)]), id_col, text_col)
     texts = rows.select("_place", F.col(text_col).alias("text"))
-    symbols = staged(texts.mapInArrow(lambda b: _emit_symbols(b, window), "key long, check long, place long"), "symbols")
+    symbols, symbols_path = stored(texts.mapInArrow(lambda b: _emit_symbols(b, window), "key long, check long, place long"), "symbols")
     found = symbols.join(_shared(symbols), ["key", "check"]).where("key % 2 = 0 or place > first_place")
     flags = found.groupBy("place").agg(F.collect_set("key").alias("flags"))
     some = texts.join(flags, texts["_place"] == flags["place"]).select("_place", "text", "flags")
     found = staged(some.mapInArrow(lambda b: _emit_windows(b, window), "key long, tag long, place long"), "windows")
+    drop_path(df.sparkSession, symbols_path)
     windows = found.where("key is not null").select("key", F.shiftright("tag", 32).alias("check"), "place", "tag")
     later = windows.join(_shared(windows), ["key", "check"]).where("place > first_place")
     later = later.select("place", F.col("tag").bitwiseAND(0xFFFFFFFF).bitwiseOR(window << 32).alias("span"))
