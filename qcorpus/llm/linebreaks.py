@@ -1,31 +1,40 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-The page is cut into lines: one for each block element, plus empty lines where an element that
-cannot hold the article (navigation, header, footer, sidebar, form, advert, notice, comments) was
-taken out. A line weighs the characters it has outside links, or all of them inside the page's
-article element. Weights are summed over a sliding
-window of lines; a run of windows begins where the sum surges over a threshold, ends where it
-dives to zero, and the text between is kept. Lines outside the page's article element, if it has
-one, weigh nothing. Of several runs all are kept but those that are links for the most part and hold
-less than a share of the longest: a run ends at every advert within the text.
+The page is cut into lines, one for each block element. A line weighs the characters that it has
+outside links, nothing if it is links for the most part. Weights are summed over a sliding window
+of lines. A run of lines begins where the sum leaves zero and ends where it dives to zero again; it
+is text if the sum surges over a threshold on the way, a quarter of the page's greatest sum, at most
+``MOST_SURGE`` characters. What stands between surge and dive is kept: short lines, lines of links,
+and what follows an advert of a line or two.
+
+Markup is evidence for the weights. Lines of elements that cannot hold the article (navigation,
+header, footer, sidebar, form, advert, notice, comments), by element or by the words of a class, id
+or role, weigh nothing and are left out. Where a page has an article or main element, lines outside
+it weigh nothing and lines inside weigh all their characters and need no surge.
 
 Defined cases: null or empty pages give an empty text; a page without markup is its own single
-block; markup that is cut off at the end of the page is dropped with what it would open; repeated
-rows give equal results; other columns are kept.
+block; markup that is cut off at the end of the page is dropped with what it would open; elements
+that are not closed end with what holds them; pages of any size are read in one pass; repeated rows
+give equal results; an empty table stays empty; a caller's column named as the text is replaced, all
+others but the html are kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+from .common import byte_slices, raw_texts, with_added
+
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "button"}
 _SKIP = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog"}
 _BLOCK = {
@@ -34,8 +43,8 @@ _BLOCK = {
     "th", "thead", "tr", "ul", "caption",
 } | _SKIP
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Elements that end where the next block begins, if their end tag is left out.
-_LOOSE = {"p", "li", "dt", "dd", "td", "th", "tr"}
+#: Elements of which an open one ends where another of a kind begins; a paragraph ends at any block.
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: Words of a class, id or role that mark boilerplate.
 _HINT = re.compile(
@@ -47,14 +56,14 @@ _HINT = re.compile(
 )
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
-_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
-GAP_LINES = 3
+_RIGHTS = re.compile(r"\s*(?:\u00a9|\(c\)\s|copyright\b)", re.I)
+MOST_SURGE = 80
 
 
 def _unwanted(tag: str, attributes: str) -> bool:
     if tag in _SKIP:
         return True
-    if tag in ("html", "body", "main", "article") or not attributes:
+    if tag in ("html", "body") or not attributes:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         value = value.strip("\"'")
@@ -66,123 +75,178 @@ def _unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
-def _holds_article(page: str, tag: str, at: int) -> bool:
-    """The element that begins before ``at`` holds the article element, or most of a page without one."""
-    depth, end = 1, len(page)
-    for mark in re.compile(rf"<(/?){tag}\b", re.I).finditer(page, at):
-        depth += -1 if mark[1] else 1
-        if not depth:
-            end = mark.start()
-            break
-    if _ARTICLE.search(page, at, end):
-        return True
-    return 2 * (end - at) > len(page) and not _ARTICLE.search(page)
+class _Tag(NamedTuple):
+    start: int
+    end: int
+    name: str
+    closing: bool
+    attributes: str
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page: text, characters outside links, whether inside an article or main element."""
-    lines: list[tuple[str, int, bool]] = []
-    parts: list[str] = []
-    linked = article = link_depth = skip_depth = 0
-    skip = ""
+def _tags(page: str) -> Iterator[_Tag]:
+    """Tags in order; what scripts and the like hold is part of their tag, as are comments (without a name)."""
     at = 0
+    while mark := _MARK.search(page, at):
+        at = mark.end()
+        name = (mark[2] or "").lower()
+        if name in _RAW and not mark[1]:
+            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        yield _Tag(mark.start(), at, name, bool(mark[1]), mark[3] or "")
+
+
+def _spans(tags: list[_Tag], length: int) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Where elements that seem unwanted, and where article elements begin and end."""
+    unwanted: list[tuple[int, int, str]] = []
+    articles: list[tuple[int, int, str]] = []
+    odd: list[tuple[int, int, str]] = []  # article elements that seem unwanted
+    # open blocks, each with the open inline elements in it that seem unwanted
+    blocks: list[tuple[_Tag, bool, list[_Tag]]] = []
+    open_blocks: Counter[str] = Counter()
+
+    def end_block(at: int) -> str:
+        tag, bad, inlines = blocks.pop()
+        open_blocks[tag.name] -= 1
+        if tag.name in ("article", "main"):
+            (odd if bad else articles).append((tag.start, at, tag.name))
+        elif bad:
+            unwanted.append((tag.start, at, tag.name))
+        unwanted.extend((x.start, at, x.name) for x in inlines)
+        return tag.name
+
+    for tag in tags:
+        if not tag.name or tag.name in _RAW or tag.name in _VOID:
+            continue
+        if tag.closing:
+            if tag.name not in _BLOCK:
+                inlines = blocks[-1][2] if blocks else []
+                if any(x.name == tag.name for x in inlines[-8:]):
+                    while (x := inlines.pop()).name != tag.name:
+                        unwanted.append((x.start, tag.start, x.name))
+                    unwanted.append((x.start, tag.end, x.name))
+            elif open_blocks[tag.name]:
+                while end_block(tag.end) != tag.name:
+                    pass
+            continue
+        bad = _unwanted(tag.name, tag.attributes)
+        if tag.name in _BLOCK:
+            ends = _ENDS.get(tag.name, set())
+            while blocks and (blocks[-1][0].name in ends or blocks[-1][0].name == "p"):
+                end_block(tag.start)
+            blocks.append((tag, bad, []))
+            open_blocks[tag.name] += 1
+        elif bad and blocks:
+            blocks[-1][2].append(tag)
+        elif bad:
+            blocks.append((_Tag(0, 0, "body", False, ""), False, [tag]))
+            open_blocks["body"] += 1
+    while blocks:
+        end_block(length)
+    return sorted(unwanted + odd if articles else unwanted), sorted(articles or odd)
+
+
+def _left_out(tags: list[_Tag], length: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans to leave out, and those of the page's article elements; neither overlap themselves."""
+    unwanted, articles = _spans(tags, length)
+    begins = [a for a, _, _ in articles]
+    out: list[tuple[int, int]] = []
+    for a, b, name in unwanted:
+        i = bisect_left(begins, a + 1)
+        holds = i < len(begins) and begins[i] < b if articles else 2 * (b - a) > length
+        if holds and (name not in _SKIP or name == "form") or out and a < out[-1][1]:
+            continue
+        out.append((a, b))
+    whole: list[tuple[int, int]] = []
+    for a, b, _ in articles:
+        if not whole or a >= whole[-1][1]:
+            whole.append((a, b))
+    return out, whole
+
+
+class Line(NamedTuple):
+    text: str
+    plain: int  # characters outside links
+    inside: bool  # in an article element
+    left_out: bool
+
+
+def page_lines(page: str) -> list[Line]:
+    """The lines of a page, those to leave out too."""
+    tags = list(_tags(page))
+    out, articles = _left_out(tags, len(page))
+    lines: list[Line] = []
+    parts: list[str] = []
+    linked = link_depth = at = next_out = next_article = 0
 
-    def end_line() -> None:
+    def end_line(place: int) -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, max(0, len(text) - linked), article > 0))
+                gone = next_out < len(out) and out[next_out][0] < place
+                inside = next_article < len(articles) and articles[next_article][0] < place
+                lines.append(Line(text, max(0, len(text) - linked), inside, gone))
             parts.clear()
         linked = 0
 
-    for mark in _MARK.finditer(page):
-        if mark.start() < at:
-            continue
-        if not skip and mark.start() > at:
-            text = page[at : mark.start()]
+    for tag in [*tags, _Tag(len(page), len(page), "html", True, "")]:
+        if tag.start > at:
+            text = page[at : tag.start]
             parts.append(text)
             if link_depth:
                 linked += len(text)
-        at = mark.end()
-        tag = (mark[2] or "").lower()
-        if not tag:
-            continue
-        closing = bool(mark[1])
-        if tag in _RAW:
-            if not closing:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if skip:
-            if tag == skip:
-                skip_depth += -1 if closing else (skip not in _LOOSE)
-            elif skip in _LOOSE and tag in _BLOCK:
-                # a loose element ends at the next block, or with what holds it
-                skip_depth = 0
-            if skip_depth <= 0 or (skip in _LOOSE and tag == skip and not closing):
-                ended, skip = skip, ""
-                lines.extend([("", 0, False)] * GAP_LINES)
-                if closing and tag == ended:
-                    continue
-            else:
-                continue
-        if tag in ("a",):
-            link_depth = max(0, link_depth + (-1 if closing else 1))
-        elif tag == "br":
-            parts.append(" ")
-        if tag in _BLOCK:
-            end_line()
+        borders = tag.name in _BLOCK
+        # a span begins before its first tag and ends after its last, or before the tag that ends it
+        if next_out < len(out) and (tag.start == out[next_out][0] or tag.end >= out[next_out][1]):
+            borders = True
+        if borders:
+            end_line(tag.start)
             link_depth = 0
-        if not closing and tag not in _VOID and _unwanted(tag, mark[3]) and (tag in _SKIP or not _holds_article(page, tag, at)):
-            end_line()
-            skip, skip_depth = tag, 1
-            continue
-        if tag in ("article", "main"):
-            article = max(0, article + (-1 if closing else 1))
-            if not article:
-                lines.extend([("", 0, False)] * GAP_LINES)
-    if not skip and at < len(page):
-        parts.append(page[at:])
-    end_line()
+        while next_out < len(out) and tag.end >= out[next_out][1]:
+            next_out += 1
+        while next_article < len(articles) and tag.end >= articles[next_article][1]:
+            next_article += 1
+        at = tag.end
+        if tag.name == "a":
+            link_depth = max(0, link_depth + (-1 if tag.closing else 1))
+        elif tag.name == "br":
+            parts.append(" ")
     return lines
 
 
-def main_text(page: str, window: int = 3, surge: int = 1, share: float = 0.2) -> str:
-    """The blocks between the surge and dive points of the page's line blocks, joined by line breaks."""
+def main_text(page: str, window: int = 3, most_surge: int = MOST_SURGE) -> str:
+    """The lines between the surge and dive points of the page's line blocks, joined by line breaks."""
     lines = page_lines(page)
-    if not lines:
+    within = any(x.inside and not x.left_out for x in lines)
+    own = [not x.left_out and (x.inside or not within) for x in lines]
+
+    def weight(line: Line) -> int:
+        if line.inside:
+            return len(line.text)
+        return 0 if 2 * line.plain < len(line.text) or _RIGHTS.match(line.text) else line.plain
+
+    weights = np.array([weight(x) if o else 0 for x, o in zip(lines, own)], np.int64)
+    if not weights.any():
         return ""
-    within = any(inside and text for text, _, inside in lines)
-    weights = np.array([len(text) if inside else 0 if within else w for text, w, inside in lines], np.int64)
-    sums = np.convolve(weights, np.ones(window, np.int64))[window - 1 :]  # over the lines from here on
-    runs, start = [], -1
-    for i, total in enumerate(sums.tolist()):
-        if start < 0 and total >= surge and weights[i]:
-            start = i
-        elif start >= 0 and total == 0:
-            runs.append((start, i))
-            start = -1
-    if start >= 0:
-        runs.append((start, len(lines)))
-    mass = [int(weights[a:b].sum()) for a, b in runs]
-    size = [sum(len(text) for (text, _, _), weight in zip(lines[a:b], weights[a:b]) if weight) for a, b in runs]
-    most = max(mass, default=0)
-    kept = [run for run, m, n in zip(runs, mass, size) if within or 2 * m >= n or m >= share * most]
-    return "\n".join(
-        text for a, b in kept for (text, _, _), weight in zip(lines[a:b], weights[a:b]) if weight
-    )
-
-
-def _extract(batches: Iterator[pa.RecordBatch], text_name: str) -> Iterator[pa.RecordBatch]:
+    sums = np.convolve(weights, np.ones(window, np.int64))  # over the lines up to here
+    surge = min(most_surge, int(sums.max()) // 4)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], sums > 0, [0]))))
+    kept: list[str] = []
+    for first, dive in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if within or sums[first:dive].max() >= surge:
+            last = dive - window + 1  # after the last line with weight
+            kept += [x.text for x, o in zip(lines[first:last], own[first:last]) if o]
+    return "\n".join(kept)
+
+
+def _extract(batches: Iterator[pa.RecordBatch], html_col: str, stay: list[str], text_name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = batch.schema.names[:-1]
-        texts = [main_text(x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], names=keep + [text_name])
+        for part in byte_slices([batch], html_col, 4 << 20):
+            texts = [main_text(x.decode()) for x in raw_texts(part.column(html_col))]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in stay] + [pa.array(texts, pa.string())], names=[*stay, text_name])
 
 
 def extract_main_text(pages: DataFrame, html_col="html", text_name="text") -> DataFrame:
     """``pages`` without the html and with the main text in ``text_name``."""
-    rows = pages.drop(text_name).withColumn("_html", F.col(html_col)).drop(html_col)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda batches: _extract(batches, text_name), f"{out}, `{text_name}` string")
+    rows, stay, out = with_added(pages, html_col, False, f"{text_name} string")
+    return rows.mapInArrow(lambda batches: _extract(batches, html_col, stay, text_name), out)
