@@ -4,12 +4,13 @@ A piece goes where the sum over residual gaps of the squared number of open sequ
 gap becomes smallest (Csirik et al., 1999), a new sequence being one of the choices. Documents
 are tokenised in their partitions; only (document, piece, length, checksum) are shuffled. Pieces
 are dealt to bins of about ``bin_pieces`` by a hash of document and piece and each bin is packed on
-its own, so no task holds more than one bin, whatever one source or text holds. What a bin leaves
-open is a sequence or two of its thousands.
+its own, so no task holds more than one bin, whatever one source or text holds. The sequences that
+the bins leave open are then dealt to bins and packed by the same rule, as if each were a piece.
 
 Tokens are read word by word: the tokenizer splits at white space, so the ids of a word between
 ASCII white space do not depend on its neighbours. Lower-cased words are looked up in a bounded
-memory, and only new ones are tokenised, without the marks at their end.
+memory, and only new ones are tokenised, without the marks at their end. A text that spells a
+special token is handed to the tokenizer whole.
 
 Defined cases: null and empty texts are a piece of one token, the end token; every row is a
 document, so repeated rows are packed each; a null id stays null; other columns are ignored.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, staged
 
 _SIZE = 4096
 #: Words that a task remembers; then it starts afresh, so memory is bounded.
@@ -46,7 +47,9 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.special = [token.content.encode() for token in self.whole.get_added_tokens_decoder().values()]
+        self.tokenizer = Tokenizer.from_file(path)  # for words, of which lower-casing may make a special token
         self.tokenizer.encode_special_tokens = True
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -94,12 +97,16 @@ class WordIds(dict):
         """Token ids of each of ``texts``."""
         if len(self) > _REMEMBER:
             self.clear()
-        split = [t.lower().split() for t in texts]
+        special = [any(token in t for token in self.special) for t in texts]
+        split = [[] if odd else t.lower().split() for t, odd in zip(texts, special)]
         unknown: set[bytes] = set()
         for words in split:
             unknown.update(filterfalse(self.__contains__, words))
         self.learn(unknown)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [self._whole(t) if odd else b"".join(map(self.__getitem__, words)) for t, words, odd in zip(texts, split, special)]
+
+    def _whole(self, text: bytes) -> bytes:
+        return array("I", self.whole.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -169,9 +176,9 @@ def placing_order(lengths: np.ndarray, checksums: np.ndarray, tie: np.ndarray) -
     return np.lexsort((tie, mixed, np.where(short, -lengths, 0), short))
 
 
-def _packer(size: int) -> Callable[[tuple, pa.Table], pa.Table]:
+def _packer(size: int, order_by: list[str]) -> Callable[[tuple, pa.Table], pa.Table]:
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([(c, "ascending") for c in order_by])
         lengths, sums = rows["length"].to_numpy(), rows["ids_crc32"].to_numpy()
         order = placing_order(lengths, sums, np.arange(len(lengths)))
         sequence, offset = sum_of_squares(lengths[order], size)
@@ -182,9 +189,24 @@ def _packer(size: int) -> Callable[[tuple, pa.Table], pa.Table]:
     return pack
 
 
-def pack(pieces: DataFrame, size: int = _SIZE, bin_pieces: int = 1 << 14) -> DataFrame:
-    """Add ``sequence_id`` and ``offset``. ``pieces`` is counted first, so hand in a stored table."""
+def _pack_bins(pieces: DataFrame, key: list[str], size: int, bin_pieces: int) -> DataFrame:
     bins = -(-pieces.count() // bin_pieces) or 1
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(7)), F.lit(bins)))
-    out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("bin").applyInArrow(_packer(size), out)
+    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(bins)))
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    return dealt.groupBy("bin").applyInArrow(_packer(size, key), f"{out}, sequence_id long, offset long")
+
+
+def pack(pieces: DataFrame, size: int = _SIZE, bin_pieces: int = 1 << 14) -> DataFrame:
+    """Add ``sequence_id`` and ``offset``. ``pieces`` is read twice, so hand in a stored table."""
+    placed = staged(_pack_bins(pieces, ["doc_id", "piece", "start", "ids_crc32"], size, bin_pieces), "placed")
+    rests = placed.groupBy("sequence_id").agg(F.sum("length").alias("length")).where(F.col("length") < size)
+    rests = rests.select(F.col("sequence_id").alias("rest"), "length", F.pmod(F.xxhash64("sequence_id"), F.lit(1 << 32)).alias("ids_crc32"))
+    rests = _pack_bins(staged(rests, "rests"), ["rest"], size, bin_pieces)
+    # sequences made of rests are numbered below zero
+    rests = rests.select("rest", (-1 - F.col("sequence_id")).alias("_sequence"), F.col("offset").alias("_offset"))
+    found = placed.join(rests, F.col("sequence_id") == F.col("rest"), "left")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    return found.select(
+        *names, F.coalesce("_sequence", "sequence_id").alias("sequence_id"),
+        (F.col("offset") + F.coalesce("_offset", F.lit(0))).alias("offset"),
+    )
