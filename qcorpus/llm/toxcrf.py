@@ -4,17 +4,22 @@ Words (runs of letters, lower-cased) are tagged toxic or not. A word's emission
 weights of its features, itself and its beginnings; transitions join neighbouring tags. Labels come
 by document, so tokens are labelled first: a feature that toxic documents of the training sample
 have far more often than the others marks a toxic token in a toxic document. The field is then
-fitted to these tags by forward-backward. To score a document, forward-backward runs over all
-its words, in sequences of ``SEQUENCE`` words, many at once; the marginals add up to an expected
-number of toxic words, which a fitted logistic curve turns into a probability. Words whose
-marginal is at least a half give the offending offsets.
+fitted to these tags by forward-backward over the whole sample.
 
-The training sample is bounded: of twice ``ROWS_PER_LABEL`` labelled ids the first so many documents
-of at most ``TRAIN_CHARS`` characters, for each label; scoring covers every text whole.
+A document is one chain, however long. To run many at once, chains are laid out in rows of
+``SEQUENCE`` words; the product of a row's transitions carries the messages from row to row, so the
+marginals are those of the whole chain. They add up to an expected number of toxic words; their
+squares, which give doubtful words little say, are summed for the score, which a fitted logistic
+curve turns into a probability. Words whose marginal is at least a half give the offending offsets.
+
+The training sample is bounded by rows and by the length of a row: of twice ``ROWS_PER_LABEL``
+labelled ids the first ``ROWS_PER_LABEL`` documents of at most ``TRAIN_CHARS`` characters, for each
+label. Scoring covers every text whole.
 
 Defined cases: null and empty texts have no word and get the curve's value at zero; equal texts
 get equal scores; with no labelled row, or labels of one kind, the score is that label's share (or
-zero); other columns are kept.
+zero); an empty table stays empty; a caller's columns named as the added ones are replaced, all
+others are kept.
 """
 
 from __future__ import annotations
@@ -32,18 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import byte_slices, draw
+from .common import byte_slices, draw, with_added
 
 SEQUENCE = 128
-ROWS_PER_LABEL = 1500
+ROWS_PER_LABEL = 1000
 TRAIN_CHARS = 20_000
 #: A feature marks toxic tokens if at least this share of toxic documents has it, so that what a
 #: few copies of one document share does not.
 MARK_SHARE = 0.015
-#: Marginals under this are no sign of a toxic word, however many a long text adds up.
-LEAST_MARGINAL = 0.1
 _WORD = re.compile(r"[^\W\d_]+")
-_WORD_BYTES = re.compile(rb"[a-z\x80-\xff]+")
 #: Words whose emissions a task remembers before it starts afresh.
 _REMEMBER = 500_000
 
@@ -62,58 +64,89 @@ class Field:
     def emission(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word)) + self.weights.get("", 0.0)
 
-    def score(self, expected: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.log1p(10 * expected))))
+    def score(self, certain: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.log1p(10 * certain))))
+
+
+def _share(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return one / (zero + one)
 
 
-def forward_backward(emission: np.ndarray, inside: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the toxic tag, and summed marginals of tag pairs, for sequences in the rows."""
+def _messages(enter: np.ndarray, t: np.ndarray, gain: np.ndarray, inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches each row from the rows before and after it in its chain, as shares of the toxic tag."""
+    n, length = gain.shape
+    m = np.stack([np.stack([enter[x, 0], enter[x, 1] * gain[:, 0]]) for x in (0, 1)])  # from tag, to tag, row
+    for i in range(1, length):
+        new = np.stack([np.stack([m[x, 0] * t[0, 0] + m[x, 1] * t[1, 0], (m[x, 0] * t[0, 1] + m[x, 1] * t[1, 1]) * gain[:, i]]) for x in (0, 1)])
+        m = np.where(inside[:, i], new, m)
+        m /= m.sum(axis=(0, 1))
+    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    order = np.argsort(place, kind="stable")
+    steps = np.split(order, np.cumsum(np.bincount(place))[:-1])[1:]  # the second rows of all chains, the third ones, ...
+    before, after = np.full(n, 0.5), np.full(n, 0.5)
+    for rows in steps:
+        a, p = before[rows - 1], m[:, :, rows - 1]
+        before[rows] = _share((1 - a) * p[0, 0] + a * p[1, 0], (1 - a) * p[0, 1] + a * p[1, 1])
+    for rows in reversed(steps):
+        a, p = after[rows], m[:, :, rows]
+        after[rows - 1] = _share(p[0, 0] * (1 - a) + p[0, 1] * a, p[1, 0] * (1 - a) + p[1, 1] * a)
+    return before, after
+
+
+def forward_backward(
+    emission: np.ndarray, inside: np.ndarray, transition: np.ndarray, start: np.ndarray, first: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic tag, and summed marginals of tag pairs, for sequences in the rows.
+
+    A row that is not ``first`` goes on with the chain of the row before it, which is full.
+    """
     t = np.exp(transition)
     gain = np.exp(np.clip(emission, -30, 30))
     n, length = emission.shape
-    ahead = np.empty((length, n))  # share of the toxic tag, given the words so far
+    first = np.ones(n, bool) if first is None else first
     p = 1 / (1 + np.exp(start[0] - start[1]))
-    one = p * gain[:, 0]
-    ahead[0] = one / (one + 1 - p)
-    for i in range(1, length):
-        a = ahead[i - 1]
-        zero, one = (1 - a) * t[0, 0] + a * t[1, 0], ((1 - a) * t[0, 1] + a * t[1, 1]) * gain[:, i]
-        ahead[i] = np.where(inside[:, i], one / (zero + one), a)
+    enter = np.stack([np.stack([np.where(first, own, t[x, y]) for y, own in enumerate((1 - p, p))]) for x in (0, 1)])
+    before, after = (np.full(n, 0.5), np.full(n, 0.5)) if first.all() else _messages(enter, t, gain, inside, first)
+    ahead = np.empty((length, n))  # share of the toxic tag, given the words so far
+    a = before
+    for i in range(length):
+        step = t if i else enter
+        ahead[i] = np.where(inside[:, i], _share((1 - a) * step[0, 0] + a * step[1, 0], ((1 - a) * step[0, 1] + a * step[1, 1]) * gain[:, i]), a)
+        a = ahead[i]
     marginal, pairs = np.empty((length, n)), np.zeros((2, 2))
-    back = np.full(n, 0.5)
+    back = after
     for i in range(length - 1, -1, -1):
-        one, zero = ahead[i] * back, (1 - ahead[i]) * (1 - back)
-        marginal[i] = np.where(inside[:, i], one / (one + zero), 0)
-        if i:
-            own = back * gain[:, i]
-            rest = 1 - back
-            before = ahead[i - 1]
-            joint = np.stack([(1 - before) * t[0, 0] * rest, (1 - before) * t[0, 1] * own, before * t[1, 0] * rest, before * t[1, 1] * own])
-            joint = np.where(inside[:, i], joint / joint.sum(axis=0), 0).sum(axis=1)
-            pairs += joint.reshape(2, 2)
-            one, zero = t[1, 1] * own + t[1, 0] * rest, t[0, 1] * own + t[0, 0] * rest
-            back = np.where(inside[:, i], one / (one + zero), back)
+        marginal[i] = np.where(inside[:, i], _share((1 - ahead[i]) * (1 - back), ahead[i] * back), 0)
+        own, rest = back * gain[:, i], 1 - back
+        a = ahead[i - 1] if i else before
+        joint = np.stack([(1 - a) * t[0, 0] * rest, (1 - a) * t[0, 1] * own, a * t[1, 0] * rest, a * t[1, 1] * own])
+        counts = inside[:, i] if i else inside[:, i] & ~first
+        pairs += np.where(counts, joint / joint.sum(axis=0), 0).sum(axis=1).reshape(2, 2)
+        back = np.where(inside[:, i], _share(t[0, 1] * own + t[0, 0] * rest, t[1, 1] * own + t[1, 0] * rest), back)
     return marginal.T, pairs
 
 
-def _sequences(values: np.ndarray, counts: np.ndarray, fill: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut the values of each document into rows of SEQUENCE; also which cells hold one, and the owner."""
+def _sequences(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of SEQUENCE cells for documents of ``counts`` words: which cells hold one, the owner, where it begins."""
     rows = -(-counts // SEQUENCE)
     owner = np.repeat(np.arange(len(counts)), rows)
     first = np.cumsum(rows) - rows
-    index = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
-    cell = (np.repeat(first, counts) * SEQUENCE) + index
-    table = np.full(len(owner) * SEQUENCE, fill)
-    table[cell] = values
-    inside = np.zeros(len(table), bool)
-    inside[cell] = True
-    return table.reshape(-1, SEQUENCE), inside.reshape(-1, SEQUENCE), owner
+    index = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    inside = np.zeros(len(owner) * SEQUENCE, bool)
+    inside[np.repeat(first, counts) * SEQUENCE + index] = True
+    begins = np.zeros(len(owner), bool)
+    begins[first[rows > 0]] = True
+    return inside.reshape(-1, SEQUENCE), owner, begins
+
+
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text)
 
 
-def train(texts: list[str], toxic: list[int], passes: int = 25, clean_sequences: int = 2000) -> Field:
+def train(texts: list[str], toxic: list[int], passes: int = 25) -> Field:
     """Label the tokens, fit the field to them and the curve to the documents."""
     texts, toxic = zip(*sorted(dict(zip(texts, toxic)).items()))  # copies count once
-    split = [[w.decode() for w in _WORD_BYTES.findall(t.lower().encode())] for t in texts]
+    split = [[w.lower() for w in _words(t)] for t in texts]
     total = [max(1, toxic.count(0)), max(1, toxic.count(1))]
     seen = [Counter(), Counter()]
     for found, y in zip(split, toxic):
@@ -124,38 +157,34 @@ def train(texts: list[str], toxic: list[int], passes: int = 25, clean_sequences:
         if k >= least and math.log((k + 0.5) / total[1]) - math.log((seen[0][f] + 0.5) / total[0]) > 3
     }
     known = {f: i for i, f in enumerate(sorted(f for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= 3))}
-    is_mark = {w: any(f in marks for f in features(w)) for found in split for w in set(found)}
-    rng = np.random.default_rng(7)
-    parts, tags = [], []
-    for i in rng.permutation(len(split)):
-        for at in range(0, len(split[i]), SEQUENCE):
-            words = split[i][at : at + SEQUENCE]
-            tag = [int(toxic[i] and is_mark[w]) for w in words]
-            if any(tag) or len(parts) < clean_sequences:
-                parts.append(words)
-                tags.append(tag)
-    index = {w: [known[f] for f in features(w) if f in known] for part in parts for w in set(part)}
-    cells, which = [], []
-    for r, part in enumerate(parts):
-        for c, w in enumerate(part):
-            own = index[w]
-            which += own
-            cells += [r * SEQUENCE + c] * len(own)
-    cells, which = np.array(cells, np.int64), np.array(which, np.int64)
-    truth, inside = np.zeros((len(parts), SEQUENCE)), np.zeros((len(parts), SEQUENCE), bool)
-    for r, tag in enumerate(tags):
-        truth[r, : len(tag)] = tag
-        inside[r, : len(tag)] = True
-    whole = truth.astype(int)
-    real = np.array([[((whole[:, :-1] == a) & (whole[:, 1:] == b) & inside[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)], float)
+    # words by number; each has a few features, so a field's emissions are those of the distinct words
+    numbers: dict[str, int] = {}
+    flat = np.array([numbers.setdefault(w, len(numbers)) for found in split for w in found], np.int64)
+    own = [[known[f] for f in features(w) if f in known] for w in numbers]
+    word_of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    feature_of = np.array([f for x in own for f in x], np.int64)
+    is_mark = np.array([any(f in marks for f in features(w)) for w in numbers], bool)
+    counts = np.array([len(found) for found in split], np.int64)
+    inside, owner, begins = _sequences(counts)
+    truth, word = np.zeros(inside.shape), np.zeros(inside.shape, np.int64)
+    word[inside] = flat
+    truth[inside] = is_mark[flat] & np.repeat(np.array(toxic, bool), counts)
+    whole = truth.astype(int).ravel()
+    linked = (inside & ~(begins[:, None] & (np.arange(SEQUENCE) == 0))).ravel()  # cells with a word before them in their chain
+    ends = np.flatnonzero(linked)
+    real = np.bincount(2 * whole[ends - 1] + whole[ends], minlength=4).reshape(2, 2).astype(float)
     weights, bias = np.zeros(len(known)), -2.0
     transition, start = np.zeros((2, 2)), np.zeros(2)
     square_w, square_b, square_t = np.full(len(known), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+
+    def emissions() -> np.ndarray:
+        return np.bincount(word_of, weights=weights[feature_of], minlength=len(own)) + bias
+
     for _ in range(passes):
-        emission = np.bincount(cells, weights=weights[which], minlength=truth.size).reshape(truth.shape) + bias
-        marginal, pairs = forward_backward(emission, inside, transition, start)
-        error = np.where(inside, truth - marginal, 0)
-        grad = np.bincount(which, weights=error.ravel()[cells], minlength=len(known)) - 0.01 * weights
+        marginal, pairs = forward_backward(np.where(inside, emissions()[word], 0), inside, transition, start, begins)
+        error = truth[inside] - marginal[inside]
+        by_word = np.bincount(flat, weights=error, minlength=len(own))
+        grad = np.bincount(feature_of, weights=by_word[word_of], minlength=len(known)) - 0.01 * weights
         square_w += grad * grad
         weights += 0.5 * grad / np.sqrt(square_w)
         square_b += error.sum() ** 2
@@ -163,31 +192,30 @@ def train(texts: list[str], toxic: list[int], passes: int = 25, clean_sequences:
         change = real - pairs - 0.01 * transition
         square_t += change * change
         transition += 0.2 * change / np.sqrt(square_t)
-    named = {f: float(weights[i]) for f, i in known.items() if abs(weights[i]) > 1e-3}
-    field = Field(named | {"": bias}, transition, start, (0.0, 0.0))
-    emissions = {w: field.emission(w) for w in is_mark}
-    expected = np.log1p(10 * _expected(field, [[emissions[w] for w in found] for found in split])[0])
+    marginal, _ = forward_backward(np.where(inside, emissions()[word], 0), inside, transition, start, begins)
+    certain = np.log1p(10 * np.bincount(owner, weights=(marginal**2).sum(axis=1), minlength=len(counts)))
     y, a, b = np.array(toxic, float), 0.0, 0.0
     for _ in range(50):  # Newton's steps, held back by a small ridge
-        p = 1 / (1 + np.exp(-(a + b * expected)))
-        g = np.array([(y - p).sum(), ((y - p) * expected).sum()]) - 0.05 * np.array([a, b])
+        p = 1 / (1 + np.exp(-(a + b * certain)))
+        g = np.array([(y - p).sum(), ((y - p) * certain).sum()]) - 0.05 * np.array([a, b])
         v = p * (1 - p)
-        h = np.array([[v.sum(), (v * expected).sum()], [(v * expected).sum(), (v * expected**2).sum()]]) + 0.05 * np.eye(2)
+        h = np.array([[v.sum(), (v * certain).sum()], [(v * certain).sum(), (v * certain**2).sum()]]) + 0.05 * np.eye(2)
         a, b = np.array([a, b]) + np.clip(np.linalg.solve(h, g), -2, 2)
-    field.curve = (float(a), float(b))
-    return field
+    named = {f: float(weights[i]) for f, i in known.items() if weights[i]}
+    return Field(named | {"": bias}, transition, start, (float(a), float(b)))
 
 
-def _expected(field: Field, emissions: list[list[float]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Expected toxic words of each document, over marginals that count, and the marginals of its words."""
+def marginals(field: Field, emissions: list[list[float]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each document the sums of its words' marginals and of their squares, and the marginals."""
     counts = np.array([len(e) for e in emissions], np.int64)
     if not counts.sum():
-        return np.zeros(len(counts)), [np.zeros(0)] * len(counts)
-    values = np.fromiter((x for e in emissions for x in e), np.float64, int(counts.sum()))
-    table, inside, owner = _sequences(values, counts, 0.0)
-    marginal, _ = forward_backward(table, inside, field.transition, field.start)
-    total = np.bincount(owner, weights=np.where(marginal < LEAST_MARGINAL, 0, marginal).sum(axis=1), minlength=len(counts))
-    return total, np.split(marginal[inside], np.cumsum(counts)[:-1])
+        return np.zeros(len(counts)), np.zeros(len(counts)), [np.zeros(0)] * len(counts)
+    inside, owner, begins = _sequences(counts)
+    table = np.zeros(inside.shape)
+    table[inside] = np.fromiter((x for e in emissions for x in e), np.float64, int(counts.sum()))
+    marginal, _ = forward_backward(table, inside, field.transition, field.start, begins)
+    total = [np.bincount(owner, weights=m.sum(axis=1), minlength=len(counts)) for m in (marginal, marginal**2)]
+    return *total, np.split(marginal[inside], np.cumsum(counts)[:-1])
 
 
 def draw_labels(labels: DataFrame, id_col="doc_id", label_col="toxic") -> DataFrame:
@@ -214,25 +242,24 @@ def fit(df: DataFrame, text_col="text", label_col="toxic", key: Column | None =
     return train([r["text"] for r in rows], labels)
 
 
-def _score(batches: Iterator[pa.RecordBatch], field: Field, spans: bool) -> Iterator[pa.RecordBatch]:
-    cache: dict[bytes, float] = {}
+def _score(batches: Iterator[pa.RecordBatch], field: Field, text_col: str, stay: list[str], spans: bool) -> Iterator[pa.RecordBatch]:
+    cache: dict[str, float] = {}
     for batch in batches:
-        for part in byte_slices([batch], "_text", 2 << 20):
-            texts = [x.as_py() or "" for x in part.column("_text")]
+        for part in byte_slices([batch], text_col, 2 << 20):
+            texts = [x.as_py() or "" for x in part.column(text_col)]
             emissions = []
             if len(cache) > _REMEMBER:
                 cache.clear()
             for text in texts:
-                found = _WORD_BYTES.findall(text.lower().encode())
+                found = _words(text)
                 for w in set(filterfalse(cache.__contains__, found)):
-                    cache[w] = field.emission(w.decode())
+                    cache[w] = field.emission(w.lower())
                 emissions.append(list(map(cache.__getitem__, found)))
-            expected, marginals = _expected(field, emissions)
-            names = part.schema.names[:-1]
-            columns = [part.column(c) for c in names] + [pa.array(field.score(expected)), pa.array(expected)]
-            names = [*names, "toxic_score", "toxic_words"]
+            expected, certain, own = marginals(field, emissions)
+            columns = [part.column(c) for c in stay] + [pa.array(field.score(certain)), pa.array(expected)]
+            names = [*stay, "toxic_score", "toxic_words"]
             if spans:
-                columns.append(pa.array([_offsets(t, m) for t, m in zip(texts, marginals)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
+                columns.append(pa.array([_offsets(t, m) for t, m in zip(texts, own)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
                 names.append("toxic_spans")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -242,7 +269,7 @@ def _offsets(text: str, marginal: np.ndarray) -> list[dict[str, int]]:
     hits = np.flatnonzero(marginal >= 0.5).tolist()
     if not hits:
         return []
-    places = [(m.start(), m.end()) for m in re.finditer(r"[a-zA-Z\u0080-\U0010ffff]+", text)]
+    places = [m.span() for m in _WORD.finditer(text)]
     out: list[dict[str, int]] = []
     for i in hits:
         if out and out[-1]["end"] == places[i - 1][1]:
@@ -252,9 +279,8 @@ def _offsets(text: str, marginal: np.ndarray) -> list[dict[str, int]]:
     return out
 
 
-def score(df: DataFrame, field: Field, text_col="text", spans: bool = True) -> DataFrame:
+def score(df: DataFrame, field: Field, text_col="text", spans: bool = True, keep_text: bool = True) -> DataFrame:
     """Add ``toxic_score``, the expected ``toxic_words`` and, if asked for, the ``toxic_spans``."""
-    rows = df.drop("toxic_score", "toxic_words", "toxic_spans", "_text").withColumn("_text", F.col(text_col))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out += ", toxic_score double, toxic_words double" + ", toxic_spans array<struct<start:long,end:long>>" * spans
-    return rows.mapInArrow(lambda batches: _score(batches, field, spans), out)
+    added = "toxic_score double, toxic_words double" + ", toxic_spans array<struct<start:long,end:long>>" * spans
+    rows, stay, out = with_added(df.drop(*{"toxic_spans"} - {text_col}), text_col, keep_text, added)
+    return rows.mapInArrow(lambda batches: _score(batches, field, text_col, stay, spans), out)
