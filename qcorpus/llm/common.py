@@ -111,6 +111,17 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x.as_py() or b"" for x in column.cast(pa.binary())]
 
 
+def with_added(df: DataFrame, text_col: str, keep_text: bool, added: str) -> tuple[DataFrame, list[str], str]:
+    """``df`` without columns named as ``added`` ones, the columns that stay, and the schema of both.
+
+    The text goes to Python once, and back only if it stays.
+    """
+    names = {x.split()[0] for x in added.split(", ")} - {text_col}
+    rows = df.drop(*names)
+    stay = [f for f in rows.schema.fields if keep_text or f.name != text_col]
+    return rows, [f.name for f in stay], ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stay), added])
+
+
 def draw(rows: DataFrame, label: str, key: str, most: int, most_labels: int = 256) -> DataFrame:
     """At most ``most`` rows of each label, those whose key hashes lowest, as a sample to train on.
 

@@ -8,28 +8,30 @@ mean over its windows, weighted by the bytes in each.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; the last window is
 padded with spaces; equal texts get equal scores; with no labelled row at all everything is
-``und``; other columns are kept.
+``und``; an empty table stays empty; a caller's ``lang_pred`` and ``lang_score`` are replaced, all
+other columns are kept. Letters are those of Unicode's category L. Of labels beyond the 256 that have
+the most rows none is learned.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, draw
+from .common import byte_slices, draw, raw_texts, with_added
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 EMBED, FILTERS = 8, 8
 #: Most labelled rows of a language that are sampled for training.
 ROWS_PER_LANGUAGE = 1500
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -147,22 +149,21 @@ def predict(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / total.sum(axis=1, keepdims=True)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], net: Network | None, text_col: str, stay: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in byte_slices([batch], "_raw", 1 << 20):
-            texts = [x.as_py() or b"" for x in part.column("_raw")]
+        for part in byte_slices([batch], text_col, 1 << 20):
+            texts = raw_texts(part.column(text_col))
             languages, scores = ["und"] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if net and _LETTER.search(t.decode())]
             if known:
                 found = predict(net, [texts[i] for i in known])
                 for i, row in zip(known, found):
                     languages[i], scores[i] = net.languages[int(row.argmax())], min(1.0, float(row.max()))
-            names = part.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(languages), pa.array(scores)], names=[*names, "lang_pred", "lang_score"])
+            columns = [part.column(c) for c in stay] + [pa.array(languages), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*stay, "lang_pred", "lang_score"])
 
 
-def identify(df: DataFrame, net: Network | None, text_col="text") -> DataFrame:
+def identify(df: DataFrame, net: Network | None, text_col="text", keep_text=True) -> DataFrame:
     """Add ``lang_pred`` and ``lang_score`` of the whole texts."""
-    rows = df.drop("lang_pred", "lang_score", "_raw").withColumn("_raw", F.col(text_col).cast("binary"))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda batches: _predict(batches, net), f"{out}, lang_pred string, lang_score double")
+    rows, stay, out = with_added(df, text_col, keep_text, "lang_pred string, lang_score double")
+    return rows.mapInArrow(lambda batches: _predict(batches, net, text_col, stay), out)

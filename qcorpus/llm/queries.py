@@ -11,7 +11,7 @@ from .common import new_path, staged, table
 
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = repetition.repetition(repetition.with_line_counts(docs).select("doc_id", "text", "n_symbols", "n_dup_lines"))
+    found = repetition.repetition(repetition.with_line_counts(docs).select("doc_id", "text", "n_symbols", "n_dup_lines"), keep_text=False)
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -54,15 +54,15 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        hilbert.category(F.col("lang")).alias("lang_cell"), hilbert.category(F.col("source")).alias("source_cell"),
+        "doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        hilbert.quantiles(docs, "lang").alias("lang_cell"), hilbert.quantiles(docs, "source").alias("source_cell"),
         hilbert.level(F.octet_length(text)).alias("size_cell"),
     )
     cells = ["lang_cell", "source_cell", "size_cell"]
     cut = hilbert.hilbert_shards(rows, [F.col(c) for c in cells], order=["doc_id", "text_crc32", "size"])
     return cut.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "curve_index", *cells,
+        F.lit(None).cast("int").alias("grown_shard"), "curve_index", "lang", "source", *cells,
     )
 
 
@@ -74,15 +74,15 @@ def held_out() -> Column:
 def op8_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = langcnn.fit(docs.where(~held_out()), key=F.xxhash64("doc_id"))
-    found = langcnn.identify(docs.select("doc_id", "text"), net)
+    found = langcnn.identify(docs.select("doc_id", "text"), net, keep_text=False)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drawn = toxcrf.draw_labels(table(spark, sf_dir, "labels").where(~held_out()))
-    field = toxcrf.fit(docs.join(F.broadcast(drawn), "doc_id"), key=F.xxhash64("doc_id"))  # at most 6,000 rows
-    found = toxcrf.score(docs, field)
+    field = toxcrf.fit(docs.join(F.broadcast(drawn), "doc_id"), key=F.xxhash64("doc_id"))  # at most 4,000 rows
+    found = toxcrf.score(docs, field, keep_text=False)
     return found.select(
         "doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_spans",

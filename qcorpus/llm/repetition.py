@@ -9,7 +9,8 @@ rule limits the share of characters that the union covers and the longest repeat
 
 Defined cases: null and empty texts have no word and no repeat; ties need no order, as only
 lengths are used; a text of any length is one suffix array, in memory linear in its words;
-repeated rows are judged alike; other columns are kept.
+repeated rows are judged alike; an empty table stays empty; a caller's columns named as the measures
+are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, raw_texts, with_added
 
 #: A repeat counts from so many words.
 MIN_WORDS = 8
@@ -108,23 +109,23 @@ def _measure(texts: list[bytes], min_words: int) -> list[list[int]]:
     return [sizes.astype(np.int64), add(chars), add(inside), add(chars * inside), longest]
 
 
-def _measures(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    names = ["n_words", "word_chars", "n_repeat_words", "repeat_chars", "longest_repeat"]
+_MEASURES = "n_words long, word_chars long, n_repeat_words long, repeat_chars long, longest_repeat long"
+
+
+def _measures(batches: Iterator[pa.RecordBatch], text_col: str, stay: list[str], min_words: int) -> Iterator[pa.RecordBatch]:
+    names = [*stay, *(x.split()[0] for x in _MEASURES.split(", "))]
     for batch in batches:
-        raw = batch.schema.names[-1]
-        for part in byte_slices([batch], raw, 2 << 20):
-            found = _measure([x.as_py() or b"" for x in part.column(raw)], min_words)
-            keep = part.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(x) for x in found], names=keep + names)
+        for part in byte_slices([batch], text_col, 2 << 20):
+            found = _measure(raw_texts(part.column(text_col)), min_words)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in stay] + [pa.array(x) for x in found], names=names)
 
 
-def repetition(df: DataFrame, text_col="text", min_words=MIN_WORDS, max_covered=MAX_COVERED, max_longest=MAX_LONGEST) -> DataFrame:
+def repetition(
+    df: DataFrame, text_col="text", min_words=MIN_WORDS, max_covered=MAX_COVERED, max_longest=MAX_LONGEST, keep_text=True,
+) -> DataFrame:
     """Add the measures and ``repetitive``: repeats cover too much, or one is too long."""
-    taken = {"n_words", "word_chars", "n_repeat_words", "repeat_chars", "longest_repeat", "repetitive", "_raw"}
-    rows = df.drop(*(taken - {text_col})).withColumn("_raw", F.col(text_col).cast("binary"))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out += ", n_words long, word_chars long, n_repeat_words long, repeat_chars long, longest_repeat long"
-    found = rows.mapInArrow(lambda batches: _measures(batches, min_words), out)
+    rows, stay, out = with_added(df.drop(*{"repetitive"} - {text_col}), text_col, keep_text, _MEASURES)
+    found = rows.mapInArrow(lambda batches: _measures(batches, text_col, stay, min_words), out)
     much = F.col("repeat_chars") > max_covered * F.col("word_chars")
     return found.withColumn("repetitive", much | (F.col("longest_repeat") > max_longest))
 

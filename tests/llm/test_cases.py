@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from qcorpus.llm import decontam, hilbert, langcnn, linebreaks, packing, recompress, repetition, simhash, toxcrf, warc
 from qcorpus.llm.queries import tokenizer_path
@@ -74,6 +75,7 @@ def test_main_text(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "just words", "x"), (5, "u", "<p>cut off <b>here</b> <a hre", "x"), (1, "u", PAGE, "x")]
     got = linebreaks.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     text = "Head & line\nFirst paragraph goes on.\nCafé <ok> bold\nLast."
+    assert linebreaks.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string").limit(0)).count() == 0
     assert sorted((r["page_id"], r["text"]) for r in got) == [(1, text), (1, text), (2, ""), (3, ""), (4, "just words"), (5, "cut off here")]
 
 
@@ -91,6 +93,39 @@ def test_main_text_keeps_a_short_end_after_an_advert():
     assert linebreaks.main_text(page) == f"{story.strip()}\n{end.strip()}"
 
 
+def test_the_window_decides_what_is_text():
+    story = "A sentence of the story that goes on. " * 30
+    page = f"<body><p>{story}</p><div class='ad'>Buy</div><p>The end.</p><ul>{'<li><a>one more link</a></li>' * 5}</ul><p>Stray words</p></body>"
+    assert linebreaks.main_text(page) == f"{story.strip()}\nThe end."
+    assert linebreaks.main_text(page, window=1) == story.strip()
+
+
+def test_main_text_keeps_links_of_the_text():
+    story = "A sentence of the story that goes on. " * 10
+    link = "<p><a href='/'>A paragraph that is a link as a whole</a></p>"
+    for page in (f"<body><p>{story}</p>{link}<p>{story}</p></body>", f"<article><p>{story}</p>{link}<p>{story}</article>"):
+        assert linebreaks.main_text(page).split("\n") == [story.strip(), "A paragraph that is a link as a whole", story.strip()]
+
+
+def test_main_text_leaves_out_comments_that_are_articles():
+    page = "<main><p>Kept.</p><section class='comments'><article class='comment'><p>Out</p></article></section><p>Too.</p></main>"
+    assert linebreaks.main_text(page) == "Kept.\nToo."
+
+
+def test_unclosed_and_odd_markup_takes_linear_time():
+    import time
+
+    for unit in ("<div class='ad'>x", "<a \"", "<a '", "<p class=ad>y", "<span class=ad>z<p>", "</div></p>", "<!--", "<script>", "<li><ul>w", "<b class=menu>"):
+        took = []
+        for n in (20_000, 40_000):
+            began = time.perf_counter()
+            linebreaks.main_text("<body>" + unit * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 5, (unit, took)
+    text = linebreaks.main_text("<article>" + "<p>Some words of a long page." * 400_000)
+    assert text.count("\n") == 399_999
+
+
 def test_main_text_in_a_container_named_after_its_sidebar():
     page = "<body><div class='with sidebar'><article><p>Kept.<p>Too.</article><div class='sidebar'>Out</div></div></body>"
     assert linebreaks.main_text(page) == "Kept.\nToo."
@@ -257,11 +292,12 @@ def test_checks_tell_spans_apart():
     assert (values[200:281] == values[50:131]).all() and len(np.unique(values)) == 380 - 81
 
 
-def test_packing(spark, odd):
+@pytest.mark.parametrize("bin_pieces", [8, 1 << 14])
+def test_packing(spark, odd, bin_pieces):
     from qcorpus.llm.common import staged
 
     pieces = staged(packing.token_pieces(odd, tokenizer_path()), "pieces")
-    got = packing.pack(pieces, bin_pieces=8).collect()
+    got = packing.pack(pieces, bin_pieces=bin_pieces).collect()
     assert len(got) == pieces.count() and sum(r["length"] for r in got if r["doc_id"] in (0, 1, 2)) == 3
     places = {}
     for r in got:
@@ -279,7 +315,10 @@ def test_packing(spark, odd):
 def test_word_ids_equal_the_tokenizer():
     ids = packing.WordIds(tokenizer_path())
     texts = ["Hello, World!!! it's o'clock... 'tis ÀÉ, 12ab.. don't'll. a.b.c. <|endoftext|>, x́,, ½, naïve—dash… (x)", LONG[:5000], "", "\x85 \xa0x", "İstanbul ΣΑΣ ﬁne ªº 中文 e\u0301te"]
-    want = [np.array(x.ids, "<u4").tobytes() for x in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts += ["x <|endoftext|> y", "x <|EndOfText|> y", "a<|startoftext|>", "<|endoftext|" + ">"]
+    plain = Tokenizer.from_file(tokenizer_path())
+    want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert np.frombuffer(want[5], "<u4").tolist() == [343, 49407, 344]
     assert ids.documents([t.encode() for t in texts]) == want == ids.documents([t.encode() for t in texts])
 
 
@@ -314,8 +353,8 @@ def test_hilbert_curve_steps_to_neighbours():
 
 @pytest.mark.parametrize("bucket_rows", [20_000, 2])
 def test_hilbert_shards(spark, odd, bucket_rows):
-    df = odd.select("doc_id", "text", F.length("text").alias("size"), "shard").drop("shard")
-    dims = [hilbert.category(F.col("text")), hilbert.level(F.col("size"))]
+    df = odd.select("doc_id", F.substring("text", 1, 20).alias("text"), F.length("text").alias("size"), "shard")
+    dims = [hilbert.quantiles(df, "text"), hilbert.level(F.col("size"))]
     got = hilbert.hilbert_shards(df, dims, ["doc_id", "size"], shards=4, bucket_rows=bucket_rows).collect()
     slots = {}
     for r in got:
@@ -323,9 +362,28 @@ def test_hilbert_shards(spark, odd, bucket_rows):
     assert sorted(len(s) for s in slots.values()) == [2, 2, 2, 3] and all(sorted(s) == list(range(len(s))) for s in slots.values())
     order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
     assert [r["curve_index"] for r in order] == sorted(r["curve_index"] for r in order)
+    assert [c for c in hilbert.hilbert_shards(df, dims, ["doc_id"]).columns] == ["doc_id", "text", "size", "curve_index", "shard", "slot"]
     assert hilbert.hilbert_shards(df.limit(0), dims, ["doc_id"]).count() == 0
 
 
+def test_hilbert_copies_of_a_row_are_whole(spark):
+    df = spark.range(100).select(F.when(F.col("id") < 40, None).otherwise(F.col("id")).alias("doc_id"))
+    got = hilbert.hilbert_shards(df, [F.coalesce(F.col("doc_id") % 16, F.lit(0))] * 2, ["doc_id"], shards=8, bucket_rows=3).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sum(r["doc_id"] is None for r in got) == 40 and {len(s) for s in slots.values()} == {12, 13}
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_quantiles_keep_the_order(spark):
+    df = spark.createDataFrame([(None,)] + [(f"v{i % 50:02}",) for i in range(500)] + [("v07",)] * 300, "v string")
+    got = sorted(df.select("v", hilbert.quantiles(df, "v").alias("q")).distinct().collect(), key=lambda r: (r["v"] is not None, r["v"]))
+    cells = [r["q"] for r in got]
+    assert cells == sorted(cells) and cells[0] == 0 and max(cells) <= 15 and len(set(cells)) >= 8
+    assert [r["q"] for r in got if r["v"] == "v07"][0] < [r["q"] for r in got if r["v"] == "v08"][0]
+
+
 def test_language(spark, odd):
     rng = random.Random(1)
     words = {"aa": ["and", "the", "with", "over"], "bb": ["und", "der", "mit", "über"]}
@@ -362,6 +420,26 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(m[i], plain_marginals(e[i], transition, start))
 
 
+def test_a_long_chain_is_one_chain():
+    """Rows that go on with the chain of the row before give the marginals of the whole chain."""
+    rng = np.random.default_rng(8)
+    field = toxcrf.Field({}, rng.normal(size=(2, 2)) * 2, rng.normal(size=2), (0.0, 1.0))
+    emissions = [rng.normal(size=n).tolist() for n in (1000, 0, 3, 128, 256, 129)]
+    _, _, got = toxcrf.marginals(field, emissions)
+    t, s = np.exp(field.transition), np.exp(field.start)
+    for e, m in zip(emissions, got):
+        gain = [np.array([1, np.exp(x)]) for x in e]
+        ahead, back = [], [np.ones(2)]
+        for i, g in enumerate(gain):
+            v = (ahead[-1] @ t if i else s) * g
+            ahead.append(v / v.sum())
+        for g in gain[:0:-1]:
+            v = t @ (g * back[-1])
+            back.append(v / v.sum())
+        want = [a * b / (a @ b) for a, b in zip(ahead, back[::-1])]
+        assert np.allclose(m, [w[1] for w in want])
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(9)
     good = [f"w{c}{d}" for c in "abcdefgh" for d in "klmnopqr"]
