@@ -80,8 +80,9 @@ def op8_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    drawn = toxcrf.draw_labels(table(spark, sf_dir, "labels").where(~held_out()))
-    field = toxcrf.fit(docs.join(F.broadcast(drawn), "doc_id"), key=F.xxhash64("doc_id"))  # at most 4,000 rows
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    drawn = F.broadcast(toxcrf.draw_labels(labels))  # at most 4,000 rows
+    field = toxcrf.fit(docs.join(drawn, "doc_id"), key=F.xxhash64("doc_id"), shares=toxcrf.label_counts(labels))
     found = toxcrf.score(docs, field, keep_text=False)
     return found.select(
         "doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"),

@@ -8,9 +8,10 @@ fitted to these tags by forward-backward over the whole sample.
 
 A document is one chain, however long. To run many at once, chains are laid out in rows of
 ``SEQUENCE`` words; the product of a row's transitions carries the messages from row to row, so the
-marginals are those of the whole chain. They add up to an expected number of toxic words; their
-squares, which give doubtful words little say, are summed for the score, which a fitted logistic
-curve turns into a probability. Words whose marginal is at least a half give the offending offsets.
+marginals are those of the whole chain. They add up to an expected number of toxic words. For the
+score their squares, which give doubtful words little say, are summed and set against the words of the
+text; a logistic curve, fitted with the labels' own shares, turns this into a probability. Words
+whose marginal is at least a half give the offending offsets.
 
 The training sample is bounded by rows and by the length of a row: of twice ``ROWS_PER_LABEL``
 labelled ids the first ``ROWS_PER_LABEL`` documents of at most ``TRAIN_CHARS`` characters, for each
@@ -64,8 +65,13 @@ class Field:
     def emission(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word)) + self.weights.get("", 0.0)
 
-    def score(self, certain: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.log1p(10 * certain))))
+    def score(self, certain: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * density(certain, words))))
+
+
+def density(certain: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Toxic words among a thousand, on a logarithmic scale; a text counts as having 50 words more."""
+    return np.log1p(1000 * certain / (words + 50))
 
 
 def _share(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -143,8 +149,11 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
-def train(texts: list[str], toxic: list[int], passes: int = 25) -> Field:
-    """Label the tokens, fit the field to them and the curve to the documents."""
+def train(texts: list[str], toxic: list[int], shares: tuple[float, float] = (0.5, 0.5), passes: int = 25) -> Field:
+    """Label the tokens, fit the field to them and the curve to the documents.
+
+    ``shares`` are those of both labels among all labelled documents.
+    """
     texts, toxic = zip(*sorted(dict(zip(texts, toxic)).items()))  # copies count once
     split = [[w.lower() for w in _words(t)] for t in texts]
     total = [max(1, toxic.count(0)), max(1, toxic.count(1))]
@@ -193,12 +202,13 @@ def train(texts: list[str], toxic: list[int], passes: int = 25) -> Field:
         square_t += change * change
         transition += 0.2 * change / np.sqrt(square_t)
     marginal, _ = forward_backward(np.where(inside, emissions()[word], 0), inside, transition, start, begins)
-    certain = np.log1p(10 * np.bincount(owner, weights=(marginal**2).sum(axis=1), minlength=len(counts)))
+    certain = density(np.bincount(owner, weights=(marginal**2).sum(axis=1), minlength=len(counts)), counts)
     y, a, b = np.array(toxic, float), 0.0, 0.0
+    weight = np.where(y == 1, shares[1] / total[1], shares[0] / total[0]) * len(y)
     for _ in range(50):  # Newton's steps, held back by a small ridge
         p = 1 / (1 + np.exp(-(a + b * certain)))
-        g = np.array([(y - p).sum(), ((y - p) * certain).sum()]) - 0.05 * np.array([a, b])
-        v = p * (1 - p)
+        error, v = weight * (y - p), weight * p * (1 - p)
+        g = np.array([error.sum(), (error * certain).sum()]) - 0.05 * np.array([a, b])
         h = np.array([[v.sum(), (v * certain).sum()], [(v * certain).sum(), (v * certain**2).sum()]]) + 0.05 * np.eye(2)
         a, b = np.array([a, b]) + np.clip(np.linalg.solve(h, g), -2, 2)
     named = {f: float(weights[i]) for f, i in known.items() if weights[i]}
@@ -233,13 +243,20 @@ def training_rows(df: DataFrame, text_col="text", label_col="toxic", key: Column
     return rows.withColumn("n", number).where(F.col("n") <= ROWS_PER_LABEL).select("text", "label")
 
 
-def fit(df: DataFrame, text_col="text", label_col="toxic", key: Column | None = None) -> Field:
+def fit(df: DataFrame, text_col="text", label_col="toxic", key: Column | None = None, shares: tuple[float, float] | None = None) -> Field:
+    """``shares`` are the labels' counts or shares; those of ``df`` if it holds all labelled documents."""
     rows = training_rows(df, text_col, label_col, key).collect()  # bounded: ROWS_PER_LABEL short texts of each
     rows = sorted(rows, key=lambda r: (r["label"], r["text"]))
     labels = [r["label"] for r in rows]
     if len(set(labels)) < 2:
         return Field({}, np.zeros((2, 2)), np.array([30.0, -30.0]), (30.0 if labels[:1] == [1] else -30.0, 0.0))
-    return train([r["text"] for r in rows], labels)
+    both = shares or label_counts(df, label_col)
+    return train([r["text"] for r in rows], labels, (both[0] / sum(both), both[1] / sum(both)))
+
+
+def label_counts(labels: DataFrame, label_col="toxic") -> tuple[int, int]:
+    found = {int(r[0]): r[1] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
+    return found.get(0, 1), found.get(1, 1)
 
 
 def _score(batches: Iterator[pa.RecordBatch], field: Field, text_col: str, stay: list[str], spans: bool) -> Iterator[pa.RecordBatch]:
@@ -256,7 +273,7 @@ def _score(batches: Iterator[pa.RecordBatch], field: Field, text_col: str, stay:
                     cache[w] = field.emission(w.lower())
                 emissions.append(list(map(cache.__getitem__, found)))
             expected, certain, own = marginals(field, emissions)
-            columns = [part.column(c) for c in stay] + [pa.array(field.score(certain)), pa.array(expected)]
+            columns = [part.column(c) for c in stay] + [pa.array(field.score(certain, np.array([len(m) for m in own], np.int64))), pa.array(expected)]
             names = [*stay, "toxic_score", "toxic_words"]
             if spans:
                 columns.append(pa.array([_offsets(t, m) for t, m in zip(texts, own)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))

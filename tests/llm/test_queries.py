@@ -154,8 +154,8 @@ def test_toxicity_query(spark, tmp_path):
     assert sorted((r["doc_id"], r["score"], r["predicted"], r["held_out"]) for r in again.collect()) == got
     # one scalar recursion over the whole text, word by word
     docs = table(spark, SF, "documents").select("doc_id", "text")
-    drawn = toxcrf.draw_labels(table(spark, SF, "labels").where(~held_out()))
-    field = toxcrf.fit(docs.join(drawn, "doc_id"), key=F.xxhash64("doc_id"))
+    labels = table(spark, SF, "labels").where(~held_out())
+    field = toxcrf.fit(docs.join(toxcrf.draw_labels(labels), "doc_id"), key=F.xxhash64("doc_id"), shares=toxcrf.label_counts(labels))
     scores = {r[0]: r[1] for r in got}
     for d, text in texts(docs)[:40]:
         assert abs(plain_score(field, text or "") - scores[d]) < 1e-6
@@ -172,7 +172,7 @@ def plain_score(field, text):
         w = t @ (g * back[-1])
         back.append(w / w.sum())
     certain = sum((a[1] * b[1] / (a @ b)) ** 2 for a, b in zip(ahead, back[::-1]))
-    return 1 / (1 + np.exp(-(field.curve[0] + field.curve[1] * np.log1p(10 * certain))))
+    return 1 / (1 + np.exp(-(field.curve[0] + field.curve[1] * toxcrf.density(certain, len(gain)))))
 
 
 def test_warc_query(spark):
