@@ -20,7 +20,7 @@ first occurrence of a window is never inside a long repeat's later copies, so co
 windows is exact. Pairs and windows are verified by a second, independent hash of the words that
 they span: two that are taken for equal agree in 96 bits, 64 of the name and 32 of the words.
 Low symbols only sift, so 64 bits do there. Tables of symbols are combined before they are
-shuffled; a symbol that a third of all documents hold is one row per document there, and joins meet
+shuffled, and texts are compressed before they meet their symbols; a symbol that a third of all documents hold is one row per document there, and joins meet
 it with a table of one row for each symbol, which Spark can split. The last step gets the places to
 cut and parses nothing.
 
@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,14 +264,34 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.repeat(np.arange(len(column)), pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
 
 
+def _compress(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """The texts as zstd frames, which are smaller than what the shuffle's own compression makes of them."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for part in byte_slices([batch], text_col):
+            at = part.schema.get_field_index(text_col)
+            texts = [None if x is None else packer.compress(x) for x in part.column(text_col).cast(pa.binary()).to_pylist()]
+            yield part.set_column(at, text_col, pa.array(texts, pa.binary()))
+
+
+def _compressed(df: DataFrame, text_col: str) -> DataFrame:
+    out = ", ".join(f"`{f.name}` {'binary' if f.name == text_col else f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(lambda batches: _compress(batches, text_col), out)
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    unpacker = zstandard.ZstdDecompressor()
+    return [b"" if x is None else unpacker.decompress(x) for x in column.to_pylist()]
+
+
 def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """(key, tag, place): windows to compare, and without a key spans that are known to be repeats.
 
     A window's tag is its check and its place in the text, a span's its length and its place.
     """
     for batch in batches:
-        for part in byte_slices([batch], "text", _SLICE):
-            ids, texts = part.column("_place").to_numpy(), raw_texts(part.column("text"))
+        for part in byte_slices([batch], "text", _SLICE // 2):
+            ids, texts = part.column("_place").to_numpy(), _unpacked(part.column("text"))
             names, docs, _ = word_names(texts)
             s = _symbols(names, docs, window)
             origin = np.searchsorted(docs, docs)  # where a word's document begins
@@ -300,8 +321,8 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 def _cut(batches: Iterator[pa.RecordBatch], text_col: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in byte_slices([batch], text_col, 4 * _SLICE):
-            texts = raw_texts(part.column(text_col))
+        for part in byte_slices([batch], text_col, 2 * _SLICE):
+            texts = _unpacked(part.column(text_col))
             split = [t.split() for t in texts]
             counts = np.array([len(w) for w in split], np.int64)
             first = np.cumsum(counts) - counts
@@ -316,8 +337,8 @@ def _cut(batches: Iterator[pa.RecordBatch], text_col: str, keep_text: bool) -> I
                 kept.append(b" ".join(words))
             columns = {c: part.column(c) for c in part.schema.names if c != "_spans"}
             if keep_text:
-                own = part.column(text_col)
-                columns[text_col] = pa.array([k.decode() if r else own[i].as_py() for i, (k, r) in enumerate(zip(kept, removed.tolist()))], pa.string())
+                own = [None if null else t for t, null in zip(texts, part.column(text_col).is_null().to_pylist())]
+                columns[text_col] = pa.array([k if r else t for k, t, r in zip(kept, own, removed.tolist())], pa.binary()).cast(pa.string())
             else:
                 del columns[text_col]
             columns |= {
@@ -354,7 +375,7 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", window=WINDO
     symbols, symbols_path = stored(texts.mapInArrow(lambda b: _emit_symbols(b, window), "key long, check long, place long"), "symbols")
     found = symbols.join(_shared(symbols), ["key", "check"]).where("key % 2 = 0 or place > first_place")
     flags = found.groupBy("place").agg(F.collect_set("key").alias("flags"))
-    some = texts.join(flags, texts["_place"] == flags["place"]).select("_place", "text", "flags")
+    some = _compressed(texts, "text").join(flags, F.col("_place") == F.col("place")).select("_place", "text", "flags")
     found = staged(some.mapInArrow(lambda b: _emit_windows(b, window), "key long, tag long, place long"), "windows")
     drop_path(df.sparkSession, symbols_path)
     windows = found.where("key is not null").select("key", F.shiftright("tag", 32).alias("check"), "place", "tag")
@@ -363,7 +384,7 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", window=WINDO
     spans = later.unionByName(found.where("key is null").select("place", F.col("tag").alias("span")))
     spans = spans.groupBy(F.col("place").alias("_of")).agg(F.collect_list("span").alias("_spans"))
     names = [c for c in rows.columns if c != "_place"]
-    marked = rows.join(spans, F.col("_place") == F.col("_of"), "left").select(*names, "_spans")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields[:-1] if keep_text or f.name != text_col)
+    marked = _compressed(rows, text_col).join(spans, F.col("_place") == F.col("_of"), "left").select(*names, "_spans")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names and (keep_text or f.name != text_col))
     out += ", n_words long, n_removed long, kept_sha256 string"
     return marked.mapInArrow(lambda b: _cut(b, text_col, keep_text), out)
