@@ -6,8 +6,8 @@ text (code fences, a longest common subsequence) is a small Arrow function.
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,32 +16,90 @@ from pyspark.sql import types as T
 
 from .text import escape_html, host, host_matches
 
-_INLINE = re.compile(r"([\\`*_\[\]<>])")
-_LINE_START = re.compile(r"^(\s*)(#{1,6}(?=\s|$)|[-+](?=\s|$)|=+\s*$|-{3,}\s*$|~{3,})")
-_NUMBERED = re.compile(r"^(\s*\d{1,9})([.)])(?=\s|$)")
+#: The characters that Markdown reads as formatting anywhere in a line. They are escaped by a backslash.
+MARKS = "\\`*_$[]~&|<@"
+#: What stands in for the space that an indented line begins with.
+SPACE_ENTITY = "&#32;"
+#: Noncharacters that a parser puts around a rebuilt formula.
+FORMULA_BEGIN, FORMULA_END, FORMULA = "\ufdd0", "\ufdd1", "\ufdd2"
 
+_ESCAPES = str.maketrans({c: "\\" + c for c in MARKS})
 
-def escape_markdown_text(text: str) -> str:
-    """``text`` so that Markdown shows it as it is; lines inside ``` fences stay."""
-    out, fenced = [], False
+
+def _fence_of(line: str) -> str:
+    """The run of three or more ` or ~ that opens or closes a code block here, else nothing."""
+    body = line.lstrip(" ")
+    run = body[: len(body) - len(body.lstrip(body[:1]))] if body[:1] in ("`", "~") else ""
+    return run if len(run) >= 3 and len(line) - len(body) <= 3 else ""
+
+
+def _lines(text: str) -> Iterator[tuple[str, bool]]:
+    """The lines of a text, and whether each belongs to a fenced code block, its fences included."""
+    opened = ""
     for line in text.split("\n"):
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-            out.append(line)
-        elif fenced:
-            out.append(line)
-        else:
-            line = _INLINE.sub(r"\\\1", line)
-            line = _LINE_START.sub(r"\1\\\2", line)
-            line = _NUMBERED.sub(r"\1\\\2", line)
-            out.append(re.sub(r"^(?: {4,}|\t)", " ", line))
-    return "\n".join(out)
+        run = _fence_of(line)
+        yield line, bool(opened or run)
+        if not opened:
+            opened = run
+        elif run.startswith(opened):
+            opened = ""
+
+
+def _escaped_marker(body: str) -> str:
+    """A line without its leading space, with a backslash before what makes it a heading, quote or item."""
+    word = body.split(None, 1)[0] if body else ""
+    whole = word == body
+    heading = 0 < len(word) <= 6 and not word.strip("#")
+    item = word in ("-", "+") and not whole
+    if body.startswith(">") or heading or item:
+        return "\\" + body
+    if word[:-1].isdecimal() and word[-1] in ".)" and not whole:
+        return word[:-1] + "\\" + body[len(word) - 1 :]
+    return body
+
+
+def _as_prose(line: str) -> str:
+    body = line.lstrip()
+    pad = line[: len(line) - len(body)]
+    if body and len(pad) <= 3 and not body.rstrip().strip("-="):  # would underline a heading
+        return pad + "\\" + body
+    body = body.translate(_ESCAPES)
+    body = re.sub(r"(?i)\b(?:(?:https?|ftp)(?=://)|www(?=\.))", r"\g<0>\\", body)  # bare addresses become links
+    if pad.startswith(("\t", "    ")):
+        return SPACE_ENTITY + pad[1:] + body
+    return pad + _escaped_marker(body)
+
+
+def escape_markdown_text(text: str) -> str:
+    """``text`` so that Markdown shows it as it is; fenced code blocks stay as they are."""
+    return "\n".join(line if fenced else _as_prose(line) for line, fenced in _lines(text))
+
+
+def escape_markdown_formulas(text: str) -> str | None:
+    """The same for a text with marked formulas, which come out as $...$.
+
+    Null if the marks do not pair up or a formula stands in a code block.
+    """
+    prose, *rest = text.split(FORMULA_BEGIN)
+    formulas = []
+    for part in rest:
+        formula, mark, after = part.partition(FORMULA_END)
+        if not mark or FORMULA_END in after:
+            return None
+        formulas.append(formula)
+        prose += FORMULA + after
+    if FORMULA_END in text.split(FORMULA_BEGIN)[0] or any(fenced and FORMULA in line for line, fenced in _lines(prose)):
+        return None
+    first, *others = escape_markdown_text(prose).split(FORMULA)
+    return first + "".join(f"${f}${x}" for f, x in zip(formulas, others))
+
 
+def escape_markdown(text: Column, formulas: bool = False) -> Column:
+    escape_one = escape_markdown_formulas if formulas else escape_markdown_text
 
-def escape_markdown(text: Column) -> Column:
     @F.pandas_udf(T.StringType())
     def escape(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else escape_markdown_text(t))
+        return texts.map(lambda t: None if t is None else escape_one(t))
 
     return escape(text)
 
@@ -79,43 +137,110 @@ def data_uri(text: Column) -> Column:
     return F.when((mime != "") & content.isNotNull(), F.struct(mime.alias("mime"), content.alias("content")))
 
 
-def word_difference(old: str, new: str) -> list[dict[str, str]]:
-    """Words of both texts by a longest common subsequence, where case and marks do not count."""
-    a, b = old.split(), new.split()
-    x, y = ([re.sub(r"[\W_]+", "", w).lower() for w in s] for s in (a, b))
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+class CommonSubsequence:
+    """Lengths of the longest common subsequences of all ends of two lists.
+
+    A row of the table is one integer, whose bits tell where the length does not grow (the
+    bit-parallel algorithm of Crochemore and others, 2001). Only every so many rows are kept and those
+    between are worked out again, so two lists of n and m words take about m * sqrt(n) / 4 bytes.
+    """
+
+    def __init__(self, a: list[str], b: list[str]):
+        self.a, self.n, self.m = a, len(a), len(b)
+        self.all = (1 << self.m) - 1
+        self.places: dict[str, int] = {}
+        for j, word in enumerate(reversed(b)):
+            self.places[word] = self.places.get(word, 0) | 1 << j
+        self.step = max(1, int(self.n**0.5))
+        self.kept = [self.all]  # the rows of the last 0, step, 2 * step, ... words of a
+        row = self.all
+        for i, word in enumerate(reversed(a), 1):
+            row = self._next(row, word)
+            if i % self.step == 0:
+                self.kept.append(row)
+        self.block, self.rows = -1, [self.all]
+
+    def _next(self, row: int, word: str) -> int:
+        hit = row & self.places.get(word, 0)
+        return (row + hit | row - hit) & self.all
+
+    def length(self, i: int, j: int) -> int:
+        """Of a from i on and b from j on."""
+        block, inside = divmod(self.n - i, self.step)
+        if block != self.block:
+            self.block, self.rows = block, [self.kept[block]]
+        while len(self.rows) <= inside:
+            self.rows.append(self._next(self.rows[-1], self.a[self.n - block * self.step - len(self.rows)]))
+        size = self.m - j
+        return size - (self.rows[inside] & (1 << size) - 1).bit_count()
+
+
+def _bare(word: str) -> str:
+    """A word in lower case without the marks around it; those inside count."""
+    marks = [i for i, c in enumerate(word) if c.isalnum()]
+    return word[marks[0] : marks[-1] + 1].lower() if marks else ""
+
+
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; of several, the one that leaves out words of ``a`` first."""
+    table = CommonSubsequence(a, b)
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and x[i] == y[j]:
-            out.append({"text": b[j], "kind": "same"})
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append({"text": a[i], "kind": "removed"})
+        elif table.length(i + 1, j) >= table.length(i, j + 1):
             i += 1
         else:
-            out.append({"text": b[j], "kind": "added"})
             j += 1
     return out
 
 
+def word_difference(old: str, new: str) -> dict[str, list[dict[str, str]]]:
+    """The tokens of both sides, white space among them, each with its kind: same, removed or added.
+
+    Words are compared without case and the marks around them.
+    """
+    sides = [[t for t in re.split(r"(\s+)", text) if t] for text in (old, new)]
+    places = [[i for i, t in enumerate(side) if not t.isspace()] for side in sides]
+    pairs = _matches(*[[_bare(side[i]) for i in place] for side, place in zip(sides, places)])
+    out = []
+    for k, (side, place, kind) in enumerate(zip(sides, places, ("removed", "added"))):
+        other = set(place) - {place[pair[k]] for pair in pairs}
+        out.append([{"text": t, "kind": kind if i in other else "same"} for i, t in enumerate(side)])
+    return {"existing": out[0], "candidate": out[1]}
+
+
+_TOKENS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())]))
+
+
 def word_diff(old: Column, new: Column) -> Column:
-    """array of (text, kind) of two question texts; kind is same, removed or added."""
-    kind = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())]))
+    """(existing, candidate): the tokens (text, kind) of two question texts; null is an empty text."""
 
-    @F.udf(kind, useArrow=True)
-    def diff(a: str | None, b: str | None) -> list[dict[str, str]]:
-        return word_difference(a or "", b or "")
+    @F.pandas_udf(T.StructType([T.StructField("existing", _TOKENS), T.StructField("candidate", _TOKENS)]))
+    def diff(olds: pd.Series, news: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([word_difference(a or "", b or "") for a, b in zip(olds, news)], columns=["existing", "candidate"])
 
     return diff(old, new)
 
 
-def unified_diff(old: Column, new: Column) -> Column:
-    @F.pandas_udf(T.StringType())
+def line_hunks(old: str, new: str) -> list[dict[str, object]]:
+    """Runs of lines that differ: where they begin on either side (from 1), and the lines of each."""
+    a, b = old.splitlines(), new.splitlines()
+    out, i, j = [], 0, 0
+    for x, y in [*_matches(a, b), (len(a), len(b))]:
+        if x > i or y > j:
+            out.append({"old_start": i + 1, "new_start": j + 1, "removed": a[i:x], "added": b[j:y]})
+        i, j = x + 1, y + 1
+    return out
+
+
+def line_diff(old: Column, new: Column) -> Column:
+    """The hunks (old_start, new_start, removed, added) between two versions of an artifact; null is empty."""
+    kind = "array<struct<old_start:int,new_start:int,removed:array<string>,added:array<string>>>"
+
+    @F.pandas_udf(kind)
     def diff(olds: pd.Series, news: pd.Series) -> pd.Series:
-        pairs = zip(olds.fillna(""), news.fillna(""))
-        return pd.Series(["\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), "old", "new", lineterm="")) for a, b in pairs])
+        return pd.Series([line_hunks(a or "", b or "") for a, b in zip(olds, news)])
 
     return diff(old, new)

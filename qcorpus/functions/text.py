@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,23 +34,53 @@ def normalize_text(text: Column, compose: bool = True) -> Column:
     return F.trim(F.regexp_replace(spaced, r"[^\p{L}\p{M}\p{N}\s]", ""))
 
 
-def code_points(text: Column) -> Column:
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
+def _hashes(texts: list[str]) -> list[str]:
+    """The djb2-xor hash of the code points, modulo 2**32, in lower-case base 36.
+
+    All texts take a step at a time, the longest first, so that a step is one operation on an array.
+    """
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    sizes = np.array([len(texts[i]) for i in order], np.int64)
+    points = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le"), np.uint32)
+    starts = np.cumsum(sizes) - sizes
+    state = np.full(len(texts), 5381, np.uint32)
+    busy = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), "right")  # texts of a length at least
+    steps = int(np.searchsorted(-busy, -_FEW, "right")) if len(busy) else 0
+    for i in range(steps):
+        k = busy[i]
+        state[:k] = state[:k] * np.uint32(33) ^ points[starts[:k] + i]
+    for r in range(int(np.searchsorted(-sizes, -steps, "left"))):  # the few that are longer
+        value = int(state[r])
+        for c in points[starts[r] + steps : starts[r] + sizes[r]].tolist():
+            value = value * 33 & 0xFFFFFFFF ^ c
+        state[r] = value
+    out = [""] * len(texts)
+    for i, value in zip(order, state.tolist()):
+        out[i] = np.base_repr(value, 36).lower()
+    return out
+
+
+#: So few texts at a time are hashed one by one.
+_FEW = 24
+
+
+@F.pandas_udf(T.StringType())
+def content_hash(normalized: pd.Series) -> pd.Series:
+    known = normalized.notna()
+    out = pd.Series([None] * len(normalized), dtype=object)
+    out[known.to_numpy()] = _hashes(normalized[known].tolist())
+    return out
 
 
-def content_hash(normalized: Column) -> Column:
-    """The djb2-xor hash of the code points, modulo 2**32, in lower-case base 36."""
-    total = F.aggregate(
-        code_points(normalized), F.lit(5381).cast("long"),
-        lambda a, c: (a * F.lit(33).cast("long")).bitwiseXOR(c).bitwiseAND(F.lit(4294967295)),
-    )
-    return F.lower(F.conv(total.cast("string"), 10, 36))
+def text_digest(normalized: Column) -> Column:
+    """SHA-256 of a text: what equal texts are grouped by, so that texts themselves are not shuffled."""
+    return F.unhex(F.sha2(normalized.cast("binary"), 256))
 
 
 #: The number words that count as numbers in a question.
 NUMBER_WORDS = (
     "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
+    "first", "second", "third", "fourth", "fifth", "single", "double", "triple", "once", "twice",
 )
 
 
@@ -87,13 +118,15 @@ def slugify(text: Column) -> Column:
 
 
 def humanize(slug: Column) -> Column:
-    return F.initcap(F.translate(slug, "-", " "))
+    return F.initcap(F.translate(slug, "-_", "  "))
 
 
 def strip_boilerplate(text: Column, lines: tuple[str, ...]) -> Column:
-    """Drop lines that begin with one of ``lines``, then runs of blank lines."""
-    pattern = r"(?im)^\s*(?:" + "|".join(lines) + r").*$"
-    return F.trim(F.regexp_replace(F.regexp_replace(text, pattern, ""), r"\n{3,}", "\n\n"))
+    """An explanation without lines that begin with one of ``lines``; null if nothing, or a lone heading, is left."""
+    pattern = r"(?im)^[ \t]*(?:" + "|".join(lines) + r")\b[^\n]*$"
+    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, pattern, ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    left = F.regexp_replace(left, r"^\s+|\s+$", "")
+    return F.when((left != "") & ~left.rlike(r"(?i)^rationale:\s*$"), left)
 
 
 def labelled_section(text: Column, label: str, stops: tuple[str, ...]) -> Column:

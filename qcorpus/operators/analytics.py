@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import text_digest
+
 
 def since_days(df: DataFrame, at: str, days: int, anchor: Column | None = None) -> DataFrame:
     """Rows of the last ``days`` days before ``anchor``, by default the latest row of the table."""
@@ -51,11 +53,11 @@ def session_scores(answers: DataFrame, session: str, status: Column, answered: C
 
 
 def novelty(batch: DataFrame, existing: DataFrame, text: str) -> DataFrame:
-    """Distinct texts of a batch by whether they exist already; blanks do not count."""
-    own = batch.select(text).where(F.col(text) != "").distinct()
-    known = existing.select(text).distinct().withColumn("_known", F.lit(True))
-    marked = own.join(known, text, "left")
-    return marked.agg(F.count_if(F.col("_known").isNull()).alias("new_count"), F.count_if(F.col("_known")).alias("existing_count"))
+    """Distinct texts of a batch by whether they exist already, by their digests; blanks do not count."""
+    digest = text_digest(F.col(text)).alias("digest")
+    own = batch.where(F.col(text) != "").select(digest).distinct()
+    known = existing.where(F.col(text) != "").select(digest).distinct().withColumn("_known", F.lit(True))
+    return own.join(known, "digest", "left").agg(F.count_if(F.col("_known").isNull()).alias("new_count"), F.count_if(F.col("_known")).alias("existing_count"))
 
 
 def rule_counts(df: DataFrame, rules: dict[str, Column], *keys: str) -> DataFrame:
@@ -63,3 +65,19 @@ def rule_counts(df: DataFrame, rules: dict[str, Column], *keys: str) -> DataFram
     counted = df.groupBy(*keys).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(r) for r, c in rules.items()])
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in rules]))
     return counted.select(*keys, pairs.alias("_p")).select(*keys, "_p.rule", "_p.n").where("n > 0")
+
+
+def issue_counts(items: DataFrame, keys: list[str], issues: str) -> DataFrame:
+    """Items with each code in their JSON array of issues: keys, code, n; a code counts once for an item."""
+    codes = F.array_distinct(F.transform(F.from_json(issues, "array<struct<code:string>>"), lambda i: i["code"]))
+    return items.select(*keys, F.explode(codes).alias("code")).groupBy(*keys, "code").agg(F.count("*").alias("n"))
+
+
+def status_and_issue_summary(items: DataFrame, keys: list[str], status: str, issues: str, held: str) -> DataFrame:
+    """keys, total, by_status and by_issue: counts as maps, of issues over the items in status ``held``."""
+    as_map = lambda name: F.map_from_entries(F.collect_list(F.struct(name, "n")))
+    by_status = items.groupBy(*keys, status).agg(F.count("*").alias("n"))
+    by_status = by_status.groupBy(*keys).agg(F.sum("n").alias("total"), as_map(status).alias("by_status"))
+    by_issue = issue_counts(items.where(F.col(status) == held), keys, issues).groupBy(*keys).agg(as_map("code").alias("by_issue"))
+    none = F.create_map().cast("map<string,bigint>")
+    return by_status.join(by_issue, keys, "left").withColumn("by_issue", F.coalesce("by_issue", none))

@@ -72,11 +72,15 @@ def flag_states(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
     return defaults.join(o, "key", "left").select("key", F.coalesce("_set", "enabled").alias("enabled"))
 
 
+#: Patterns are looked up by so many of their first characters.
+_ANCHOR = 8
+
+
 def match_registered(names: DataFrame, registered: DataFrame) -> DataFrame:
     """Registered slug for (name, url): by slug, else by code inside the name, else by URL pattern.
 
-    ``registered`` is a dimension of (slug, code, url_pattern); patterns are substrings, which no
-    equi-join can find, so they are tested where Spark deems the dimension small enough to broadcast.
+    ``registered`` is a dimension of (slug, code, url_pattern). Patterns are substrings: the pieces of a URL
+    that are as long as a pattern's first characters are joined to them by equality, then the whole is tested.
     """
     from ..functions.text import slugify
 
@@ -84,7 +88,12 @@ def match_registered(names: DataFrame, registered: DataFrame) -> DataFrame:
     by_slug = registered.select(F.col("slug").alias("_slug"), F.col("slug").alias("s1")).distinct()
     by_code = registered.where("code is not null").groupBy(F.upper("code").alias("_code")).agg(F.min("slug").alias("s2"))
     found = keyed.join(by_slug, "_slug", "left").join(by_code, "_code", "left")
-    patterns = registered.where("url_pattern is not null and url_pattern <> ''").select("url_pattern", F.col("slug").alias("s3"))
+    patterns = registered.where("url_pattern is not null and url_pattern <> ''").select("url_pattern", F.col("slug").alias("s3"), F.substring("url_pattern", 1, _ANCHOR).alias("_piece"))
     rest = found.where("s1 is null and s2 is null and url is not null").select("url").distinct()
-    by_url = rest.join(patterns, F.contains(F.col("url"), F.col("url_pattern"))).groupBy("url").agg(F.min("s3").alias("s3"))
+    sizes = F.array(*[F.lit(n) for n in range(1, _ANCHOR + 1)])
+    rest = rest.select("url", F.explode(sizes).alias("_n")).where(F.col("_n") <= F.length("url"))
+    known = patterns.select(F.length("_piece").alias("_n")).distinct()
+    starts = F.sequence(F.lit(1), F.length("url") - F.col("_n") + 1)
+    pieces = rest.join(known, "_n", "left_semi").select("url", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("url", i, F.col("_n"))))).alias("_piece"))
+    by_url = pieces.join(patterns, "_piece").where(F.contains("url", "url_pattern")).groupBy("url").agg(F.min("s3").alias("s3"))
     return found.join(by_url, "url", "left").select("name", "url", F.coalesce("s1", "s2", "s3").alias("slug"))

@@ -124,26 +124,33 @@ def join_by_number(blocks: DataFrame, rows: DataFrame, number: str, tie: list[st
     return both.select(number, state.alias("state"), (F.coalesce("block_count", F.lit(0)) > 1).alias("block_repeated"), (F.coalesce("row_count", F.lit(0)) > 1).alias("row_repeated"))
 
 
+#: Characters that keys print for a minus sign.
+MINUS_SIGNS = "\u2212\u2013\u2012\ufe63"
+
+
 def answer_value(kind: Column, raw: Column) -> Column:
     """Struct of an answer key's value by question type (MCQ, MSQ, NAT), with ``error`` where it does not fit.
 
-    A numerical key has all its ``ranges`` of lo and hi, in order.
+    A choice has its ``keys`` of A to D as they are given, once each; a numerical key has all its
+    ``ranges``, written "lo to hi" and joined by OR. "MTA" gives marks to all.
     """
-    text = F.trim(F.upper(raw))
-    keys = F.array_sort(F.array_distinct(F.split(F.regexp_replace(text, r"[\s,;]+", ";"), ";")))
-    number = r"[+-]?\d+(?:\.\d+)?"
-    bounds = lambda part: [F.regexp_extract(part, rf"^({number})(?:\s*(?:TO|-|:)\s*({number}))?$", i).try_cast("double") for i in (1, 2)]
-    ranges = F.transform(F.split(text, r"\s*(?:OR|;)\s*"), lambda part: F.struct(bounds(part)[0].alias("lo"), F.coalesce(*reversed(bounds(part))).alias("hi")))
-    to_all = text.rlike(r"^(MTA|MARKS TO ALL)$")
-    nat_ok = text.rlike(r"^[+-]?\d+(\.\d+)?(\s*(TO|-|:)\s*[+-]?\d+(\.\d+)?)?(\s*(OR|;)\s*[+-]?\d+(\.\d+)?(\s*(TO|-|:)\s*[+-]?\d+(\.\d+)?)?)*$")
+    text = F.trim(F.regexp_replace(F.translate(raw, MINUS_SIGNS, "-" * len(MINUS_SIGNS)), r"\s+", " "))
+    keys = F.transform(F.split(text, "[;,]"), lambda k: F.upper(F.trim(k)))
+    span = r"^(-?\d+(?:\.\d+)?)\s*to\s*(-?\d+(?:\.\d+)?)$"
+    parts = F.split(text, r"(?i)\s+OR\s+")
+    ranges = F.transform(parts, lambda p: F.struct(*[F.regexp_extract(F.trim(p), span, i).try_cast("double").alias(n) for i, n in ((1, "lo"), (2, "hi"))]))
+    to_all = F.upper(text) == "MTA"
     error = (
-        F.when(to_all, F.lit(None).cast("string")).when((kind == "MCQ") & ~text.rlike(r"^[A-E]$"), "not one option")
-        .when((kind == "MSQ") & ~text.rlike(r"^[A-E]([\s,;]+[A-E])*$"), "not a set of options")
-        .when((kind == "NAT") & ~F.coalesce(nat_ok, F.lit(False)), "not a number or range").when(~kind.isin("MCQ", "MSQ", "NAT"), "unknown type")
+        F.when(to_all, F.lit(None).cast("string")).when(~F.coalesce(kind.isin("MCQ", "MSQ", "NAT"), F.lit(False)), "unknown type")
+        .when((kind == "NAT") & F.exists(ranges, lambda r: r["lo"].isNull()), "not ranges")
+        .when((kind == "NAT") & F.exists(ranges, lambda r: r["lo"] > r["hi"]), "a range is upside down")
+        .when((kind != "NAT") & F.exists(keys, lambda k: ~k.isin("A", "B", "C", "D")), "not options")
+        .when((kind != "NAT") & (F.size(F.array_distinct(keys)) < F.size(keys)), "an option is repeated")
+        .when((kind == "MCQ") & (F.size(keys) > 1), "more than one option")
+        .when(text.isNull(), "no key")
     )
-    good = error.isNull() & ~to_all
+    good = error.isNull() & ~F.coalesce(to_all, F.lit(False))
     return F.struct(
-        F.when(good & kind.isin("MCQ", "MSQ"), keys).alias("keys"),
-        F.when(good & (kind == "NAT"), ranges).alias("ranges"),
-        to_all.alias("marks_to_all"), error.alias("error"),
+        F.when(good & kind.isin("MCQ", "MSQ"), keys).alias("keys"), F.when(good & (kind == "NAT"), ranges).alias("ranges"),
+        F.coalesce(to_all, F.lit(False)).alias("marks_to_all"), error.alias("error"),
     )

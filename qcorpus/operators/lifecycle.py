@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .catalog import latest_per_key
+from .merge import merge_upsert
 
 
 def classify_changes(stored: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -61,11 +61,6 @@ def record_intake(stored: DataFrame, items: DataFrame, keys: list[str]) -> DataF
     )
 
 
-def canonical_hash(*columns: Column) -> Column:
-    """SHA-256 of the JSON of a struct whose fields are given in sorted order."""
-    return F.sha2(F.to_json(F.struct(*columns)).cast("binary"), 256)
-
-
 def resolve_duplicate(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     """Apply (id, decision) to reviews (id, status): only pending ones change, to an allowed decision."""
     d = decisions.select("id", "decision")
@@ -75,12 +70,67 @@ def resolve_duplicate(pending: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def finalize_jobs(stages: DataFrame) -> DataFrame:
-    """Status of each job from its stages (job, position, stage, status, error), errors joined in order."""
-    failed, done, n = F.count_if(F.col("status") == "failed"), F.count_if(F.col("status") == "completed"), F.count("*")
-    status = F.when(failed == 0, "completed").when(done > 0, "partial").otherwise("failed")
-    errors = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("position", F.concat_ws(": ", "stage", "error").alias("e")))))
-    summary = F.array_join(F.transform(errors, lambda x: x["e"]), "; ")
-    return stages.groupBy("job").agg(n.alias("stages"), status.alias("status"), F.when(summary != "", summary).alias("error_summary"))
+    """Status of each job from its stages (job, position, stage, status, failed_items, error).
+
+    A job failed if no stage completed, and is completed if all did without a failed item; else it is
+    partial. The summary joins the errors of failed stages in order, or without any, for a partial
+    job, the numbers of failed items. A job has a bounded number of stages.
+    """
+    done, n, items = F.count_if(F.col("status") == "completed"), F.count("*"), F.coalesce("failed_items", F.lit(0))
+    status = F.when(done == 0, "failed").when((done == n) & (F.count_if(items > 0) == 0), "completed").otherwise("partial")
+
+    def joined(told: Column, what: Column) -> Column:
+        parts = F.array_sort(F.collect_list(F.when(told, F.struct("position", F.concat("stage", F.lit(": "), what).alias("e")))))
+        return F.nullif(F.array_join(F.transform(parts, lambda x: x["e"]), "; "), F.lit(""))
+
+    errors = joined((F.col("status") == "failed") & (F.col("error") != ""), F.col("error"))
+    counts = joined(items > 0, F.concat(items.cast("string"), F.lit(" item(s) failed")))
+    return stages.groupBy("job").agg(n.alias("stages"), status.alias("status"), errors.alias("_errors"), counts.alias("_counts")).select(
+        "job", "stages", "status", F.coalesce("_errors", F.when(F.col("status") == "partial", F.col("_counts"))).alias("error_summary")
+    )
+
+
+def start_jobs(jobs: DataFrame, started: DataFrame, at: Column) -> DataFrame:
+    """Jobs (id, status, started_at) of which those in ``started`` (id) now run."""
+    return _set_jobs(jobs, started, F.lit(True), status=F.lit("running"), started_at=at)
+
+
+def requeue_interrupted(jobs: DataFrame, job_type: str) -> DataFrame:
+    """Jobs of a run that were running when their worker stopped wait again."""
+    stopped = (F.col("status") == "running") & (F.col("job_type") == job_type) & F.col("run_id").isNotNull()
+    return _changed(jobs, stopped, status=F.lit("queued"), started_at=F.lit(None).cast("timestamp"))
+
+
+def cancel_run(jobs: DataFrame, run_id: str, at: Column) -> DataFrame:
+    """Jobs of a run that have not started are cancelled; those that run finish."""
+    waiting = (F.col("status") == "queued") & (F.col("run_id") == run_id)
+    return _changed(jobs, waiting, status=F.lit("cancelled"), completed_at=at, error_summary=F.lit("Cancelled before it started."))
+
+
+def claim_next(jobs: DataFrame, job_type: str, at: Column) -> DataFrame:
+    """Jobs after a worker has taken the oldest queued one of a run, by (created_at, run_position, id)."""
+    order = F.struct("created_at", "run_position", "id")
+    waiting = (F.col("status") == "queued") & (F.col("job_type") == job_type) & F.col("run_id").isNotNull()
+    first = jobs.where(waiting).agg(F.min(order).alias("first")).select("first.id")
+    return _set_jobs(jobs, first, waiting, status=F.lit("running"), started_at=at)
+
+
+def record_stages(stages: DataFrame, events: DataFrame) -> DataFrame:
+    """Stages (job, stage) from their events (job, stage, at_ms, status, failed_items, error): the last event tells, with the time since the first."""
+    last = F.max_by(F.struct("status", "failed_items", "error"), F.struct("at_ms", "status"))
+    took = F.when(F.col("last.status") != "running", F.col("ended") - F.col("began"))
+    seen = events.groupBy("job", "stage").agg(F.min("at_ms").alias("began"), F.max("at_ms").alias("ended"), last.alias("last"))
+    fresh = seen.select("job", "stage", "last.status", "last.failed_items", "last.error", took.alias("duration_ms"))
+    return merge_upsert(stages, fresh.select(stages.columns), ["job", "stage"])
+
+
+def _changed(jobs: DataFrame, where: Column, **values: Column) -> DataFrame:
+    return jobs.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def _set_jobs(jobs: DataFrame, ids: DataFrame, where: Column, **values: Column) -> DataFrame:
+    marked = jobs.join(ids.select(F.col("id"), F.lit(True).alias("_set")).distinct(), "id", "left")
+    return _changed(marked, where & F.coalesce("_set", F.lit(False)), **values).select(jobs.columns)
 
 
 def trailing_failures(attempts: DataFrame, key: str, at: str, success: Column, tie: str) -> DataFrame:
@@ -115,7 +165,3 @@ def scrape_runs(jobs: DataFrame, limit: int = 20) -> DataFrame:
         F.min("created_at").alias("started_at"), F.count("*").alias("jobs"), F.count_if(done).alias("completed"),
         F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status").isin("queued", "running")).alias("open"),
     ).orderBy(F.desc("started_at"), "run").limit(limit)
-
-
-def append_order(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1)

@@ -17,24 +17,38 @@ def key_rank(status: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in KEY_STATUS]), F.coalesce(status, F.lit("none")))
 
 
+def _component(slug: Column) -> Column:
+    return F.translate(slug, " _", "--")
+
+
+def _period(year: Column, session: Column) -> Column:
+    return F.coalesce(year.cast("string"), F.nullif(session, F.lit("")), F.lit("v1"))
+
+
 def stable_content_id(
     exam: Column, variant: Column, year: Column, session: Column, subject: Column, shift: Column,
-    number: Column, text: Column, options: Column, distinct: Column | None = None,
+    number: Column, text: Column, identity: Column, options: Column | None = None, correct: Column | None = None, distinct: Column | None = None,
 ) -> Column:
-    """Identity by position where a number is known, else by content, told apart by options if asked for."""
-    period = F.coalesce(year.cast("string"), session, F.lit("v1"))
-    head = F.concat_ws("-", exam, variant, period, subject, shift)
-    by_position = F.concat(F.lit("Q"), F.when(F.length(number.cast("string")) > 3, number.cast("string")).otherwise(F.lpad(number.cast("string"), 3, "0")))
-    by_content = F.concat(F.lit("C"), F.substring(F.sha2(normalize_text(text, compose=False).cast("binary"), 256), 1, 16))
-    pairs = F.array_join(F.array_sort(F.transform(options, lambda o: F.concat(o["key"], F.lit("\x1f"), o["text"]))), "\x1e")
-    distinct = F.lit(False) if distinct is None else distinct
-    suffix = F.when(distinct, F.concat(F.lit("-D"), F.substring(F.sha2(pairs.cast("binary"), 256), 1, 8))).otherwise(F.lit(""))
-    own = F.when(number.isNotNull(), by_position).otherwise(by_content)
-    return F.upper(F.concat(head, F.lit("-"), own, suffix))
+    """Identity of a question by its place in a paper or, where ``identity`` is "content", by its text.
+
+    By place it needs a number, else it is null; a sitting (``shift``) is part of the place only. Where
+    ``distinct`` is true the shape, ``options`` and ``correct`` as sorted sets, is part of it too.
+    """
+    head = F.concat_ws("-", *[_component(F.upper(F.trim(c))) for c in (exam, variant, _period(year, session), subject)])
+    digits = number.cast("string")
+    place = F.concat(F.lit("-Q"), F.when(F.length(digits) > 3, digits).otherwise(F.lpad(digits, 3, "0")))
+    sitting = F.when(F.coalesce(shift, F.lit("")) != "", F.concat(F.lit("-"), _component(F.upper(F.trim(shift))))).otherwise(F.lit(""))
+    content = F.concat(F.lit("-C"), F.upper(F.substring(F.sha2(normalize_text(text).cast("binary"), 256), 1, 16)))
+    own = F.concat(head, F.when(identity == "content", content).otherwise(F.concat(sitting, place)))
+    if distinct is None:
+        return own
+    shape = F.concat(F.array_join(options, "\x1f"), F.lit("\x1e"), F.array_join(correct, "\x1f"))
+    return F.when(distinct, F.concat(own, F.lit("-D"), F.upper(F.substring(F.sha2(shape.cast("binary"), 256), 1, 8)))).otherwise(own)
 
 
 def question_set_slug(exam: Column, variant: Column, year: Column, session: Column, subject: Column, shift: Column) -> Column:
-    return F.lower(F.concat_ws("-", exam, variant, F.coalesce(year.cast("string"), session, F.lit("v1")), subject, shift))
+    parts = [exam, variant, _period(year, session), subject, F.nullif(shift, F.lit(""))]
+    return F.concat_ws("-", *[_component(F.lower(c)) for c in parts])
 
 
 def _issue(condition: Column, severity: str, code: str, message: str) -> Column:

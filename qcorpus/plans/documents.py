@@ -49,7 +49,8 @@ def novelty_counts(spark, sf_dir):
 @query(f"""
 WITH n AS (SELECT doc_id, {norm_sql('text')} AS norm FROM documents), w AS (SELECT doc_id, unnest(string_split(norm, ' ')) AS w FROM n)
 SELECT doc_id, count(*) FILTER (regexp_full_match(w, '\\d+')
-  OR w IN ('zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve')) AS n_numbers
+  OR w IN ('zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve',
+    'first', 'second', 'third', 'fourth', 'fifth', 'single', 'double', 'triple', 'once', 'twice')) AS n_numbers
 FROM w GROUP BY doc_id
 """)
 def numbers_in_text(spark, sf_dir):
@@ -83,6 +84,22 @@ def near_dup_items(spark, sf_dir):
     return dedupe.audit(shaped).select("kind", "a.*", *other, "similarity", "options_match", "answer_match")
 
 
+@query(f"""
+WITH r AS (SELECT p_partkey AS id, {norm_sql("p_name || ' ' || p_brand")} AS norm, p_type AS o FROM part), s AS (SELECT norm, o, min(id) AS id FROM r GROUP BY 1, 2),
+t AS (SELECT norm, arg_min(o, id) AS o, min(id) AS id FROM s GROUP BY 1),
+n AS (SELECT a.norm AS x, b.norm AS y, 1 - levenshtein(a.norm, b.norm) / greatest(length(a.norm), length(b.norm))::DOUBLE AS sim FROM t a JOIN t b ON a.id < b.id),
+f AS (SELECT 'exact' AS kind, s.id AS p, r.id AS q, 1.0::DOUBLE AS sim, true AS options_match FROM s JOIN r USING (norm, o) WHERE s.id <> r.id
+UNION ALL SELECT 'same_wording', t.id, s.id, 1.0, false FROM t JOIN s USING (norm) WHERE t.id <> s.id
+UNION ALL SELECT 'similar', u.id, v.id, sim, u.o = v.o FROM n JOIN s u ON u.norm = x JOIN s v ON v.norm = y WHERE sim >= 0.85)
+SELECT kind, least(p, q) AS a, greatest(p, q) AS b, round(sim, 9) AS similarity, options_match FROM f
+""")
+def near_dup_parts(spark, sf_dir):
+    """The audit of part names with their brands: copies, equal names of another type, and similar names."""
+    name = F.concat_ws(" ", "p_name", "p_brand")
+    shaped = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("text"), F.array("p_type").alias("options"), F.array(F.lit("a")).alias("answers"))
+    return dedupe.audit(shaped).select("kind", "a", "b", F.round("similarity", 9).alias("similarity"), "options_match")
+
+
 def benchmark_items(spark, sf_dir):
     """The benchmark as part of a corpus for decisions on conversation turns."""
     none = F.array().cast("array<string>")
@@ -98,7 +115,7 @@ def dedupe_decisions(spark, sf_dir):
     """
     turns = table(spark, sf_dir, "conversations").where("text is not null")
     probes = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.array("role").alias("options"), F.array(F.lit("a")).alias("answers"), "conv_id")
-    corpus = dedupe.representatives(probes.unionByName(benchmark_items(spark, sf_dir)), "conv_id")
+    corpus = probes.unionByName(benchmark_items(spark, sf_dir))
     return dedupe.decide(probes, corpus, apart="conv_id").select("probe", "outcome", "existing", "similarity", "options_match", "answer_match", "suggestion")
 
 
@@ -221,10 +238,7 @@ SELECT source, count(*) AS repeated FROM t JOIN g USING (n) GROUP BY source
 """)
 def exact_candidates(spark, sf_dir):
     """Documents whose text some other has too, by hash and confirmed on the normalised text."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", "text")
-    # copies are counted before texts are matched, so no pair of copies is made
-    texts = docs.groupBy("text").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"))
-    pairs = dedupe.find_exact(texts.select("id", "text"), texts.select("id", "text"))
-    alike = pairs.groupBy(F.col("probe").alias("id")).agg(F.count("*").alias("alike"))
-    repeated = texts.join(alike, "id").where("alike > 1 or copies > 1").select("text")
-    return docs.join(repeated, "text").groupBy("source").agg(F.count("*").alias("repeated"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    probes = docs.select(F.struct("doc_id", "source").alias("id"), "text")
+    found = dedupe.find_exact(probes, docs.select(F.col("doc_id").alias("id"), "text")).where("copies > 1")
+    return found.groupBy(F.col("probe.source").alias("source")).agg(F.count("*").alias("repeated"))

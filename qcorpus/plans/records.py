@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..operators import layout, publish
+from .documents import norm_sql
 from .registry import query, table
 
 
@@ -40,18 +41,23 @@ def quality_gate(spark, sf_dir):
     return checked.select("conv_id", "turn", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"), "valid")
 
 
-@query(r"""
-SELECT doc_id, upper(concat_ws('-', lang, source, 'v1', 'gen')) || '-' || CASE WHEN doc_id % 2 = 0 THEN 'Q' || CASE WHEN doc_id > 999 THEN doc_id::VARCHAR ELSE lpad(doc_id::VARCHAR, 3, '0') END
-  ELSE 'C' || upper(sha256(trim(regexp_replace(trim(regexp_replace(lower(text), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g')), '[^\p{L}\p{M}\p{N}\s]', '', 'g')))[1:16]) END AS stable_id,
-  lower(concat_ws('-', lang, source, 'v1', 'gen')) AS set_slug
-FROM documents
+@query(f"""
+WITH d AS (SELECT *, upper(lang) || '-' || replace(replace(upper(source), ' ', '-'), '_', '-') || '-V1-GEN-SET' AS head, {norm_sql('text')} AS norm FROM documents)
+SELECT doc_id, head || CASE WHEN doc_id % 2 = 1 THEN '-C' || upper(sha256(norm)[1:16])
+    ELSE CASE WHEN doc_id % 4 = 0 THEN '-CS-1' ELSE '' END || '-Q' || CASE WHEN doc_id > 999 THEN doc_id::VARCHAR ELSE lpad(doc_id::VARCHAR, 3, '0') END END
+  || CASE WHEN doc_id % 3 = 0 THEN '-D' || upper(sha256('a' || chr(31) || 'b' || chr(30) || lower(lang))[1:8]) ELSE '' END AS stable_id,
+  lower(lang) || '-' || replace(replace(lower(source), ' ', '-'), '_', '-') || '-v1-gen-set' || CASE WHEN doc_id % 4 = 0 THEN '-cs-1' ELSE '' END AS set_slug
+FROM d
 """)
 def stable_ids(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    no_options = F.array().cast("array<struct<key:string,text:string>>")
-    number = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))
-    stable = publish.stable_content_id(F.col("lang"), F.col("source"), F.lit(None).cast("int"), none, F.lit("gen"), none, number, F.col("text"), no_options)
-    slug = publish.question_set_slug(F.col("lang"), F.col("source"), F.lit(None).cast("int"), none, F.lit("gen"), none)
+    """Documents as questions: even ones by their place, some in a sitting, odd ones by content, every third told apart by its shape."""
+    year, session, subject = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit("gen set")
+    shift = F.when(F.col("doc_id") % 4 == 0, "cs_1")
+    identity = F.when(F.col("doc_id") % 2 == 1, "content").otherwise("position")
+    options = answers.option_set(F.array(F.lit("B!"), F.lit(" a"), F.lit("b")))
+    correct = answers.correct_set(F.lit("text"), F.array().cast("array<string>"), F.array().cast("array<struct<lo:double,hi:double>>"), F.col("lang"))
+    stable = publish.stable_content_id(F.col("lang"), F.col("source"), year, session, subject, shift, F.col("doc_id"), F.col("text"), identity, options, correct, F.col("doc_id") % 3 == 0)
+    slug = publish.question_set_slug(F.col("lang"), F.col("source"), year, session, subject, shift)
     return table(spark, sf_dir, "documents").select("doc_id", stable.alias("stable_id"), slug.alias("set_slug"))
 
 
@@ -126,9 +132,9 @@ def layout_lines(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'A' WHEN '2-HIGH' THEN 'A,C' WHEN '3-MEDIUM' THEN NULL WHEN '5-LOW' THEN NULL ELSE NULL END AS keys,
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'A' WHEN '2-HIGH' THEN 'C,A' WHEN '3-MEDIUM' THEN NULL WHEN '5-LOW' THEN NULL ELSE NULL END AS keys,
   CASE WHEN o_orderpriority = '3-MEDIUM' THEN o_custkey::DOUBLE END AS lo, CASE WHEN o_orderpriority = '3-MEDIUM' THEN (o_custkey + 1)::DOUBLE END AS hi,
-  o_orderpriority = '5-LOW' AS marks_to_all, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') THEN 'not one option' END AS error
+  o_orderpriority = '5-LOW' AS marks_to_all, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') THEN 'not options' END AS error
 FROM orders
 """)
 def answer_key_values(spark, sf_dir):
@@ -145,9 +151,9 @@ SELECT o_orderkey, place::INT AS place, (o_custkey + a)::DOUBLE AS lo, (o_custke
 FROM orders, (VALUES (0, 0, 1), (1, 3, 3), (2, 5, 6)) r(place, a, b)
 """)
 def answer_key_ranges(spark, sf_dir):
-    """The ranges of numerical keys such as '1 to 2 OR 4; 6:7'."""
+    """The ranges of numerical keys such as '1 to 2 OR 4to4 or 6 to 7'."""
     n = [(F.col("o_custkey") + i).cast("string") for i in (0, 1, 3, 5, 6)]
-    raw = F.concat(n[0], F.lit(" to "), n[1], F.lit(" OR "), n[2], F.lit("; "), n[3], F.lit(":"), n[4])
+    raw = F.concat(n[0], F.lit(" to "), n[1], F.lit("  OR "), n[2], F.lit("to"), n[2], F.lit(" or "), n[3], F.lit(" to "), n[4])
     rows = table(spark, sf_dir, "orders").select("o_orderkey", layout.answer_value(F.lit("NAT"), raw).alias("v"))
     return rows.select("o_orderkey", F.posexplode("v.ranges").alias("place", "r")).select("o_orderkey", "place", "r.lo", "r.hi")
 
@@ -263,26 +269,37 @@ def word_diff_turns(spark, sf_dir):
     w = W.partitionBy("conv_id").orderBy("turn", "text")
     turns = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).where("before is not null")
     rows = turns.select("conv_id", "turn", word_diff(F.col("before"), F.col("text")).alias("d"))
-    count = lambda k: F.size(F.filter("d", lambda x: x["kind"] == k)).alias(k)
-    return rows.select("conv_id", "turn", count("same"), count("removed"), count("added"))
+    count = lambda side, k: F.size(F.filter(f"d.{side}", lambda x: (x["kind"] == k) & (F.trim(x["text"]) != "")))
+    return rows.select("conv_id", "turn", count("existing", "same").alias("same"), count("existing", "removed").alias("removed"), count("candidate", "added").alias("added"))
 
 
 @query()
 def artifact_diffs(spark, sf_dir):
-    """Unified differences between pages that follow each other on a host."""
+    """Lines that differ between pages that follow each other on a host."""
     from pyspark.sql import Window as W
 
-    from ..functions.richtext import unified_diff
+    from ..functions.richtext import line_diff
     from ..functions.text import host
 
-    w = W.partitionBy("host").orderBy("page_id")
+    # only ids go through the window; pages are then met by id
     pages = table(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("host"), F.replace("html", F.lit("<p>"), F.lit("\n<p>")).alias("html"))
-    pages = pages.withColumn("before", F.lag("html").over(w)).where("before is not null")
-    return pages.select("page_id", F.length(unified_diff(F.col("before"), F.col("html"))).alias("diff_chars"))
+    ids = pages.select("page_id", F.lag("page_id").over(W.partitionBy("host").orderBy("page_id")).alias("before_id")).where("before_id is not null")
+    old = pages.select(F.col("page_id").alias("before_id"), F.col("html").alias("old"))
+    rows = ids.join(pages.select("page_id", "html"), "page_id").join(old, "before_id")
+    hunks = rows.select("page_id", line_diff(F.col("old"), F.col("html")).alias("h"))
+    lines = lambda side: F.aggregate("h", F.lit(0), lambda n, x: n + F.size(x[side])).alias(side)
+    return hunks.select("page_id", F.size("h").alias("hunks"), lines("removed"), lines("added"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(l, '([\\`*_$\[\]~&|<@])', '\\\1', 'g'), '(?i)\b(https?|ftp)://', '\1\\://', 'g'), '(?i)\b(www)\.', '\1\\.', 'g') AS e FROM l),
+m AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(e, '^(\s*)(#{1,6})(\s|$)', '\1\\\2\3'), '^(\s*)>', '\1\\>'), '^(\s*)([-+])(\s)', '\1\\\2\3'), '^(\s*\d+)([.)])(\s)', '\1\\\2\3') AS m FROM e),
+o AS (SELECT doc_id, i, CASE WHEN regexp_full_match(l, '\s{0,3}[-=]+\s*') THEN regexp_replace(l, '([-=])', '\\\1') WHEN regexp_matches(l, '^(    |\t)') THEN '&#32;' || e[2:] ELSE m END AS o FROM m)
+SELECT doc_id, sha256(string_agg(o, chr(10) ORDER BY i)) AS sha256 FROM o GROUP BY doc_id
+""")
 def markdown_escape(spark, sf_dir):
+    """Documents as Markdown that shows their text. The SQL knows no code fences, which these tables lack."""
     from ..functions.richtext import escape_markdown
 
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(escape_markdown(F.col("text")).cast("binary"), 256).alias("sha256"))
@@ -422,7 +439,7 @@ def publish_flow(spark, sf_dir):
     shaped = checked.select(
         "id", "conv_id", "valid", F.col("question_text").alias("text"), answers.option_set(F.transform("options", lambda o: o["text"])).alias("options"), F.col("correct_keys").alias("answers"))
     valid = shaped.where("valid").drop("valid")
-    stored = dedupe.representatives(valid.unionByName(benchmark_items(spark, sf_dir)), "conv_id")
+    stored = valid.unionByName(benchmark_items(spark, sf_dir))
     decided = dedupe.decide(valid, stored, apart="conv_id")
     actions = publish.publish_batch(shaped.select("id", "valid"), decided)
     return publish.batch_status(actions.join(shaped.select("id", "conv_id"), "id"), "conv_id")

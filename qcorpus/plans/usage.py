@@ -90,21 +90,111 @@ def status_rollup(spark, sf_dir):
 
 
 @query("""
-SELECT user_id, count(*) AS stages,
-  CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN 'completed'
-    WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 'partial' ELSE 'failed' END AS status,
-  string_agg(event_type || ': ' || event_id, '; ' ORDER BY ts, event_id) FILTER (event_type = 'error') AS error_summary
-FROM events GROUP BY user_id
+WITH s AS (
+  SELECT user_id, ts, event_id, event_type AS stage, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'running' ELSE 'completed' END AS status,
+    CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN event_id % 2 ELSE 0 END AS failed_items FROM events WHERE user_id % 2 = 0 OR event_type IN ('view', 'click')
+), j AS (
+  SELECT user_id, count(*) AS stages, count(*) FILTER (status = 'completed') AS done, max(failed_items) AS most,
+    string_agg(stage || ': ' || event_id, '; ' ORDER BY ts, event_id) FILTER (status = 'failed') AS errors,
+    string_agg(stage || ': ' || failed_items || ' item(s) failed', '; ' ORDER BY ts, event_id) FILTER (failed_items > 0) AS items
+  FROM s GROUP BY user_id
+), t AS (SELECT *, CASE WHEN done = 0 THEN 'failed' WHEN done = stages AND most = 0 THEN 'completed' ELSE 'partial' END AS status FROM j)
+SELECT user_id, stages, status, coalesce(errors, CASE WHEN status = 'partial' THEN items END) AS error_summary FROM t
 """)
 def job_finalize(spark, sf_dir):
-    failed = F.col("event_type") == "error"
-    stages = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("job"), F.struct("ts", "event_id").alias("position"), F.col("event_type").alias("stage"),
-        F.when(failed, "failed").otherwise("completed").alias("status"), F.when(failed, F.col("event_id").cast("string")).alias("error"),
+    """A user's events as the stages of a job: errors failed, sign-ups still run, some clicks left an item behind."""
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "failed").when(kind == "signup", "running").otherwise("completed")
+    left = F.when((kind == "click") & (F.col("user_id") % 3 == 0), F.col("event_id") % 2).otherwise(0)
+    # jobs of odd users have views and clicks alone, so that every status occurs
+    events = table(spark, sf_dir, "events").where((F.col("user_id") % 2 == 0) | kind.isin("view", "click"))
+    stages = events.select(
+        F.col("user_id").alias("job"), F.struct("ts", "event_id").alias("position"), kind.alias("stage"), status.alias("status"),
+        left.alias("failed_items"), F.when(kind == "error", F.col("event_id").cast("string")).alias("error"),
     )
     return lifecycle.finalize_jobs(stages).withColumnRenamed("job", "user_id")
 
 
+def _issue_items(spark, sf_dir):
+    """Orders as intake items, the flags and modes of their lines as a JSON array of issues."""
+    issue = F.transform(F.col("flags"), lambda f: F.struct(F.lower(f).alias("code"), F.lit("x").alias("detail")))
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list("l_returnflag")).alias("flags"))
+    items = table(spark, sf_dir, "orders").join(per, "o_orderkey", "left")
+    return items.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("paper"), F.col("o_orderstatus").alias("status"), F.to_json(issue).alias("issues"))
+
+
+#: The same in DuckDB: each order's issues as a JSON array.
+_ITEMS_SQL = """
+WITH f AS (SELECT l_orderkey, to_json(list({'code': lower(l_returnflag), 'detail': 'x'})) AS issues FROM lineitem GROUP BY 1),
+i AS (SELECT o_orderkey AS id, o_orderpriority AS paper, o_orderstatus AS status, issues FROM orders LEFT JOIN f ON l_orderkey = o_orderkey),
+u AS (SELECT DISTINCT id, paper, status, code FROM (SELECT id, paper, status, unnest(from_json(issues, '[{"code":"VARCHAR"}]')).code AS code FROM i))
+"""
+
+
+@query(_ITEMS_SQL + "SELECT paper, code, count(*) AS n FROM u WHERE status = 'F' GROUP BY 1, 2")
+def issue_unnest_counts(spark, sf_dir):
+    """Why held items are held: the codes in their JSON arrays of issues, each once for an item."""
+    return analytics.issue_counts(_issue_items(spark, sf_dir).where("status = 'F'"), ["paper"], "issues")
+
+
+@query(_ITEMS_SQL + """,
+s AS (SELECT paper, sum(n)::BIGINT AS total, string_agg(status || ':' || n, ',' ORDER BY status) AS by_status FROM (SELECT paper, status, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT paper, string_agg(code || ':' || n, ',' ORDER BY code) AS by_issue FROM (SELECT paper, code, count(*) AS n FROM u WHERE status = 'F' GROUP BY 1, 2) GROUP BY 1)
+SELECT paper, total, by_status, by_issue FROM s LEFT JOIN c USING (paper)
+""")
+def intake_summary(spark, sf_dir):
+    """Per paper the items in each status, and those held for each issue."""
+    found = analytics.status_and_issue_summary(_issue_items(spark, sf_dir), ["paper"], "status", "issues", "F")
+    told = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return found.select("paper", "total", told("by_status").alias("by_status"), F.nullif(told("by_issue"), F.lit("")).alias("by_issue"))
+
+
+@query(_ITEMS_SQL + "SELECT paper, count(*) AS items, sum(json_array_length(issues))::BIGINT AS issues FROM i GROUP BY 1")
+def issue_array_lengths(spark, sf_dir):
+    """The lengths of JSON arrays, summed by paper."""
+    items = _issue_items(spark, sf_dir)
+    return items.groupBy("paper").agg(F.count("*").alias("items"), F.sum(F.json_array_length("issues")).alias("issues"))
+
+
+@query("""
+WITH j AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'completed' END AS status, o_orderpriority AS job_type,
+  CASE WHEN o_custkey % 5 > 0 THEN 'r' || o_custkey % 5 END AS run_id, o_orderdate AS created_at FROM orders),
+q AS (SELECT *, CASE WHEN status = 'running' AND job_type = '1-URGENT' AND run_id IS NOT NULL THEN 'queued' ELSE status END AS s1 FROM j),
+c AS (SELECT *, CASE WHEN s1 = 'queued' AND run_id = 'r2' THEN 'cancelled' ELSE s1 END AS s2 FROM q),
+n AS (SELECT id FROM c WHERE s2 = 'queued' AND job_type = '2-HIGH' AND run_id IS NOT NULL ORDER BY created_at, id LIMIT 1)
+SELECT id, CASE WHEN id IN (FROM n) THEN 'running' ELSE s2 END AS status FROM c
+""")
+def job_queue_steps(spark, sf_dir):
+    """A worker starts again: interrupted jobs are requeued, a run is cancelled, and the next job is claimed."""
+    status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("completed")
+    jobs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderpriority").alias("job_type"),
+        F.when(F.col("o_custkey") % 5 > 0, F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string"))).alias("run_id"), F.lit(0).alias("run_position"),
+        F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"), F.lit(None).cast("string").alias("error_summary"))
+    now = F.lit("2024-01-01").cast("timestamp")
+    jobs = lifecycle.cancel_run(lifecycle.requeue_interrupted(jobs, "1-URGENT"), "r2", now)
+    return lifecycle.claim_next(jobs, "2-HIGH", now).select("id", "status")
+
+
+@query("""
+WITH e AS (SELECT user_id AS job, event_type AS stage, min(epoch_ms(ts)) AS began, max(epoch_ms(ts)) AS ended, arg_max(event_id, (epoch_ms(ts), event_id)) AS last FROM events GROUP BY 1, 2)
+SELECT job, stage, CASE WHEN last % 3 = 0 THEN 'running' ELSE 'completed' END AS status, CASE WHEN last % 3 > 0 THEN ended - began END AS duration_ms FROM e
+""")
+def stage_timing(spark, sf_dir):
+    """The stages of jobs from their events: the last one tells the state, and how long the stage took."""
+    status = F.when(F.col("event_id") % 3 == 0, "running").otherwise("completed")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    order = F.struct(at, "event_id")
+    events = table(spark, sf_dir, "events")
+    last = events.groupBy("user_id", "event_type").agg(F.max(order).alias("last"))
+    rows = events.join(last, ["user_id", "event_type"]).withColumn("status", F.when(order == F.col("last"), status).otherwise("running"))
+    events = rows.select(
+        F.col("user_id").alias("job"), F.col("event_type").alias("stage"), at.alias("at_ms"), "status",
+        F.lit(0).alias("failed_items"), F.lit(None).cast("string").alias("error"))
+    none = spark.createDataFrame([], "job long, stage string, status string, failed_items int, error string, duration_ms long")
+    return lifecycle.record_stages(none, events).select("job", "stage", "status", "duration_ms")
+
+
 @query("""
 WITH last AS (SELECT user_id, max((ts, event_id)) FILTER (event_type <> 'error') AS ok FROM events GROUP BY user_id)
 SELECT user_id, count(*) FILTER (event_type = 'error' AND (ok IS NULL OR (ts, event_id) > ok)) AS consecutive_failures

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import host, host_matches
+from ..functions.text import host
 
 LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
 
@@ -29,24 +29,25 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return rows.select("url", target.alias("target")).distinct()
 
 
-def allowed_urls(urls: DataFrame, sources: DataFrame, url_col: str = "url") -> DataFrame:
-    """URLs whose host is, or is below, the host of an enabled source.
+def _suffixes(hosts: DataFrame) -> DataFrame:
+    """(_host, _suffix): a host and each domain that it is or is below, to be joined by equality."""
+    parts = F.split("_host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+    return hosts.select("_host").distinct().withColumn("_suffix", F.explode(ends))
+
 
-    A host's suffixes are joined to the sources by equality, so no pair of all rows is tried.
-    """
+def allowed_urls(urls: DataFrame, sources: DataFrame, url_col: str = "url") -> DataFrame:
+    """URLs whose host is, or is below, the host of an enabled source."""
     named = urls.withColumn("_host", host(F.col(url_col)))
-    parts = F.split("_host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
-    hosts = sources.where("enabled").select(F.col("host").alias("_suffix"), F.lit(True).alias("_ok")).distinct()
-    known = named.select("_host").distinct().withColumn("_suffix", F.explode(suffixes)).join(hosts, "_suffix").select("_host").distinct()
+    hosts = sources.where("enabled").select(F.col("host").alias("_suffix")).distinct()
+    known = _suffixes(named).join(hosts, "_suffix").select("_host").distinct()
     return named.join(known, "_host", "left_semi").drop("_host")
 
 
 def profile_for_url(urls: DataFrame, profiles: DataFrame, url_col: str = "url") -> DataFrame:
     """Add the ``profile`` of the longest host of (host, profile) that matches, else "default"."""
     named = urls.withColumn("_host", host(F.col(url_col)))
-    hosts = named.select("_host").distinct()
-    found = hosts.join(profiles.select(F.col("host").alias("_suffix"), "profile"), host_matches(F.col("_host"), F.col("_suffix")))
+    found = _suffixes(named).join(profiles.select(F.col("host").alias("_suffix"), "profile"), "_suffix")
     best = found.groupBy("_host").agg(F.max_by("profile", F.length("_suffix")).alias("profile"))
     return named.join(best, "_host", "left").withColumn("profile", F.coalesce("profile", F.lit("default"))).drop("_host")
 
@@ -60,10 +61,14 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def retirement_notice(text: Column) -> Column:
-    """The first sentence that says that something was retired, in the past tense; else null."""
-    found = F.regexp_extract(text, r"(?i)([^.!?]*\b(?:was|were|has been|have been)\s+retired\b[^.!?]*[.!?])", 1)
-    return F.when(found != "", F.trim(found))
+def retirement_notice(html: Column) -> Column:
+    """What a page's warning box says of a retirement that has happened, sentence by sentence; else null."""
+    boxes = F.regexp_extract_all(html, F.lit(r"(?is)<div\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?warning(?:\s[^\"']*)?[\"'][^>]*>(.*?)</div"), 1)
+    texts = F.transform(boxes, lambda b: F.regexp_replace(plain_text(b), r"^Warning\s*", ""))
+    told = F.filter(texts, lambda t: t.rlike(r"(?i)\b(?:was|were|is|are|has been|have been)\s+retired\b"))
+    sentences = F.transform(F.regexp_extract_all(F.get(told, F.lit(0)), F.lit(r"[^.!?]+[.!?]?"), 0), lambda s: F.trim(s))
+    notice = F.array_join(F.filter(sentences, lambda s: s.rlike("(?i)retired|replaced by")), " ")
+    return F.when(F.size(told) > 0, F.coalesce(F.nullif(notice, F.lit("")), F.lit("This exam is retired.")))
 
 
 class _Quiz(HTMLParser):

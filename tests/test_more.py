@@ -7,13 +7,22 @@ from qcorpus.streaming import events
 
 
 @pytest.mark.parametrize("raw,shown", [
-    ("a*b_c <d> [e]", r"a\*b\_c \<d\> \[e\]"), ("# head", r"\# head"), ("1. one", r"1\. one"), ("- item", r"\- item"),
-    ("    code", " code"), ("---", r"\---"), ("```\n# kept *as is*\n```\n# not", "```\n# kept *as is*\n```\n\\# not"), ("3.5", "3.5"),
+    ("a*b_c <d> [e]", r"a\*b\_c \<d> \[e\]"), ("$5 ~x~ & | a@b", r"\$5 \~x\~ \& \| a\@b"), ("# head", r"\# head"), ("#tag", "#tag"), ("> q", r"\> q"),
+    ("1. one", r"1\. one"), ("12) y", r"12\) y"), ("1.", "1."), ("- item", r"\- item"), ("-item", "-item"), ("3.5", "3.5"), ("", ""),
+    ("    code", "&#32;   code"), ("\tx", "&#32;x"), ("---", r"\---"), ("  ==- ", r"  \==- "), ("see http://x www.y.z FTP://u awww.x", r"see http\://x www\.y.z FTP\://u awww.x"),
+    ("```\n# kept *as is*\n```\n# not", "```\n# kept *as is*\n```\n\\# not"), ("~~~ py\na*b\n```\n~~~~\n*", "~~~ py\na*b\n```\n~~~~\n\\*"),
+    ("    ```\n*", "&#32;   \\`\\`\\`\n\\*"),
 ])
 def test_markdown_escape(raw, shown):
     assert richtext.escape_markdown_text(raw) == shown
 
 
+def test_markdown_with_formulas(spark):
+    rows = ["a*\ufdd0x^2\ufdd1 \ufdd0y*\ufdd1", "plain*", "a\ufdd0b", "a\ufdd1b\ufdd0c\ufdd1", "```\n\ufdd0b\ufdd1\n```", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r[0] for r in df.select(richtext.escape_markdown(F.col("t"), formulas=True)).collect()] == ["a\\*$x^2$ $y*$", "plain\\*", None, None, None, None]
+
+
 def test_safe_html(spark):
     df = spark.createDataFrame([("<b> & https://e.org/x?a=1\n'q'",)], "t string")
     assert df.select(richtext.safe_html(F.col("t"))).first()[0] == (
@@ -39,14 +48,41 @@ def test_data_uri(spark):
     assert got[0]["mime"] == "image/png" and bytes(got[0]["content"]) == b"hi" and got[1] is None
 
 
-def test_word_difference():
-    got = richtext.word_difference("The quick, brown fox", "the quick red fox jumps")
-    assert [(d["text"], d["kind"]) for d in got] == [("the", "same"), ("quick", "same"), ("brown", "removed"), ("red", "added"), ("fox", "same"), ("jumps", "added")]
-
-
-def test_unified_diff(spark):
-    df = spark.createDataFrame([("a\nb", "a\nc"), (None, "")], "o string, n string")
-    assert [r[0] for r in df.select(richtext.unified_diff(F.col("o"), F.col("n"))).collect()] == ["--- old\n+++ new\n@@ -1,2 +1,2 @@\n a\n-b\n+c", ""]
+@pytest.mark.parametrize("old,new,removed,added", [
+    ("What's the right role for all?", "What's the right level for all?", ["role"], ["level"]), ("What are the two types?", "What are the three types?", ["two"], ["three"]),
+    ("What is the best reason?", "What's the single best reason?", ["What", "is"], ["What's", "single"]), ("Which one would you", "which one (would) you?", [], []), ("", "a  b", [], ["a", "b"]),
+])
+def test_word_difference(old, new, removed, added):
+    got = richtext.word_difference(old, new)
+    words = lambda side, kind: [d["text"] for d in got[side] if d["kind"] == kind]
+    assert (words("existing", "removed"), words("candidate", "added")) == (removed, added)
+    assert "".join(d["text"] for d in got["existing"]) == old and "".join(d["text"] for d in got["candidate"]) == new
+
+
+def test_common_subsequence_equals_the_table():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(25))] for _ in range(2))
+        n, m = len(a), len(b)
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        want, i, j = [], 0, 0
+        while i < n and j < m:
+            if a[i] == b[j]:
+                want.append((i, j))
+            step = (1, 1) if a[i] == b[j] else (1, 0) if best[i + 1][j] >= best[i][j + 1] else (0, 1)
+            i, j = i + step[0], j + step[1]
+        assert richtext._matches(a, b) == want
+
+
+def test_line_diff(spark):
+    df = spark.createDataFrame([("a\nb", "a\nc"), (None, ""), (None, "x"), ("a\nb\nc\nd", "b\nc\ne\nd\nf")], "o string, n string")
+    got = [[tuple(h) for h in r[0]] for r in df.select(richtext.line_diff(F.col("o"), F.col("n"))).collect()]
+    assert got == [[(2, 2, ["b"], ["c"])], [], [(1, 1, [], ["x"])], [(1, 1, ["a"], []), (4, 3, [], ["e"]), (5, 5, [], ["f"])]]
 
 
 def test_position_decisions(spark):

@@ -210,12 +210,64 @@ def test_nearest_column(spark):
     assert rows(layout.nearest_column(cells, headers), "text", "column") == [("c", "no"), ("d", "key")]
 
 
-def test_answer_keys_keep_all_ranges(spark):
-    raw = ["1 to 2 OR 5 to 6", "2 OR 3", "4", "1-2; -3 : -1.5", "1 OR", "MTA"]
-    got = spark.createDataFrame([(r,) for r in raw], "r string").select(layout.answer_value(F.lit("NAT"), F.col("r")).alias("v")).collect()
-    assert [v["ranges"] and [tuple(x) for x in v["ranges"]] for (v,) in got] == [
-        [(1, 2), (5, 6)], [(2, 2), (3, 3)], [(4, 4)], [(1, 2), (-3, -1.5)], None, None]
-    assert [v["error"] is None for (v,) in got] == [True] * 4 + [False, True]
+def test_answer_keys(spark):
+    cases = [
+        ("NAT", "1 to 2 OR 5 to 6", [(1, 2), (5, 6)]), ("NAT", "\u22123  to \u20131.5 or 0to0", [(-3, -1.5), (0, 0)]), ("NAT", "7", None), ("NAT", "5 to 2", None), ("NAT", "1 to 2 OR", None),
+        ("NAT", "2 OR 3", None), ("MCQ", " a ", ["A"]), ("MCQ", "A;B", None), ("MCQ", "E", None), ("MSQ", "c, A", ["C", "A"]), ("MSQ", "A;A", None), ("MSQ", "A B", None), ("XX", "A", None), ("MCQ", None, None),
+    ]
+    df = spark.createDataFrame([c[:2] for c in cases] + [("MSQ", "mta")], "k string, r string")
+    got = [r[0] for r in df.select(layout.answer_value(F.col("k"), F.col("r"))).collect()]
+    assert [v["ranges"] and [tuple(x) for x in v["ranges"]] or v["keys"] for v in got[:-1]] == [c[2] for c in cases]
+    assert [v["error"] is None for v in got] == [c[2] is not None for c in cases] + [True] and [v["marks_to_all"] for v in got] == [False] * len(cases) + [True]
+
+
+@pytest.mark.parametrize("stages,status,summary", [
+    ([("fetch", "completed", 0, None), ("parse", "completed", 0, None)], "completed", None), ([("fetch", "running", 0, None)], "failed", None),
+    ([("fetch", "completed", 0, None), ("parse", "running", 0, None)], "partial", None), ([("fetch", "completed", 2, None), ("parse", "completed", 1, None)], "partial", "fetch: 2 item(s) failed; parse: 1 item(s) failed"),
+    ([("fetch", "completed", 2, None), ("parse", "failed", 0, "no page")], "partial", "parse: no page"), ([("fetch", "failed", 3, "a"), ("parse", "failed", 0, None)], "failed", "fetch: a"),
+])
+def test_job_status(spark, stages, status, summary):
+    df = spark.createDataFrame([("j", i, *s) for i, s in enumerate(stages)], "job string, position int, stage string, status string, failed_items int, error string")
+    assert rows(lifecycle.finalize_jobs(df), "status", "error_summary") == [(status, summary)]
+
+
+def test_job_queue(spark):
+    schema = "id int, status string, job_type string, run_id string, run_position int, created_at int, started_at timestamp, completed_at timestamp, error_summary string"
+    jobs = spark.createDataFrame([(i, s, t, r, p, c, None, None, None) for i, (s, t, r, p, c) in enumerate([
+        ("queued", "a", "r", 2, 1), ("queued", "a", "r", 1, 1), ("running", "a", "q", 0, 0), ("running", "a", None, 0, 0), ("queued", "a", None, 0, 0), ("queued", "b", "q", 0, 5)])], schema)
+    now = F.lit("2024-01-01").cast("timestamp")
+    state = lambda df: [r["status"] for r in df.orderBy("id").collect()]
+    assert state(lifecycle.requeue_interrupted(jobs, "a")) == ["queued", "queued", "queued", "running", "queued", "queued"]
+    assert state(lifecycle.cancel_run(jobs, "q", now)) == ["queued", "queued", "running", "running", "queued", "cancelled"]
+    claimed = lifecycle.claim_next(jobs, "a", now)
+    assert state(claimed) == ["queued", "running", "running", "running", "queued", "queued"] and claimed.where("started_at is not null").count() == 1
+    assert state(lifecycle.start_jobs(jobs, spark.createDataFrame([(4,)], "id int"), now)) == ["queued", "queued", "running", "running", "running", "queued"]
+
+
+def test_content_ids(spark):
+    df = spark.createDataFrame([("gate", "cs_it x", 2025, None, "civil", "cs-1", 7, "What\u2019s it?", "position"), ("gate", "v", None, "may 2", "s", None, 1234, "e\u0301", "content"), ("g", "v", None, None, "s", None, None, "t", "position")],
+                               "e string, v string, y int, l string, s string, h string, n int, t string, i string")
+    c = [F.col(x) for x in "evylshnti"]
+    import hashlib
+
+    shape = hashlib.sha256("a\x1fb\x1ea".encode()).hexdigest()[:8].upper()
+    got = df.select(publish.stable_content_id(*c), publish.stable_content_id(*c, F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a")), F.col("n") == 7), publish.question_set_slug(*c[:6])).collect()
+    content = hashlib.sha256("\u00e9".encode()).hexdigest()[:16].upper()
+    assert [tuple(r) for r in got] == [
+        ("GATE-CS-IT-X-2025-CIVIL-CS-1-Q007", f"GATE-CS-IT-X-2025-CIVIL-CS-1-Q007-D{shape}", "gate-cs-it-x-2025-civil-cs-1"),
+        (f"GATE-V-MAY-2-S-C{content}", f"GATE-V-MAY-2-S-C{content}", "gate-v-may-2-s"), (None, None, "g-v-v1-s")]
+
+
+def test_patterns_in_urls(spark):
+    names = spark.createDataFrame([("Exam One", "https://x/exams/one-long-name?x"), ("other", "https://x/ab/1"), ("AZ-900 basics", None), ("none", "https://y")], "name string, url string")
+    registered = spark.createDataFrame([("exam-one", None, None), ("long", None, "/one-long-name"), ("ab", None, "/ab"), ("az", "az-900", None)], "slug string, code string, url_pattern string")
+    assert sorted((r["name"], r["slug"]) for r in catalog.match_registered(names, registered).collect()) == [("AZ-900 basics", "az"), ("Exam One", "exam-one"), ("none", None), ("other", "ab")]
+
+
+def test_issue_summary(spark):
+    df = spark.createDataFrame([(1, "p", "held", '[{"code":"a"},{"code":"a"},{"code":"b"}]'), (2, "p", "held", '[{"code":"a"}]'), (3, "p", "ready", '[{"code":"a"}]'), (4, "q", "ready", None)], "id int, paper string, status string, issues string")
+    got = analytics.status_and_issue_summary(df, ["paper"], "status", "issues", "held").orderBy("paper").collect()
+    assert [tuple(r) for r in got] == [("p", 3, {"held": 2, "ready": 1}, {"a": 2, "b": 1}), ("q", 1, {"ready": 1}, {})]
 
 
 def test_append_numbered_covers_all_orders(spark, tmp_path):
