@@ -31,14 +31,18 @@ def _line_numbers(tolerance: float):
     return number
 
 
-def group_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Lines of a page: words by (top, x0); a line ends where a top is further than that from its first word's."""
+def line_words(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """Words with the number of their line: a page's words by (top, x0), where a line ends at a top that is further than that from its first word's."""
     boxes = F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "text")))
     pages = words.groupBy("doc_id", "page").agg(boxes.alias("_w"))
     pages = pages.withColumn("_n", _line_numbers(tolerance)(F.transform("_w", lambda w: w["top"])))
-    rows = pages.select("doc_id", "page", F.inline(F.arrays_zip("_w", "_n"))).select("doc_id", "page", F.col("_n").alias("line"), "_w.*")
+    return pages.select("doc_id", "page", F.inline(F.arrays_zip("_w", "_n"))).select("doc_id", "page", F.col("_n").alias("line"), "_w.*")
+
+
+def group_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """Lines of a page, with the text of their words from left to right."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "top", "text"))), lambda x: x["text"]), " ")
-    return rows.groupBy("doc_id", "page", "line").agg(
+    return line_words(words, tolerance).groupBy("doc_id", "page", "line").agg(
         F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), text.alias("text")
     )
 
@@ -72,15 +76,92 @@ def segment(lines: DataFrame, label: str = r"^\s*(?:Q\.?|Question)\s*(\d+)\b", m
     return lines.withColumn("_own", own).withColumn("label", F.last("_own", True).over(w)).drop("_own")
 
 
-def split_options(blocks: DataFrame, option: str = r"^\s*\(?([A-E])[).]\s+(.*)$") -> DataFrame:
-    """(doc_id, label, stem, options): lines up to the first option, then each option with its lines."""
-    w = W.partitionBy("doc_id", "label").orderBy("page", "line").rowsBetween(W.unboundedPreceding, 0)
-    own = F.regexp_extract("text", option, 1)
-    rows = blocks.where("label is not null").withColumn("_key", F.last(F.when(own != "", own), True).over(w))
-    rows = rows.withColumn("_t", F.when(own != "", F.regexp_extract("text", option, 2)).otherwise(F.col("text")))
-    parts = rows.groupBy("doc_id", "label", "_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "_t"))), lambda x: x["_t"]), " ").alias("_text"))
+def split_options(words: DataFrame, option: str = r"^\(([A-D])\)(.*)$", column_gap: float = 12.0) -> DataFrame:
+    """(doc_id, label, stem, options) of the words of labelled lines: doc_id, label, page, line, x0, x1, text.
+
+    A marker counts at the start of a line or after a gap of at least ``column_gap``, as options stand
+    side by side; what is glued to it, and all words up to the next marker, are the option's text. The
+    lines of the stem are joined by line breaks.
+    """
+    by_line = W.partitionBy("doc_id", "page", "line").orderBy("x0", "text")
+    before = F.lag("x1").over(by_line)
+    opens = F.coalesce(F.col("x0") - before >= column_gap, F.lit(True)) & F.col("text").rlike(option)
+    rows = words.where("label is not null").withColumn("_opens", opens)
+    own = F.when(F.col("_opens"), F.regexp_extract("text", option, 1))
+    so_far = W.partitionBy("doc_id", "label").orderBy("page", "line", "x0", "text").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_key", F.last(own, True).over(so_far))
+    rows = rows.withColumn("_t", F.when(F.col("_opens"), F.trim(F.regexp_extract("text", option, 2))).otherwise(F.col("text")))
+
+    def joined(order: list[str], text: str, by: str) -> Column:
+        parts = F.filter(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text]), lambda t: t != "")
+        return F.array_join(parts, by)
+
+    lines = rows.groupBy("doc_id", "label", "_key", "page", "line").agg(joined(["x0"], "_t", " ").alias("_line"))
+    # an option is one text, the stem keeps its lines
+    parts = lines.groupBy("doc_id", "label", "_key").agg(joined(["page", "line"], "_line", " ").alias("_text"), joined(["page", "line"], "_line", "\n").alias("_lines"))
     options = F.array_sort(F.collect_list(F.when(F.col("_key").isNotNull(), F.struct(F.col("_key").alias("key"), F.col("_text").alias("text")))))
-    return parts.groupBy("doc_id", "label").agg(F.max(F.when(F.col("_key").isNull(), F.col("_text"))).alias("stem"), options.alias("options"))
+    return parts.groupBy("doc_id", "label").agg(F.max(F.when(F.col("_key").isNull(), F.col("_lines"))).alias("stem"), options.alias("options"))
+
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+
+
+def _header_columns(tokens: DataFrame, names: DataFrame, columns: int) -> DataFrame:
+    """(doc_id, page, line, columns): rows of tokens that spell all columns of a profile, each in up to four neighbours."""
+    by_row = W.partitionBy("doc_id", "page", "line").orderBy("x0")
+    rows = tokens.withColumn("_place", F.row_number().over(by_row))
+    following = [F.struct(F.lead("text", k).over(by_row).alias("text"), F.lead("x1", k).over(by_row).alias("x1")) if k else F.struct("text", "x1") for k in range(4)]
+    rows = rows.withColumn("_next", F.array(*following))
+    runs = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(n.alias("size"), F.slice("_next", F.lit(1), n).alias("run")))
+    rows = rows.select("doc_id", "page", "line", "_place", "x0", F.explode(runs).alias("r")).where(F.element_at("r.run", -1)["text"].isNotNull())
+    spelled = _plain(F.array_join(F.transform("r.run", lambda t: t["text"]), ""))
+    hits = rows.withColumn("_name", spelled).join(names, "_name")
+    centre = (F.col("x0") + F.element_at("r.run", -1)["x1"]) / 2
+    first = hits.groupBy("doc_id", "page", "line", "position", "column").agg(F.min_by(centre, F.struct("_place", "r.size")).alias("centre"))
+    found = F.array_sort(F.collect_list(F.struct("position", "column", "centre")))
+    return first.groupBy("doc_id", "page", "line").agg(found.alias("columns")).where(F.size("columns") == columns)
+
+
+def key_table(lines: DataFrame, profile: dict[str, tuple[str, ...]], number_column: str = "number", cell_gap: float = 8.0) -> DataFrame:
+    """Rows of the answer-key tables in word boxes with lines: doc_id, page, line, number, values, error.
+
+    ``profile`` gives each column the spellings of its header, of which case, spaces and marks do not
+    count; a header may be stacked over two lines. A page without one goes on with the columns of the
+    last page before it that has one. Words closer than ``cell_gap`` are a cell, which belongs to the
+    column whose header's centre is nearest; lines without a whole number in ``number_column`` are no
+    rows. A document without a header is one row with an ``error``.
+    """
+    spark = lines.sparkSession
+    names = [(i, c, alias) for i, (c, spellings) in enumerate(profile.items()) for alias in spellings]
+    names = spark.createDataFrame(names, "position int, column string, alias string").select("position", "column", _plain(F.col("alias")).alias("_name")).distinct()
+    keys = ["doc_id", "page", "line"]
+    words = lines.select(*keys, "x0", "x1", "top", "text")
+    single = _header_columns(words, names, len(profile)).select("doc_id", "page", (F.col("line") * 2).alias("rank"), F.col("line").alias("last"), "columns")
+    both = words.withColumn("pair", F.col("line")).unionByName(words.withColumn("pair", F.col("line") - 1)).drop("line").withColumnRenamed("pair", "line")
+    by_pair = W.partitionBy(*keys).orderBy("x0", "top", "text")
+    apart = F.coalesce(F.col("x0") >= F.max("x1").over(by_pair.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    stacks = both.withColumn("_apart", apart.cast("int")).withColumn("_stack", F.sum("_apart").over(by_pair.rowsBetween(W.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))), lambda w: w["text"]), " ")
+    stacks = stacks.groupBy(*keys, "_stack").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), text.alias("text"))
+    stacked = _header_columns(stacks, names, len(profile)).select("doc_id", "page", (F.col("line") * 2 + 1).alias("rank"), (F.col("line") + 1).alias("last"), "columns")
+    headers = single.unionByName(stacked).groupBy("doc_id", "page").agg(F.min_by(F.struct("last", "columns"), "rank").alias("h"))
+    pages = words.select("doc_id", "page").distinct().join(headers, ["doc_id", "page"], "left")
+    pages = carry_headers(pages.select("doc_id", "page", F.coalesce("h.last", F.lit(-1)).alias("last"), F.col("h.columns").alias("columns")), "columns")
+    rows = words.join(pages, ["doc_id", "page"]).where(F.col("columns").isNotNull() & (F.col("line") > F.col("last")))
+    by_line = W.partitionBy(*keys).orderBy("x0", "text")
+    begins = F.coalesce(F.col("x0") - F.lag("x1").over(by_line) > cell_gap, F.lit(True)).cast("int")
+    rows = rows.withColumn("_begins", begins).withColumn("_cell", F.sum("_begins").over(by_line.rowsBetween(W.unboundedPreceding, 0)))
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
+    cells = rows.groupBy(*keys, "_cell").agg(((F.min("x0") + F.max_by("x1", "x0")) / 2).alias("_mid"), F.first("columns").alias("columns"), in_order.alias("text"))
+    near = F.array_min(F.transform("columns", lambda c: F.struct(F.abs(c["centre"] - F.col("_mid")).alias("d"), c["position"].alias("p"), c["column"].alias("column"))))
+    cells = cells.withColumn("column", near["column"]).groupBy(*keys, "column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_cell", "text"))), lambda c: c["text"]), " ").alias("text"))
+    found = cells.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "text")))).alias("values"))
+    number = F.try_element_at("values", F.lit(number_column))
+    found = found.where(number.rlike(r"^\d+$")).select(*keys, number.cast("long").alias("number"), "values", F.lit(None).cast("string").alias("error"))
+    none = words.select("doc_id").distinct().join(headers.select("doc_id").distinct(), "doc_id", "left_anti")
+    empty = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("page", "line", "number", "values")]
+    return found.unionByName(none.select("doc_id", *empty, F.lit("no header").alias("error")))
 
 
 def nearest_column(cells: DataFrame, headers: DataFrame) -> DataFrame:

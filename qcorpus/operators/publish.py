@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import normalize_text
+from ..functions.text import content_hash, normalize_text
 from .merge import append_numbered, insert_absent, merge_upsert
 
 #: The order of key states, which only move forward.
@@ -149,6 +149,68 @@ def link_variants(variants: DataFrame, linked: DataFrame) -> DataFrame:
     return insert_absent(variants, linked, ["question_id", "content_hash"])
 
 
+def resolve_questions(incoming: DataFrame, stored: DataFrame, order: list[str], hold_if_taken: bool = False) -> DataFrame:
+    """What question each incoming one becomes: id, action, question, stable_id.
+
+    Incoming ones have id, stable_id, distinct_id, existing (the stored question that duplicates name)
+    and force_new; stored ones id and stable_id. A named question is linked. A stable id that another
+    question has is a position taken, which is held or fails; with ``force_new`` the question takes its
+    distinct id, or is linked to the question that has it already. Of incoming ones that would create
+    the same id the first by ``order`` does, and for the others it is taken.
+    """
+    by_id = lambda name: stored.select(F.col("stable_id").alias(name), F.col("id").alias(f"_{name}"))
+    rows = incoming.join(by_id("stable_id"), "stable_id", "left").join(by_id("distinct_id"), "distinct_id", "left")
+    force, taken = F.coalesce("force_new", F.lit(False)), F.col("_stable_id").isNotNull()
+    linked = F.when(~force, F.col("existing")).when(taken, F.col("_distinct_id"))
+    own = F.when(force & taken, F.col("distinct_id")).otherwise(F.col("stable_id"))
+    refused = F.lit("held" if hold_if_taken else "failed")
+    action = F.when(linked.isNotNull(), "linked").when(taken & ~force, refused).otherwise("created")
+    rows = rows.select("id", *[c for c in order if c != "id"], linked.alias("_linked"), own.alias("_own"), action.alias("_action"), F.col("_stable_id").alias("_taken_by"))
+    first = rows.where("_action = 'created'").groupBy("_own").agg(F.min(F.struct(*[c for c in order if c != "id"], "id")).alias("_first"))
+    rows = rows.join(first, "_own", "left")
+    later = (F.col("_action") == "created") & (F.col("id") != F.col("_first.id"))
+    return rows.select(
+        "id", F.when(later, refused).otherwise(F.col("_action")).alias("action"),
+        F.coalesce("_linked", F.when(F.col("_action").isin("held", "failed"), F.col("_taken_by"))).alias("question"), F.col("_own").alias("stable_id"),
+    )
+
+
+def reword_questions(questions: DataFrame, options: DataFrame, variants: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions, options and variants after reviewers preferred new versions, and the (id, error) that cannot be used.
+
+    Questions have id, question_text, text_format, explanation; options id, question_id, position,
+    option_key, option_text; variants question_id, content_hash, text; new versions id, question_text, text_format,
+    explanation and options (key, text). Option ids stay and take the new texts in order, so their
+    number must be the same. An explanation is kept where the new version has none, escaped if it was
+    plain and the text now is Markdown. The old wording becomes a variant, and the new one is none any more.
+    """
+    from ..functions.richtext import escape_markdown
+
+    counts = options.groupBy(F.col("question_id").alias("id")).agg(F.count("*").alias("_n"))
+    checked = chosen.join(questions.select("id", F.lit(True).alias("_known")), "id", "left").join(counts, "id", "left")
+    error = F.when(F.col("_known").isNull(), "the question does not exist").when(F.coalesce("_n", F.lit(0)) != F.size("options"), "another number of options")
+    checked = checked.withColumn("error", error)
+    good = checked.where("error is null").select("id", F.struct("question_text", "text_format", "explanation", "options").alias("new"))
+    both = questions.join(good, "id", "left")
+    has, is_new = F.col("new").isNotNull(), F.col("new.explanation").isNull()
+    plain = (F.col("text_format") == "plain") & (F.col("new.text_format") == "markdown")
+    kept = F.when(plain, escape_markdown(F.col("explanation"))).otherwise(F.col("explanation"))
+    reworded = both.select(
+        "id", F.when(has, F.col("new.question_text")).otherwise(F.col("question_text")).alias("question_text"),
+        F.when(has, F.col("new.text_format")).otherwise(F.col("text_format")).alias("text_format"),
+        F.when(has & ~is_new, F.col("new.explanation")).when(has, kept).otherwise(F.col("explanation")).alias("explanation"),
+    )
+    place = F.row_number().over(W.partitionBy("question_id").orderBy("position", "id"))
+    ranked = options.withColumn("_place", place).join(good.select(F.col("id").alias("question_id"), "new.options"), "question_id", "left")
+    option = F.get("options", F.col("_place") - 1)
+    new_options = ranked.select("id", "question_id", "position", F.coalesce(option["key"], "option_key").alias("option_key"), F.coalesce(option["text"], "option_text").alias("option_text"))
+    old_norm, new_norm = normalize_text(F.col("question_text")), normalize_text(F.col("new.question_text"))
+    changed = both.where(has & (old_norm != new_norm)).select("id", F.col("question_text").alias("text"), content_hash(old_norm).alias("content_hash"), content_hash(new_norm).alias("_now"))
+    left = variants.join(changed.select(F.col("id").alias("question_id"), F.col("_now").alias("content_hash")), ["question_id", "content_hash"], "left_anti")
+    more = changed.select(F.col("id").alias("question_id"), "content_hash", "text")
+    return reworded, new_options, link_variants(left.select("question_id", "content_hash", "text"), more), checked.where("error is not null").select("id", "error")
+
+
 def review_answer_keys(options: Column, answer: Column) -> Column:
     """Keys A, B, ... of the options that an answer text names; null where some part matches none.
 

@@ -177,7 +177,7 @@ def job_queue_steps(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT user_id AS job, event_type AS stage, min(epoch_ms(ts)) AS began, max(epoch_ms(ts)) AS ended, arg_max(event_id, (epoch_ms(ts), event_id)) AS last FROM events GROUP BY 1, 2)
+WITH e AS (SELECT user_id AS job, event_type AS stage, min(epoch_us(ts) // 1000) AS began, max(epoch_us(ts) // 1000) AS ended, arg_max(event_id, (epoch_ms(ts), event_id)) AS last FROM events GROUP BY 1, 2)
 SELECT job, stage, CASE WHEN last % 3 = 0 THEN 'running' ELSE 'completed' END AS status, CASE WHEN last % 3 > 0 THEN ended - began END AS duration_ms FROM e
 """)
 def stage_timing(spark, sf_dir):

@@ -196,12 +196,63 @@ def test_running_lines_go(spark):
     assert [r["text"] for r in layout.strip_running_text(lines, 800.0).orderBy("page").collect()] == ["body 0", "body 1", "body 2"]
 
 
+def boxes(spark, lines):
+    """Word boxes of lines of (page, top, ((x0, text), ...)); a letter is five points wide."""
+    rows = [(1, p, t, float(x), x + 5.0 * len(t), float(top), top + 8.0) for p, top, words in lines for x, t in words]
+    return spark.createDataFrame(rows, "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double")
+
+
 def test_segments_and_options(spark):
-    texts = ["front", "Q1 What is it?", "(A) one", "more", "(B) two", "Question 2 And?", "(A) x"]
-    lines = spark.createDataFrame([(1, i // 4, i, x) for i, x in enumerate(texts)], "doc_id long, page int, line int, text string").withColumn("x0", F.lit(0.0))
-    got = layout.split_options(layout.segment(lines)).orderBy("label").collect()
+    lines = [
+        (0, 0, ((0, "front"),)), (0, 20, ((0, "Q1"), (15, "Which"), (45, "of"), (60, "(A)"), (80, "is"))), (0, 40, ((0, "it?"),)), (0, 60, ((0, "(A)127"), (100, "(B)"), (118, "two"))),
+        (1, 0, ((0, "more"), (30, "(C)"), (50, "not"))), (1, 20, ((0, "Q2"), (15, "And?"))), (1, 40, ((0, "(A)"), (20, "x"))),
+    ]
+    words = layout.line_words(boxes(spark, lines))
+    labels = layout.segment(layout.group_lines(boxes(spark, lines)), label=r"^Q(\d+)\b").select("doc_id", "page", "line", "label")
+    got = layout.split_options(words.join(labels, ["doc_id", "page", "line"])).orderBy("label").collect()
     assert [(r["label"], r["stem"], [tuple(o) for o in r["options"]]) for r in got] == [
-        (1, "Q1 What is it?", [("A", "one more"), ("B", "two")]), (2, "Question 2 And?", [("A", "x")])]
+        (1, "Q1 Which of (A) is\nit?", [("A", "127"), ("B", "two more (C) not")]), (2, "Q2 And?", [("A", "x")])]
+
+
+def test_key_tables(spark):
+    profile = {"number": ("Q. No.",), "qtype": ("Question Type", "Q. Type"), "key": ("Key/Range",)}
+    pages = [
+        (0, 0, ((0, "Answer"), (40, "key"))), (0, 20, ((0, "Q."), (15, "No."), (100, "Question"), (200, "Key/"))), (0, 30, ((105, "Type"), (195, "Range"))),
+        (0, 50, ((5, "1"), (105, "NAT"), (180, "4.2"), (199, "to"), (213, "5"))), (0, 70, ((5, "x"), (105, "MCQ"), (200, "A"))), (1, 0, ((5, "2"), (105, "MCQ"), (200, "B"))),
+        (2, 0, ((100, "Key/Range"), (200, "Q. No."), (300, "Q. Type"))), (2, 20, ((110, "C"), (210, "3"), (310, "MSQ"))),
+    ]
+    got = layout.key_table(layout.line_words(boxes(spark, pages)), profile).orderBy("number").collect()
+    assert [(r["number"], r["page"], r["values"], r["error"]) for r in got] == [
+        (1, 0, {"number": "1", "qtype": "NAT", "key": "4.2 to 5"}, None), (2, 1, {"number": "2", "qtype": "MCQ", "key": "B"}, None), (3, 2, {"number": "3", "qtype": "MSQ", "key": "C"}, None)]
+    none = layout.key_table(layout.line_words(boxes(spark, pages[4:6])), profile).collect()
+    assert [(r["number"], r["error"]) for r in none] == [(None, "no header")]
+
+
+@pytest.mark.parametrize("hold,refused", [(False, "failed"), (True, "held")])
+def test_positions_that_are_taken(spark, hold, refused):
+    stored = spark.createDataFrame([(1, "P1"), (2, "P2"), (3, "P2-D")], "id int, stable_id string")
+    rows = [(10, "P1", "P1-D", None, False), (11, "P1", "P1-D", None, True), (12, "P2", "P2-D", None, True), (13, "P9", "P9-D", 2, False), (14, "N", "N-D", None, False), (15, "N", "N-D", None, None), (16, "P1", "P1-E", 1, True)]
+    incoming = spark.createDataFrame(rows, "id int, stable_id string, distinct_id string, existing int, force_new boolean")
+    assert rows_of(publish.resolve_questions(incoming, stored, ["id"], hold)) == [
+        (10, refused, 1, "P1"), (11, "created", None, "P1-D"), (12, "linked", 3, "P2-D"), (13, "linked", 2, "P9"), (14, "created", None, "N"), (15, refused, None, "N"), (16, "created", None, "P1-E")]
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: r[0])
+
+
+def test_new_wording_in_place(spark):
+    questions = spark.createDataFrame([(1, "Old *text*", "plain", "a*b"), (2, "Same", "plain", "e"), (3, "Left", "plain", None)], "id int, question_text string, text_format string, explanation string")
+    options = spark.createDataFrame([(10, 1, 0, "A", "x"), (11, 1, 1, "B", "y"), (20, 2, 0, "A", "z"), (30, 3, 0, "A", "w")], "id int, question_id int, position int, option_key string, option_text string")
+    from qcorpus.functions.text import content_hash, normalize_text
+
+    variants = spark.createDataFrame([(1, "New text!")], "question_id int, text string").withColumn("content_hash", content_hash(normalize_text(F.col("text"))))
+    kind = "id int, question_text string, text_format string, explanation string, options array<struct<key:string,text:string>>"
+    chosen = spark.createDataFrame([(1, "new text", "markdown", None, [("B", "p"), ("C", "q")]), (2, "SAME", "plain", "f", [("A", "zz")]), (3, "Other", "plain", None, []), (9, "t", "plain", None, [])], kind)
+    q, o, v, errors = publish.reword_questions(questions, options, variants.select("question_id", "content_hash", "text"), chosen)
+    assert rows_of(q) == [(1, "new text", "markdown", "a\\*b"), (2, "SAME", "plain", "f"), (3, "Left", "plain", None)]
+    assert rows_of(o) == [(10, 1, 0, "B", "p"), (11, 1, 1, "C", "q"), (20, 2, 0, "A", "zz"), (30, 3, 0, "A", "w")]
+    assert [(r["question_id"], r["text"]) for r in v.collect()] == [(1, "Old *text*")] and rows_of(errors) == [(3, "another number of options"), (9, "the question does not exist")]
 
 
 def test_nearest_column(spark):
