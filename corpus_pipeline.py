@@ -10,18 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qcorpus.llm import decontam, langcnn, packing, recompress, simhash
-from qcorpus.llm.common import staged, table
+from qcorpus.llm.common import drop_path, scratch, staged, stored, table
 from qcorpus.llm.queries import held_out, tokenizer_path
 
 #: A text whose best language gets less than this is rejected, as one without a letter is.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+#: Columns that stages read; all others travel in one, so that no name clashes with what an operator adds.
+_READ = ("doc_id", "text", "lang", "n_chars")
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    rest = [F.col(c) for c in docs.columns if c not in _READ]
+    return docs.select(*[c for c in docs.columns if c in _READ], (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
+
+
+def _released(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select([F.col(c) if c in _READ else F.col("_rest")[c].alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network has learned."""
     net = langcnn.fit(docs.where(~held_out()), key=F.xxhash64("doc_id"))
-    found = langcnn.identify(docs, net)
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    found = langcnn.identify(_held(docs), net)
+    return _released(found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +44,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that start earlier in the corpus; those with no word left go."""
-    found = recompress.remove_repeats(docs)
+    found = recompress.remove_repeats(_held(docs))
     size = F.length("text").cast(docs.schema["n_chars"].dataType)
     kept = found.where("n_words > n_removed")
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("n_chars"))).select(docs.columns)
+    return _released(kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("n_chars"))), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what the stage has stored on its way goes when its result is written
+            found = stage(spark, docs, sf_dir)
+            with scratch(spark, keep=True):
+                docs, path = stored(found, name)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs

@@ -81,14 +81,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete what is staged within the block at its end, when its results have been written."""
+def scratch(spark: SparkSession, keep: bool = False) -> Iterator[None]:
+    """Delete what is stored within the block at its end, unless it is to ``keep``; results must have been written."""
     _written.append([])
     try:
         yield
     finally:
         for path in _written.pop():
-            drop_path(spark, path)
+            if not keep:
+                drop_path(spark, path)
 
 
 def byte_slices(

@@ -225,3 +225,38 @@ def test_pipeline_stages_equal_brute_force(spark):
             want = [(d, t) for d, t in rows if d not in leaks]
         assert got == want
         docs = out
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null, empty, long and repeated texts, null and repeated ids, clashing columns, and an empty table."""
+    documents = table(spark, SF, "documents").limit(60)
+    extra = {"n_words": F.lit(-1), "lang_pred": F.lit("keep"), "fp": F.lit(2), "key": F.lit("k"), "_place": F.lit(3), "n_removed": F.lit(-2), "hash": F.lit("h")}
+    long = " ".join(f"w{i}" for i in range(40_000))
+    story = "the water of the river and the house of the people in the north are what they were in the old days of this land"
+    odd = [(900, None), (901, ""), (902, "12 34"), (903, long), (None, story), (904, story), (904, "an other text with the same id, about the towns and the people of the land by the sea"), (None, None)]
+    more = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in odd], documents.schema)
+    docs = documents.unionByName(more).unionByName(more).withColumns(extra)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    table(spark, SF, "benchmark").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    where = f"file://{tmp_path}"
+    for docs in (table(spark, where, "documents"), table(spark, where, "documents").limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = staged(stage(spark, docs, where), name)
+            assert out.columns == docs.columns
+            rows = out.collect()
+            assert {(r["n_words"], r["lang_pred"], r["_place"], r["n_removed"]) for r in rows} <= {(-1, "keep", 3, -2)}
+            if name == "near_dedup" and docs.head(1):
+                kept = [(r["doc_id"], r["text"]) for r in rows if r["text"] and (r["text"] == story or r["text"].startswith("an other"))]
+                assert all(kept.count(x) == 1 for x in kept) and (None, story) not in kept
+            docs = out
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, where)
+        assert packed.count() >= docs.count()
+
+
+def test_pipeline_leaves_only_its_result(spark):
+    from qcorpus.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"best_fit_packing"}
