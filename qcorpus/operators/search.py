@@ -1,6 +1,7 @@
 """Weighted full-text search over postings: all query words must match, titles weigh more.
 
-Postings (word, id, weighted score) are built once and kept; a query joins its few words to them.
+Postings (word, id, weighted score) can be written once and kept; a query joins its few words to them.
+Without them ``scan`` reads the texts and counts the queries' words alone.
 A word scores the field's weight times 1 + ln of its count there.
 """
 
@@ -8,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: English words that are not searched for.
 STOP_WORDS = (
@@ -38,23 +40,24 @@ def lexemes(text: Column) -> Column:
     return F.transform(tokens(text), stem)
 
 
-def postings(docs: DataFrame, id_col: str, fields: list[str], weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """(lexeme, id, score) over weighted text fields."""
+def postings(docs: DataFrame, id_col: str, fields: list[str], weights: tuple[float, ...] = WEIGHTS, only: DataFrame | None = None) -> DataFrame:
+    """(lexeme, id, score) over weighted text fields, for all lexemes or those in ``only`` (lexeme)."""
     parts = None
     for name, weight in zip(fields, weights):
         # outer, as Catalyst would work the array out twice to skip empty ones
         words = F.explode_outer(tokens(F.col(name)))
         rows = docs.select(F.col(id_col).alias("id"), words.alias("word"), F.lit(weight).alias("w")).where("word is not null")
         parts = rows if parts is None else parts.unionByName(rows)
-    counts = parts.select(stem(F.col("word")).alias("lexeme"), "id", "w").groupBy("lexeme", "id", "w").agg(F.count("*").alias("tf"))
+    parts = parts.select(stem(F.col("word")).alias("lexeme"), "id", "w")
+    if only is not None:
+        parts = parts.join(only.select("lexeme").distinct(), "lexeme", "left_semi")
+    counts = parts.groupBy("lexeme", "id", "w").agg(F.count("*").alias("tf"))
     return counts.groupBy("lexeme", "id").agg(F.sum(F.col("w") * (1 + F.ln("tf"))).alias("score"))
 
 
 def search(index: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Per query (query) the ``limit`` best ids that have all its words: query, id, score, place."""
-    from pyspark.sql import Window as W
-
-    words = queries.select("query", F.explode(F.array_distinct(lexemes(F.col("query")))).alias("lexeme"))
+    words = query_lexemes(queries)
     need = words.groupBy("query").agg(F.count("*").alias("need"))
     hits = words.join(index, "lexeme").groupBy("query", "id").agg(F.count("*").alias("found"), F.round(F.sum("score"), 6).alias("score"))
     full = hits.join(need, "query").where("found = need")
@@ -62,9 +65,19 @@ def search(index: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     return full.withColumn("place", place).where(F.col("place") <= limit).select("query", "id", "score", "place")
 
 
+def query_lexemes(queries: DataFrame) -> DataFrame:
+    """(query, lexeme), once each."""
+    return queries.select("query", F.explode(F.array_distinct(lexemes(F.col("query")))).alias("lexeme"))
+
+
+def scan(docs: DataFrame, id_col: str, fields: list[str], weights: tuple[float, ...], queries: DataFrame, limit: int = 20) -> DataFrame:
+    """:func:`search` without kept postings: one pass over the texts, in which only the queries' words are counted."""
+    return search(postings(docs, id_col, fields, weights, query_lexemes(queries)), queries, limit)
+
+
 def name_search(names: DataFrame, id_col: str, name_col: str, queries: DataFrame, limit: int = 10) -> DataFrame:
     """Search on names alone, as for exams and topics."""
-    return search(postings(names, id_col, [name_col], (1.0,)), queries, limit)
+    return scan(names, id_col, [name_col], (1.0,), queries, limit)
 
 
 def search_log(queries: DataFrame, *results: DataFrame) -> DataFrame:
