@@ -45,9 +45,13 @@ def record_intake(stored: DataFrame, items: DataFrame, keys: list[str]) -> DataF
     """State of intake items after a parse, with what happened: inserted, changed, unchanged or waiting.
 
     Both have the keys, content_hash and status. Items in review are frozen (waiting); a decided
-    status stays while the content does not change; a changed item takes the parse's status.
+    status stays while the content does not change; a changed item takes the parse's status. Where
+    ``stored`` tells by ``review_open`` that an item's review is over or gone, nothing holds it: it is ready.
     """
-    old = stored.select(*keys, F.col("content_hash").alias("old_hash"), F.col("status").alias("old_status"))
+    status = F.col("status")
+    if "review_open" in stored.columns:
+        status = F.when((status == "in_review") & ~F.coalesce("review_open", F.lit(False)), "ready").otherwise(status)
+    old = stored.select(*keys, F.col("content_hash").alias("old_hash"), status.alias("old_status"))
     new = items.select(*keys, "content_hash", "status")
     same = F.col("old_hash").eqNullSafe(F.col("content_hash"))
     reviewed = F.col("old_status") == "in_review"
@@ -61,6 +65,33 @@ def record_intake(stored: DataFrame, items: DataFrame, keys: list[str]) -> DataF
     )
 
 
+def canonical_hash(*fields: str) -> Column:
+    """SHA-256 of a row's fields as JSON, by name; nulls are left out."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f) for f in sorted(fields)])).cast("binary"), 256)
+
+
+def ready_for_batch(items: DataFrame, number: str = "number") -> DataFrame:
+    """Ready items (status, review_batch_id) that are in no review batch yet, in order."""
+    return items.where((F.col("status") == "ready") & F.col("review_batch_id").isNull()).orderBy(number)
+
+
+def mark_in_review(items: DataFrame, chosen: DataFrame, batch: str) -> DataFrame:
+    """Items (id, status, review_batch_id) of which the chosen ones (id) are now in a review batch."""
+    return _set_jobs(items, chosen, F.lit(True), status=F.lit("in_review"), review_batch_id=F.lit(batch))
+
+
+def sync_sources(sources: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Sources by name after a sync of their definitions (the static columns and ``onboarding``).
+
+    What a source has done and whether it is enabled stays, but one that is not onboarded is never enabled.
+    """
+    out = F.coalesce(F.col("onboarding") == "not_onboarded", F.lit(False))
+    new = definitions.withColumn("enabled", ~out)
+    static = [c for c in definitions.columns if c not in ("name", "onboarding")]
+    barred = F.when(~F.col("new.enabled"), F.lit(False)).otherwise(F.col("old.enabled"))
+    return merge_upsert(sources, new.drop("onboarding"), ["name"], update=static, set_values={"enabled": barred})
+
+
 def resolve_duplicate(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     """Apply (id, decision) to reviews (id, status): only pending ones change, to an allowed decision."""
     d = decisions.select("id", "decision")

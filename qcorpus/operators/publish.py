@@ -105,6 +105,44 @@ def find_or_create(existing: DataFrame, wanted: DataFrame, keys: list[str], id_c
     return insert_absent(existing.select(*keys, id_col), fresh, keys, null_safe=True)
 
 
+def register_chain(levels: list[tuple[DataFrame, list[str]]], wanted: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Find or create a chain of dimensions, each below the one before: organisation, type, exam, variant, session.
+
+    A level is its table (id, parent_id and its natural keys) and those keys, which ``wanted`` has too. Returns
+    the tables with what they lacked, and ``wanted`` with the ``id`` of its last level.
+    """
+    rows, found = wanted.withColumn("parent_id", F.lit(None).cast("string")), []
+    for existing, keys in levels:
+        whole = find_or_create(existing, rows, ["parent_id", *keys])
+        found.append(whole)
+        ids = whole.select(F.col("parent_id").alias("_parent"), *[F.col(k).alias(f"_{k}") for k in keys], "id")
+        same = F.col("parent_id").eqNullSafe(F.col("_parent"))
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        rows = rows.join(ids, same).select(*wanted.columns, F.col("id").alias("parent_id"))
+    return found, rows.withColumnRenamed("parent_id", "id")
+
+
+def normalize_extracted(extracted: DataFrame) -> DataFrame:
+    """Extracted questions as normalised ones: id, question_text, question_type, options (key, text), correct_keys, negative_marks.
+
+    Extracted ones have id, question_text, option_texts, answer (a letter, several, or an option's text) and marks.
+    Options are lettered in order; a choice question with one right option loses a third of its marks.
+    """
+    letter = lambda i: F.char(F.lit(65) + i)
+    texts = F.coalesce("option_texts", F.array().cast("array<string>"))
+    options = F.transform(texts, lambda t, i: F.struct(letter(i).alias("key"), F.trim(t).alias("text")))
+    named = F.filter(F.split(F.upper(F.regexp_replace("answer", r"[\s,;]+", "")), ""), lambda k: k != "")
+    as_keys = F.col("answer").rlike(r"^\s*[A-Za-z](\s*[,;]\s*[A-Za-z])*\s*$")
+    by_text = F.transform(F.filter("options", lambda o: F.lower(o["text"]) == F.lower(F.trim("answer"))), lambda o: o["key"])
+    known = F.transform("options", lambda o: o["key"])
+    rows = extracted.withColumn("options", options)
+    keys = F.array_sort(F.array_intersect(F.when(as_keys, named).otherwise(by_text), known))
+    rows = rows.withColumn("correct_keys", F.coalesce(keys, F.array().cast("array<string>")))
+    kind = F.when(F.size("options") == 0, "text").when(F.size("correct_keys") > 1, "multiple_correct").otherwise("mcq")
+    return rows.select("id", "question_text", kind.alias("question_type"), "options", "correct_keys", F.when(kind == "mcq", F.round(F.col("marks") / 3, 2)).alias("negative_marks"))
+
+
 def upsert_question_sets(sets: DataFrame, incoming: DataFrame) -> DataFrame:
     """Question sets by slug; a key status only moves forward."""
     forward = key_rank(F.col("new.key_status")) > key_rank(F.col("old.key_status"))

@@ -85,3 +85,19 @@ def detect_issues(lines: DataFrame, gap: float = 18.0, lone_run: int = 3) -> Dat
     sides = rows.groupBy("doc_id", "label").agg(F.abs(count("(") - count(")")).alias("n")).where("n > 0").withColumn("code", F.lit("math_brackets"))
     names = ["doc_id", "label", "code", "n"]
     return lone.select(names).unionByName(gaps.select(names)).unionByName(sides.select(names))
+
+
+def count_reports(reports: DataFrame, key: str, counts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Counts by ``key`` as (path, json), fields by name, and as the (place, line) rows of a Markdown table with a total.
+
+    Both are stable: a rerun with nothing changed writes the same.
+    """
+    files = reports.select(F.concat(key, F.lit(".json")).alias("path"), F.to_json(F.struct(*sorted(counts))).alias("json"))
+    cell = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    line = lambda head, cells: F.concat(F.lit("| "), head, F.lit(" | "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    link = F.concat(F.lit("["), F.col(key), F.lit("]("), F.col(key), F.lit(".json)"))
+    rows = reports.select(F.struct(F.lit(1).alias("part"), F.col(key).alias("key")).alias("place"), line(link, [cell(c) for c in counts]).alias("line"))
+    total = reports.agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("_n")).where("_n > 0")
+    bold = [F.concat(F.lit("**"), cell(c), F.lit("**")) for c in counts]
+    last = total.select(F.struct(F.lit(2).alias("part"), F.lit("").alias("key")).alias("place"), line(F.lit("**All**"), bold).alias("line"))
+    return files, rows.unionByName(last).orderBy("place")

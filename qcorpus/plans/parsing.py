@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, richtext
 from ..functions import text as tx
-from ..operators import layout, publish, review
+from ..operators import layout, lifecycle, practice, publish, review
 from ..sources import markdown, pages
 from .registry import query, table
 
@@ -265,3 +265,105 @@ def published_shapes(spark, sf_dir):
         F.col("o_orderkey").alias("question_id"), F.lit(None).cast("long").alias("correct_option_id"), *none, F.col("o_custkey").cast("double").alias("numeric_min"), (F.col("o_custkey") + 1).cast("double").alias("numeric_max"))
     found = answers.published_shape(orders.select(F.col("o_orderkey").alias("id")), options, by_option.unionByName(ranges))
     return found.select("id", F.array_join("options", ",").alias("options"), F.array_join("answers", ",").alias("answers"))
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS q, list_sort(list_distinct(list(l_linenumber::VARCHAR))) AS c FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1),
+t AS (SELECT l_orderkey AS q, list_sort(list_distinct(list(l_linenumber::VARCHAR))) AS s FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1)
+SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS user_id, CASE WHEN o_custkey % 2 = 1 THEN 's' || o_custkey END AS session_id, coalesce(s = c, false) AS is_correct
+FROM orders JOIN a ON a.q = o_orderkey LEFT JOIN t ON t.q = o_orderkey
+""")
+def recorded_attempts(spark, sf_dir):
+    """Orders as attempts on questions whose right options are the lines that were not returned."""
+    items = table(spark, sf_dir, "lineitem").withColumn("option", F.col("l_linenumber").cast("string"))
+    no = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    answers_ = items.where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("question_id"), F.col("option").alias("option_id"), *no("double", "numeric_min", "numeric_max"), *no("string", "text_answer"))
+    chosen = items.where("l_linenumber <> 7").groupBy(F.col("l_orderkey").alias("question_id")).agg(F.collect_list("option").alias("selected"))
+    user = F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("user_id")
+    attempts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("question_id"), user, F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("session_id"), *no("string", "numeric_answer"))
+    return practice.record_attempts(attempts.join(chosen, "question_id", "left"), answers_).select("id", "user_id", "session_id", "is_correct")
+
+
+@query("""
+WITH n AS (SELECT o_custkey AS id, count(*) AS c, count(*) FILTER (o_orderstatus = 'F') AS i FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
+SELECT c_custkey AS id, c AS correct, i AS incorrect FROM customer LEFT JOIN n ON id = c_custkey
+""")
+def finished_sessions(spark, sf_dir):
+    """Customers as practice sessions, of which every third has its results."""
+    sessions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("long").alias("correct"), F.lit(None).cast("long").alias("incorrect"))
+    results = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("correct"), F.count_if(F.col("o_orderstatus") == "F").alias("incorrect"))
+    return practice.finish_sessions(sessions, results)
+
+
+@query("""
+WITH r AS (SELECT o_orderpriority AS paper, count(*) AS questions, count(*) FILTER (o_orderstatus = 'F') AS ready FROM orders GROUP BY 1)
+SELECT paper || '.json' AS path, '{"questions":' || questions || ',"ready":' || ready || '}' AS body FROM r
+UNION ALL SELECT 'README.md', '| [' || paper || '](' || paper || '.json) | ' || questions || ' | ' || ready || ' |' FROM r
+UNION ALL SELECT 'README.md', '| **All** | **' || sum(questions) || '** | **' || sum(ready) || '** |' FROM r
+""")
+def count_reports(spark, sf_dir):
+    """Counts of each paper as JSON, and the lines of a Markdown table with their total."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("paper")).agg(F.count("*").alias("questions"), F.count_if(F.col("o_orderstatus") == "F").alias("ready"))
+    files, lines = review.count_reports(counts, "paper", ["questions", "ready"])
+    return files.select("path", F.col("json").alias("body")).unionByName(lines.select(F.lit("README.md").alias("path"), F.col("line").alias("body")))
+
+
+@query("""
+WITH d AS (SELECT c_custkey AS id, c_mktsegment AS org, c_nationkey % 5 AS kind, c_name AS exam FROM customer),
+old AS (SELECT DISTINCT org FROM d WHERE id % 2 = 0)
+SELECT 'org' AS level, count(*) AS n, (SELECT count(*) FROM old) AS known FROM (SELECT DISTINCT org FROM d) UNION ALL SELECT 'kind', count(*), 0 FROM (SELECT DISTINCT org, kind FROM d) UNION ALL SELECT 'exam', count(*), 0 FROM (SELECT DISTINCT org, kind, exam FROM d)
+UNION ALL SELECT 'ids', count(DISTINCT (org, kind, exam)), count(*) FROM d
+""")
+def registered_chain(spark, sf_dir):
+    """Organisations, types and exams that customers name, found or created one below the other."""
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_mktsegment").alias("org"), (F.col("c_nationkey") % 5).alias("kind"), F.col("c_name").alias("exam"))
+    known = wanted.where("c_custkey % 2 = 0").select(F.lit(None).cast("string").alias("parent_id"), "org", F.concat(F.lit("old-"), "org").alias("id")).distinct()
+    none = lambda key, kind: spark.createDataFrame([], f"parent_id string, {key} {kind}, id string")
+    tables, rows = publish.register_chain([(known, ["org"]), (none("kind", "long"), ["kind"]), (none("exam", "string"), ["exam"])], wanted)
+    out = rows.agg(F.lit("ids").alias("level"), F.countDistinct("id").alias("n"), F.count("*").alias("known"))
+    for name, found in zip(("org", "kind", "exam"), tables):
+        out = out.unionByName(found.agg(F.lit(name).alias("level"), F.count("*").alias("n"), F.count_if(F.startswith("id", F.lit("old-"))).alias("known")))
+    return out
+
+
+@query("""
+SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'mcq' WHEN 1 THEN 'multiple_correct' WHEN 2 THEN 'mcq' ELSE 'text' END AS question_type,
+  CASE WHEN c_custkey % 4 = 3 THEN '' ELSE 'A:' || c_name || ',B:' || c_mktsegment || ',C:x y' END AS options,
+  CASE c_custkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'A,C' WHEN 2 THEN 'C' ELSE '' END AS correct, CASE WHEN c_custkey % 4 IN (0, 2) THEN round(c_nationkey / 3, 2) END AS negative_marks
+FROM customer
+""")
+def normalized_questions(spark, sf_dir):
+    """Customers as extracted questions, answered by letters or by the text of an option."""
+    k = F.col("c_custkey") % 4
+    texts = F.when(k < 3, F.array(F.concat(F.lit(" "), "c_name"), F.col("c_mktsegment"), F.lit("x y")))
+    answer = F.when(k == 0, "b").when(k == 1, "C, a").when(k == 2, " X Y").otherwise("free text")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("question_text"), texts.alias("option_texts"), answer.alias("answer"), F.col("c_nationkey").cast("double").alias("marks"))
+    told = F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(":"), o["text"])), ",")
+    return publish.normalize_extracted(rows).select("id", "question_type", told.alias("options"), F.array_join("correct_keys", ",").alias("correct"), "negative_marks")
+
+
+@query("""
+WITH s AS (SELECT s_name AS name, s_nationkey AS rate, s_suppkey % 2 = 0 AS enabled FROM supplier WHERE s_suppkey % 3 <> 0), d AS (SELECT s_name AS name, s_nationkey + 1 AS rate, s_suppkey % 5 = 0 AS out FROM supplier WHERE s_suppkey % 4 <> 0)
+SELECT name, coalesce(d.rate, s.rate) AS rate, CASE WHEN out THEN false WHEN s.name IS NULL THEN true ELSE enabled END AS enabled FROM s FULL OUTER JOIN d USING (name)
+""")
+def synced_sources(spark, sf_dir):
+    """Suppliers as sources and their definitions, of which every fifth is not onboarded."""
+    rows = table(spark, sf_dir, "supplier")
+    stored = rows.where("s_suppkey % 3 <> 0").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("rate"), (F.col("s_suppkey") % 2 == 0).alias("enabled"))
+    given = rows.where("s_suppkey % 4 <> 0").select(F.col("s_name").alias("name"), (F.col("s_nationkey") + 1).alias("rate"), F.when(F.col("s_suppkey") % 5 == 0, "not_onboarded").alias("onboarding"))
+    return lifecycle.sync_sources(stored, given)
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'in_review' WHEN 'O' THEN 'ready' ELSE 'held' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'b' || o_custkey END AS batch, o_custkey FROM orders)
+SELECT id, CASE WHEN status = 'ready' AND batch IS NULL THEN 'in_review' ELSE status END AS status, CASE WHEN status = 'ready' AND batch IS NULL THEN 'new' ELSE batch END AS batch,
+  sha256('{' || coalesce('"batch":"' || batch || '",', '') || '"id":' || id || ',"status":"' || status || '"}') AS hash FROM o
+""")
+def items_into_review(spark, sf_dir):
+    """Orders as intake items: the ready ones that are in no batch go into a new one; each has the hash of its content before."""
+    status = F.when(F.col("o_orderstatus") == "F", "in_review").when(F.col("o_orderstatus") == "O", "ready").otherwise("held")
+    batch = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("b"), F.col("o_custkey").cast("string")))
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), batch.alias("batch"))
+    items = items.withColumn("hash", lifecycle.canonical_hash("id", "status", "batch")).withColumnRenamed("batch", "review_batch_id")
+    marked = lifecycle.mark_in_review(items, lifecycle.ready_for_batch(items, "id"), "new")
+    return marked.withColumnRenamed("review_batch_id", "batch")

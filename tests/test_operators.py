@@ -315,6 +315,22 @@ def test_patterns_in_urls(spark):
     assert sorted((r["name"], r["slug"]) for r in catalog.match_registered(names, registered).collect()) == [("AZ-900 basics", "az"), ("Exam One", "exam-one"), ("none", None), ("other", "ab")]
 
 
+def test_stale_reviews_hold_nothing(spark):
+    stored = spark.createDataFrame([(1, "h", "in_review", True), (2, "h", "in_review", False), (3, "h", "in_review", None), (4, "h", "published", None)], "k int, content_hash string, status string, review_open boolean")
+    new = spark.createDataFrame([(k, "x", "held") for k in range(1, 5)], "k int, content_hash string, status string")
+    assert rows(lifecycle.record_intake(stored, new, ["k"]), "k", "status", "result") == [(1, "in_review", "waiting"), (2, "held", "changed"), (3, "held", "changed"), (4, "held", "changed")]
+
+
+def test_attempts(spark):
+    answers = spark.createDataFrame([(1, "a", None, None, None), (1, "b", None, None, None), (2, None, 1.0, 2.0, None), (3, None, None, None, "four")], "question_id int, option_id string, numeric_min double, numeric_max double, text_answer string")
+    tries = [(1, 1, ["b", "a", "b"], None, None, "s"), (2, 1, ["a"], None, 5, "s"), (3, 2, None, "1,5", None, "s"), (4, 2, None, "2.1", None, "s"), (5, 3, None, " four", None, "s"), (6, 9, ["a"], None, None, "s"), (7, 1, None, None, None, "s")]
+    from qcorpus.operators import practice
+
+    got = practice.record_attempts(spark.createDataFrame(tries, "id int, question_id int, selected array<string>, numeric_answer string, user_id int, session_id string"), answers)
+    assert rows(got, "id", "is_correct", "session_id", "first_option") == [
+        (1, True, "s", "b"), (2, False, None, "a"), (3, True, "s", None), (4, False, "s", None), (5, True, "s", None), (7, False, "s", None)]
+
+
 def test_issue_summary(spark):
     df = spark.createDataFrame([(1, "p", "held", '[{"code":"a"},{"code":"a"},{"code":"b"}]'), (2, "p", "held", '[{"code":"a"}]'), (3, "p", "ready", '[{"code":"a"}]'), (4, "q", "ready", None)], "id int, paper string, status string, issues string")
     got = analytics.status_and_issue_summary(df, ["paper"], "status", "issues", "held").orderBy("paper").collect()
