@@ -23,7 +23,6 @@ import string
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -56,19 +55,20 @@ class WordIds(dict):
 
     def learn(self, words: set[bytes]) -> None:
         """Remember ``words``. A run of ASCII marks after a letter or digit is a token run of its own."""
-        cut, new = [], set()
-        for word in words:
+        ended = {w for w in words if w[-1] in _MARKS}
+        cut, new = [], words - ended
+        for word in ended:
             head = word.rstrip(_MARKS)
-            if head and len(head) < len(word) and (head[-1:].isalnum() or head[-1] >= 0x80 and head.decode()[-1].isalpha()):
+            if head and (head[-1:].isalnum() or head[-1] >= 0x80 and head.decode()[-1].isalpha()):
                 tail = word[len(head) :]
                 cut.append((word, head, tail))
                 new.add(head)
                 new.add(tail)
             else:
                 new.add(word)
-        single, other = [], []
-        for word in new - self.keys():
-            (single if word.decode().isalpha() else other).append(word)
+        new -= self.keys()
+        single = [w for w in new if w.isalpha() or w.decode().isalpha()]
+        other = list(new.difference(single))
         for at in range(0, len(single), 500):
             some = single[at : at + 500]
             found = self._joined(some)
@@ -99,11 +99,10 @@ class WordIds(dict):
             self.clear()
         special = [any(token in t for token in self.special) for t in texts]
         split = [[] if odd else t.lower().split() for t, odd in zip(texts, special)]
-        unknown: set[bytes] = set()
-        for words in split:
-            unknown.update(filterfalse(self.__contains__, words))
-        self.learn(unknown)
-        return [self._whole(t) if odd else b"".join(map(self.__getitem__, words)) for t, words, odd in zip(texts, split, special)]
+        found = [list(map(self.get, words)) for words in split]
+        self.learn({w for words, ids in zip(split, found) for w, x in zip(words, ids) if x is None})
+        whole = [b"".join([self[w] if x is None else x for w, x in zip(words, ids)]) for words, ids in zip(split, found)]
+        return [self._whole(t) if odd else ids for t, ids, odd in zip(texts, whole, special)]
 
     def _whole(self, text: bytes) -> bytes:
         return array("I", self.whole.encode(text.decode(), add_special_tokens=False).ids).tobytes()
