@@ -123,14 +123,15 @@ def with_added(df: DataFrame, text_col: str, keep_text: bool, added: str) -> tup
     return rows, [f.name for f in stay], ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stay), added])
 
 
-def draw(rows: DataFrame, label: str, key: str, most: int, most_labels: int = 256) -> DataFrame:
+def draw(rows: DataFrame, label: str, key: str, most: int, most_labels: int = 256, most_rows: int = 60_000) -> DataFrame:
     """At most ``most`` rows of each label, those whose key hashes lowest, as a sample to train on.
 
-    Only the ``most_labels`` labels with the most rows are learned, so that a column full of odd values
-    stays bounded too. A cut by the label's own count leaves about four times as many before rows are
+    Only the ``most_labels`` labels with the most rows are learned, and of many labels so few rows each that
+    all have ``most_rows`` together, so that a column full of odd values stays bounded too. A cut by the label's own count leaves about four times as many before rows are
     ranked, so what is shuffled is bounded by the labels, not by the partitions.
     """
     counts = rows.groupBy(label).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), label).limit(most_labels)
+    most = max(1, min(most, most_rows // max(1, counts.count())))
     lucky = F.pmod(F.xxhash64(key, F.lit(2)), F.lit(1_000_000)) * F.col("_n") < F.lit(4_000_000 * most)
     number = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(key), key))
     some = rows.join(F.broadcast(counts), label).where(lucky).drop("_n")

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Most rows of a table that is broadcast: about 64 MB of sketches or 16 MB of ids.
+#: Most rows, and bytes of strings in them, of a table that is broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 #: Size classes of items: (most shingles, hash functions, least hits at a threshold of 0.8).
 #: With 32 independent functions a containment of 0.8 gives under 12 hits with probability 3e-8.
 SIZE_CLASSES = ((16, None, None), (64, 32, 12), (256, 48, 20), (None, 64, 30))
@@ -81,8 +82,11 @@ def item_sketches(shingles: DataFrame, threshold: float) -> DataFrame:
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it has few rows; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Broadcast ``df`` only if it has few rows and bytes; otherwise Spark shuffles both sides."""
+    texts = [F.octet_length(f.name) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    size = F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
 
 
 def contained_items(

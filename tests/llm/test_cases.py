@@ -154,7 +154,7 @@ def test_decontamination_equals_brute_force(spark, odd, broadcast_rows):
     items = [(i, " ".join(rng.choice(w) for _ in range(k))) for i, k in enumerate([3, 5, 12, 30, 90, 300])] + [(9, None), (10, "")]
     docs = [(i, " ".join(rng.choice(w) for _ in range(50)) + f" {t or ''} and more " + " ".join(rng.choice(w) for _ in range(400))) for i, (_, t) in enumerate(items)]
     cut = items[4][1].split()
-    docs += [(20, " ".join(cut[:80])), (21, " ".join(cut[:60])), (22, None), (None, items[3][1]), (0, items[2][1].upper())]
+    docs += [(20, " ".join(cut[:80])), (21, " ".join(cut[:60])), (22, None), (None, items[3][1]), (0, items[2][1].upper()), (23, f"{LONG} {items[3][1]} {LONG}")]
     table = documents(spark, [t for _, t in docs], [d for d, _ in docs])
     bench = spark.createDataFrame([(*x, 1) for x in items + items[:1]], "item_id long, text string, hash int")
     got = decontam.contained_items(table, bench, broadcast_rows=broadcast_rows).collect()
