@@ -137,15 +137,17 @@ def key_table(lines: DataFrame, profile: dict[str, tuple[str, ...]], number_colu
     names = spark.createDataFrame(names, "position int, column string, alias string").select("position", "column", _plain(F.col("alias")).alias("_name")).distinct()
     keys = ["doc_id", "page", "line"]
     words = lines.select(*keys, "x0", "x1", "top", "text")
-    single = _header_columns(words, names, len(profile)).select("doc_id", "page", (F.col("line") * 2).alias("rank"), F.col("line").alias("last"), "columns")
     both = words.withColumn("pair", F.col("line")).unionByName(words.withColumn("pair", F.col("line") - 1)).drop("line").withColumnRenamed("pair", "line")
     by_pair = W.partitionBy(*keys).orderBy("x0", "top", "text")
     apart = F.coalesce(F.col("x0") >= F.max("x1").over(by_pair.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     stacks = both.withColumn("_apart", apart.cast("int")).withColumn("_stack", F.sum("_apart").over(by_pair.rowsBetween(W.unboundedPreceding, 0)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))), lambda w: w["text"]), " ")
     stacks = stacks.groupBy(*keys, "_stack").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), text.alias("text"))
-    stacked = _header_columns(stacks, names, len(profile)).select("doc_id", "page", (F.col("line") * 2 + 1).alias("rank"), (F.col("line") + 1).alias("last"), "columns")
-    headers = single.unionByName(stacked).groupBy("doc_id", "page").agg(F.min_by(F.struct("last", "columns"), "rank").alias("h"))
+    # the words of line n stand in row 2n, those of n stacked on n + 1 in row 2n + 1
+    row = lambda df, k: df.select("doc_id", "page", (F.col("line") * 2 + k).alias("line"), "x0", "x1", "text")
+    headers = _header_columns(row(words, 0).unionByName(row(stacks, 1)), names, len(profile))
+    last = F.floor((F.col("line") + 1) / 2).cast("int").alias("last")
+    headers = headers.groupBy("doc_id", "page").agg(F.min_by(F.struct(last, "columns"), "line").alias("h"))
     pages = words.select("doc_id", "page").distinct().join(headers, ["doc_id", "page"], "left")
     pages = carry_headers(pages.select("doc_id", "page", F.coalesce("h.last", F.lit(-1)).alias("last"), F.col("h.columns").alias("columns")), "columns")
     rows = words.join(pages, ["doc_id", "page"]).where(F.col("columns").isNotNull() & (F.col("line") > F.col("last")))
@@ -159,7 +161,7 @@ def key_table(lines: DataFrame, profile: dict[str, tuple[str, ...]], number_colu
     found = cells.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "text")))).alias("values"))
     number = F.try_element_at("values", F.lit(number_column))
     found = found.where(number.rlike(r"^\d+$")).select(*keys, number.cast("long").alias("number"), "values", F.lit(None).cast("string").alias("error"))
-    none = words.select("doc_id").distinct().join(headers.select("doc_id").distinct(), "doc_id", "left_anti")
+    none = pages.groupBy("doc_id").agg(F.count("columns").alias("_headers")).where("_headers = 0")
     empty = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("page", "line", "number", "values")]
     return found.unionByName(none.select("doc_id", *empty, F.lit("no header").alias("error")))
 

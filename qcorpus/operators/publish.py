@@ -60,7 +60,7 @@ def quality_issues(questions: DataFrame, exams: DataFrame | None = None, order:
 
     Questions have question_text, question_type, options (key, text), correct_keys, answer_text,
     answer_status, explanation, needs_review, media (placement, option_key), exam_slug, stable_id and
-    number. With ``order`` a stable id that an earlier numbered row has is an error as well.
+    number. With ``order``, which tells rows apart, a stable id that an earlier numbered row has is an error as well.
     """
     q = questions
     if exams is not None:
@@ -68,8 +68,9 @@ def quality_issues(questions: DataFrame, exams: DataFrame | None = None, order:
     else:
         q = q.withColumn("_registered", F.lit(True))
     if order:
-        place = F.row_number().over(W.partitionBy("stable_id", F.col("number").isNull()).orderBy(*order))
-        q = q.withColumn("_repeat", F.col("number").isNotNull() & (place > 1))
+        place = F.struct(*order)
+        first = questions.where("number is not null").groupBy("stable_id").agg(F.min(place).alias("_first"))
+        q = q.join(first, "stable_id", "left").withColumn("_repeat", F.col("number").isNotNull() & (place > F.col("_first"))).drop("_first")
     else:
         q = q.withColumn("_repeat", F.lit(False))
     keys = F.transform("options", lambda o: o["key"])
