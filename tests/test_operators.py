@@ -127,6 +127,26 @@ def test_decisions(spark, text, options, answer, want):
     assert decide(spark, text, options, answer, CORPUS) == want
 
 
+def test_decisions_that_are_remembered(spark):
+    from qcorpus.functions.text import normalize_text
+
+    kind = "id long, text string, options array<string>, answers array<string>"
+    near = "What is the capitol city of the old republic in 1999?"
+    probes = spark.createDataFrame([(1, CORPUS[0][1], ["a", "x"], ["a"]), (2, CORPUS[0][1], ["a", "y"], ["a"]), (3, near, ["a", "b"], ["a"]), (4, near, ["a"], ["a"]), (5, CORPUS[0][1], ["a", "z"], ["a"])], kind)
+    notes = [(10, CORPUS[0][1], ["a", "x"], ["a"], "skipped", 1), (10, CORPUS[0][1], ["a", "x"], ["a"], "same", 2), (10, CORPUS[0][1], ["a", "y"], ["a"], "skipped", None), (10, near, ["a", "b"], ["a"], "skipped", 1), (10, near, ["a"], ["a"], "different", 1)]
+    remembered = spark.createDataFrame(notes, "existing long, text string, options array<string>, answers array<string>, status string, decided_at int").withColumn("norm", normalize_text(F.col("text")))
+    got = dedupe.decide(probes, spark.createDataFrame(CORPUS, kind), remembered=remembered)
+    assert rows(got, "probe", "outcome", "existing") == [(1, "remembered_same", 10), (2, "remembered_skipped", 10), (3, "remembered_skipped", 10), (4, "near", 10), (5, "conflicting", 10)]
+
+
+def test_the_same_question_in_the_own_set_is_preferred(spark):
+    kind = "id long, text string, options array<string>, answers array<string>, question_set string"
+    t = CORPUS[0][1]
+    corpus = spark.createDataFrame([(10, t, ["a"], ["a"], "s"), (11, t, ["a"], ["a"], "t"), (12, t, ["b"], ["a"], "u")], kind)
+    probes = spark.createDataFrame([(1, t, ["a"], ["a"], "t"), (2, t, ["a"], ["a"], "u"), (3, t, ["c"], ["a"], "t")], kind)
+    assert rows(dedupe.decide(probes, corpus), "probe", "outcome", "existing", "in_set") == [(1, "same", 11, True), (2, "same", 10, False), (3, "conflicting", 10, None)]
+
+
 def test_decisions_cover_all_turns_and_the_benchmark(spark, tmp_path):
     t = "Which of the following rivers flows through the capital of the old republic, number "
     turns = [(1, 0, t + "aa"), (1, 1, t + "AA!"), (3, 0, t + "aa"), (5, 0, t + "bb"), (2, 0, "A benchmark item, word for word"), (4, 0, "Something else altogether"), (4, 1, "something else altogether")]
@@ -149,8 +169,9 @@ def test_audit_reports_copies_and_pairs_from_085(spark, tmp_path):
 
 
 def test_profile_threshold_is_checked():
-    with pytest.raises(ValueError):
-        dedupe.Profile(threshold=0.4)
+    for wrong in ({"threshold": 0.4}, {"identity": "number"}):
+        with pytest.raises(ValueError):
+            dedupe.Profile(**wrong)
 
 
 def test_waves(spark):
