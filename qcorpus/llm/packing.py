@@ -33,7 +33,7 @@ from .common import byte_slices, staged
 
 _SIZE = 4096
 #: Words that a task remembers; then it starts afresh, so memory is bounded.
-_REMEMBER = 700_000
+_REMEMBER = 650_000
 #: ASCII marks but the quotes, which the tokenizer may join with what follows.
 _MARKS = bytes(set(string.punctuation.encode()) - set(b"'\""))
 
@@ -112,7 +112,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int
     ids = WordIds(path)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for part in byte_slices([batch], "text", 2 << 20):
+        for part in byte_slices([batch], "text", 1 << 20):
             rows = []
             texts = [x.as_py() or b"" for x in part.column("text")]
             for doc, tokens in zip(part.column("doc_id").to_pylist(), ids.documents(texts)):

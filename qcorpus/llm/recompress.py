@@ -321,7 +321,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 def _cut(batches: Iterator[pa.RecordBatch], text_col: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in byte_slices([batch], text_col, 2 * _SLICE):
+        for part in byte_slices([batch], text_col, _SLICE // 2):
             texts = _unpacked(part.column(text_col))
             split = [t.split() for t in texts]
             counts = np.array([len(w) for w in split], np.int64)
