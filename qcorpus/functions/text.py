@@ -113,6 +113,10 @@ def could_reach(len_a: Column, len_b: Column, threshold: float) -> Column:
     return F.least(len_a, len_b) >= F.greatest(len_a, len_b) * threshold
 
 
+def excerpt(text: Column, characters: int = 200) -> Column:
+    return F.left(text, F.lit(characters))
+
+
 def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 

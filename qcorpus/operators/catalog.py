@@ -66,6 +66,14 @@ def rss_items(rows: DataFrame, title: Column, link: Column, text: Column, at: Co
     return rows.select(link.alias("link"), at.alias("published_at"), item.alias("item")).orderBy(F.desc("published_at"), "link").limit(limit)
 
 
+def find_papers(papers: DataFrame, year: int | None = None, sitting: str | None = None) -> DataFrame:
+    """Papers of a catalog, by optional year and sitting."""
+    for name, value in (("year", year), ("sitting", sitting)):
+        if value is not None:
+            papers = papers.where(F.col(name) == F.lit(value))
+    return papers
+
+
 def flag_states(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
     """Feature flags: the stored value where there is one, else the default."""
     o = overrides.select("key", F.col("enabled").alias("_set"))

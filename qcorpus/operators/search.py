@@ -48,7 +48,8 @@ def postings(docs: DataFrame, id_col: str, fields: list[str], weights: tuple[flo
         words = F.explode_outer(tokens(F.col(name)))
         rows = docs.select(F.col(id_col).alias("id"), words.alias("word"), F.lit(weight).alias("w")).where("word is not null")
         parts = rows if parts is None else parts.unionByName(rows)
-    parts = parts.select(stem(F.col("word")).alias("lexeme"), "id", "w")
+    # never null, so that no filter on it works the stem out once more
+    parts = parts.select(F.coalesce(stem(F.col("word")), F.lit("")).alias("lexeme"), "id", "w")
     if only is not None:
         parts = parts.join(only.select("lexeme").distinct(), "lexeme", "left_semi")
     counts = parts.groupBy("lexeme", "id", "w").agg(F.count("*").alias("tf"))

@@ -367,3 +367,47 @@ def items_into_review(spark, sf_dir):
     items = items.withColumn("hash", lifecycle.canonical_hash("id", "status", "batch")).withColumnRenamed("batch", "review_batch_id")
     marked = lifecycle.mark_in_review(items, lifecycle.ready_for_batch(items, "id"), "new")
     return marked.withColumnRenamed("review_batch_id", "batch")
+
+
+@query("""
+SELECT 'https://e.org/' || page_id AS url, 'Page ' || page_id AS question_text, CASE WHEN page_id % 2 = 0 THEN 'B' ELSE '' END AS correct
+FROM pages WHERE page_id % 3 = 1
+""")
+def replayed_quizzes(spark, sf_dir):
+    """Stored artifacts of a source, parsed again as quizzes."""
+    right = F.when(F.col("page_id") % 2 == 0, ' class="is-correct"').otherwise("")
+    page = F.col("page_id").cast("string")
+    html = F.concat(F.lit("<fieldset><legend>Page "), page, F.lit("</legend><label>x</label><label"), right, F.lit(">y</label></fieldset>"))
+    stored = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://e.org/"), page).alias("url"), html.alias("html"), F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("source"))
+    return pages.replay(stored, "s1", parser=pages.parse_quizzes).select("url", "question_text", F.array_join("correct_keys", ",").alias("correct"))
+
+
+@query("SELECT doc_id, text[1:200] AS excerpt FROM documents")
+def document_excerpts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("""
+WITH j AS (SELECT 'k' || o_custkey AS key, min(o_orderkey) AS id FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT DISTINCT 'k' || o_custkey AS key FROM orders WHERE o_orderkey % 2 = 1)
+SELECT key, id FROM j UNION ALL SELECT key, NULL FROM n WHERE key NOT IN (SELECT key FROM j)
+""")
+def created_jobs(spark, sf_dir):
+    """Jobs are created once for a key: those of odd orders, where even ones have none for the customer."""
+    from ..operators.merge import insert_absent
+
+    orders = table(spark, sf_dir, "orders").withColumn("key", F.concat(F.lit("k"), F.col("o_custkey").cast("string")))
+    jobs = orders.where("o_orderkey % 2 = 0").groupBy("key").agg(F.min("o_orderkey").alias("id"))
+    return insert_absent(jobs, orders.where("o_orderkey % 2 = 1").select("key", F.lit(None).cast("long").alias("id")), ["key"])
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'low' WHEN o_orderpriority = '1-URGENT' THEN 'high' ELSE 'medium' END AS confidence
+FROM orders WHERE year(o_orderdate) = 1995 AND o_orderstatus <> 'O'
+""")
+def paper_confidence(spark, sf_dir):
+    """The catalog's papers of a year, with the confidence in each."""
+    from ..operators.catalog import find_papers
+
+    papers = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").withColumn("year", F.year("o_orderdate"))
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "official").otherwise("community")
+    return find_papers(papers, year=1995).select("o_orderkey", publish.confidence(F.col("o_orderstatus") != "P", kind).alias("confidence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -148,13 +148,13 @@ def parse_quizzes(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_parse, QUIZ_SCHEMA)
 
 
-def replay(artifacts: DataFrame, source: str | None = None, since: str | None = None) -> DataFrame:
-    """Stored artifacts to parse again, by optional source and first time of fetching."""
+def replay(artifacts: DataFrame, source: str | None = None, since: str | None = None, parser: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Stored artifacts to parse again, by optional source and first time of fetching; parsed, where a parser is given."""
     if source is not None:
         artifacts = artifacts.where(F.col("source") == source)
     if since is not None:
         artifacts = artifacts.where(F.col("fetched_at") >= F.lit(since).cast("timestamp"))
-    return artifacts
+    return parser(artifacts) if parser else artifacts
 
 
 def catalog_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
