@@ -9,8 +9,8 @@ fitted to these tags by forward-backward over the whole sample.
 A document is one chain, however long. To run many at once, chains are laid out in rows of
 ``SEQUENCE`` words; the product of a row's transitions carries the messages from row to row, so the
 marginals are those of the whole chain. They add up to an expected number of toxic words. For the
-score their squares, which give doubtful words little say, are summed and set against the words of the
-text; a logistic curve, fitted with the labels' own shares, turns this into a probability. Words
+score their ``SURE``-th powers, which give doubtful words little say, are summed and set against the
+words of the text; a logistic curve, fitted with the labels' own shares, turns this into a probability. Words
 whose marginal is at least a half give the offending offsets.
 
 The training sample is bounded by rows and by the length of a row: of twice ``ROWS_PER_LABEL``
@@ -46,6 +46,8 @@ TRAIN_CHARS = 20_000
 #: A feature marks toxic tokens if at least this share of toxic documents has it, so that what a
 #: few copies of one document share does not.
 MARK_SHARE = 0.015
+#: A word counts for the score by this power of its marginal.
+SURE = 8
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose emissions a task remembers before it starts afresh.
 _REMEMBER = 500_000
@@ -70,8 +72,8 @@ class Field:
 
 
 def density(certain: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Toxic words among a thousand, on a logarithmic scale; a text counts as having 50 words more."""
-    return np.log1p(1000 * certain / (words + 50))
+    """Toxic words among a thousand, on a logarithmic scale; a text counts as having 100 words more."""
+    return np.log1p(1000 * certain / (words + 100))
 
 
 def _share(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -202,7 +204,7 @@ def train(texts: list[str], toxic: list[int], shares: tuple[float, float] = (0.5
         square_t += change * change
         transition += 0.2 * change / np.sqrt(square_t)
     marginal, _ = forward_backward(np.where(inside, emissions()[word], 0), inside, transition, start, begins)
-    certain = density(np.bincount(owner, weights=(marginal**2).sum(axis=1), minlength=len(counts)), counts)
+    certain = density(np.bincount(owner, weights=(marginal**SURE).sum(axis=1), minlength=len(counts)), counts)
     y, a, b = np.array(toxic, float), 0.0, 0.0
     weight = np.where(y == 1, shares[1] / total[1], shares[0] / total[0]) * len(y)
     for _ in range(50):  # Newton's steps, held back by a small ridge
@@ -216,7 +218,7 @@ def train(texts: list[str], toxic: list[int], shares: tuple[float, float] = (0.5
 
 
 def marginals(field: Field, emissions: list[list[float]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of each document the sums of its words' marginals and of their squares, and the marginals."""
+    """Of each document the sums of its words' marginals and of their ``SURE``-th powers, and the marginals."""
     counts = np.array([len(e) for e in emissions], np.int64)
     if not counts.sum():
         return np.zeros(len(counts)), np.zeros(len(counts)), [np.zeros(0)] * len(counts)
@@ -224,7 +226,7 @@ def marginals(field: Field, emissions: list[list[float]]) -> tuple[np.ndarray, n
     table = np.zeros(inside.shape)
     table[inside] = np.fromiter((x for e in emissions for x in e), np.float64, int(counts.sum()))
     marginal, _ = forward_backward(table, inside, field.transition, field.start, begins)
-    total = [np.bincount(owner, weights=m.sum(axis=1), minlength=len(counts)) for m in (marginal, marginal**2)]
+    total = [np.bincount(owner, weights=m.sum(axis=1), minlength=len(counts)) for m in (marginal, marginal**SURE)]
     return *total, np.split(marginal[inside], np.cumsum(counts)[:-1])
 
 
