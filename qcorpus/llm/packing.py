@@ -46,10 +46,11 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.whole = Tokenizer.from_file(path)
-        self.special = [token.content.encode() for token in self.whole.get_added_tokens_decoder().values()]
-        self.tokenizer = Tokenizer.from_file(path)  # for words, of which lower-casing may make a special token
-        self.tokenizer.encode_special_tokens = True
+        self.load = lambda: Tokenizer.from_file(path)
+        self.whole: Tokenizer | None = None  # loaded for the first text that spells a special token
+        self.tokenizer = self.load()
+        self.tokenizer.encode_special_tokens = True  # words, of which lower-casing may make a special token
+        self.special = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -105,6 +106,7 @@ class WordIds(dict):
         return [self._whole(t) if odd else ids for t, ids, odd in zip(texts, whole, special)]
 
     def _whole(self, text: bytes) -> bytes:
+        self.whole = self.whole or self.load()
         return array("I", self.whole.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
 

@@ -290,7 +290,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
     A window's tag is its check and its place in the text, a span's its length and its place.
     """
     for batch in batches:
-        for part in byte_slices([batch], "text", _SLICE // 2):
+        for part in byte_slices([batch], "text", _SLICE // 3):
             ids, texts = part.column("_place").to_numpy(), _unpacked(part.column("text"))
             names, docs, _ = word_names(texts)
             s = _symbols(names, docs, window)
