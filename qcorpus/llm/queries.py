@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hilbert, langcnn, linebreaks, packing, recompress, repetition, simhash, toxcrf, warc
+from . import decontam, hilbert, infill, langcnn, linebreaks, multiset, packing, recompress, repetition, simhash, toxcrf, warc
 from .common import new_path, staged, table
 
 
@@ -96,6 +96,18 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(warc.read_archives(spark, path, payloads=False))
 
 
+def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.infill(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    found = found.withColumn("output_sha256", F.sha2("infill_text", 256))
+    return infill.restore(found, keep_out=False).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("restored_text", 256).alias("restored_sha256")
+    )
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_main_text": op2_main_text,
@@ -107,6 +119,8 @@ QUERIES = {
     "op8_language_cnn": op8_language_cnn,
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_multiset_hash": op11_multiset_hash,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
