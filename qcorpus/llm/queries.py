@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hilbert, infill, langcnn, linebreaks, multiset, packing, recompress, repetition, simhash, toxcrf, warc
+from . import decontam, dialogue, hilbert, infill, langcnn, linebreaks, multiset, packing, recompress, repetition, simhash, toxcrf, warc
 from .common import new_path, staged, table
 
 
@@ -100,6 +100,11 @@ def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damaged(rows), rows)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = infill.infill(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     found = found.withColumn("output_sha256", F.sha2("infill_text", 256))
@@ -120,6 +125,7 @@ QUERIES = {
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_warc_revisits": op10_warc_revisits,
     "op11_multiset_hash": op11_multiset_hash,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 

@@ -1,14 +1,18 @@
 """The operators of the third round against brute force, on the smallest tables and on odd ones."""
 
 import hashlib
+import itertools
 import os
+import random
 import re
+import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from qcorpus.llm import infill, multiset
+from qcorpus.llm import dialogue, infill, multiset
 from qcorpus.llm.common import table
 from qcorpus.llm.queries import QUERIES
 
@@ -152,3 +156,141 @@ def test_pieces_do_not_change_the_outputs(monkeypatch):
     whole = infill.arrange(texts, ids, 100, 50, 1)
     monkeypatch.setattr(infill, "_PIECE", 5)
     assert infill.arrange(texts, ids, 100, 50, 1) == whole and infill.rebuilt(whole[0], whole[2]) == texts
+
+
+# conversation repair
+
+
+def plain_faults(rows):
+    """(role, text, fault) of a conversation's rows in order."""
+    seen, out = set(), []
+    for role, text in rows:
+        words = text.strip(" \t\n\x0b\f\r")
+        fault = "blank" if not words else "duplicate" if (role, text) in seen else "truncated" if words[-1] not in ".!?" else ""
+        seen.add((role, text))
+        out.append((role, text, fault))
+    return out
+
+
+def plain_repair(rows):
+    """The least (cost, audit) and what it leaves, by a forward search over automaton states."""
+    go = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    names = {"u": "user", "a": "assistant"}
+
+    def inserted(states):
+        for _ in range(3):
+            for (p, x), q in go.items():
+                if x != "s" and p in states:
+                    c, audit, lines = states[p]
+                    new = (c + 5, audit + "I", [*lines, names[x] + ":"])
+                    states[q] = min(states.get(q, new), new)
+        return states
+
+    states = inserted({0: (0, "", [])})
+    for role, text, fault in rows:
+        after = {}
+        for p, (c, audit, lines) in states.items():
+            options = [(p, (c + 2, audit + "D", lines))]
+            if fault not in ("blank", "duplicate"):
+                more = 5 * (fault == "truncated")
+                if (p, role[:1]) in go:
+                    options.append((go[p, role[:1]], (c + more, audit + "K", [*lines, f"{role}:{text}"])))
+                options += [(go[p, x], (c + 1 + more, audit + "R", [*lines, f"{names[x]}:{text}"])) for x in "ua" if (p, x) in go]
+            for q, new in options:
+                after[q] = min(after.get(q, new), new)
+        states = inserted(after)
+    return min(states[q] for q in (0, 3) if q in states)
+
+
+def every_repair(rows):
+    """The least (cost, audit) of all edits with at most two insertions in a gap."""
+    best = None
+    letters = ["D" if f in ("blank", "duplicate") else "KRD" for _, _, f in rows]
+    for edits in itertools.product(*letters):
+        cost = sum({"K": 0, "R": 1, "D": 2}[e] + 5 * (e != "D" and r[2] == "truncated") for e, r in zip(edits, rows))
+        for gaps in itertools.product(range(3), repeat=len(rows) + 1):
+            options = ["?" * gaps[0]]
+            for e, (role, _, _), n in zip(edits, rows, gaps[1:]):
+                options.append(("" if e == "D" else role[:1] if e == "K" else "?") + "?" * n)
+            pattern = "".join(options)
+            fits = re.fullmatch(r"([s]?([u?][a?])+)?", pattern) is not None and not pattern.startswith("s?") or re.fullmatch(r"s([u?][a?])+", pattern)
+            if fits:
+                audit = "I" * gaps[0] + "".join(e + "I" * n for e, n in zip(edits, gaps[1:]))
+                new = (cost + 5 * sum(gaps), audit)
+                best = min(best or new, new)
+    return best
+
+
+def plain_damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        fate = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if fate == 0:
+            continue
+        text = "" if fate == 1 else re.sub("[.!?]", "", text) if fate == 2 else text
+        out += [(conv, turn, "user" if fate == 4 else role, text)] * (2 if fate == 3 else 1)
+    return out
+
+
+def plain_reports(rows):
+    convs = defaultdict(list)
+    for conv, turn, role, text in plain_damage(rows):
+        convs[conv].append((turn, role, text))
+    out = []
+    for conv in {r[0] for r in rows}:
+        own = sorted(convs[conv], key=lambda r: (r[0] is not None, r[0] or 0))
+        turns = {t for t, _, _ in own} - {None}
+        found = plain_faults([r[1:] for r in own])
+        faults = [f for _, _, f in found]
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(own, own[1:]))
+        cost, audit, lines = plain_repair(found) if own else (0, "", [])
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        out.append((conv, gaps, *[faults.count(f) for f in ("blank", "duplicate", "truncated")], illegal, cost, audit, sha("\n".join(lines))))
+    return sorted(out, key=str)
+
+
+@needs_data
+def test_conversation_query(spark):
+    rows = [tuple(r) for r in table(spark, SF, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    got = [tuple(r) for r in QUERIES["op12_conversation_repair"](spark, SF).collect()]
+    assert sorted(got, key=str) == plain_reports(rows)
+
+
+def test_cells_equal_every_repair():
+    rng = random.Random(5)
+    for _ in range(60):
+        rows = [(rng.choice(["system", "user", "assistant", "tool"]), "t", rng.choice(["", "", "truncated", "blank"])) for _ in range(rng.randint(1, 4))]
+        assert plain_repair(rows)[:2] == every_repair(rows)
+    for _ in range(300):
+        rows = [(rng.choice(["system", "user", "assistant", "x", ""]), "t", rng.choice(["", "", "truncated", "duplicate"])) for _ in range(rng.randint(1, 40))]
+        marks = {"": str, "truncated": lambda x: x.upper().replace("-", "_"), "duplicate": lambda x: "!"}
+        shapes = "".join(marks[f](r[0] if r[:1] in ("s", "u", "a") else "-") for r, _, f in rows)
+        assert dialogue.best(dialogue.parse(shapes)) == plain_repair(rows)[:2]
+        cut = rng.randint(0, len(shapes))
+        assert dialogue.best(dialogue.combine(dialogue.parse(shapes[:cut]), dialogue.parse(shapes[cut:]))) == plain_repair(rows)[:2]
+
+
+def test_repair_of_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(dialogue, "BLOCK", 4)  # conversations span blocks
+    rng = random.Random(3)
+    texts = ["Hi.", "no end", "", None, " \n", "Well?", "ok!\t", "a b"]
+    roles = ["user", "assistant", "system", None, "", "tool", "User"]
+    rows = []
+    for conv in [*range(40), None]:
+        for i in range(rng.choice([1, 2, 5, 30])):
+            rows.append((conv, rng.choice([i, i, i, None, 99]) if conv == 3 else i, rng.choice(roles), rng.choice(texts) if i % 3 else f"Row {i}."))
+    rows = [r for r in rows if r[0] != 3] + [(3, i if i % 4 else None, "user", f"Row {i}.") for i in range(9) if i % 4 or not i]
+    rows += [(7, 5, "user", "same."), (7, 5, "user", "same.")] + [(1000, 2, "user", "x" * 300_000 + ".")] + [(2000, i, "assistant", "Same.") for i in range(200)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    distinct = {}
+    for r in rows:
+        distinct.setdefault((r[0], r[1]), set()).add(r[2:])
+    keep = [r for r in rows if len(distinct[r[0], r[1]]) == 1]  # the plain version has no digest for rows that tie
+    df = frame.withColumns({"report": F.lit(1), "place": F.lit("p")})
+    want = plain_reports(keep)
+    tied = {r[0] for r in rows} - {r[0] for r in keep} | {r[0] for r in rows if len(distinct[r[0], r[1]]) > 1}
+    got = sorted((tuple(r) for r in dialogue.repair(dialogue.damaged(df), df).collect()), key=str)
+    assert {r[0] for r in got} == {r[0] for r in rows} and len(got) == len({r[0] for r in rows})
+    assert [r for r in got if r[0] not in tied] == [r for r in want if r[0] not in tied] and len(tied) < 10
+    assert dialogue.repair(dialogue.damaged(df.limit(0)), df.limit(0)).count() == 0
