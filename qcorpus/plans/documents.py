@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import analytics, dedupe, search, similarity
+from ..operators import analytics, dedupe, gramindex, search, similarity
 from ..sources import pages as pg
 from .registry import query, table
 
@@ -75,6 +75,28 @@ def trigram_top_candidates(spark, sf_dir):
     return found.select("a", "b", F.round("trigram", 9).alias("trigram"), "place")
 
 
+@query("""
+WITH c AS (SELECT p_partkey AS id, false AS variant, p_name AS text FROM part UNION ALL SELECT p_partkey, true, p_brand || ' ' || p_name FROM part),
+t AS (SELECT DISTINCT text FROM c), w AS (SELECT text, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM t),
+g AS (SELECT DISTINCT text, ('  ' || w || ' ')[i:i + 2] AS gram FROM w, unnest(range(1, length(w) + 2)) u(i) WHERE w <> ''),
+s AS (SELECT text, count(*) AS n FROM g GROUP BY text), p AS (SELECT p_partkey AS a, p_name AS text FROM part WHERE p_partkey % 20 = 0),
+o AS (SELECT a.text AS x, b.text AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram WHERE a.text IN (SELECT text FROM p) GROUP BY 1, 2),
+j AS (SELECT x, y, shared / (u.n + v.n - shared)::DOUBLE AS trigram FROM o JOIN s u ON u.text = x JOIN s v ON v.text = y),
+r AS (SELECT a, id AS owner, variant, trigram, row_number() OVER (PARTITION BY a ORDER BY trigram DESC, id, variant) AS place
+  FROM j JOIN p ON p.text = x JOIN c ON c.text = y WHERE trigram >= 0.3 AND least(length(x), length(y)) >= greatest(length(x), length(y)) * (0.9 * 0.85))
+SELECT a, owner, variant, round(trigram, 9) AS trigram, place::INT AS place FROM r WHERE place <= 50
+""")
+def indexed_candidates(spark, sf_dir):
+    """The stated probes against a kept index of all part names, to which names with their brands are added as variants."""
+    parts = table(spark, sf_dir, "part")
+    named = parts.select(F.col("p_partkey").alias("owner"), F.col("p_name").alias("text"), F.lit(False).alias("variant"))
+    wordings = parts.select(F.col("p_partkey").alias("owner"), F.concat_ws(" ", "p_brand", "p_name").alias("text"), F.lit(True).alias("variant"))
+    index = gramindex.new_index(spark).drop_at_end().build(named)
+    index.insert(wordings)
+    found = index.top(parts.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), 0.9)
+    return found.select("a", "owner", "variant", F.round("trigram", 9).alias("trigram"), "place")
+
+
 @query()
 def near_dup_items(spark, sf_dir):
     """The audit of all conversation turns: copies, equal wording in another role, and similar texts."""
