@@ -184,9 +184,19 @@ def test_waves_join_no_rows_of_other_batches(spark):
     t = "the same first question of all batches"
     df = spark.createDataFrame([(b, p, t) for b in range(3) for p in range(2)], "batch long, position long, text string")
     assert rows(dedupe.plan_waves(df)) == [(b, p, p) for b in range(3) for p in range(2)]
-    plan = dedupe.plan_waves(df)._jdf.queryExecution().optimizedPlan().toString()
-    grams = [x for x in plan.splitlines() if "Join Inner" in x and "(gram#" in x and "len#" in x]
-    assert grams and all(re.search(r"\((batch|part)#\d+L? = (batch|part)#\d+L?\)", x) for x in grams)
+    plan = similarity.similar_pairs(df.select(F.struct("batch", "position").alias("id"), "batch", "text"), None, 0.9, within="batch")._jdf.queryExecution().optimizedPlan().toString()
+    keys = [x for x in plan.splitlines() if "Join Inner" in x and "(key#" in x]
+    assert keys and all(re.search(r"\((batch|part)#\d+L? = (batch|part)#\d+L?\)", x) for x in keys)
+
+
+def test_waves_are_longest_paths(spark):
+    a, b = "one question of the batch that repeats", "one question of the batch that repeated"
+    data = [("x", 1, a), ("x", 2, "nothing like the others here"), ("x", 3, b), ("x", 3, a), ("x", 3, a), ("x", 4, None), ("x", 4, None), ("x", 9, b), ("y", 1, b), ("y", 2, ""), ("y", 3, "")]
+    df = spark.createDataFrame(data, "batch string, position int, text string")
+    got = rows(dedupe.plan_waves(df))
+    assert [r for r in got if r[1] != 3] == [("x", 1, 0), ("x", 2, 0), ("x", 4, 0), ("x", 4, 0), ("x", 9, 3), ("y", 1, 0), ("y", 2, 0)]
+    assert sorted(w for x, p, w in got if (x, p) == ("x", 3)) in ([1, 1, 2], [1, 2, 2]) and [r for r in got if r[0] == "y" and r[1] == 3] == [("y", 3, 0)]
+    assert dedupe.plan_waves(df.limit(0)).count() == 0
 
 
 def test_key_status_moves_forward_only(spark):
