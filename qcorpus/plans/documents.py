@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import analytics, dedupe, gramindex, search, similarity
+from ..operators import analytics, dedupe, gramindex, search, similarity, waves
 from ..sources import pages as pg
 from .registry import query, table
 
@@ -129,6 +129,31 @@ def benchmark_items(spark, sf_dir):
     return items.select((-1 - F.col("item_id")).alias("id"), "text", none.alias("options"), none.alias("answers"), F.lit(None).cast("long").alias("conv_id"))
 
 
+def part_batches(spark, sf_dir):
+    """Part names with their brands as incoming questions in batches by brand; a part's place in a paper is its type and key."""
+    none = F.lit(None)
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("batch"), F.col("p_partkey").cast("int").alias("position"), F.concat_ws(" ", "p_name", "p_brand").alias("text"),
+        F.array("p_type").alias("options"), F.array(F.substring("p_type", 1, 1)).alias("answers"), F.concat_ws("-", "p_type", F.col("p_partkey").cast("string")).alias("stable_id"),
+        F.col("p_type").alias("question_set"), none.cast("int").alias("number"), F.round("p_retailprice", 0).alias("marks"), none.cast("double").alias("negative_marks"), F.lit("scored").alias("answer_status"),
+        F.array(F.struct(F.concat(F.lit("img/"), "p_type").alias("storage_key"), F.lit(0).alias("position"))).alias("media"), (F.col("p_size") > 1).alias("valid"))
+
+
+def empty_store(spark, stored_questions):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    return waves.Store(
+        stored_questions, empty("question_id long, text string"),
+        empty("question_id long, question_set_id string, number int, marks decimal(5,2), negative_marks decimal(5,2), answer_status string"), empty("question_id long, storage_key string, position int"))
+
+
+@query()
+def publish_waves(spark, sf_dir):
+    """The part names published in order against the benchmark's items: what becomes of each."""
+    items = benchmark_items(spark, sf_dir).select("id", F.lit(None).cast("string").alias("stable_id"), "text", "options", "answers")
+    report, _ = waves.publish_in_order(part_batches(spark, sf_dir), empty_store(spark, items))
+    return report
+
+
 @query()
 def dedupe_decisions(spark, sf_dir):
     """Decisions for the conversation turns against the benchmark and all turns of other conversations.
@@ -141,11 +166,19 @@ def dedupe_decisions(spark, sf_dir):
     return dedupe.decide(probes, corpus, apart="conv_id").select("probe", "outcome", "existing", "similarity", "options_match", "answer_match", "suggestion")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE b AS (SELECT 'conversation ' || conv_id AS batch, turn AS position, {norm_sql('text')} AS norm FROM conversations WHERE text IS NOT NULL
+UNION ALL SELECT p_brand || ' ' || p_size, p_partkey, {norm_sql('p_name')} FROM part),
+e AS (SELECT x.batch, x.position AS p, y.position AS q FROM b x JOIN b y ON x.batch = y.batch AND x.position < y.position
+  WHERE least(length(x.norm), length(y.norm)) >= 0.9 * greatest(length(x.norm), length(y.norm)) AND 1 - levenshtein(x.norm, y.norm) / greatest(length(x.norm), length(y.norm))::DOUBLE >= 0.9),
+w(batch, position, wave) AS (SELECT batch, position, 0 FROM b UNION SELECT e.batch, e.q, w.wave + 1 FROM w JOIN e ON e.batch = w.batch AND e.p = w.position)
+SELECT batch, position, max(wave)::INT AS wave FROM w GROUP BY batch, position
+""")
 def batch_waves(spark, sf_dir):
-    """Publish waves of the turns of each conversation."""
-    turns = table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    return dedupe.plan_waves(turns.select(F.col("conv_id").alias("batch"), F.col("turn").alias("position"), "text"))
+    """Publish waves of the turns of each conversation, and of the part names of each brand and size."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat(F.lit("conversation "), "conv_id").alias("batch"), F.col("turn").alias("position"), "text")
+    parts = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("batch"), F.col("p_partkey").alias("position"), F.col("p_name").alias("text"))
+    return dedupe.plan_waves(turns.unionByName(parts))
 
 
 @query(f"""
