@@ -140,3 +140,13 @@ def _lexemes(words: pd.Series) -> pd.Series:
 def stem_all(words: Column) -> Column:
     """The lexemes of an array of lower-case words; a task stems a word once."""
     return _lexemes(words)
+
+
+@F.pandas_udf(T.StringType())
+def _lexeme(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w is None else lexeme(w))
+
+
+def stem(word: Column) -> Column:
+    """The lexeme of a lower-case word."""
+    return _lexeme(word)

@@ -65,16 +65,22 @@ class Postings:
     key: str
     buckets: int
 
-    def add(self, rows: DataFrame) -> None:
-        dealt = rows.repartition(self.buckets, self.key)  # a file for each bucket
-        dealt.write.bucketBy(self.buckets, self.key).sortBy(self.key).format("parquet").option("path", self.path).mode("append").saveAsTable(self.name)
-
-    def open(self, schema: str) -> None:
+    def add(self, rows: DataFrame, segment: str | None = None) -> None:
+        """Append rows, a file for each bucket, of each ``segment`` if they are dealt out by that column too."""
+        bucket = F.pmod(F.hash(self.key), F.lit(self.buckets))  # as Spark deals rows to buckets
+        dealt = rows.repartition(bucket, *([segment] if segment else []))
+        writer = dealt.write.bucketBy(self.buckets, self.key).sortBy(self.key).format("parquet").option("path", self.path).mode("append")
+        (writer.partitionBy(segment) if segment else writer).saveAsTable(self.name)
+
+    def open(self, schema: str, segment: str | None = None) -> None:
         """Make the table known that an earlier session has left at the path."""
+        parts = f"PARTITIONED BY ({segment}) " if segment else ""
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet CLUSTERED BY ({self.key}) SORTED BY ({self.key}) "
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet {parts}CLUSTERED BY ({self.key}) SORTED BY ({self.key}) "
             f"INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
+        if segment:
+            self.spark.catalog.recoverPartitions(self.name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
