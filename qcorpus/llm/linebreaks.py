@@ -5,11 +5,11 @@ outside links, nothing if it is links for the most part. Weights are summed over
 of lines. A run of lines begins where the sum leaves zero and ends where it dives to zero again; it
 is text if the sum surges over a threshold on the way, a quarter of the page's greatest sum, at most
 ``MOST_SURGE`` characters. What stands between surge and dive is kept: short lines, lines of links,
-and what follows an advert of a line or two.
+and what follows adverts, as lines that are left out count as one.
 
 Markup is evidence for the weights. Lines of elements that cannot hold the article (navigation,
-header, footer, sidebar, form, advert, notice, comments), by element or by the words of a class, id
-or role, weigh nothing and are left out. Where a page has an article or main element, lines outside
+header, footer, sidebar, form, advert, notice, comments), by element or by a class, id
+or role that names nothing else, weigh nothing and are left out; a phrase within the article is part of it. Where a page has an article or main element, lines outside
 it weigh nothing and lines inside weigh all their characters and need no surge.
 
 Defined cases: null or empty pages give an empty text; a page without markup is its own single
@@ -26,6 +26,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -46,14 +47,19 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 #: Elements of which an open one ends where another of a kind begins; a paragraph ends at any block.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-#: Words of a class, id or role that mark boilerplate.
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|comments?|commentlist|disqus|replies|"
-    r"sidebar|side|aside|widget|menu|nav(?:igation|bar)?|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|alert|"
-    r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|toolbar|pagination|pager|"
-    r"skip|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+#: Words of a class, id or role that mark boilerplate, and words that may stand beside them in one name.
+_MARKS = set(
+    "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion comment comments commentlist disqus replies "
+    "sidebar side aside widget menu nav navigation navbar breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice alert "
+    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended toolbar pagination pager "
+    "skip complementary contentinfo search".split()
 )
+_BESIDE = set(
+    "site page main global top bottom left right primary secondary box bar block container content wrapper wrap inner outer section area slot list item items "
+    "links link posts articles stories form field button buttons icon icons icons row col column sticky fixed mobile desktop small large big new the a of and in "
+    "media reader user article post news blog c g js is has".split()
+)
+_NAME_PARTS = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _RIGHTS = re.compile(r"\s*(?:\u00a9|\(c\)\s|copyright\b)", re.I)
@@ -70,11 +76,18 @@ def _unwanted(tag: str, attributes: str) -> bool:
         name = name.lower()
         if name == "hidden" or name == "style" and _HIDDEN.search(value):
             return True
-        if name in ("class", "id", "role", "aria-label") and _HINT.search(value):
+        if name in ("class", "id", "role", "aria-label") and any(_marks(part) for part in value.split()):
             return True
     return False
 
 
+@lru_cache(1 << 12)
+def _marks(name: str) -> bool:
+    """A class, id or role that names boilerplate and nothing else, as "site-footer" does and "related-work" does not."""
+    parts = {x.lower() for x in _NAME_PARTS.findall(name)}
+    return bool(parts & _MARKS) and parts <= _MARKS | _BESIDE
+
+
 class _Tag(NamedTuple):
     start: int
     end: int
@@ -136,7 +149,8 @@ def _spans(tags: list[_Tag], length: int) -> tuple[list[tuple[int, int, str]], l
             blocks.append((tag, bad, []))
             open_blocks[tag.name] += 1
         elif bad and blocks:
-            blocks[-1][2].append(tag)
+            if not open_blocks["article"] + open_blocks["main"]:  # within the text a phrase is part of it
+                blocks[-1][2].append(tag)
         elif bad:
             blocks.append((_Tag(0, 0, "body", False, ""), False, [tag]))
             open_blocks["body"] += 1
@@ -214,9 +228,14 @@ def page_lines(page: str) -> list[Line]:
     return lines
 
 
+def _closed_up(lines: list[Line]) -> list[Line]:
+    """The lines with one for each run of lines that are left out, however many it has."""
+    return [x for x, before in zip(lines, [None, *lines]) if not (x.left_out and before is not None and before.left_out)]
+
+
 def main_text(page: str, window: int = 3, most_surge: int = MOST_SURGE) -> str:
     """The lines between the surge and dive points of the page's line blocks, joined by line breaks."""
-    lines = page_lines(page)
+    lines = _closed_up(page_lines(page))
     within = any(x.inside and not x.left_out for x in lines)
     own = [not x.left_out and (x.inside or not within) for x in lines]
 

@@ -17,8 +17,9 @@ Spark compares the symbols of all documents in two levels:
 
 What is left are windows of which every low symbol is shared and which no long repeat holds. The
 first occurrence of a window is never inside a long repeat's later copies, so comparing just these
-windows is exact. Pairs and windows are verified by a second, independent hash of the words that
-they span: two that are taken for equal agree in 96 bits, 64 of the name and 32 of the words.
+windows is exact. Pairs and windows are verified by a second hash of the words that they span, made of
+names that another hash function gives to the words: two that are taken for equal across documents agree in 96 bits, 64 of
+the name and 32 of the second hash; within a document they agree in 64 bits that are made of both.
 Low symbols only sift, so 64 bits do there. Tables of symbols are combined before they are
 shuffled, and texts are compressed before they meet their symbols; a symbol that a third of all documents hold is one row per document there, and joins meet
 it with a table of one row for each symbol, which Spark can split. The last step gets the places to
@@ -123,11 +124,12 @@ class Parse:
         self._keep(first, last, names, low, high)
 
 
-def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' names, their names by another hash function, and their documents."""
     split = [t.split() for t in texts]
     counts = np.array([len(w) for w in split], np.int64)
-    names = np.fromiter((h for words in split for h in map(xxhash.xxh64_intdigest, words)), np.uint64, int(counts.sum()))
-    return names, np.repeat(np.arange(len(texts)), counts), split
+    names, others = (np.fromiter((h for words in split for h in map(f, words)), np.uint64, int(counts.sum())) for f in (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest))
+    return names, others, np.repeat(np.arange(len(texts)), counts)
 
 
 def window_hashes(names: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +161,7 @@ def window_hashes(names: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.
 
 
 class SpanChecks:
-    """Second hashes, of 32 bits, of spans of words: a polynomial over the words, by prefix sums."""
+    """Second hashes, of 32 bits, of spans of words: a polynomial over the words' other names, by prefix sums."""
 
     def __init__(self, names: np.ndarray):
         power = lambda x: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(names), x))))
@@ -170,7 +172,7 @@ class SpanChecks:
         return (_mix((self.sums[end] - self.sums[start]) * self.down[start]) >> np.uint64(32)).astype(np.int64)
 
 
-def _symbols(names: np.ndarray, docs: np.ndarray, window: int) -> dict[str, np.ndarray]:
+def _symbols(names: np.ndarray, others: np.ndarray, docs: np.ndarray, window: int) -> dict[str, np.ndarray]:
     """For each window the symbol that stands for it, and the pairs of high symbols.
 
     ``key``, ``hash`` and ``whole`` go by the window's first word; keys are even for low symbols
@@ -199,16 +201,17 @@ def _symbols(names: np.ndarray, docs: np.ndarray, window: int) -> dict[str, np.n
         p.name_pairs(r)
     pairs = np.flatnonzero((p.docs[1:] == p.docs[:-1]) & (p.end[1:] - p.start[:-1] >= window))
     named = _mix(p.names[pairs] * _B + _mix(p.names[pairs + 1] ^ _C) * _A) | np.uint64(1)
-    checks = SpanChecks(names)
+    checks = SpanChecks(others)
     return {
-        "key": key, "hash": hashes, "whole": whole, "pair": named, "checks": checks,
+        "key": key, "hash": hashes, "whole": whole, "pair": named, "pair_check": checks.of(p.start[pairs], p.end[pairs + 1]), "checks": checks,
         "pair_start": p.start[pairs], "pair_end": p.end[pairs + 1], "pair_doc": p.docs[pairs],
     }
 
 
-def _of(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """One number for a key in a document of the batch."""
-    return _mix(keys * _A + docs.astype(np.uint64) * _B)
+def _of(docs: np.ndarray, keys: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
+    """One number for a key in a document of the batch, and for its check if there is one."""
+    marks = keys if checks is None else _mix(keys + _C) ^ _mix(checks.astype(np.uint64) * _B)
+    return _mix(marks * _A + docs.astype(np.uint64) * _B)
 
 
 def _later(marks: np.ndarray) -> np.ndarray:
@@ -219,9 +222,9 @@ def _later(marks: np.ndarray) -> np.ndarray:
     return later
 
 
-def _once(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def _once(docs: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
     """A place of each key of a document, and two of one that it has more than once."""
-    _, first, counts = np.unique(_of(docs, keys), return_index=True, return_counts=True)
+    _, first, counts = np.unique(_of(docs, keys, checks), return_index=True, return_counts=True)
     return np.sort(np.concatenate((first, first[counts > 1])))
 
 
@@ -234,18 +237,18 @@ def _emit_symbols(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
     for batch in batches:
         for part in byte_slices([batch], "text", _SLICE):
             ids, texts = part.column("_place").to_numpy(), raw_texts(part.column("text"))
-            names, docs, _ = word_names(texts)
-            s = _symbols(names, docs, window)
+            names, others, docs = word_names(texts)
+            s = _symbols(names, others, docs, window)
             at = np.flatnonzero(s["whole"])
             # neighbouring windows mostly share the symbol that stands for them: one row for it
             keys, owner = s["key"][at], docs[at]
             new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else at.astype(bool)
-            twice = np.flatnonzero(_later(_of(docs[at], s["hash"][at])))  # repeats inside the document
+            twice = np.flatnonzero(_later(_of(docs[at], s["hash"][at], s["checks"].of(at, at + window))))  # repeats inside the document
             keys = np.concatenate((keys[new], s["key"][at][twice], s["pair"]))
             owner = np.concatenate((owner[new], owner[twice], s["pair_doc"]))
             checks = np.zeros(len(keys), np.int64)
-            checks[len(keys) - len(s["pair"]) :] = s["checks"].of(s["pair_start"], s["pair_end"])
-            some = _once(owner, keys)
+            checks[len(keys) - len(s["pair"]) :] = s["pair_check"]
+            some = _once(owner, keys, checks)
             yield _batch("key check place", keys[some], checks[some], ids[owner[some]])
 
 
@@ -279,9 +282,16 @@ def _compressed(df: DataFrame, text_col: str) -> DataFrame:
     return df.mapInArrow(lambda batches: _compress(batches, text_col), out)
 
 
-def _unpacked(column: pa.Array) -> list[bytes]:
+def _unpacked(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with their texts, about ``max_bytes`` of text in each by what the frames say of their content, one row at least."""
     unpacker = zstandard.ZstdDecompressor()
-    return [b"" if x is None else unpacker.decompress(x) for x in column.to_pylist()]
+    frames = batch.column(column).to_pylist()
+    sizes = np.array([0 if x is None else zstandard.frame_content_size(x) for x in frames], np.int64)
+    part = np.cumsum(sizes + 1) // max_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(frames)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a), [b"" if x is None else unpacker.decompress(x) for x in frames[a:b]]
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -290,20 +300,21 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
     A window's tag is its check and its place in the text, a span's its length and its place.
     """
     for batch in batches:
-        for part in byte_slices([batch], "text", _SLICE // 3):
-            ids, texts = part.column("_place").to_numpy(), _unpacked(part.column("text"))
-            names, docs, _ = word_names(texts)
-            s = _symbols(names, docs, window)
+        for part, texts in _unpacked(batch, "text", _SLICE):
+            ids = part.column("_place").to_numpy()
+            names, others, docs = word_names(texts)
+            s = _symbols(names, others, docs, window)
             origin = np.searchsorted(docs, docs)  # where a word's document begins
             flags, flag_docs = _flat(part.column("flags"))
+            flag_checks, _ = _flat(part.column("flag_checks"))
             flags = flags.view(np.uint64)
             odd = (flags & np.uint64(1)).astype(bool)
-            own = _of(s["pair_doc"], s["pair"])
-            repeated = np.isin(own, _of(flag_docs[odd], flags[odd])) | _later(own)
+            own = _of(s["pair_doc"], s["pair"], s["pair_check"])
+            repeated = np.isin(own, _of(flag_docs[odd], flags[odd], flag_checks[odd])) | _later(own)
             start, end = s["pair_start"][repeated], s["pair_end"][repeated]
             held = _inside(len(names), start, end - window + 1)
             at = np.flatnonzero(s["whole"] & ~held & np.isin(s["key"], flags))
-            again = _later(_of(docs[at], s["hash"][at]))
+            again = _later(_of(docs[at], s["hash"][at], s["checks"].of(at, at + window)))
             gone = _inside(len(names), np.concatenate((start, at[again])), np.concatenate((end, at[again] + window)))
             at = at[~again]
             yield _batch(
@@ -321,8 +332,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 def _cut(batches: Iterator[pa.RecordBatch], text_col: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in byte_slices([batch], text_col, _SLICE // 2):
-            texts = _unpacked(part.column(text_col))
+        for part, texts in _unpacked(batch, text_col, 2 * _SLICE):
             split = [t.split() for t in texts]
             counts = np.array([len(w) for w in split], np.int64)
             first = np.cumsum(counts) - counts
@@ -374,8 +384,9 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", window=WINDO
     texts = rows.select("_place", F.col(text_col).alias("text"))
     symbols, symbols_path = stored(texts.mapInArrow(lambda b: _emit_symbols(b, window), "key long, check long, place long"), "symbols")
     found = symbols.join(_shared(symbols), ["key", "check"]).where("key % 2 = 0 or place > first_place")
-    flags = found.groupBy("place").agg(F.collect_set("key").alias("flags"))
-    some = _compressed(texts, "text").join(flags, F.col("_place") == F.col("place")).select("_place", "text", "flags")
+    flags = found.groupBy("place").agg(F.collect_set(F.struct("key", "check")).alias("f"))
+    flags = flags.select("place", F.col("f.key").alias("flags"), F.col("f.check").alias("flag_checks"))
+    some = _compressed(texts, "text").join(flags, F.col("_place") == F.col("place")).select("_place", "text", "flags", "flag_checks")
     found = staged(some.mapInArrow(lambda b: _emit_windows(b, window), "key long, tag long, place long"), "windows")
     drop_path(df.sparkSession, symbols_path)
     windows = found.where("key is not null").select("key", F.shiftright("tag", 32).alias("check"), "place", "tag")

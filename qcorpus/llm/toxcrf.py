@@ -9,9 +9,9 @@ fitted to these tags by forward-backward over the whole sample.
 A document is one chain, however long. To run many at once, chains are laid out in rows of
 ``SEQUENCE`` words; the product of a row's transitions carries the messages from row to row, so the
 marginals are those of the whole chain. They add up to an expected number of toxic words. For the
-score their ``SURE``-th powers, which give doubtful words little say, are summed and set against the
-words of the text; a logistic curve, fitted with the labels' own shares, turns this into a probability. Words
-whose marginal is at least a half give the offending offsets.
+score a power of theirs, which gives doubtful words little say, is summed and set against the
+words of the text; a logistic curve, fitted with the labels' own shares, turns this into a probability. The power is the one of
+``POWERS`` with which the curve fits the training documents best. Words whose marginal is at least a half give the offending offsets.
 
 The training sample is bounded by rows and by the length of a row: of twice ``ROWS_PER_LABEL``
 labelled ids the first ``ROWS_PER_LABEL`` documents of at most ``TRAIN_CHARS`` characters, for each
@@ -46,8 +46,8 @@ TRAIN_CHARS = 20_000
 #: A feature marks toxic tokens if at least this share of toxic documents has it, so that what a
 #: few copies of one document share does not.
 MARK_SHARE = 0.015
-#: A word counts for the score by this power of its marginal.
-SURE = 8
+#: A word counts for the score by one of these powers of its marginal, the one that fits the training documents' labels best.
+POWERS = (1, 2, 4, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose emissions a task remembers before it starts afresh.
 _REMEMBER = 500_000
@@ -63,6 +63,7 @@ class Field:
     transition: np.ndarray  # log potential of (tag before, tag)
     start: np.ndarray
     curve: tuple[float, float]
+    power: int = 1
 
     def emission(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word)) + self.weights.get("", 0.0)
@@ -186,7 +187,8 @@ def train(texts: list[str], toxic: list[int], shares: tuple[float, float] = (0.5
     real = np.bincount(2 * whole[ends - 1] + whole[ends], minlength=4).reshape(2, 2).astype(float)
     weights, bias = np.zeros(len(known)), -2.0
     transition, start = np.zeros((2, 2)), np.zeros(2)
-    square_w, square_b, square_t = np.full(len(known), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    square_w, square_b, square_t, square_s = np.full(len(known), 1e-6), 1e-6, np.full((2, 2), 1e-6), 1e-6
+    chains = begins & inside[:, 0]  # the rows with a document's first word
 
     def emissions() -> np.ndarray:
         return np.bincount(word_of, weights=weights[feature_of], minlength=len(own)) + bias
@@ -203,22 +205,37 @@ def train(texts: list[str], toxic: list[int], shares: tuple[float, float] = (0.5
         change = real - pairs - 0.01 * transition
         square_t += change * change
         transition += 0.2 * change / np.sqrt(square_t)
+        change = (truth[chains, 0] - marginal[chains, 0]).sum() - 0.01 * start[1]
+        square_s += change * change
+        start[1] += 0.2 * change / math.sqrt(square_s)  # that of the other tag stays zero: only their difference counts
     marginal, _ = forward_backward(np.where(inside, emissions()[word], 0), inside, transition, start, begins)
-    certain = density(np.bincount(owner, weights=(marginal**SURE).sum(axis=1), minlength=len(counts)), counts)
-    y, a, b = np.array(toxic, float), 0.0, 0.0
+    y = np.array(toxic, float)
     weight = np.where(y == 1, shares[1] / total[1], shares[0] / total[0]) * len(y)
-    for _ in range(50):  # Newton's steps, held back by a small ridge
+    found = []
+    for power in POWERS:
+        certain = density(np.bincount(owner, weights=(marginal**power).sum(axis=1), minlength=len(counts)), counts)
+        curve = _curve(certain, y, weight)
+        p = np.clip(1 / (1 + np.exp(-(curve[0] + curve[1] * certain))), 1e-9, 1 - 1e-9)
+        found.append((-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum(), power, curve))
+    _, power, curve = min(found)
+    named = {f: float(weights[i]) for f, i in known.items() if weights[i]}
+    return Field(named | {"": bias}, transition, start, curve, power)
+
+
+def _curve(certain: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """A logistic curve through the documents' densities, by Newton's steps that a small ridge holds back."""
+    a, b = 0.0, 0.0
+    for _ in range(50):
         p = 1 / (1 + np.exp(-(a + b * certain)))
         error, v = weight * (y - p), weight * p * (1 - p)
         g = np.array([error.sum(), (error * certain).sum()]) - 0.05 * np.array([a, b])
         h = np.array([[v.sum(), (v * certain).sum()], [(v * certain).sum(), (v * certain**2).sum()]]) + 0.05 * np.eye(2)
         a, b = np.array([a, b]) + np.clip(np.linalg.solve(h, g), -2, 2)
-    named = {f: float(weights[i]) for f, i in known.items() if weights[i]}
-    return Field(named | {"": bias}, transition, start, (float(a), float(b)))
+    return float(a), float(b)
 
 
 def marginals(field: Field, emissions: list[list[float]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of each document the sums of its words' marginals and of their ``SURE``-th powers, and the marginals."""
+    """Of each document the sums of its words' marginals and of their ``power``-th powers, and the marginals."""
     counts = np.array([len(e) for e in emissions], np.int64)
     if not counts.sum():
         return np.zeros(len(counts)), np.zeros(len(counts)), [np.zeros(0)] * len(counts)
@@ -226,7 +243,7 @@ def marginals(field: Field, emissions: list[list[float]]) -> tuple[np.ndarray, n
     table = np.zeros(inside.shape)
     table[inside] = np.fromiter((x for e in emissions for x in e), np.float64, int(counts.sum()))
     marginal, _ = forward_backward(table, inside, field.transition, field.start, begins)
-    total = [np.bincount(owner, weights=m.sum(axis=1), minlength=len(counts)) for m in (marginal, marginal**SURE)]
+    total = [np.bincount(owner, weights=m.sum(axis=1), minlength=len(counts)) for m in (marginal, marginal**field.power)]
     return *total, np.split(marginal[inside], np.cumsum(counts)[:-1])
 
 

@@ -294,3 +294,76 @@ def test_repair_of_odd_tables(spark, monkeypatch):
     assert {r[0] for r in got} == {r[0] for r in rows} and len(got) == len({r[0] for r in rows})
     assert [r for r in got if r[0] not in tied] == [r for r in want if r[0] not in tied] and len(tied) < 10
     assert dialogue.repair(dialogue.damaged(df.limit(0)), df.limit(0)).count() == 0
+
+
+# faults of earlier rounds
+
+
+def test_slices_go_by_what_texts_unpack_to():
+    import pyarrow as pa
+    import zstandard
+
+    from qcorpus.llm import recompress
+
+    packer = zstandard.ZstdCompressor(level=3)
+    text = b"all work and no play " * 5000
+    batch = pa.record_batch({"text": pa.array([packer.compress(text)] * 300 + [None], pa.binary()), "i": pa.array(range(301))})
+    slices = list(recompress._unpacked(batch, "text", 1 << 20))
+    assert [len(t) for _, t in slices][:2] != [301] and max(sum(map(len, t)) for _, t in slices) <= (1 << 20) + len(text)
+    assert [x for part, _ in slices for x in part.column("i").to_pylist()] == list(range(301)) and slices[-1][1][-1] == b""
+
+
+def test_repetitive_texts_take_little_memory():
+    """A whole Arrow batch of texts that compress to almost nothing."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pyarrow as pa, zstandard
+from qcorpus.llm import recompress
+packer = zstandard.ZstdCompressor(level=3)
+frames = [packer.compress((f"w{i} " + "the same few words again " * 400).encode()) for i in range(3000)]
+none = pa.array([[]] * 3000, pa.list_(pa.int64()))
+batch = pa.record_batch({"_place": pa.array(range(3000)), "text": pa.array(frames, pa.binary()), "flags": none, "flag_checks": none})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(b.num_rows for b in recompress._emit_windows(iter([batch]), 20))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), check=True)
+    assert int(out.stdout.split()[1]) < 500
+
+
+def test_main_text_keeps_what_only_sounds_like_boilerplate():
+    from qcorpus.llm import linebreaks
+
+    story = "A sentence of the story that goes on. " * 10
+    for mark in ("class='side-by-side'", "class='related-work'", "id='search-results-explained'"):
+        page = f"<body><nav>x</nav><article><p>{story}</p><div {mark}><p>Inner words.</p></div></article></body>"
+        assert linebreaks.main_text(page) == f"{story.strip()}\nInner words."
+    assert linebreaks.main_text("<article><p>Para <span class=\"share\">one</p><p>Two</p></article>") == "Para one\nTwo"
+    for between in ("<div class=ad>Buy</div><aside>More</aside><form>Name</form>", "<nav>a</nav><nav>b</nav><nav>c</nav><nav>d</nav>"):
+        assert linebreaks.main_text(f"<body><p>{story}</p>{between}<p>Tiny closing.</p></body>") == f"{story.strip()}\nTiny closing."
+    for mark in ("site-footer", "main-nav", "cookie_notice", "ad", "related posts", "comments"):
+        assert linebreaks.main_text(f"<body><p>{story}</p><div class='{mark}'>Gone</div></body>") == story.strip()
+
+
+def test_start_of_the_chain_is_fitted():
+    from qcorpus.llm import toxcrf
+
+    texts = [f"idiot word{i} other plain words of text number {i}" for i in range(60)] + [f"plain words of text number {i} and word{i}" for i in range(60)]
+    field = toxcrf.train(texts, [1] * 60 + [0] * 60)
+    assert field.start[1] != 0 and field.power in toxcrf.POWERS
+    # the gradient of the log-likelihood by the start is the difference of tags and marginals
+    rng = np.random.default_rng(1)
+    emission, inside, transition = rng.normal(size=(1, 5)), np.ones((1, 5), bool), rng.normal(size=(2, 2))
+
+    def partition(start):
+        total = 0.0
+        for tags in itertools.product((0, 1), repeat=5):
+            total += np.exp(start[tags[0]] + sum(e * t for e, t in zip(emission[0], tags)) + sum(transition[a][b] for a, b in zip(tags, tags[1:])))
+        return np.log(total)
+
+    start, step = np.array([0.0, 0.3]), np.array([0.0, 1e-5])
+    slope = (partition(start + step) - partition(start - step)) / 2e-5
+    marginal, _ = toxcrf.forward_backward(emission, inside, transition, start)
+    assert np.isclose(slope, marginal[0, 0])

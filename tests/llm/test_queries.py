@@ -171,7 +171,7 @@ def plain_score(field, text):
     for g in gain[:0:-1]:
         w = t @ (g * back[-1])
         back.append(w / w.sum())
-    certain = sum((a[1] * b[1] / (a @ b)) ** toxcrf.SURE for a, b in zip(ahead, back[::-1]))
+    certain = sum((a[1] * b[1] / (a @ b)) ** field.power for a, b in zip(ahead, back[::-1]))
     return 1 / (1 + np.exp(-(field.curve[0] + field.curve[1] * toxcrf.density(certain, len(gain)))))
 
 
