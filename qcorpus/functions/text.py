@@ -126,11 +126,20 @@ def humanize(slug: Column) -> Column:
 
 
 def strip_boilerplate(text: Column, lines: tuple[str, ...]) -> Column:
-    """An explanation without lines that begin with one of ``lines``; null if nothing, or a lone heading, is left."""
-    pattern = r"(?im)^[ \t]*(?:" + "|".join(lines) + r")\b[^\n]*$"
-    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, pattern, ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    left = F.regexp_replace(left, r"^\s+|\s+$", "")
-    return F.when((left != "") & ~left.rlike(r"(?i)^rationale:\s*$"), left)
+    """An explanation's lines but those that begin with one of ``lines``, with no two blank ones in a row; null if nothing, or a lone heading, is left."""
+    whole = F.transform(F.split(text, "\n"), lambda line: F.rtrim(line, F.lit(" \t")))
+    starts = [F.lower(F.lit(x)) for x in lines]
+
+    def crawled(line: Column) -> Column:
+        own, found = F.lower(F.ltrim(line, F.lit(" \t"))), F.lit(False)
+        for x in starts:  # and ends there, or goes on with another word
+            found = found | (F.startswith(own, x) & ~F.substr(own, F.length(x) + 1, F.lit(1)).rlike(r"\w"))
+        return found
+
+    kept = F.filter(whole, lambda line: ~crawled(line))
+    kept = F.filter(kept, lambda line, i: (line != "") | (F.coalesce(F.get(kept, i - 1), F.lit("")) != ""))
+    left = F.trim(F.array_join(kept, "\n"), F.lit(" \t\n\r"))
+    return F.when(~F.lower(left).isin("", "rationale:"), left)
 
 
 def labelled_section(text: Column, label: str, stops: tuple[str, ...]) -> Column:

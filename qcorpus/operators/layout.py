@@ -67,13 +67,25 @@ def strip_running_graphics(graphics: DataFrame, pages: DataFrame, min_share: flo
     return keyed.join(often, keys, "left_anti").select(graphics.columns)
 
 
-def segment(lines: DataFrame, label: str = r"^\s*(?:Q\.?|Question)\s*(\d+)\b", max_x: float | None = None) -> DataFrame:
-    """Add ``label``: the number of the last label line at or above, over the pages of a document."""
+def segment(lines: DataFrame, label: str = r"^\s*(?:Q\.?|Question)\s*(\d+)\b", max_x: float | None = None, lead_tolerance: float = 0.0) -> DataFrame:
+    """Add ``label``: the number of the last label line at or above, over the pages of a document.
+
+    Lines right above a label lead into it and get its number: those of its page, one after another upwards, that end
+    below its top less ``lead_tolerance``, as a tall first line or a figure beside the label does.
+    """
     own = F.regexp_extract("text", label, 1).try_cast("int")
     if max_x is not None:
         own = F.when(F.col("x0") <= max_x, own)
     w = W.partitionBy("doc_id").orderBy("page", "line").rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn("_own", own).withColumn("label", F.last("_own", True).over(w)).drop("_own")
+    rows = lines.withColumn("_own", own).withColumn("_above", F.last("_own", True).over(w))
+    page = W.partitionBy("doc_id", "page").orderBy("line").rowsBetween(1, W.unboundedFollowing)
+    rows = rows.withColumn("_next", F.first(F.when(F.col("_own").isNotNull(), F.struct("line", "top", F.col("_own").alias("number"))), True).over(page))
+    clear = F.coalesce(F.col("bottom") <= F.col("_next.top") - lead_tolerance, F.lit(True))
+    # from the label upwards, as long as no line is clear of it; the label before is no such line
+    upwards = W.partitionBy("doc_id", "page", "_next.line").orderBy(F.desc("line"))
+    rows = rows.withColumn("_clear", F.max(clear | F.col("_own").isNotNull()).over(upwards))
+    found = F.when(F.col("_own").isNull() & ~F.col("_clear"), F.col("_next.number")).otherwise(F.col("_above"))
+    return rows.withColumn("label", found).drop("_own", "_above", "_next", "_clear")
 
 
 def split_options(words: DataFrame, option: str = r"^\(([A-D])\)(.*)$", column_gap: float = 12.0) -> DataFrame:
@@ -180,11 +192,23 @@ def carry_headers(pages: DataFrame, header: str) -> DataFrame:
     return pages.withColumn(header, F.last(header, True).over(w))
 
 
-def overlapping(boxes: DataFrame, regions: DataFrame) -> DataFrame:
-    """Boxes with the regions of the same page that they overlap; an equi-join by page with a residual."""
-    r = regions.select("doc_id", "page", F.col("region"), *[F.col(c).alias(f"_r{c}") for c in ("x0", "x1", "top", "bottom")])
+def _cells(boxes: DataFrame, side: float) -> DataFrame:
+    """Boxes once for each square of their page that they touch, as ``_cx`` and ``_cy``."""
+    span = lambda low, high: F.sequence(F.floor(F.col(low) / side), F.floor(F.greatest(low, high) / side))
+    return boxes.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("top", "bottom")))
+
+
+def overlapping(boxes: DataFrame, regions: DataFrame, side: float = 72.0) -> DataFrame:
+    """Boxes with the regions of the same page that they overlap.
+
+    Both are dealt to the squares of a grid that they touch and meet there; a pair counts in the square of the upper left corner of what it
+    shares, so once. A page of many boxes and regions is so not all their pairs.
+    """
+    r = _cells(regions.select("doc_id", "page", "region", "x0", "x1", "top", "bottom"), side)
+    r = r.select("doc_id", "page", "region", "_cx", "_cy", *[F.col(c).alias(f"_r{c}") for c in ("x0", "x1", "top", "bottom")])
     meets = (F.col("x0") < F.col("_rx1")) & (F.col("x1") > F.col("_rx0")) & (F.col("top") < F.col("_rbottom")) & (F.col("bottom") > F.col("_rtop"))
-    return boxes.join(r, ["doc_id", "page"]).where(meets).drop("_rx0", "_rx1", "_rtop", "_rbottom")
+    here = (F.floor(F.greatest("x0", "_rx0") / side) == F.col("_cx")) & (F.floor(F.greatest("top", "_rtop") / side) == F.col("_cy"))
+    return _cells(boxes, side).join(r, ["doc_id", "page", "_cx", "_cy"]).where(meets & here).select(*boxes.columns, "region")
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], flag: Column, least: int) -> DataFrame:

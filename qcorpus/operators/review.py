@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .layout import overlapping, runs
+
 
 def split_batch(batches: DataFrame, elements: str = "elements") -> DataFrame:
     """One row per element of a batch: its declared number, else its place, and whether it can be published."""
@@ -87,6 +92,61 @@ def detect_issues(lines: DataFrame, gap: float = 18.0, lone_run: int = 3) -> Dat
     return lone.select(names).unionByName(gaps.select(names)).unionByName(sides.select(names))
 
 
+@dataclass(frozen=True)
+class QualityProfile:
+    """Distances, in points, and sizes by which a publisher's layout is judged."""
+
+    script_line_gap: float = 9.0
+    script_size: float = 0.8
+    wide_gap: float = 40.0
+    tall_empty_block: float = 120.0
+    few_words: int = 5
+    stacked: int = 3
+    option: str = r"^\([A-D]\)"
+
+
+def question_issues(words: DataFrame, options: DataFrame, regions: DataFrame, graphics: DataFrame, profile: QualityProfile = QualityProfile()) -> DataFrame:
+    """(doc_id, label, code, detail) of layout trouble in questions, each once.
+
+    Words have doc_id, label, page, line, x0, x1, top, size, text and ``stem``, whether their line stands before the options; options
+    doc_id, label, text; regions doc_id, label, region, page, x0, top, x1, bottom; graphics doc_id, page, kind and a box.
+    Codes: figure (something drawn in a region; a tall first region with few words), image_option (an option without text), math
+    (glyphs of mathematics or private use; a row right below another; a small word in a line; short tokens stacked) and layout
+    (wide gaps inside a line of the stem). Marks of options count neither as script nor as tokens.
+    """
+    key = ["doc_id", "label"]
+    line = [*key, "page", "line"]
+    marked = lambda c: F.col(c).rlike(profile.option)
+
+    def told(found: DataFrame, code: str, detail: str) -> DataFrame:
+        return found.select(*key, F.lit(code).alias("code"), F.lit(detail).alias("detail")).distinct()
+
+    # a hairline box is the border of a table
+    drawn = graphics.where((F.col("kind") != "rect") | ((F.col("x1") - F.col("x0") > 2) & (F.col("bottom") - F.col("top") > 2))).select("doc_id", "page", "x0", "x1", "top", "bottom")
+    places = regions.select("doc_id", "page", F.struct("label", "region").alias("region"), "x0", "x1", "top", "bottom")
+    met = overlapping(drawn, places).select("doc_id", F.col("region.label").alias("label"))
+    counts = words.groupBy(*key).agg(F.count("*").alias("n"))
+    first = regions.groupBy(*key).agg(F.min_by(F.col("bottom") - F.col("top"), "region").alias("height"))
+    tall = first.where(F.col("height") > profile.tall_empty_block).join(counts, key, "left").where(F.coalesce("n", F.lit(0)) < profile.few_words)
+    glyphs = words.where(F.col("text").rlike(r"[\x{1D400}-\x{1D7FF}\x{E000}-\x{F8FF}]"))
+    in_line = words.groupBy(*line).agg(
+        F.min("top").alias("top"), F.count("*").alias("n"), F.min_by("text", "x0").alias("first"), F.median(F.when(F.col("size") > 0, F.col("size"))).alias("median"))
+    order = W.partitionBy(*key).orderBy("page", "line")
+    rows = in_line.where(~marked("first")).withColumns({"_page": F.lag("page").over(order), "_step": F.col("top") - F.lag("top").over(order)})
+    rows = rows.where((F.col("_page") == F.col("page")) & (F.col("_step") > 0) & (F.col("_step") < profile.script_line_gap))
+    small = words.join(in_line.select(*line, "median"), line).where((F.col("size") > 0) & (F.col("size") < profile.script_size * F.col("median")) & ~marked("text"))
+    lone = (F.col("n") == 1) & (F.length("first") <= 3) & ~marked("first")
+    stacks = runs(in_line, key, ["page", "line"], lone, profile.stacked)
+    gap = F.col("x0") - F.lag("x1").over(W.partitionBy(*line).orderBy("x0", "text"))
+    wide = words.where("stem").withColumn("_gap", gap).where(F.col("_gap") >= profile.wide_gap)
+    parts = [
+        told(met, "figure", "something is drawn in the question"), told(tall, "figure", "a tall block with almost no words"),
+        told(options.where(F.trim(F.coalesce("text", F.lit(""))) == ""), "image_option", "an option has no text"), told(glyphs, "math", "glyphs of mathematics or private use"),
+        told(rows, "math", "a row right below another"), told(small, "math", "a small word in a line"), told(stacks, "math", "short tokens stacked"), told(wide, "layout", "wide gaps inside a line"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def count_reports(reports: DataFrame, key: str, counts: list[str]) -> tuple[DataFrame, DataFrame]:
     """Counts by ``key`` as (path, json), fields by name, and as the (place, line) rows of a Markdown table with a total.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers, richtext
 from ..functions import text as tx
 from ..operators import layout, lifecycle, practice, publish, review
-from ..sources import markdown, pages
+from ..sources import markdown, pages, sites
 from .registry import query, table
 
 
@@ -113,6 +114,72 @@ def layout_issues(spark, sf_dir):
     return review.detect_issues(lines, 18.0, 2)
 
 
+_LEAD = """
+WITH g AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_quantity)::INT AS q FROM lineitem GROUP BY 1, 2), l AS (SELECT doc, n, n * 10 AS top, n * 10 + 6 + q % 8 AS bottom, n % 3 = 0 AS own FROM g),
+x AS (SELECT a.*, (SELECT max(b.n) FROM l b WHERE b.doc = a.doc AND b.own AND b.n <= a.n) AS above, (SELECT min(b.n) FROM l b WHERE b.doc = a.doc AND b.own AND b.n > a.n) AS below FROM l a)
+SELECT doc AS doc_id, n AS line, (CASE WHEN own OR below IS NULL OR EXISTS (SELECT 1 FROM l c WHERE c.doc = x.doc AND c.n >= x.n AND c.n < below AND c.bottom <= below * 10 - {0}) THEN above ELSE below END)::INT AS label FROM x
+"""
+
+
+def _leading(spark, sf_dir, tolerance):
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"))
+    n = F.col("l_linenumber")
+    lines = items.select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), n.alias("line"), F.when(n % 3 == 0, F.concat(F.lit("Q"), n.cast("string"), F.lit(". text"))).otherwise("text").alias("text"),
+        F.lit(10.0).alias("x0"), (n * 10).cast("double").alias("top"), (n * 10 + 6 + F.col("q") % 8).cast("double").alias("bottom"))
+    return layout.segment(lines, label=r"^Q(\d+)\b", lead_tolerance=tolerance).select("doc_id", "line", "label")
+
+
+@query(_LEAD.format(0))
+def lead_lines(spark, sf_dir):
+    """Lines of orders dealt to labels; those that overlap the next label lead into it."""
+    return _leading(spark, sf_dir, 0.0)
+
+
+@query(_LEAD.format(4))
+def lead_lines_tolerant(spark, sf_dir):
+    """The same, with lines that end up to four points above the next label."""
+    return _leading(spark, sf_dir, 4.0)
+
+
+@query("""
+WITH g AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_quantity)::INT AS q FROM lineitem GROUP BY 1, 2),
+l AS (SELECT doc, n, q, (1 + n // 4)::INT AS label, (n * 10 - CASE WHEN q % 7 = 0 THEN 6 ELSE 0 END)::DOUBLE AS top, q % 5 AS kind FROM g),
+r AS (SELECT doc, label, min(top) AS low, max(top) + CASE WHEN min(q) % 4 = 0 THEN 200 ELSE 8 END AS high, sum(CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END) AS words FROM l GROUP BY 1, 2),
+d AS (SELECT doc, top AS t, top + 2 AS b FROM l WHERE q % 11 = 1),
+u AS (SELECT *, lag(top) OVER (PARTITION BY doc, label ORDER BY n) AS before FROM l WHERE kind <> 2),
+s AS (SELECT *, n - sum((kind IN (0, 4))::INT) OVER (PARTITION BY doc, label ORDER BY n) - (n - row_number() OVER (PARTITION BY doc, label ORDER BY n)) AS run FROM l),
+f AS (SELECT r.doc, r.label, 'figure' AS code, 'something is drawn in the question' AS detail FROM r JOIN d ON d.doc = r.doc AND d.b > low AND d.t < high
+UNION SELECT doc, label, 'figure', 'a tall block with almost no words' FROM r WHERE words < 5 AND high - low > 120
+UNION SELECT doc, label, 'image_option', 'an option has no text' FROM l WHERE q % 13 = 0
+UNION SELECT doc, label, 'math', 'glyphs of mathematics or private use' FROM l WHERE kind = 4
+UNION SELECT doc, label, 'math', 'a row right below another' FROM u WHERE top - before > 0 AND top - before < 9
+UNION SELECT doc, label, 'math', 'a small word in a line' FROM l WHERE kind = 3
+UNION SELECT doc, label, 'math', 'short tokens stacked' FROM s WHERE kind IN (0, 4) GROUP BY doc, label, run HAVING count(*) >= 3
+UNION SELECT doc, label, 'layout', 'wide gaps inside a line' FROM l WHERE kind = 1 AND q >= 40)
+SELECT doc AS doc_id, label, code, detail FROM f
+""")
+def question_layout_issues(spark, sf_dir):
+    """All layout trouble of questions whose lines are those of orders: figures, options that are images, mathematics, wide gaps."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line")).agg(F.min("l_quantity").cast("int").alias("q"))
+    n, q = F.col("line"), F.col("q")
+    top = (n * 10 - F.when(q % 7 == 0, 6).otherwise(0)).cast("double")
+    lines = items.select("doc_id", "line", "q", (1 + F.floor(n / 4)).cast("int").alias("label"), F.lit(0).alias("page"), top.alias("top"))
+    word = lambda text, x0, x1, size: F.struct(F.lit(text).alias("text"), F.lit(float(x0)).alias("x0"), (F.lit(x1) if isinstance(x1, (int, float)) else x1).cast("double").alias("x1"), F.lit(float(size)).alias("size"))
+    far = F.struct(F.lit("beta").alias("text"), (35 + q).cast("double").alias("x0"), (60 + q).cast("double").alias("x1"), F.lit(10.0).alias("size"))
+    said = (
+        F.when(q % 5 == 0, F.array(word("x", 10, 15, 10))).when(q % 5 == 1, F.array(word("alpha", 10, 35, 10), far)).when(q % 5 == 2, F.array(word("(B)", 10, 20, 10), word("value", 25, 50, 10)))
+        .when(q % 5 == 3, F.array(word("a", 10, 15, 10), word("b", 16, 18, 6), word("c", 20, 25, 10))).otherwise(F.array(word("\U0001d465y", 10, 20, 10))))
+    words = lines.select("doc_id", "label", "page", "line", "top", F.lit(True).alias("stem"), F.inline(said))
+    height = F.when(F.min("q") % 4 == 0, 200).otherwise(8)
+    regions = lines.groupBy("doc_id", "label").agg(F.min("top").alias("top"), (F.max("top") + height).cast("double").alias("bottom")).select(
+        "*", F.lit(0).alias("page"), F.lit(0).alias("region"), F.lit(0.0).alias("x0"), F.lit(200.0).alias("x1"))
+    kind = F.when(q % 11 == 1, "line").when(q % 11 == 0, "rect")
+    graphics = lines.select("doc_id", "page", kind.alias("kind"), F.lit(100.0).alias("x0"), F.when(q % 11 == 1, 150.0).otherwise(101.0).alias("x1"), "top", (F.col("top") + 2).alias("bottom")).where("kind is not null")
+    options = lines.select("doc_id", "label", F.when(q % 13 == 0, "").otherwise("v").alias("text"))
+    return review.question_issues(words, options, regions, graphics)
+
+
 @query("""
 SELECT 'https://p.org/' || p_partkey AS url, 1 AS number, p_name AS question_text, 'A:' || p_brand || ',B:' || p_type || ' & more' AS options,
   CASE WHEN p_size % 3 = 0 THEN 'B' ELSE '' END AS correct, CASE WHEN p_size % 2 = 0 THEN 'As seen' END AS explanation, CASE WHEN p_size % 3 <> 0 THEN 'no correct option' END AS error
@@ -161,17 +228,15 @@ def replayed_artifacts(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'The ' || p_brand || ' exam was retired on May 1, and has been replaced by ' || p_type || '.'
-  WHEN 1 THEN 'All of these are retired.' END AS notice FROM part
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Paper ' || p_brand || ' has been retired this spring! Now ' || p_brand || ' is replaced by ' || p_type || '.'
+  WHEN 1 THEN 'Such papers are retired.' END AS notice FROM part
 """)
 def retirement_notices(spark, sf_dir):
-    """What warning boxes of pages say of exams that are retired, not of those that will be."""
-    kind = F.col("p_size") % 4
-    said = (
-        F.when(kind == 0, F.concat(F.lit("The rules changed. The "), "p_brand", F.lit(" exam was retired on May 1, and has been <b>replaced</b> by "), "p_type", F.lit(". Go on.")))
-        .when(kind == 1, F.lit("All of these are retired.")).when(kind == 2, F.lit("It will be retired on May 1."))
-    )
-    box = F.concat(F.lit("<h1>"), "p_name", F.lit('</h1><div class="WARNING"><p>Warning</p><p>'), said, F.lit("</p></div><p>Other exams were retired.</p>"))
+    """What warning boxes of pages say of papers that have ended, not of those that will end."""
+    kind, brand = F.col("p_size") % 4, F.col("p_brand")
+    told = F.concat(F.lit("Fees rise. Paper "), brand, F.lit(" has been <i>retired</i> this spring! Ask your school. Now "), brand, F.lit(" is replaced by "), F.col("p_type"), F.lit("."))
+    said = F.when(kind == 0, told).when(kind == 1, F.lit("Such papers are retired.")).when(kind == 2, F.lit("This paper is about to be retired."))
+    box = F.concat(F.lit("<p>Older ones were retired.</p><div id='b' class='wide Warning'><b>Warning</b> "), said, F.lit("</div><div>All else was retired.</div>"))
     return table(spark, sf_dir, "part").select("p_partkey", pages.retirement_notice(F.coalesce(box, F.lit("<p>It was retired.</p>"))).alias("notice"))
 
 
@@ -185,7 +250,7 @@ FROM customer
 def explanation_texts(spark, sf_dir):
     """Explanations without what crawlers add, their labelled sections, lists of keys and further reading."""
     kind, name = F.col("c_custkey") % 3, F.col("c_name")
-    crawl = F.lit("\n  Extracted directly from X Learn, today\n")
+    crawl = F.lit("\n  copied by the crawler, today\n")
     raw = F.when(kind == 0, F.concat(name, F.lit("  "), crawl, F.lit("\n\n\nend"))).when(kind == 1, F.concat(F.lit("Rationale:"), crawl)).otherwise(name)
     labelled = F.when(kind == 2, F.concat(F.lit("Answer: A Rationale: "), "c_mktsegment", F.lit(" Source: x"))).otherwise(name)
     keys = F.slice(F.array(F.lit("A"), F.lit("B"), F.col("c_mktsegment")), 1, (F.col("c_nationkey") % 4).cast("int"))
@@ -193,7 +258,7 @@ def explanation_texts(spark, sf_dir):
     links = F.array(F.struct(F.lit("Doc").alias("text"), F.when(F.col("c_custkey") % 2 == 0, url).otherwise("javascript:x").alias("url")))
     read = F.regexp_extract(richtext.with_reading_links(name, links), r"\(([^)]*)\)", 1)
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", tx.strip_boilerplate(raw, ("Extracted directly from X Learn",)).alias("explanation"), tx.labelled_section(labelled, "Rationale", ("Source",)).alias("rationale"),
+        "c_custkey", tx.strip_boilerplate(raw, ("Copied by the crawler",)).alias("explanation"), tx.labelled_section(labelled, "Rationale", ("Source",)).alias("rationale"),
         tx.key_list(keys).alias("keys"), F.nullif(read, F.lit("")).alias("link"))
 
 
@@ -411,3 +476,75 @@ def paper_confidence(spark, sf_dir):
     papers = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").withColumn("year", F.year("o_orderdate"))
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "official").otherwise("community")
     return find_papers(papers, year=1995).select("o_orderkey", publish.confidence(F.col("o_orderstatus") != "P", kind).alias("confidence"))
+
+
+@query("""
+SELECT 'https://q.blocks.org/' || s_suppkey AS url, 1 AS number, 'What is the name of ' || s_name || ' ?' AS question_text, 'A:' || s_nationkey || '|B:' || s_suppkey AS options, 'B' AS answer, 'as ' || s_name AS explanation
+FROM supplier WHERE s_suppkey % 3 > 0
+""")
+def block_site_questions(spark, sf_dir):
+    """Pages of question blocks, by host; a block with an empty option is left out, a repeated one counts once."""
+    n = F.col("s_suppkey")
+    option = F.when(n % 3 == 0, "").otherwise(n.cast("string"))
+    block = F.concat(
+        F.lit("<div class='bix-div-container'><div class='bix-td-qtxt'>What is the <i>name</i> of <b>"), "s_name", F.lit("</b>?</div><div class='bix-td-option-val'>"), F.col("s_nationkey").cast("string"),
+        F.lit("</div><div class='bix-td-option-val'>"), option, F.lit("</div><input class='jq-hdnakq' value='B'><div class='bix-ans-description'>as "), "s_name", F.lit("</div></div>"))
+    found = _site(spark, table(spark, sf_dir, "supplier").select(F.concat(F.lit("https://q.blocks.org/"), n.cast("string")).alias("url"), F.concat(block, block).alias("html")))
+    return found.select("url", "number", "question_text", _told(), "answer", "explanation")
+
+
+@query("""
+SELECT 'https://cards.org/' || c_custkey AS url, 1 AS number, 'Which segment has ' || c_name || '?' AS question_text, 'A:A. ' || c_mktsegment || '|B:B. none' AS options,
+  CASE c_custkey % 3 WHEN 0 THEN 'A. ' || c_mktsegment WHEN 1 THEN 'B. none' END AS answer, CASE WHEN c_custkey % 3 = 2 THEN 'no answer' END AS error FROM customer
+""")
+def card_site_questions(spark, sf_dir):
+    """Pages of question cards, by host; without a letter there is no answer."""
+    n = F.col("c_custkey")
+    letter = F.when(n % 3 == 0, "A").when(n % 3 == 1, "B").otherwise("")
+    card = F.concat(
+        F.lit("<div class='exam-question-card'><div class='card-header'>Question #7</div><div class='question-body'><p class='card-text'>Introductory Info</p><p class='card-text'>Which segment has "), "c_name",
+        F.lit("?</p><ul><li class='multi-choice-item'>A. "), "c_mktsegment", F.lit("</li><li class='multi-choice-item'>B. none</li></ul><span class='correct-answer'>"), letter, F.lit("</span></div></div>"))
+    found = _site(spark, table(spark, sf_dir, "customer").select(F.concat(F.lit("https://cards.org/"), n.cast("string")).alias("url"), card.alias("html")))
+    return found.select("url", "number", "question_text", _told(), "answer", "error")
+
+
+@query("""
+SELECT 'https://text.org/' || o_orderkey AS url, 1 AS number, o_orderkey || '. Who placed the order of ' || o_custkey || ' that day?' AS question_text,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Answer: ' || o_orderpriority END AS answer, 'fewer than two options' AS error FROM orders
+UNION ALL SELECT 'https://else.org/' || o_orderkey, 1, 'Which status has order ' || o_orderkey || '?', NULL, CASE WHEN o_orderkey % 3 = 0 THEN 'fewer than two options' ELSE 'no answer' END FROM orders
+""")
+def text_site_questions(spark, sf_dir):
+    """Pages of numbered paragraphs with folded answers, and pages of hosts without a parser of their own; no option is made up."""
+    key = F.col("o_orderkey").cast("string")
+    fold = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("<div class='collapse'>Answer: "), "o_orderpriority", F.lit("</div>"))).otherwise("")
+    text = F.concat(F.lit("<div class='entry-content'><p>"), key, F.lit(". Who placed the order of "), F.col("o_custkey").cast("string"), F.lit(" that day?</p>"), fold, F.lit("</div><p>9. This is outside of the content.</p>"))
+    other = F.concat(F.lit("<div class='quiz'><p>Which status has order "), key, F.lit("?</p><ul><li>a) F</li>"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("<li>b) O</li>"), F.lit("</ul></div>"))
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(F.concat(F.lit("https://text.org/"), key).alias("url"), text.alias("html")).unionByName(orders.select(F.concat(F.lit("https://else.org/"), key).alias("url"), other.alias("html")))
+    return _site(spark, rows).select("url", "number", "question_text", "answer", "error")
+
+
+def _site(spark, rows):
+    hosts = spark.sql("SELECT * FROM VALUES ('blocks.org', 'blocks'), ('cards.org', 'cards'), ('text.org', 'paragraphs') AS t(host, profile)")
+    return sites.parse_sites(rows, hosts)
+
+
+def _told():
+    return F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(":"), o["text"])), "|").alias("options")
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT s_suppkey AS k, s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),
+r(n, i) AS (SELECT n, i FROM p WHERE i = 1 UNION ALL SELECT p.n, p.i FROM r JOIN p ON p.n = r.n AND p.i = r.i + 1 WHERE p.k % 7 <> 0)
+SELECT 'https://e.org/' || n || '/page/' || i AS url, (i - 1)::INT AS depth FROM r
+""")
+def paged_reach(spark, sf_dir):
+    """Pages that next links lead to from each nation's first page of suppliers; a page whose supplier's key is divisible by seven is linked by no page before."""
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", place.alias("i"))
+    after = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("i"))
+    base = F.concat(F.lit("https://e.org/"), F.col("s_nationkey").cast("string"), F.lit("/page/"))
+    url = lambda i: F.concat(base, i.cast("string"))
+    rows = rows.withColumn("after", after).select("i", url(F.col("i")).alias("url"), F.concat(
+        F.lit("<a href='/about'>about</a><a href='"), base, F.lit("1'>first</a>"), F.when(F.col("after") % 7 != 0, F.concat(F.lit("<a href='"), (F.col("i") + 1).cast("string"), F.lit("'>next</a>"))).otherwise("")).alias("html"))
+    return sites.reachable(rows, rows.where("i = 1"))

@@ -61,14 +61,25 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def _happened(sentence: Column) -> Column:
+    """A form of "to be" stands right before the word "retired": it has happened, and does not lie ahead."""
+    words = F.split(F.lower(sentence), r"[^a-z]+")
+    word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+    present = lambda i: word(i - 1).isin("is", "are", "was", "were") | ((word(i - 1) == "been") & word(i - 2).isin("has", "have"))
+    return F.exists(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (word(i) == "retired") & present(i))
+
+
 def retirement_notice(html: Column) -> Column:
-    """What a page's warning box says of a retirement that has happened, sentence by sentence; else null."""
-    boxes = F.regexp_extract_all(html, F.lit(r"(?is)<div\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?warning(?:\s[^\"']*)?[\"'][^>]*>(.*?)</div"), 1)
-    texts = F.transform(boxes, lambda b: F.regexp_replace(plain_text(b), r"^Warning\s*", ""))
-    told = F.filter(texts, lambda t: t.rlike(r"(?i)\b(?:was|were|is|are|has been|have been)\s+retired\b"))
-    sentences = F.transform(F.regexp_extract_all(F.get(told, F.lit(0)), F.lit(r"[^.!?]+[.!?]?"), 0), lambda s: F.trim(s))
-    notice = F.array_join(F.filter(sentences, lambda s: s.rlike("(?i)retired|replaced by")), " ")
-    return F.when(F.size(told) > 0, F.coalesce(F.nullif(notice, F.lit("")), F.lit("This exam is retired.")))
+    """The sentences on an exam's end and successor in the first warning box by which it has ended; null without such a box.
+
+    A box is a ``div`` of the class "warning"; its heading is no sentence.
+    """
+    parts = F.filter(F.split(html, r"(?i)(?=<div\b)"), lambda d: F.array_contains(
+        F.split(F.lower(F.regexp_extract(d, r"(?is)^<div\b[^>]*?\bclass\s*=\s*[\"']?([^\"'>]*)", 1)), r"\s+"), "warning"))
+    boxes = F.transform(parts, lambda d: F.split(plain_text(F.regexp_extract(d, r"(?is)^(.*?)(?:</div|\z)", 1)), r"(?<=[.!?])\s+"))
+    ended = F.get(F.filter(boxes, lambda sentences: F.exists(sentences, _happened)), F.lit(0))
+    telling = F.filter(ended, lambda x: F.contains(F.lower(x), F.lit("retired")) | F.contains(F.lower(x), F.lit("replaced by")))
+    return F.array_join(F.transform(telling, lambda x: F.regexp_replace(x, r"^Warning\s+", "")), " ")
 
 
 class _Quiz(HTMLParser):
