@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import stored
+
 
 def _joined(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     old = target.select(*keys, F.struct(*[c for c in target.columns]).alias("old"))
@@ -59,12 +61,29 @@ def insert_absent(target: DataFrame, source: DataFrame, keys: list[str], null_sa
     return target.unionByName(fresh.select(*target.columns))
 
 
+def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """Add the rank, from 1, of each row in its group by ``order``, which tells its rows apart.
+
+    Rows are put in order by ranges over groups and order together, so a group of a third of all rows is not one task's: ranks
+    within a range are added to the number of the group's rows in the ranges before.
+    """
+    keys = [*groups, *order]
+    rows = stored(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy(*groups, "_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*groups).orderBy("_range")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(W.partitionBy(*groups, "_range").orderBy(*order))
+    same = F.col("_range") == F.col("_r")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    before = before.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("_range").alias("_r"), "_before")
+    return rows.withColumn("_own", own).join(before, same).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def append_numbered(target: DataFrame, source: DataFrame, group: str, order: list[str], number: str) -> DataFrame:
     """Source rows with numbers that go on from each group's largest; given numbers stay."""
     top = target.groupBy(group).agg(F.max(number).alias("_top"))
-    place = F.row_number().over(W.partitionBy(group, F.col(number).isNull()).orderBy(*order))
-    rows = source.withColumn("_place", place).join(top, group, "left")
-    return rows.withColumn(number, F.coalesce(F.col(number), F.coalesce(F.col("_top"), F.lit(0)) + F.col("_place"))).drop("_top", "_place")
+    rows = ranked(source.withColumn("_open", F.col(number).isNull()), [group, "_open"], order, "_place").join(top, group, "left")
+    return rows.withColumn(number, F.coalesce(F.col(number), F.coalesce(F.col("_top"), F.lit(0)) + F.col("_place"))).drop("_top", "_place", "_open")
 
 
 def content_addressed(existing: DataFrame, incoming: DataFrame, content: str, key: str = "sha256") -> DataFrame:

@@ -53,29 +53,29 @@ def insert_absent(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT o_custkey, max(o_orderkey % 50) AS top FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
-s AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey END AS number FROM orders WHERE o_orderkey % 3 = 1)
+s AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey END AS number FROM orders WHERE o_orderkey % 3 <> 0)
 SELECT o_custkey, o_orderkey, coalesce(number, coalesce(top, 0) + row_number() OVER (PARTITION BY o_custkey, number IS NULL ORDER BY o_orderkey)) AS number
 FROM s LEFT JOIN t USING (o_custkey)
 """)
 def append_numbered(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     target = orders.where("o_orderkey % 3 = 0").withColumn("number", F.col("o_orderkey") % 50)
-    source = orders.where("o_orderkey % 3 = 1").withColumn("number", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey")))
+    source = orders.where("o_orderkey % 3 <> 0").withColumn("number", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey")))
     return merge.append_numbered(target, source, "o_custkey", ["o_orderkey"], "number")
 
 
 @query("""
-WITH t AS (SELECT o_custkey, max(o_orderkey % 50) AS top FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
-s AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey END AS number FROM orders WHERE o_orderkey % 3 <> 0)
-SELECT o_custkey, o_orderkey, coalesce(number, coalesce(top, 0) + row_number() OVER (PARTITION BY o_custkey, number IS NULL ORDER BY o_orderkey)) AS number
-FROM s LEFT JOIN t USING (o_custkey)
+WITH t AS (SELECT o_orderpriority, max(o_orderkey % 50) AS top FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
+s AS (SELECT o_orderpriority, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey END AS number FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT o_orderpriority, o_orderkey, coalesce(number, coalesce(top, 0) + row_number() OVER (PARTITION BY o_orderpriority, number IS NULL ORDER BY o_orderkey)) AS number
+FROM s LEFT JOIN t USING (o_orderpriority)
 """)
 def append_numbered_all(spark, sf_dir):
-    """As append_numbered, with every order that is not in the target appended to it."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    """As append_numbered, within five large groups."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey")
     target = orders.where("o_orderkey % 3 = 0").withColumn("number", F.col("o_orderkey") % 50)
     source = orders.where("o_orderkey % 3 <> 0").withColumn("number", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey")))
-    return merge.append_numbered(target, source, "o_custkey", ["o_orderkey"], "number")
+    return merge.append_numbered(target, source, "o_orderpriority", ["o_orderkey"], "number")
 
 
 @query("""
@@ -113,7 +113,7 @@ def retention_prune(spark, sf_dir):
 _CRAWLS = """
 WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS source, url, sha256(html) AS h FROM pages),
 stored AS (SELECT source, url, CASE WHEN page_id % 4 = 0 THEN sha256('old') ELSE h END AS sha256, page_id AS fetched_at FROM p WHERE page_id % 5 <> 0),
-fetched AS (SELECT source, url, h AS sha256, CASE WHEN page_id % 6 = 0 THEN 304 ELSE 200 END AS http_status, page_id FROM p WHERE page_id % 7 <> 0)
+fetched AS (SELECT source, url, h AS sha256, CASE WHEN page_id % 6 = 0 THEN 304 ELSE 200 END AS http_status, page_id FROM p WHERE page_id % 7 <> 0 OR page_id % 5 = 0)
 """
 
 
@@ -124,7 +124,7 @@ def _crawls(spark, sf_dir):
     old = F.sha2(F.lit("old").cast("binary"), 256)
     stored = pages.where("page_id % 5 <> 0").select("source", "url", F.when(F.col("page_id") % 4 == 0, old).otherwise(F.col("h")).alias("sha256"), F.col("page_id").alias("fetched_at"))
     status = F.when(F.col("page_id") % 6 == 0, 304).otherwise(200)
-    return stored, pages.where("page_id % 7 <> 0").select("source", "url", F.col("h").alias("sha256"), status.alias("http_status"), "page_id")
+    return stored, pages.where("page_id % 7 <> 0 or page_id % 5 = 0").select("source", "url", F.col("h").alias("sha256"), status.alias("http_status"), "page_id")
 
 
 @query(_CRAWLS + """

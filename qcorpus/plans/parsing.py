@@ -9,6 +9,7 @@ from ..functions import answers, richtext
 from ..functions import text as tx
 from ..operators import layout, lifecycle, practice, publish, review
 from ..sources import markdown, pages, sites
+from .documents import hash_sql, norm_sql
 from .registry import query, table
 
 
@@ -276,7 +277,7 @@ def menu_links_and_data_uris(spark, sf_dir):
 
 
 @query("""
-WITH i AS (SELECT o_orderkey AS id, 'P' || o_custkey AS stable, o_orderkey % 7 = 0 AS force, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey END AS existing FROM orders WHERE o_orderstatus = 'O'),
+WITH i AS (SELECT o_orderkey AS id, 'P' || o_custkey AS stable, o_orderkey % 7 = 0 AS force, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey END AS existing FROM orders WHERE o_orderstatus <> 'F' OR o_custkey % 3 <> 0),
 s AS (SELECT DISTINCT o_custkey AS id, 'P' || o_custkey AS stable FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0),
 d AS (SELECT i.*, s.id AS taken FROM i LEFT JOIN s USING (stable)),
 a AS (SELECT *, CASE WHEN NOT force AND existing IS NOT NULL THEN 'linked' WHEN taken IS NOT NULL AND NOT force THEN 'held' ELSE 'created' END AS act,
@@ -285,32 +286,42 @@ r AS (SELECT *, act = 'created' AND row_number() OVER (PARTITION BY own, act ORD
 SELECT id, CASE WHEN later THEN 'held' ELSE act END AS action, CASE WHEN act = 'linked' THEN existing WHEN act = 'held' THEN taken END AS question, own AS stable_id FROM r
 """)
 def resolved_positions(spark, sf_dir):
-    """Open orders as questions for positions named by the customer, some of which filled orders have."""
+    """Orders as questions for positions named by the customer, some of which the filled orders of every third customer have."""
     orders = table(spark, sf_dir, "orders")
     stable = F.concat(F.lit("P"), F.col("o_custkey").cast("string"))
     stored = orders.where("o_orderstatus = 'F' and o_custkey % 3 = 0").select(F.col("o_custkey").alias("id"), stable.alias("stable_id")).distinct()
     n = F.col("o_orderkey")
-    incoming = orders.where("o_orderstatus = 'O'").select(
+    incoming = orders.where("o_orderstatus <> 'F' or o_custkey % 3 <> 0").select(
         n.alias("id"), stable.alias("stable_id"), F.concat(stable, F.lit("-D"), (n % 2).cast("string")).alias("distinct_id"),
         F.when(n % 11 == 0, F.col("o_custkey")).alias("existing"), (n % 7 == 0).alias("force_new"))
     return publish.resolve_questions(incoming, stored, ["id"], hold_if_taken=True)
 
 
-@query("""
+@query(f"""
 WITH q AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k FROM orders), n AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1),
-g AS (SELECT q.id FROM q LEFT JOIN n USING (id) WHERE k = 1 AND coalesce(n, 0) = 2)
-SELECT id, CASE WHEN id IN (FROM g) THEN 'new wording' ELSE 'Old *text*' END AS question_text, CASE WHEN id IN (FROM g) THEN 'markdown' ELSE 'plain' END AS text_format,
-  CASE WHEN id IN (FROM g) THEN 'a\\*b' ELSE 'a*b' END AS explanation FROM q
+g AS (SELECT q.id FROM q LEFT JOIN n USING (id) WHERE k = 1 AND coalesce(n, 0) = 2),
+o AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS q, l_linestatus AS k, l_returnflag AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_orderkey * 10 + l_linenumber) AS place FROM lineitem)
+SELECT 'question' AS part, id, CASE WHEN id IN (FROM g) THEN 'new wording' ELSE 'Old *text*' END AS one, CASE WHEN id IN (FROM g) THEN 'markdown' ELSE 'plain' END AS two,
+  CASE WHEN id IN (FROM g) THEN 'a\\*b' ELSE 'a*b' END AS three FROM q
+UNION ALL SELECT 'option', id, CASE WHEN q IN (FROM g) THEN CASE place WHEN 1 THEN 'A' ELSE 'B' END ELSE k END, CASE WHEN q IN (FROM g) THEN CASE place WHEN 1 THEN 'x' ELSE 'y' END ELSE t END, NULL FROM o
+UNION ALL SELECT 'variant', id, {hash_sql(norm_sql("'Old *text*'"))}, 'Old *text*', NULL FROM g
+UNION ALL SELECT 'error', id, 'another number of options', NULL, NULL FROM q WHERE k = 1 AND id NOT IN (FROM g)
 """)
 def reworded_questions(spark, sf_dir):
-    """Orders as published questions, their lines as options; every fourth gets a new version with two options."""
+    """Orders as published questions, their lines as options; every fourth gets a new version with two options. All four tables."""
     questions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("Old *text*").alias("question_text"), F.lit("plain").alias("text_format"), F.lit("a*b").alias("explanation"))
     options = table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("position"), F.col("l_linestatus").alias("option_key"), F.col("l_returnflag").alias("option_text"))
     two = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(t).alias("text")) for k, t in (("A", "x"), ("B", "y"))])
     chosen = questions.where("id % 4 = 1").select("id", F.lit("new wording").alias("question_text"), F.lit("markdown").alias("text_format"), F.lit(None).cast("string").alias("explanation"), two.alias("options"))
     variants = spark.createDataFrame([], "question_id long, content_hash string, text string")
-    return publish.reword_questions(questions, options, variants, chosen)[0]
+    changed, options, variants, errors = publish.reword_questions(questions, options, variants, chosen)
+    none = F.lit(None).cast("string").alias("three")
+    return (
+        changed.select(F.lit("question").alias("part"), "id", F.col("question_text").alias("one"), F.col("text_format").alias("two"), F.col("explanation").alias("three"))
+        .unionByName(options.select(F.lit("option").alias("part"), "id", F.col("option_key").alias("one"), F.col("option_text").alias("two"), none))
+        .unionByName(variants.select(F.lit("variant").alias("part"), F.col("question_id").alias("id"), F.col("content_hash").alias("one"), F.col("text").alias("two"), none))
+        .unionByName(errors.select(F.lit("error").alias("part"), "id", F.col("error").alias("one"), F.lit(None).cast("string").alias("two"), none)))
 
 
 @query("""
@@ -350,13 +361,13 @@ def recorded_attempts(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT o_custkey AS id, count(*) AS c, count(*) FILTER (o_orderstatus = 'F') AS i FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
+WITH n AS (SELECT o_custkey AS id, count(*) AS c, count(*) FILTER (o_orderstatus = 'F') AS i FROM orders GROUP BY 1)
 SELECT c_custkey AS id, c AS correct, i AS incorrect FROM customer LEFT JOIN n ON id = c_custkey
 """)
 def finished_sessions(spark, sf_dir):
-    """Customers as practice sessions, of which every third has its results."""
+    """Customers as practice sessions, of which those with orders have their results."""
     sessions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("long").alias("correct"), F.lit(None).cast("long").alias("incorrect"))
-    results = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("correct"), F.count_if(F.col("o_orderstatus") == "F").alias("incorrect"))
+    results = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("correct"), F.count_if(F.col("o_orderstatus") == "F").alias("incorrect"))
     return practice.finish_sessions(sessions, results)
 
 
@@ -374,21 +385,20 @@ def count_reports(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT c_custkey AS id, c_mktsegment AS org, c_nationkey % 5 AS kind, c_name AS exam FROM customer),
-old AS (SELECT DISTINCT org FROM d WHERE id % 2 = 0)
-SELECT 'org' AS level, count(*) AS n, (SELECT count(*) FROM old) AS known FROM (SELECT DISTINCT org FROM d) UNION ALL SELECT 'kind', count(*), 0 FROM (SELECT DISTINCT org, kind FROM d) UNION ALL SELECT 'exam', count(*), 0 FROM (SELECT DISTINCT org, kind, exam FROM d)
-UNION ALL SELECT 'ids', count(DISTINCT (org, kind, exam)), count(*) FROM d
+WITH d AS (SELECT c_custkey, c_mktsegment AS org, c_nationkey % 5 AS kind, c_name AS exam FROM customer), known AS (SELECT DISTINCT org FROM d WHERE c_custkey % 2 = 0),
+o AS (SELECT d.*, CASE WHEN org IN (FROM known) THEN 'old-' || org ELSE sha256(chr(0) || chr(31) || org) END AS org_id FROM d),
+k AS (SELECT *, sha256(org_id || chr(31) || kind) AS kind_id FROM o)
+SELECT c_custkey, org_id, kind_id, sha256(kind_id || chr(31) || exam) AS id FROM k
 """)
 def registered_chain(spark, sf_dir):
-    """Organisations, types and exams that customers name, found or created one below the other."""
+    """Organisations, types and exams that customers name, found or created one below the other: each customer's whole chain."""
     wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_mktsegment").alias("org"), (F.col("c_nationkey") % 5).alias("kind"), F.col("c_name").alias("exam"))
     known = wanted.where("c_custkey % 2 = 0").select(F.lit(None).cast("string").alias("parent_id"), "org", F.concat(F.lit("old-"), "org").alias("id")).distinct()
     none = lambda key, kind: spark.createDataFrame([], f"parent_id string, {key} {kind}, id string")
     tables, rows = publish.register_chain([(known, ["org"]), (none("kind", "long"), ["kind"]), (none("exam", "string"), ["exam"])], wanted)
-    out = rows.agg(F.lit("ids").alias("level"), F.countDistinct("id").alias("n"), F.count("*").alias("known"))
-    for name, found in zip(("org", "kind", "exam"), tables):
-        out = out.unionByName(found.agg(F.lit(name).alias("level"), F.count("*").alias("n"), F.count_if(F.startswith("id", F.lit("old-"))).alias("known")))
-    return out
+    above = lambda t, name: t.select(F.col("id").alias(name), F.col("parent_id").alias(f"{name}_parent"))
+    whole = rows.select("c_custkey", "id").join(above(tables[2], "_exam"), F.col("id") == F.col("_exam")).join(above(tables[1], "kind_id"), F.col("_exam_parent") == F.col("kind_id"))
+    return whole.select("c_custkey", F.col("kind_id_parent").alias("org_id"), "kind_id", "id")
 
 
 @query("""
@@ -408,14 +418,14 @@ def normalized_questions(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT s_name AS name, s_nationkey AS rate, s_suppkey % 2 = 0 AS enabled FROM supplier WHERE s_suppkey % 3 <> 0), d AS (SELECT s_name AS name, s_nationkey + 1 AS rate, s_suppkey % 5 = 0 AS out FROM supplier WHERE s_suppkey % 4 <> 0)
+WITH s AS (SELECT s_name AS name, s_nationkey AS rate, s_suppkey % 2 = 0 AS enabled FROM supplier WHERE s_suppkey % 3 <> 0), d AS (SELECT s_name AS name, s_nationkey + 1 AS rate, s_suppkey % 5 = 0 AS out FROM supplier WHERE s_suppkey % 4 <> 0 OR s_suppkey % 3 = 0)
 SELECT name, coalesce(d.rate, s.rate) AS rate, CASE WHEN out THEN false WHEN s.name IS NULL THEN true ELSE enabled END AS enabled FROM s FULL OUTER JOIN d USING (name)
 """)
 def synced_sources(spark, sf_dir):
     """Suppliers as sources and their definitions, of which every fifth is not onboarded."""
     rows = table(spark, sf_dir, "supplier")
     stored = rows.where("s_suppkey % 3 <> 0").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("rate"), (F.col("s_suppkey") % 2 == 0).alias("enabled"))
-    given = rows.where("s_suppkey % 4 <> 0").select(F.col("s_name").alias("name"), (F.col("s_nationkey") + 1).alias("rate"), F.when(F.col("s_suppkey") % 5 == 0, "not_onboarded").alias("onboarding"))
+    given = rows.where("s_suppkey % 4 <> 0 or s_suppkey % 3 = 0").select(F.col("s_name").alias("name"), (F.col("s_nationkey") + 1).alias("rate"), F.when(F.col("s_suppkey") % 5 == 0, "not_onboarded").alias("onboarding"))
     return lifecycle.sync_sources(stored, given)
 
 
@@ -467,13 +477,13 @@ def created_jobs(spark, sf_dir):
 
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'low' WHEN o_orderpriority = '1-URGENT' THEN 'high' ELSE 'medium' END AS confidence
-FROM orders WHERE year(o_orderdate) = 1995 AND o_orderstatus <> 'O'
+FROM orders WHERE year(o_orderdate) = 1995
 """)
 def paper_confidence(spark, sf_dir):
     """The catalog's papers of a year, with the confidence in each."""
     from ..operators.catalog import find_papers
 
-    papers = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").withColumn("year", F.year("o_orderdate"))
+    papers = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "official").otherwise("community")
     return find_papers(papers, year=1995).select("o_orderkey", publish.confidence(F.col("o_orderstatus") != "P", kind).alias("confidence"))
 

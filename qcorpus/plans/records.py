@@ -85,14 +85,14 @@ def grade_multi(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT o_custkey AS number, count(*) AS c FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), r AS (SELECT o_custkey AS number, count(*) AS c FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+WITH b AS (SELECT o_custkey AS number, count(*) AS c FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), r AS (SELECT o_custkey AS number, count(*) AS c FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
 SELECT number, CASE WHEN r.c IS NULL THEN 'block_only' WHEN b.c IS NULL THEN 'row_only' ELSE 'joined' END AS state,
   coalesce(b.c, 0) > 1 AS block_repeated, coalesce(r.c, 0) > 1 AS row_repeated
 FROM b FULL OUTER JOIN r USING (number)
 """)
 def join_by_number(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "number")
-    return layout.join_by_number(orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'O'"), "number", ["o_orderkey"])
+    return layout.join_by_number(orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus <> 'F'"), "number", ["o_orderkey"])
 
 
 @query("""

@@ -91,8 +91,8 @@ def status_rollup(spark, sf_dir):
 
 @query("""
 WITH s AS (
-  SELECT user_id, ts, event_id, event_type AS stage, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'running' ELSE 'completed' END AS status,
-    CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN event_id % 2 ELSE 0 END AS failed_items FROM events WHERE user_id % 2 = 0 OR event_type IN ('view', 'click')
+  SELECT user_id, ts, event_id, event_type AS stage, CASE WHEN user_id % 2 = 1 THEN 'completed' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' THEN 'running' ELSE 'completed' END AS status,
+    CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN event_id % 2 ELSE 0 END AS failed_items FROM events
 ), j AS (
   SELECT user_id, count(*) AS stages, count(*) FILTER (status = 'completed') AS done, max(failed_items) AS most,
     string_agg(stage || ': ' || event_id, '; ' ORDER BY ts, event_id) FILTER (status = 'failed') AS errors,
@@ -102,15 +102,13 @@ WITH s AS (
 SELECT user_id, stages, status, coalesce(errors, CASE WHEN status = 'partial' THEN items END) AS error_summary FROM t
 """)
 def job_finalize(spark, sf_dir):
-    """A user's events as the stages of a job: errors failed, sign-ups still run, some clicks left an item behind."""
+    """A user's events as the stages of a job: of even users errors failed and sign-ups still run, some clicks left an item behind."""
     kind = F.col("event_type")
-    status = F.when(kind == "error", "failed").when(kind == "signup", "running").otherwise("completed")
+    status = F.when(F.col("user_id") % 2 == 1, "completed").when(kind == "error", "failed").when(kind == "signup", "running").otherwise("completed")
     left = F.when((kind == "click") & (F.col("user_id") % 3 == 0), F.col("event_id") % 2).otherwise(0)
-    # jobs of odd users have views and clicks alone, so that every status occurs
-    events = table(spark, sf_dir, "events").where((F.col("user_id") % 2 == 0) | kind.isin("view", "click"))
-    stages = events.select(
+    stages = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("job"), F.struct("ts", "event_id").alias("position"), kind.alias("stage"), status.alias("status"),
-        left.alias("failed_items"), F.when(kind == "error", F.col("event_id").cast("string")).alias("error"),
+        left.alias("failed_items"), F.when(status == "failed", F.col("event_id").cast("string")).alias("error"),
     )
     return lifecycle.finalize_jobs(stages).withColumnRenamed("job", "user_id")
 
@@ -215,7 +213,7 @@ def distinct_on_latest(spark, sf_dir):
 @query("""
 SELECT json_extract_string(props, '$.k') AS k, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2
 """)
-def json_unnest_counts(spark, sf_dir):
+def json_field_counts(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
     return events.groupBy("k", "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
