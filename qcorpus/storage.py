@@ -33,7 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _folder(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
@@ -46,7 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    system, where = _folder(spark, path)
+    system, where = folder(spark, path)
     system.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -91,9 +91,9 @@ class Postings:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        system, where = _folder(self.spark, self.path)
+        system, where = folder(self.spark, self.path)
         system.delete(where, True)
 
     def drop_at_end(self) -> None:
-        system, where = _folder(self.spark, self.path)
+        system, where = folder(self.spark, self.path)
         system.deleteOnExit(where)
