@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -16,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_own_dirs: dict[str, str] = {}
+from ..storage import folder, new_path, shared_dir  # noqa: F401  for the operators and tests
+
 #: Folders written within the open ``scratch`` blocks, innermost last.
 _written: list[list[str]] = []
 
@@ -25,37 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder that goes when Python ends, and
-    any other session the warehouse, which is shared by definition.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_qcorpus"
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-qcorpus-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return f"file://{_own_dirs[app]}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def _folder(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library has written."""
-    system, where = _folder(spark, path)
+    system, where = folder(spark, path)
     system.delete(where, True)
 
 
@@ -64,11 +33,16 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    system, where = _folder(spark, path)
+    forget(spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder that has been written with the ``scratch`` block it was made in, or when the application ends."""
+    system, where = folder(spark, path)
     system.deleteOnExit(where)
     if _written:
         _written[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path), path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, dialogue, hilbert, infill, langcnn, linebreaks, multiset, packing, recompress, repetition, simhash, toxcrf, warc
-from .common import new_path, staged, table
+from .common import forget, new_path, staged, table
 
 
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,7 @@ def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
+    forget(spark, path)
     return warc.resolve_revisits(warc.read_archives(spark, path, payloads=False))
 
 
