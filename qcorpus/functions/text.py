@@ -24,6 +24,25 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), text)), text)
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def plain_forms(text: Column) -> Column:
+    """NFKC form, in which full-width and mathematical letters are plain ones; an ASCII text is its own and stays in the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+
+
+#: Parts of the names of fonts that code is set in.
+CODE_FONTS = ("courier", "consolas", "mono")
+
+
+def font_family(font: Column) -> Column:
+    """A font's name in lower case, without spaces and the prefix of a subset."""
+    return F.lower(F.replace(F.regexp_replace(F.coalesce(font, F.lit("")), r"^[^+]*\+", ""), F.lit(" "), F.lit("")))
+
+
 def normalize_text(text: Column, compose: bool = True) -> Column:
     """NFC, lower case, white space to single spaces, then only letters, marks, digits and spaces.
 

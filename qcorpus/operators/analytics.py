@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import text_digest
@@ -81,3 +81,62 @@ def status_and_issue_summary(items: DataFrame, keys: list[str], status: str, iss
     by_issue = issue_counts(items.where(F.col(status) == held), keys, issues).groupBy(*keys).agg(as_map("code").alias("by_issue"))
     none = F.create_map().cast("map<string,bigint>")
     return by_status.join(by_issue, keys, "left").withColumn("by_issue", F.coalesce("by_issue", none))
+
+
+def import_report(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of an import by ``keys``, in one pass over its items, whose sums must agree; a row that does not fails the job.
+
+    Items have codes (their issues), rules (of the detector of mathematics), outcome (recovered, still_held, retypeset, kept), reasons,
+    issues_after and math_runs. One is ready without a code and flagged with a rule; a flagged one is recovered or still held, and of the
+    others with runs of mathematics each is re-typeset or kept. Histograms are maps; held ones are counted by their codes, in order, joined by "+".
+    """
+    some = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0
+    flagged, done = some("rules"), F.coalesce(F.col("outcome"), F.lit(""))
+    typed = ~flagged & F.coalesce(F.col("math_runs"), F.lit(False))
+    counts = {
+        "questions": F.lit(True), "ready": ~some("codes"), "held": some("codes"), "flagged": flagged, "flagged_math_only": flagged & (F.col("codes") == F.array(F.lit("math"))),
+        "recovered": flagged & (done == "recovered"), "recovered_now_ready": flagged & (done == "recovered") & ~some("issues_after"), "still_held": flagged & (done == "still_held"),
+        "clean_with_math_runs": typed, "retypeset": typed & (done == "retypeset"), "kept": typed & (done == "kept"),
+    }
+    totals = items.groupBy(*keys).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    sets = F.array_join(F.array_sort(F.array_distinct("codes")), "+")
+    kinds = [
+        ("held_by_issues", some("codes"), F.array(sets)), ("by_detector_rule", flagged, F.array_distinct("rules")),
+        ("still_held_by_reason", counts["still_held"], F.array_distinct("reasons")), ("kept_by_reason", counts["kept"], F.array_distinct("reasons")),
+    ]
+    named = F.flatten(F.array(*[_tagged(*k) for k in kinds]))
+    histogram = items.select(*keys, F.inline(named)).groupBy(*keys, "kind", "value").agg(F.count("*").alias("n"))
+    maps = histogram.groupBy(*keys).agg(*[
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("value", "n"))))).alias(kind) for kind, _, _ in kinds])
+    none = F.create_map().cast("map<string,bigint>")
+    both = totals.join(maps, keys, "left").withColumns({kind: F.coalesce(kind, none) for kind, _, _ in kinds})
+    return reconciled(both, {"recovered + still_held <> flagged": F.col("recovered") + F.col("still_held") == F.col("flagged"),
+                             "retypeset + kept <> clean_with_math_runs": F.col("retypeset") + F.col("kept") == F.col("clean_with_math_runs")})
+
+
+def _tagged(kind: str, when: Column, values: Column) -> Column:
+    rows = F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    return F.when(when, rows).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+
+
+def reconciled(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """The rows, failing the job at one that breaks a rule, with the rule's name."""
+    first = df.columns[0]
+    broken = F.lit(None).cast("string")
+    for name, rule in rules.items():
+        broken = F.when(F.coalesce(rule, F.lit(False)), broken).otherwise(F.lit(f"the counts don't add up: {name}"))
+    return df.withColumn("_broken", broken).withColumn(first, F.when(F.col("_broken").isNotNull(), F.raise_error(F.col("_broken")).cast(df.schema[first].dataType)).otherwise(F.col(first))).drop("_broken")
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """The same rows, whose metrics are gathered in the pass that writes them."""
+    own = Observation(name)
+    return df.observe(own, *[m.alias(n) for n, m in metrics.items()]), own
+
+
+def reconcile(own: Observation, total: str, *parts: str) -> dict[str, int]:
+    """The metrics of a pass that has run; an error if the parts are not the total."""
+    found = own.get
+    if sum(found[p] for p in parts) != found[total]:
+        raise ValueError(f"the counts don't add up: {' + '.join(f'{p} {found[p]}' for p in parts)} is not {total} {found[total]}")
+    return found

@@ -105,3 +105,47 @@ def match_registered(names: DataFrame, registered: DataFrame) -> DataFrame:
     pieces = rest.join(known, "_n", "left_semi").select("url", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("url", i, F.col("_n"))))).alias("_piece"))
     by_url = pieces.join(patterns, "_piece").where(F.contains("url", "url_pattern")).groupBy("url").agg(F.min("s3").alias("s3"))
     return found.join(by_url, "url", "left").select("name", "url", F.coalesce("s1", "s2", "s3").alias("slug"))
+
+
+def question_documents(questions: DataFrame, options: DataFrame, answers: DataFrame, images: DataFrame) -> DataFrame:
+    """(id, question): a question's text with its options in order, the keys of all right ones, and its images in order.
+
+    Questions have id, slug, text; options id, question_id, sequence, option_key, option_text; answers question_id, correct_option_id;
+    images question_id, position, storage_key.
+    """
+    right = answers.where("correct_option_id is not null").select(F.col("correct_option_id").alias("id"), F.lit(True).alias("_right")).distinct()
+    rows = options.join(right, "id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("sequence", "id", "option_key", "option_text", F.coalesce("_right", F.lit(False)).alias("right"))))
+    own = rows.groupBy("question_id").agg(ordered.alias("o"))
+    shown = images.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "storage_key"))), lambda i: i["storage_key"]).alias("images"))
+    keyed = lambda df: df.withColumnRenamed("question_id", "id")
+    both = questions.join(keyed(own), "id", "left").join(keyed(shown), "id", "left")
+    listed = F.transform("o", lambda x: F.struct(x["option_key"].alias("key"), x["option_text"].alias("text")))
+    keys = F.transform(F.filter("o", lambda x: x["right"]), lambda x: x["option_key"])
+    empty = lambda kind: F.array().cast(kind)
+    return both.select("id", F.struct(
+        "id", "slug", "text", F.coalesce(listed, empty("array<struct<key:string,text:string>>")).alias("options"),
+        F.coalesce(keys, empty("array<string>")).alias("correct"), F.coalesce("images", empty("array<string>")).alias("images")).alias("question"))
+
+
+def browse_documents(entities: DataFrame, occurrences: DataFrame, documents: DataFrame) -> DataFrame:
+    """(slug, document): a page of an exam, topic, subject or set as JSON: its questions in order, and counts by subject and by set.
+
+    Entities have slug and name; occurrences slug, question_id, question_set, subject, year. Questions stand by year, newest first, then set and id. An
+    entity without questions has an empty list. A page is one document, so its size is that of its questions.
+    """
+    rows = occurrences.join(documents.withColumnRenamed("id", "question_id"), "question_id")
+    place = F.struct((-F.coalesce("year", F.lit(0))).alias("newest"), "question_set", "question_id", "year", "subject", "question")
+    pages = rows.groupBy("slug").agg(F.array_sort(F.collect_list(place)).alias("q"))
+
+    def counted(column: str, name: str) -> DataFrame:
+        counts = rows.where(F.col(column).isNotNull()).groupBy("slug", column).agg(F.count("*").alias("n"))
+        return counts.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct(F.col(column).alias("slug"), F.col("n").alias("count")))).alias(name))
+
+    both = entities.join(pages, "slug", "left").join(counted("subject", "subjects"), "slug", "left").join(counted("question_set", "sets"), "slug", "left")
+    shown = F.transform("q", lambda x: F.struct(x["year"].alias("year"), x["question_set"].alias("set"), x["subject"].alias("subject"), x["question"].alias("question")))
+    none = F.array().cast("array<struct<slug:string,count:bigint>>")
+    page = lambda n, subjects, sets, questions: F.to_json(F.struct("slug", "name", n.alias("question_count"), subjects.alias("subjects"), sets.alias("sets"), questions.alias("questions")))
+    empty = page(F.lit(0), none, none, F.array().cast("array<string>"))
+    full = page(F.size("q"), F.coalesce("subjects", none), F.coalesce("sets", none), shown)
+    return both.select("slug", F.when(F.col("q").isNull(), empty).otherwise(full).alias("document"))

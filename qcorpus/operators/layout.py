@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.text import CODE_FONTS, font_family, plain_forms
+
 def _line_numbers(tolerance: float):
     """Number of the line of each top of a page, in order; a line's first word sets its height."""
 
@@ -261,3 +263,20 @@ def answer_value(kind: Column, raw: Column) -> Column:
         F.when(good & kind.isin("MCQ", "MSQ"), keys).alias("keys"), F.when(good & (kind == "NAT"), ranges).alias("ranges"),
         F.coalesce(to_all, F.lit(False)).alias("marks_to_all"), error.alias("error"),
     )
+
+
+def code_lines(words: DataFrame, fonts: tuple[str, ...] = CODE_FONTS) -> DataFrame:
+    """(doc_id, page, line, text, family, code) of words with a font and ``math``: a line's plain text, most frequent font family, and whether it is code.
+
+    Code is a line set mostly in a monospace font; a line into which a formula was written is none.
+    """
+    family = font_family(F.col("font"))
+    is_code = F.lit(False)
+    for f in fonts:
+        is_code = is_code | F.contains(family, F.lit(f))
+    rows = words.select("doc_id", "page", "line", "x0", plain_forms(F.col("text")).alias("text"), family.alias("family"), is_code.alias("mono"), F.coalesce("math", F.lit(False)).alias("math"))
+    counts = rows.groupBy("doc_id", "page", "line", "family").agg(F.count("*").alias("n"))
+    most = counts.groupBy("doc_id", "page", "line").agg(F.max_by("family", F.struct("n", "family")).alias("family"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
+    lines = rows.groupBy("doc_id", "page", "line").agg(text.alias("text"), (~F.bool_or("math") & (2 * F.count_if("mono") > F.count("*"))).alias("code"))
+    return lines.join(most, ["doc_id", "page", "line"]).select("doc_id", "page", "line", "text", "family", "code")

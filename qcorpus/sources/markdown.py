@@ -5,6 +5,7 @@ Files are read whole by Spark and parsed in Arrow batches, a file at a time.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.settings import SettingsError, read_settings
+
 SCHEMA = (
     "path string, front_matter map<string,string>, number int, question_text string, "
     "options array<struct<key:string,text:string>>, answer string, explanation string, topic string, error string"
@@ -30,8 +33,12 @@ def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _front_matter(text: str) -> dict[str, str]:
-    pairs = (line.split(":", 1) for line in text.splitlines() if ":" in line and not line.startswith(("#", " ", "\t")))
-    return {k.strip(): v.strip().strip("\"'") for k, v in pairs}
+    """Top-level settings as texts; maps and lists as JSON."""
+    found = read_settings(text)
+    if not isinstance(found, dict):
+        raise SettingsError("front matter is no map")
+    plain = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
+    return {k: plain(v) for k, v in found.items()}
 
 
 def parse_block(block: str) -> dict[str, object]:
@@ -64,7 +71,10 @@ def file_questions(path: str, content: str | None) -> list[dict[str, object]]:
     head = _HEAD.match(content or "")
     if not head:
         return [{"path": path, "error": "no front matter"}]
-    fields = list(_front_matter(head[1]).items())
+    try:
+        fields = list(_front_matter(head[1]).items())
+    except SettingsError as e:
+        return [{"path": path, "error": f"front matter: {e}"}]
     parts = _QUESTION.split(content[head.end() :])
     if len(parts) < 3:
         return [{"path": path, "front_matter": fields, "error": "no question"}]
