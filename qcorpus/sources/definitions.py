@@ -26,7 +26,7 @@ def _read(contents: pd.Series) -> pd.DataFrame:
 def definition_files(spark: SparkSession, folder: str, pattern: str = "source.yaml") -> DataFrame:
     """(path, document, error): each file below ``folder`` whose name fits, as JSON; what cannot be read has its error. An empty file gives no row."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    return files.select(F.input_file_name().alias("path"), _read("value").alias("r")).select("path", "r.*")
+    return files.select(F.col("_metadata.file_path").alias("path"), "value").select("path", _read("value").alias("r")).select("path", "r.*")
 
 
 def definitions(files: DataFrame, schema: str) -> DataFrame:

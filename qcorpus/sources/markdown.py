@@ -28,7 +28,7 @@ _FIELD = re.compile(r"^\*\*(Answer|Explanation|Topic):\*\*\s*(.*)$", re.I)
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of all *.md files below ``folder`` but READMEs."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    files = files.select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return files.where(~F.lower("path").rlike(r"/readme\.md$"))
 
 
