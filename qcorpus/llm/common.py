@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -66,6 +67,12 @@ def scratch(spark: SparkSession, keep: bool = False) -> Iterator[None]:
                 drop_path(spark, path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go now: Spark deletes them when the driver collects its garbage, which may else be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def byte_slices(
     batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20
 ) -> Iterator[pa.RecordBatch]:

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, drop_path, raw_texts, staged, stored
+from .common import byte_slices, drop_path, raw_texts, release_shuffles, staged, stored
 
 WINDOW = 20
 #: Rounds of pairing up to the low and the high symbols; a round makes them a third longer.
@@ -389,6 +389,8 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", window=WINDO
     some = _compressed(texts, "text").join(flags, F.col("_place") == F.col("place")).select("_place", "text", "flags", "flag_checks")
     found = staged(some.mapInArrow(lambda b: _emit_windows(b, window), "key long, tag long, place long"), "windows")
     drop_path(df.sparkSession, symbols_path)
+    del symbols, flags, some
+    release_shuffles(df.sparkSession)
     windows = found.where("key is not null").select("key", F.shiftright("tag", 32).alias("check"), "place", "tag")
     later = windows.join(_shared(windows), ["key", "check"]).where("place > first_place")
     later = later.select("place", F.col("tag").bitwiseAND(0xFFFFFFFF).bitwiseOR(window << 32).alias("span"))
