@@ -92,6 +92,19 @@ def detect_issues(lines: DataFrame, gap: float = 18.0, lone_run: int = 3) -> Dat
     return lone.select(names).unionByName(gaps.select(names)).unionByName(sides.select(names))
 
 
+#: The codes and details of layout trouble.
+LAYOUT_ISSUES = {
+    "drawn": ("figure", "something is drawn in the question"),
+    "tall": ("figure", "a tall block with almost no words"),
+    "image_option": ("image_option", "an option has no text"),
+    "glyphs": ("math", "math or private-use glyphs"),
+    "script_row": ("math", "a row of sub- or superscripts"),
+    "script_word": ("math", "an inline sub- or superscript"),
+    "stacked": ("math", "single tokens stacked on 3+ lines"),
+    "wide": ("layout", "wide gaps inside a line"),
+}
+
+
 @dataclass(frozen=True)
 class QualityProfile:
     """Distances, in points, and sizes by which a publisher's layout is judged."""
@@ -118,7 +131,8 @@ def question_issues(words: DataFrame, options: DataFrame, regions: DataFrame, gr
     line = [*key, "page", "line"]
     marked = lambda c: F.col(c).rlike(profile.option)
 
-    def told(found: DataFrame, code: str, detail: str) -> DataFrame:
+    def told(found: DataFrame, name: str) -> DataFrame:
+        code, detail = LAYOUT_ISSUES[name]
         return found.select(*key, F.lit(code).alias("code"), F.lit(detail).alias("detail")).distinct()
 
     # a hairline box is the border of a table
@@ -139,10 +153,10 @@ def question_issues(words: DataFrame, options: DataFrame, regions: DataFrame, gr
     stacks = runs(in_line, key, ["page", "line"], lone, profile.stacked)
     gap = F.col("x0") - F.lag("x1").over(W.partitionBy(*line).orderBy("x0", "text"))
     wide = words.where("stem").withColumn("_gap", gap).where(F.col("_gap") >= profile.wide_gap)
+    bare = options.where(F.trim(F.coalesce("text", F.lit(""))) == "")
     parts = [
-        told(met, "figure", "something is drawn in the question"), told(tall, "figure", "a tall block with almost no words"),
-        told(options.where(F.trim(F.coalesce("text", F.lit(""))) == ""), "image_option", "an option has no text"), told(glyphs, "math", "glyphs of mathematics or private use"),
-        told(rows, "math", "a row right below another"), told(small, "math", "a small word in a line"), told(stacks, "math", "short tokens stacked"), told(wide, "layout", "wide gaps inside a line"),
+        told(met, "drawn"), told(tall, "tall"), told(bare, "image_option"), told(glyphs, "glyphs"),
+        told(rows, "script_row"), told(small, "script_word"), told(stacks, "stacked"), told(wide, "wide"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

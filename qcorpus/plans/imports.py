@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import answers, text
 from ..operators import analytics, catalog, layout, lifecycle
 from ..sources import definitions
 from ..storage import new_path
@@ -112,3 +113,15 @@ def defined_sources(spark, sf_dir):
     given = definitions.definitions(definitions.definition_files(spark, path, "part-*"), "name string, rate bigint, onboarding string")
     stored = rows.where("s_suppkey % 3 <> 0").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("rate"), (F.col("s_suppkey") % 2 == 0).alias("enabled"))
     return lifecycle.sync_sources(stored, given)
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, lower(o_orderpriority) AS slug, o_custkey AS lo, o_custkey + o_orderkey % 3 AS hi FROM orders)
+SELECT o_orderkey, array_to_string(list_transform(string_split(replace(replace(slug, '-', ' '), '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name,
+  CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || ' to ' || hi END AS answer FROM o
+""")
+def readable_labels(spark, sf_dir):
+    """Names for slugs that nobody has named, and numerical answers as they are shown: a value or a range."""
+    lo = F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", text.humanize(F.lower("o_orderpriority")).alias("name"), answers.range_label(lo, lo + F.col("o_orderkey") % 3).alias("answer"))

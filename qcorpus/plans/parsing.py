@@ -153,10 +153,10 @@ s AS (SELECT *, n - sum((kind IN (0, 4))::INT) OVER (PARTITION BY doc, label ORD
 f AS (SELECT r.doc, r.label, 'figure' AS code, 'something is drawn in the question' AS detail FROM r JOIN d ON d.doc = r.doc AND d.b > low AND d.t < high
 UNION SELECT doc, label, 'figure', 'a tall block with almost no words' FROM r WHERE words < 5 AND high - low > 120
 UNION SELECT doc, label, 'image_option', 'an option has no text' FROM l WHERE q % 13 = 0
-UNION SELECT doc, label, 'math', 'glyphs of mathematics or private use' FROM l WHERE kind = 4
-UNION SELECT doc, label, 'math', 'a row right below another' FROM u WHERE top - before > 0 AND top - before < 9
-UNION SELECT doc, label, 'math', 'a small word in a line' FROM l WHERE kind = 3
-UNION SELECT doc, label, 'math', 'short tokens stacked' FROM s WHERE kind IN (0, 4) GROUP BY doc, label, run HAVING count(*) >= 3
+UNION SELECT doc, label, 'math', 'math or private-use glyphs' FROM l WHERE kind = 4
+UNION SELECT doc, label, 'math', 'a row of sub- or superscripts' FROM u WHERE top - before > 0 AND top - before < 9
+UNION SELECT doc, label, 'math', 'an inline sub- or superscript' FROM l WHERE kind = 3
+UNION SELECT doc, label, 'math', 'single tokens stacked on 3+ lines' FROM s WHERE kind IN (0, 4) GROUP BY doc, label, run HAVING count(*) >= 3
 UNION SELECT doc, label, 'layout', 'wide gaps inside a line' FROM l WHERE kind = 1 AND q >= 40)
 SELECT doc AS doc_id, label, code, detail FROM f
 """)
