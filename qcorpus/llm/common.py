@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..storage import folder, new_path, shared_dir  # noqa: F401  for the operators and tests
+from ..storage import folder, new_path, shared_dir, shuffles_released  # noqa: F401  for the operators and tests
 
 #: Folders written within the open ``scratch`` blocks, innermost last.
 _written: list[list[str]] = []
@@ -33,7 +32,8 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a Parquet table in the shared folder and read it back; also where it is."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_released(spark):
+        df.write.parquet(path)
     forget(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -67,12 +67,6 @@ def scratch(spark: SparkSession, keep: bool = False) -> Iterator[None]:
                 drop_path(spark, path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the shuffle files of finished jobs go now: Spark deletes them when the driver collects its garbage, which may else be much later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def byte_slices(
     batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20
 ) -> Iterator[pa.RecordBatch]:
