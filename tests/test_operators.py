@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from qcorpus.operators import analytics, catalog, dedupe, layout, lifecycle, merge, publish, search, similarity
+from qcorpus.operators import analytics, catalog, dedupe, layout, lifecycle, merge, pieces, publish, search, similarity
 from qcorpus.queries import QUERIES
 
 
@@ -184,7 +184,7 @@ def test_waves_join_no_rows_of_other_batches(spark):
     t = "the same first question of all batches"
     df = spark.createDataFrame([(b, p, t) for b in range(3) for p in range(2)], "batch long, position long, text string")
     assert rows(dedupe.plan_waves(df)) == [(b, p, p) for b in range(3) for p in range(2)]
-    plan = similarity.similar_pairs(df.select(F.struct("batch", "position").alias("id"), "batch", "text"), None, 0.9, within="batch")._jdf.queryExecution().optimizedPlan().toString()
+    plan = pieces.candidates(df.select(F.struct("batch", "position").alias("id"), F.col("batch").alias("part"), "text"), 0.9, within=True)._jdf.queryExecution().optimizedPlan().toString()
     keys = [x for x in plan.splitlines() if "Join Inner" in x and "(key#" in x]
     assert keys and all(re.search(r"\((batch|part)#\d+L? = (batch|part)#\d+L?\)", x) for x in keys)
 
