@@ -300,7 +300,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
     A window's tag is its check and its place in the text, a span's its length and its place.
     """
     for batch in batches:
-        for part, texts in _unpacked(batch, "text", _SLICE):
+        for part, texts in _unpacked(batch, "text", _SLICE // 2):
             ids = part.column("_place").to_numpy()
             names, others, docs = word_names(texts)
             s = _symbols(names, others, docs, window)
@@ -332,7 +332,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 def _cut(batches: Iterator[pa.RecordBatch], text_col: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in _unpacked(batch, text_col, 2 * _SLICE):
+        for part, texts in _unpacked(batch, text_col, _SLICE):
             split = [t.split() for t in texts]
             counts = np.array([len(w) for w in split], np.int64)
             first = np.cumsum(counts) - counts
