@@ -68,20 +68,27 @@ def level(value: Column, bits: int = BITS) -> Column:
     return F.least(F.floor(F.log2(F.coalesce(value, F.lit(0)) + 1) * ((1 << bits) / 24)), F.lit((1 << bits) - 1)).cast("int")
 
 
-def quantiles(df: DataFrame, column: str, bits: int = BITS, most_values: int = 10_000) -> Column:
+def quantiles(df: DataFrame, column: str, bits: int = BITS) -> Column:
     """The quantile of a column's value, from 0 to 2**bits - 1; null is in the first.
 
-    The bounds are taken from the counts of at most ``most_values`` distinct values, drawn by hash;
-    any bounds cut all values into ranges, so a sample does.
+    It is the number of rows with a smaller value, times 2**bits, by the number of all rows with a value.
+    All distinct values are counted, put in order by ranges and summed up there; only the smallest value
+    of each quantile comes to the driver.
     """
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    rows = sorted(values.orderBy(F.xxhash64("value")).limit(most_values).collect())
-    total, seen, bounds = sum(r["n"] for r in rows), 0, []
-    for before, row in zip(rows, rows[1:]):
-        seen += before["n"]
-        bounds += [row["value"]] * ((seen << bits) // total - len(bounds))
-    passed = [F.when(F.col(column) >= F.lit(x), 1).otherwise(0) for x in bounds]
-    return sum(passed, F.lit(0)).cast("int")
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    values = staged(counts.repartitionByRange("value").withColumn("range", F.spark_partition_id()), "values")
+    # one row for each range
+    ranges = values.groupBy("range").agg(F.sum("n").alias("size"))
+    ranges = ranges.select(
+        "range", (F.sum("size").over(W.orderBy("range")) - F.col("size")).alias("start"), F.sum("size").over(W.partitionBy()).alias("total")
+    )
+    within = F.sum("n").over(W.partitionBy("range").orderBy("value")) - F.col("n")
+    cells = values.withColumn("within", within).join(ranges, "range")
+    cells = cells.select("value", F.expr(f"cast((start + within) * {1 << bits} div total as int)").alias("cell"))
+    found = F.lit(0)
+    for row in sorted(cells.groupBy("cell").agg(F.min("value").alias("least")).collect(), key=lambda r: r["cell"]):
+        found = F.when(F.col(column) >= F.lit(row["least"]), row["cell"]).otherwise(found)
+    return found
 
 
 def hilbert_shards(df: DataFrame, dimensions: list[Column], order: list[str], shards: int = 8, bits: int = BITS, bucket_rows: int = 4096) -> DataFrame:

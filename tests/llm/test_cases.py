@@ -384,6 +384,36 @@ def test_quantiles_keep_the_order(spark):
     assert [r["q"] for r in got if r["v"] == "v07"][0] < [r["q"] for r in got if r["v"] == "v08"][0]
 
 
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_quantiles_of_many_values_are_exact(spark, coalesced):
+    rng = random.Random(7)
+    # many more values than any sample of bounds, some of them frequent, one in three cells at once, and nulls
+    counts = {f"v{rng.randrange(1 << 40):x}": rng.choice([1, 1, 1, 2, 9]) for _ in range(25_000)} | {"v7": 16_000}
+    rows = spark.createDataFrame([*counts.items(), (None, 500)], "v string, n int")
+    df = rows.select("v", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
+    want, below, total = {None: 0}, 0, sum(counts.values())
+    for v in sorted(counts):
+        want[v] = below * 16 // total
+        below += counts[v]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)  # one range or several
+    try:
+        quantile = hilbert.quantiles(df, "v")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = df.select("v", quantile.alias("q")).distinct().collect()
+    assert len(got) == len(want) and {r["v"]: r["q"] for r in got} == want and 8 < len(set(want.values())) < 16
+
+
+def test_quantiles_of_numbers_and_nothing(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 10 > 0, F.col("id") - 500.5).alias("v"), F.lit(None).cast("int").alias("none"))
+    df = df.unionByName(spark.sql("select double('nan') as v, cast(null as int) as none"))
+    got = df.select("v", hilbert.quantiles(df, "v").alias("q"), hilbert.quantiles(df, "none").alias("none")).collect()
+    values = [r["v"] for r in got if r["v"] is not None and r["v"] == r["v"]]
+    want = {v: i * 16 // (len(values) + 1) for i, v in enumerate(sorted(values))}
+    assert all(r["q"] == (want[r["v"]] if r["v"] in want else 0 if r["v"] is None else 15) for r in got) and {r["none"] for r in got} == {0}
+    assert df.limit(0).select(hilbert.quantiles(df.limit(0), "v")).count() == 0
+
+
 def test_language(spark, odd):
     rng = random.Random(1)
     words = {"aa": ["and", "the", "with", "over"], "bb": ["und", "der", "mit", "über"]}
