@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from qcorpus.operators import analytics, catalog, dedupe, layout, lifecycle, merge, pieces, publish, search, similarity
 from qcorpus.queries import QUERIES
+from qcorpus.storage import stored
 
 
 def rows(df, *columns):
@@ -199,6 +200,16 @@ def test_waves_are_longest_paths(spark):
     assert dedupe.plan_waves(df.limit(0)).count() == 0
 
 
+def test_waves_of_many_copies_take_no_round_each(spark, monkeypatch):
+    stores = []
+    monkeypatch.setattr(dedupe, "stored", lambda df, name: stores.append(name) or stored(df, name))
+    a, b = "one question of the batch that repeats", "one question of the batch that repeated"
+    data = [("x", p, (a, b)[p % 2]) for p in range(30)] + [("y", p, a) for p in range(500)] + [("y", None, a), (None, 1, a), (None, 2, a)]
+    got = dedupe.plan_waves(spark.createDataFrame(data, "batch string, position int, text string")).collect()
+    assert sorted((r["batch"], r["position"], r["wave"]) for r in got if r["batch"] and r["position"] is not None) == [("x", p, p) for p in range(30)] + [("y", p, p) for p in range(500)]
+    assert [r["wave"] for r in got if r["batch"] is None or r["position"] is None] == [0, 0, 0] and len(stores) < 5
+
+
 def test_key_status_moves_forward_only(spark):
     sets = spark.createDataFrame([("a", "final"), ("b", "none")], "slug string, key_status string")
     new = spark.createDataFrame([("a", "provisional"), ("b", "provisional"), ("c", "none")], "slug string, key_status string")
