@@ -168,10 +168,10 @@ def answer_rows(questions: DataFrame) -> DataFrame:
 def upsert_occurrences(occurrences: DataFrame, incoming: DataFrame) -> DataFrame:
     """Occurrences by (question_id, question_set_id): facts are updated only where they differ.
 
-    Marks are rounded to two places before they are compared. New ones without a number go on from
-    the set's largest.
+    Marks are rounded to two places before they are compared, and kept whole, however many digits they have. New ones without a number
+    go on from the set's largest.
     """
-    incoming = incoming.withColumns({c: F.round(c, 2).cast("decimal(5,2)") for c in ("marks", "negative_marks")})
+    incoming = incoming.withColumns({c: F.round(c, 2).cast("decimal(38,2)") for c in ("marks", "negative_marks")})
     keys, facts = ["question_id", "question_set_id"], ["marks", "negative_marks", "answer_status"]
     differ = F.lit(False)
     for c in facts:

@@ -129,6 +129,15 @@ def test_occurrences_change_only_where_facts_differ(spark):
     assert rows(once) == [(1, 1.0, 1), (2, 2.0, 7)] and rows(publish.upsert_occurrences(once, new)) == rows(once)
 
 
+def test_occurrences_keep_marks_of_many_digits(spark):
+    kind = "question_id int, question_set_id string, marks {0}, negative_marks {0}, answer_status string, number int"
+    stored = spark.createDataFrame([], kind.format("decimal(5,2)"))
+    new = spark.createDataFrame([(1, "s", 999.996, 1e9, "scored", None), (2, "s", 1000.0, None, "scored", None)], kind.format("double"))
+    once = publish.upsert_occurrences(stored, new)
+    facts = lambda df: sorted((r["question_id"], float(r["marks"]), float(r["negative_marks"] or 0), r["number"]) for r in df.collect())
+    assert facts(once) == [(1, 1000.0, 1e9, 1), (2, 1000.0, 0.0, 2)] and facts(publish.upsert_occurrences(once, new)) == facts(once)
+
+
 def test_batches(spark):
     actions = spark.createDataFrame([("a", "created"), ("a", "held"), ("b", "linked"), ("b", "rejected"), ("c", "rejected")], "batch string, action string")
     assert {r["batch"]: r["status"] for r in publish.batch_status(actions, "batch").collect()} == {"a": "needs_decisions", "b": "approved", "c": "not_approved"}
