@@ -529,7 +529,8 @@ def text_site_questions(spark, sf_dir):
     fold = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("<div class='collapse'>Answer: "), "o_orderpriority", F.lit("</div>"))).otherwise("")
     text = F.concat(F.lit("<div class='entry-content'><p>"), key, F.lit(". Who placed the order of "), F.col("o_custkey").cast("string"), F.lit(" that day?</p>"), fold, F.lit("</div><p>9. This is outside of the content.</p>"))
     other = F.concat(F.lit("<div class='quiz'><p>Which status has order "), key, F.lit("?</p><ul><li>a) F</li>"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("<li>b) O</li>"), F.lit("</ul></div>"))
-    orders = table(spark, sf_dir, "orders")
+    # dealt out while they are narrow: a file may be few splits, and its pages are much work
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     rows = orders.select(F.concat(F.lit("https://text.org/"), key).alias("url"), text.alias("html")).unionByName(orders.select(F.concat(F.lit("https://else.org/"), key).alias("url"), other.alias("html")))
     return _site(spark, rows).select("url", "number", "question_text", "answer", "error")
 

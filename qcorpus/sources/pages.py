@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import host
+from ..storage import stored
 
 LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
 
@@ -45,11 +46,14 @@ def allowed_urls(urls: DataFrame, sources: DataFrame, url_col: str = "url") -> D
 
 
 def profile_for_url(urls: DataFrame, profiles: DataFrame, url_col: str = "url") -> DataFrame:
-    """Add the ``profile`` of the longest host of (host, profile) that matches, else "default"."""
+    """Add the ``profile`` of the longest host of (host, profile) that matches, else "default".
+
+    Hosts and their profiles are stored, so that pages, which may be all of a few hosts, are not shuffled by host to meet a small table.
+    """
     named = urls.withColumn("_host", host(F.col(url_col)))
     found = _suffixes(named).join(profiles.select(F.col("host").alias("_suffix"), "profile"), "_suffix")
     best = found.groupBy("_host").agg(F.max_by("profile", F.length("_suffix")).alias("profile"))
-    return named.join(best, "_host", "left").withColumn("profile", F.coalesce("profile", F.lit("default"))).drop("_host")
+    return named.join(stored(best, "hosts"), "_host", "left").withColumn("profile", F.coalesce("profile", F.lit("default"))).drop("_host")
 
 
 def plain_text(html: Column) -> Column:

@@ -104,3 +104,25 @@ def test_reachable_pages(spark):
     df = spark.createDataFrame(rows, "url string, html string")
     got = sites.reachable(df, spark.createDataFrame([("https://e.org/list",), ("https://e.org/no",)], "url string")).collect()
     assert sorted((r["url"][14:], r["depth"]) for r in got) == [("list", 0), ("list?page=2", 1), ("list?page=3", 2)]
+
+
+def test_pages_of_a_batch_go_to_spark_together():
+    import pyarrow as pa
+
+    html = "<div class='quiz'><p>Which status has order {0}?</p><ul><li>a) F</li><li>b) O</li></ul></div>"
+    columns = [[f"https://else.org/{k}" for k in range(2500)], ["default"] * 2500, [html.format(k) for k in range(2500)]]
+    found = list(sites._parse(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["url", "profile", "html"])])))
+    assert len(found) == 3 and [u for b in found for u in b.column("url").to_pylist()] == columns[0]
+
+
+def test_plain_pages_have_the_same_tree():
+    def whole(html):
+        tree = sites._Tree()
+        tree.feed(html)
+        tree.close()
+        return tree.open[0]
+
+    for html in ("", "a > b", "<P>x<p ID='1'>y</p >z<br>", "<div class='a b'><li>1<li>2</div>tail</div>", "<img src=\"x\" alt=''><a href='u?x=1'>t</a>"):
+        assert sites._plain_tree(html) == whole(html) == sites.page_tree(html)
+    for html in ("&amp;", "<b/>", "<!-- c -->", "<script>1</script>", "<p a>", "<3", "<p id=1>"):
+        assert sites._plain_tree(html) is None and sites.page_tree(html) == whole(html)
