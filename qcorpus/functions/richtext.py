@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -201,9 +202,7 @@ def word_difference(old: str, new: str) -> dict[str, list[dict[str, str]]]:
 
     Words are compared without case and the marks around them.
     """
-    sides = [[t for t in re.split(r"(\s+)", text) if t] for text in (old, new)]
-    places = [[i for i, t in enumerate(side) if not t.isspace()] for side in sides]
-    pairs = _matches(*[[_bare(side[i]) for i in place] for side, place in zip(sides, places)])
+    sides, places, pairs = _words_compared(old, new)
     out = []
     for k, (side, place, kind) in enumerate(zip(sides, places, ("removed", "added"))):
         other = set(place) - {place[pair[k]] for pair in pairs}
@@ -211,6 +210,13 @@ def word_difference(old: str, new: str) -> dict[str, list[dict[str, str]]]:
     return {"existing": out[0], "candidate": out[1]}
 
 
+def _words_compared(old: str, new: str) -> tuple[list[list[str]], list[list[int]], list[tuple[int, int]]]:
+    """The tokens of both sides, the places of their words, and the pairs of words that are the same."""
+    sides = [[t for t in re.split(r"(\s+)", text) if t] for text in (old, new)]
+    places = [[i for i, t in enumerate(side) if not t.isspace()] for side in sides]
+    return sides, places, _matches(*[[_bare(side[i]) for i in place] for side, place in zip(sides, places)])
+
+
 _TOKENS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())]))
 
 
@@ -224,6 +230,24 @@ def word_diff(old: Column, new: Column) -> Column:
     return diff(old, new)
 
 
+def word_counts(old: Column, new: Column) -> Column:
+    """(same, removed, added): how many tokens of :func:`word_diff` are of each kind, ``same`` of the old text; spaces do not count, line breaks do.
+
+    No token leaves its text's turn, where those of a batch of texts are many times the texts.
+    """
+
+    @F.pandas_udf("same int, removed int, added int")
+    def count(olds: pd.Series, news: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(olds), 3), np.int32)
+        for n, (a, b) in enumerate(zip(olds, news)):
+            sides, places, pairs = _words_compared(a or "", b or "")
+            removed, added = (len(p) - len(pairs) for p in places)
+            out[n] = sum(1 for t in sides[0] if t.strip(" ")) - removed, removed, added
+        return pd.DataFrame(out, columns=["same", "removed", "added"])
+
+    return count(old, new)
+
+
 def line_hunks(old: str, new: str) -> list[dict[str, object]]:
     """Runs of lines that differ: where they begin on either side (from 1), and the lines of each."""
     a, b = old.splitlines(), new.splitlines()

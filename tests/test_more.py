@@ -168,3 +168,20 @@ def test_batch_merge_is_the_same_when_delivered_twice(spark, tmp_path):
     write(b, 1)
     write(b, 1)
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/v=1").collect()) == [(1, "b"), (2, "c")]
+
+
+def test_word_counts_are_those_of_the_tokens_and_hold_none(spark, tmp_path):
+    from qcorpus.queries import QUERIES
+
+    said = ["What is  the\nname?", "What was the \n\n name of it?", None, "", "name", "WHAT is, (the) name"]
+    turns = spark.createDataFrame([(1, k, t) for k, t in enumerate(said)], "conv_id long, turn long, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    found = QUERIES["word_diff_turns"](spark, str(tmp_path))
+    want = []
+    for k in range(1, len(said)):
+        if said[k - 1] is not None:
+            d = richtext.word_difference(said[k - 1], said[k] or "")
+            n = lambda side, kind: sum(t["kind"] == kind and t["text"].strip(" ") != "" for t in d[side])  # noqa: E731, B023
+            want.append((1, k, n("existing", "same"), n("existing", "removed"), n("candidate", "added")))
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "candidate" not in found._jdf.queryExecution().executedPlan().toString()
