@@ -33,19 +33,32 @@ def _line_numbers(tolerance: float):
     return number
 
 
-def line_words(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Words with the number of their line: a page's words by (top, x0), where a line ends at a top that is further than that from its first word's."""
+def _pages(words: DataFrame, tolerance: float) -> DataFrame:
+    """(doc_id, page, _w, _n): a page's words by (top, x0), and the number of each one's line."""
     boxes = F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "text")))
     pages = words.groupBy("doc_id", "page").agg(boxes.alias("_w"))
-    pages = pages.withColumn("_n", _line_numbers(tolerance)(F.transform("_w", lambda w: w["top"])))
+    return pages.withColumn("_n", _line_numbers(tolerance)(F.transform("_w", lambda w: w["top"])))
+
+
+def line_words(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """Words with the number of their line: a page's words by (top, x0), where a line ends at a top that is further than that from its first word's."""
+    pages = _pages(words, tolerance)
     return pages.select("doc_id", "page", F.inline(F.arrays_zip("_w", "_n"))).select("doc_id", "page", F.col("_n").alias("line"), "_w.*")
 
 
 def group_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Lines of a page, with the text of their words from left to right."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "top", "text"))), lambda x: x["text"]), " ")
-    return line_words(words, tolerance).groupBy("doc_id", "page", "line").agg(
-        F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), text.alias("text")
+    """Lines of a page, with the text of their words from left to right.
+
+    Lines are cut out of their page's words, which stand in order, so that no word is shuffled again to meet its line.
+    """
+    ends = F.filter(F.transform("_n", lambda n, i: F.when(~n.eqNullSafe(F.get("_n", i + 1)), i + 1)), lambda e: e.isNotNull())
+    pages = _pages(words, tolerance).select("doc_id", "page", "_w", ends.alias("_e"))
+    cut = F.transform("_e", lambda e, k: F.slice("_w", F.coalesce(F.get("_e", k - 1), F.lit(0)) + 1, e - F.coalesce(F.get("_e", k - 1), F.lit(0))))
+    lines = pages.select("doc_id", "page", F.posexplode(cut).alias("line", "_l"))
+    of = lambda c: F.transform("_l", lambda w: w[c])
+    text = F.array_join(F.transform(F.sort_array(F.transform("_l", lambda w: F.struct(w["x0"].alias("x0"), w["top"].alias("top"), w["text"].alias("text")))), lambda x: x["text"]), " ")
+    return lines.select(
+        "doc_id", "page", "line", F.array_min(of("top")).alias("top"), F.array_max(of("bottom")).alias("bottom"), F.array_min(of("x0")).alias("x0"), F.array_max(of("x1")).alias("x1"), text.alias("text")
     )
 
 
