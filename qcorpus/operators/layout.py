@@ -7,6 +7,8 @@ that one step is an Arrow function over the heights of a page's words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.text import CODE_FONTS, font_family, plain_forms
+from ..storage import stored
 
 def _line_numbers(tolerance: float):
     """Number of the line of each top of a page, in order; a line's first word sets its height."""
@@ -163,8 +166,15 @@ def key_table(lines: DataFrame, profile: dict[str, tuple[str, ...]], number_colu
     names = [(i, c, alias) for i, (c, spellings) in enumerate(profile.items()) for alias in spellings]
     names = spark.createDataFrame(names, "position int, column string, alias string").select("position", "column", _plain(F.col("alias")).alias("_name")).distinct()
     keys = ["doc_id", "page", "line"]
-    words = lines.select(*keys, "x0", "x1", "top", "text")
-    both = words.withColumn("pair", F.col("line")).unionByName(words.withColumn("pair", F.col("line") - 1)).drop("line").withColumnRenamed("pair", "line")
+    words = stored(lines.select(*keys, "x0", "x1", "top", "text"), "words")
+    # only where each column has a word that stands in its spellings, on a line or the one below it, can there be a header
+    fits = [F.when(F.exists(F.array(*[_plain(F.lit(a)) for a in spellings]), lambda n: F.contains(n, _plain(F.col("text")))), 1 << i).otherwise(0) for i, spellings in enumerate(profile.values())]
+    fit = words.where(_plain(F.col("text")) != "").select(*keys, reduce(lambda x, y: x.bitwiseOR(y), fits).alias("_fit")).where("_fit > 0")
+    fit = fit.select("doc_id", "page", F.explode(F.array("line", F.col("line") - 1)).alias("line"), "_fit").groupBy(*keys).agg(F.bit_or("_fit").alias("_fit"))
+    heads = stored(fit.where(F.col("_fit") == (1 << len(profile)) - 1).select(*keys), "heads")
+    near = heads.select("doc_id", "page", F.explode(F.array("line", F.col("line") + 1)).alias("line")).distinct()
+    told = words.join(near, keys, "left_semi")
+    both = told.withColumn("pair", F.col("line")).unionByName(told.withColumn("pair", F.col("line") - 1)).drop("line").withColumnRenamed("pair", "line").join(heads, keys, "left_semi")
     by_pair = W.partitionBy(*keys).orderBy("x0", "top", "text")
     apart = F.coalesce(F.col("x0") >= F.max("x1").over(by_pair.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     stacks = both.withColumn("_apart", apart.cast("int")).withColumn("_stack", F.sum("_apart").over(by_pair.rowsBetween(W.unboundedPreceding, 0)))
@@ -172,9 +182,10 @@ def key_table(lines: DataFrame, profile: dict[str, tuple[str, ...]], number_colu
     stacks = stacks.groupBy(*keys, "_stack").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), text.alias("text"))
     # the words of line n stand in row 2n, those of n stacked on n + 1 in row 2n + 1
     row = lambda df, k: df.select("doc_id", "page", (F.col("line") * 2 + k).alias("line"), "x0", "x1", "text")
-    headers = _header_columns(row(words, 0).unionByName(row(stacks, 1)), names, len(profile))
+    headers = _header_columns(row(told, 0).unionByName(row(stacks, 1)), F.broadcast(names), len(profile))
     last = F.floor((F.col("line") + 1) / 2).cast("int").alias("last")
     headers = headers.groupBy("doc_id", "page").agg(F.min_by(F.struct(last, "columns"), "line").alias("h"))
+    headers = stored(headers, "headers")
     pages = words.select("doc_id", "page").distinct().join(headers, ["doc_id", "page"], "left")
     pages = carry_headers(pages.select("doc_id", "page", F.coalesce("h.last", F.lit(-1)).alias("last"), F.col("h.columns").alias("columns")), "columns")
     rows = words.join(pages, ["doc_id", "page"]).where(F.col("columns").isNotNull() & (F.col("line") > F.col("last")))
