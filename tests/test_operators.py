@@ -383,3 +383,18 @@ def test_append_numbered_covers_all_orders(spark, tmp_path):
     spark.range(12).selectExpr("id % 2 AS o_custkey", "id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     got = rows(QUERIES["append_numbered_all"](spark, str(tmp_path)), "o_orderkey", "number")
     assert got == [(1, 10), (2, 7), (4, 8), (5, 5), (7, 11), (8, 9), (10, 10), (11, 12)]
+
+
+def test_words_of_lines_are_not_shuffled(spark):
+    plan = QUERIES["layout_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+def test_key_table_looks_for_headers_near_their_words_alone(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(layout, "stored", lambda df, name: kept.setdefault(name, stored(df, name)), raising=False)
+    word = lambda line, x, text: ("d", 0, line, float(x), float(x + 5 * len(text)), 10.0 * line, text)
+    words = [word(0, 0, "Key"), word(0, 100, "of"), word(1, 0, "No."), word(1, 100, "Answer"), *[word(n, x, t) for n in range(2, 30) for x, t in ((0, str(n)), (100, "C"))]]
+    found = layout.key_table(spark.createDataFrame(words, "doc_id string, page int, line int, x0 double, x1 double, top double, text string"), {"number": ("No.",), "key": ("Answer",)})
+    got = sorted((r["number"], r["values"]["key"]) for r in found.collect())
+    assert got == [(n, "C") for n in range(2, 30)] and sorted(r["line"] for r in kept["heads"].collect()) == [0, 1]
